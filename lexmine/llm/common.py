@@ -75,8 +75,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of a text, by sums of powers over its bytes."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of a text, by sums of powers over its bytes, and where the words start."""
     raw = np.frombuffer(text, np.uint8)
     space = np.ones(len(raw) + 2, bool)
     space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -85,7 +85,26 @@ def word_hashes(text: bytes) -> np.ndarray:
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTES[raw] * _powers(_BASE, len(raw)), out=total[1:])
     size = (end - start).astype(np.uint64)
-    return mix((total[end] - total[start]) * _powers(_INVERSE, len(raw) + 1)[start] + size)
+    return mix((total[end] - total[start]) * _powers(_INVERSE, len(raw) + 1)[start] + size), start
+
+
+class Texts:
+    """The words of many texts in one row: their hashes, and where each text's words begin."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        self.hash, at = word_hashes(b"\n".join(texts))
+        ends = np.cumsum(sizes)
+        self.first = np.searchsorted(at, np.concatenate([[0], ends])) if len(texts) else np.zeros(1, np.int64)
+        self.n_words = np.diff(self.first)
+
+    def windows(self, width: int, base: int = 0xA0761D6478BD642F) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of width words that lie in one text, and their first words' places."""
+        text = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        if len(text) < width:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.flatnonzero(text[: len(text) - width + 1] == text[width - 1 :])
+        return window_hashes(self.hash, width, base)[at], at
 
 
 def window_hashes(words_: np.ndarray, width: int, base: int = 0xA0761D6478BD642F) -> np.ndarray:

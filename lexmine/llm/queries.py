@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.llm import bpe, line_dedup, quality, token_counts
+from lexmine.llm import bpe, line_dedup, quality, simhash, substring_dedup, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -34,17 +38,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_bpe": op3_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_quality": op5_quality,
+        "op8_simhash": op8_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op5_quality": QUALITY_SQL}
+    return {"op1_substring_dedup": SUBSTRING_DEDUP_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op5_quality": QUALITY_SQL}
 
 
 LINE_DEDUP_SQL = r"""
@@ -78,3 +88,14 @@ o AS (SELECT t.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
 SELECT *, NOT base_failed AND 100 * (n_words - n_boilerplate) >= 50 * n_words AS kept FROM v
 """
+
+SUBSTRING_DEDUP_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+s AS (SELECT w.doc_id, g.p, md5(array_to_string(ws[g.p : g.p + 19], ' ')) AS win FROM w, (SELECT unnest(range(1, (SELECT max(len(ws)) FROM w) + 1)) AS p) g WHERE g.p + 19 <= len(ws)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS o FROM s) WHERE o > 1),
+e AS (SELECT doc_id, p, max(r) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM (SELECT x.doc_id, x.p, r.p AS r FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.p = r.p)),
+k AS (SELECT x.doc_id, x.p, x.word, coalesce(e.last + 19 >= x.p, false) AS gone FROM x JOIN e ON x.doc_id = e.doc_id AND x.p = e.p)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, count(k.p) FILTER (k.gone) AS n_removed, sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.p) FILTER (NOT k.gone), '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id GROUP BY w.doc_id, w.ws
+"""
