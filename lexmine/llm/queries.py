@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.llm import bpe, line_dedup, quality, simhash, substring_dedup, token_counts
+from lexmine.llm import bpe, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -42,6 +42,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.toxicity(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -49,7 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_quality": op5_quality,
+        "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
+        "op10_toxicity": op10_toxicity,
     }
 
 
