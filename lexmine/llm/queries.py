@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.llm import bpe, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, toxicity
+from lexmine.llm import bpe, decontaminate, line_dedup, lm, quality, simhash, substring_dedup, token_counts, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -42,6 +42,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    out = lm.lm_scores(table(spark, sf_dir, "documents"), ~held_out, WORD_BPE)
+    return out.withColumn("held_out", held_out)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_quality": op5_quality,
+        "op6_language_model": op6_language_model,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
         "op10_toxicity": op10_toxicity,
