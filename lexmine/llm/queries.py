@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.llm import bpe, decontaminate, line_dedup, lm, quality, simhash, substring_dedup, token_counts, toxicity
+from lexmine.llm import bpe, decontaminate, line_dedup, lm, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -52,6 +52,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_model": op6_language_model,
         "op7_decontamination": op7_decontamination,
         "op8_simhash": op8_simhash,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
