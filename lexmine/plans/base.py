@@ -43,6 +43,11 @@ def targets(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     return words.groupBy("target").count().orderBy(F.desc("count"), "target").limit(n).select("target")
 
 
+def _line_id():
+    """Line numbers repeat within an order here, so a line is named by part and supplier too."""
+    return F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") % 1000 * 10 + F.col("l_linenumber")
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cards."""
     return table(spark, sf_dir, "orders").select(
@@ -54,7 +59,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as notes with schedules."""
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("note_id"), F.col("l_orderkey").alias("card_id"), F.when(F.col("l_linenumber") % 2 == 0, "meaning").otherwise("recall").alias("direction"), (F.col("l_suppkey") % 7).alias("deck_id"),
+        _line_id().alias("note_id"), F.col("l_orderkey").alias("card_id"), F.when(F.col("l_linenumber") % 2 == 0, "meaning").otherwise("recall").alias("direction"), (F.col("l_suppkey") % 7).alias("deck_id"),
         F.col("l_partkey").alias("due"), F.col("l_quantity").cast("long").alias("ivl"), (F.col("l_suppkey") % 10).alias("reps"), (F.col("l_suppkey") % 3).alias("lapses"), F.concat(F.lit("card::"), F.col("l_orderkey").cast("string"), F.lit(" direction::"), F.when(F.col("l_linenumber") % 2 == 0, "meaning").otherwise("recall"), F.lit(" "), F.lower("l_returnflag")).alias("tags"),
     )
 
@@ -63,7 +68,7 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of every tenth order's key as rectangles of highlights, made by a reader or imported."""
     li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
     return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("highlight_id"), (F.col("l_partkey") % 40).alias("document_id"), (1 + F.col("l_suppkey") % 5).alias("page"), F.when(F.col("l_returnflag") == "N", "reader").otherwise("pdf_import").alias("source"), F.concat(F.lit("w"), (F.col("l_partkey") % 3).cast("string")).alias("target"),
+        _line_id().alias("highlight_id"), (F.col("l_partkey") % 40).alias("document_id"), (1 + F.col("l_suppkey") % 5).alias("page"), F.when(F.col("l_returnflag") == "N", "reader").otherwise("pdf_import").alias("source"), F.concat(F.lit("w"), (F.col("l_partkey") % 3).cast("string")).alias("target"),
         (F.col("l_partkey") * 7 % 480).cast("double").alias("x1"), (F.col("l_suppkey") * 11 % 700).cast("double").alias("y1"), ((F.col("l_partkey") * 7 % 480) + 20 + F.col("l_quantity")).cast("double").alias("x2"), ((F.col("l_suppkey") * 11 % 700) + 12).cast("double").alias("y2"), F.col("l_shipdate").alias("created_at"),
     )
 
@@ -74,10 +79,10 @@ ROLES = {
     "targets": """targets AS (SELECT target FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS target FROM corpus) WHERE length(target) >= 6 GROUP BY target ORDER BY count(*) DESC, target LIMIT 20)""",
     "cards": """cards AS (SELECT o_orderkey AS card_id, o_custkey AS user_id, o_orderkey % 40 AS document_id, o_orderdate AS created_at, o_orderstatus = 'O' AS current,
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS exported_at, regexp_replace(lower(o_orderpriority), '[^a-z]', '', 'g') AS target FROM orders)""",
-    "notes": """notes AS (SELECT l_orderkey * 10 + l_linenumber AS note_id, l_orderkey AS card_id, CASE WHEN l_linenumber % 2 = 0 THEN 'meaning' ELSE 'recall' END AS direction, l_suppkey % 7 AS deck_id,
+    "notes": """notes AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber AS note_id, l_orderkey AS card_id, CASE WHEN l_linenumber % 2 = 0 THEN 'meaning' ELSE 'recall' END AS direction, l_suppkey % 7 AS deck_id,
   l_partkey AS due, CAST(l_quantity AS BIGINT) AS ivl, l_suppkey % 10 AS reps, l_suppkey % 3 AS lapses,
   'card::' || l_orderkey || ' direction::' || CASE WHEN l_linenumber % 2 = 0 THEN 'meaning' ELSE 'recall' END || ' ' || lower(l_returnflag) AS tags FROM lineitem)""",
-    "rects": """rects AS (SELECT l_orderkey * 10 + l_linenumber AS highlight_id, l_partkey % 40 AS document_id, 1 + l_suppkey % 5 AS page, CASE WHEN l_returnflag = 'N' THEN 'reader' ELSE 'pdf_import' END AS source, 'w' || (l_partkey % 3) AS target,
+    "rects": """rects AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber AS highlight_id, l_partkey % 40 AS document_id, 1 + l_suppkey % 5 AS page, CASE WHEN l_returnflag = 'N' THEN 'reader' ELSE 'pdf_import' END AS source, 'w' || (l_partkey % 3) AS target,
   CAST(l_partkey * 7 % 480 AS DOUBLE) AS x1, CAST(l_suppkey * 11 % 700 AS DOUBLE) AS y1, CAST(l_partkey * 7 % 480 + 20 + l_quantity AS DOUBLE) AS x2, CAST(l_suppkey * 11 % 700 + 12 AS DOUBLE) AS y2, l_shipdate AS created_at FROM lineitem WHERE l_orderkey % 10 = 0)""",
     "sentences": r"""squeezed AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM corpus),
 decimals AS (SELECT doc_id, regexp_replace(regexp_replace(s, '([A-Za-z0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([A-Za-z0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g') AS s FROM squeezed),

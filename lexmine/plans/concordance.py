@@ -13,9 +13,20 @@ from lexmine.operators import text as X
 from lexmine.plans.base import corpus, query, table, targets
 
 _HITS = "hits AS (SELECT w.doc_id, w.sent_id, w.pos, w.start, w.start + length(w.token) AS \"end\", t.target, w.token AS surface FROM words w JOIN targets t ON lower(w.token) = t.target)"
-_FIRST = """, hits AS (SELECT w.doc_id, w.sent_id, w.start, w.token AS surface, t.target, s.sentence FROM words w JOIN targets t ON lower(w.token) = t.target JOIN sentences s ON s.doc_id = w.doc_id AND s.sent_id = w.sent_id),
-capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY sent_id, start) AS c FROM hits),
-seen AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target, replace(lower(sentence), 'ß', 'ss') ORDER BY sent_id, start) AS k FROM capped WHERE c <= 12)"""
+#: The trimming of long sentences in SQL: from {0} (s, t0, t1) to t_f, with the bounds a2 and b2.
+_TRIM = """t_a AS (SELECT *, length(s) AS n, greatest(0, t0 - CAST(floor(greatest(40, 420 - (t1 - t0) - 4) * 0.45) AS BIGINT)) AS a0 FROM {0}),
+t_b AS (SELECT *, least(n, a0 + 420) AS b0 FROM t_a),
+t_c AS (SELECT *, CASE WHEN b0 = n THEN greatest(0, b0 - 420) ELSE a0 END AS a1 FROM t_b),
+t_d AS (SELECT *, strpos(substring(s, a1 + 1), ' ') AS g FROM t_c),
+t_e AS (SELECT *, CASE WHEN a1 > 0 AND g > 0 AND a1 + g - 1 < t0 THEN a1 + g ELSE a1 END AS a2, strpos(reverse(substring(s, t1 + 1, greatest(b0 - t1, 0))), ' ') AS r FROM t_d),
+t_f AS (SELECT *, CASE WHEN b0 < n AND r > 0 AND b0 - r > t1 THEN b0 - r ELSE b0 END AS b2 FROM t_e)"""
+_TEXT = "CASE WHEN n > 420 THEN CASE WHEN a2 > 0 THEN '… ' ELSE '' END || trim(substring(s, a2 + 1, b2 - a2)) || CASE WHEN b2 < n THEN ' …' ELSE '' END ELSE s END"
+_PLACE = "CASE WHEN n > 420 THEN CASE WHEN a2 > 0 THEN 2 ELSE 0 END + t0 - a2 ELSE t0 END"
+_FIRST = f""", hits AS (SELECT w.doc_id, w.sent_id, w.start, w.token AS surface, t.target, s.sentence AS s, w.start AS t0, w.start + length(w.token) AS t1 FROM words w JOIN targets t ON lower(w.token) = t.target JOIN sentences s ON s.doc_id = w.doc_id AND s.sent_id = w.sent_id),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY sent_id, start) AS c FROM hits) WHERE c <= 12),
+{_TRIM.format("capped")},
+placed AS (SELECT doc_id, sent_id, start, surface, target, {_TEXT} AS sentence, {_PLACE} AS p FROM t_f),
+seen AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target, replace(lower(sentence), 'ß', 'ss') ORDER BY sent_id, start) AS k FROM placed)"""
 
 
 def _sents(spark, d):
@@ -100,29 +111,19 @@ def win18_first_seen(spark, d):
 
 
 @query(
-    f"""{_FIRST}, short AS (SELECT * FROM seen WHERE k = 1 AND length(sentence) <= 420),
-esc AS (SELECT *, substring(sentence, 1, start) AS b, substring(sentence, start + length(surface) + 1) AS a FROM short)
+    f"""{_FIRST}, esc AS (SELECT *, substring(sentence, 1, p) AS b, substring(sentence, p + length(surface) + 1) AS a FROM seen WHERE k = 1)
 SELECT doc_id, sent_id, target, surface, sentence, replace(replace(replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '<b>' || surface || '</b>' || replace(replace(replace(replace(replace(a, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS sentence_html,
 substring(sha256(doc_id || '|' || sent_id || '|' || start || '|' || surface || '|' || sentence), 1, 16) AS id FROM esc""",
     "corpus", "targets", "sentences", "words",
 )
 def pip3_concordance(spark, d):
-    """Contexts of whole sentences; those longer than a context are checked by fun7_trim_window."""
-    short = _sents(spark, d)
-    found = C.concordance(corpus(spark, d), short, targets(spark, d)).join(short.where(F.length("sentence") <= T.CONTEXT_CHARS).select("doc_id", "sent_id"), ["doc_id", "sent_id"], "left_semi")
+    found = C.concordance(corpus(spark, d), _sents(spark, d), targets(spark, d))
     return found.select("doc_id", "sent_id", "target", "surface", "sentence", "sentence_html", "id")
 
 
 @query(
-    """, base AS (SELECT doc_id, squeezed AS s, length(squeezed) AS n, length(squeezed) // 2 AS t0, length(squeezed) // 2 + 7 AS t1 FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM corpus) WHERE length(squeezed) > 20),
-a AS (SELECT *, greatest(0, t0 - CAST(floor(409 * 0.45) AS BIGINT)) AS a0 FROM base),
-b AS (SELECT *, least(n, a0 + 420) AS b0 FROM a),
-c AS (SELECT *, CASE WHEN b0 = n THEN greatest(0, b0 - 420) ELSE a0 END AS a1 FROM b),
-e AS (SELECT *, strpos(substring(s, a1 + 1), ' ') AS g FROM c),
-f AS (SELECT *, CASE WHEN a1 > 0 AND g > 0 AND a1 + g - 1 < t0 THEN a1 + g ELSE a1 END AS a2, strpos(reverse(substring(s, t1 + 1, greatest(b0 - t1, 0))), ' ') AS r FROM e),
-h AS (SELECT *, CASE WHEN b0 < n AND r > 0 AND b0 - r > t1 THEN b0 - r ELSE b0 END AS b2 FROM f)
-SELECT doc_id, CASE WHEN n > 420 THEN CASE WHEN a2 > 0 THEN '… ' ELSE '' END || trim(substring(s, a2 + 1, b2 - a2)) || CASE WHEN b2 < n THEN ' …' ELSE '' END ELSE s END AS sentence,
-CAST(CASE WHEN n > 420 THEN CASE WHEN a2 > 0 THEN 2 ELSE 0 END + t0 - a2 ELSE t0 END AS INTEGER) AS start FROM h""",
+    f""", base AS (SELECT doc_id, squeezed AS s, length(squeezed) // 2 AS t0, length(squeezed) // 2 + 7 AS t1 FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM corpus) WHERE length(squeezed) > 20),
+{_TRIM.format("base")} SELECT doc_id, {_TEXT} AS sentence, CAST({_PLACE} AS INTEGER) AS start FROM t_f""",
     "corpus",
 )
 def fun7_trim_window(spark, d):
@@ -131,13 +132,14 @@ def fun7_trim_window(spark, d):
 
 
 @query(
-    """SELECT s.doc_id, s.sent_id, t.target, CASE WHEN strpos(lower(s.sentence), t.target) > 0 THEN replace(replace(substring(s.sentence, 1, strpos(lower(s.sentence), t.target) - 1), '&', '&amp;'), chr(39), '&#x27;') || '<b>' || substring(s.sentence, strpos(lower(s.sentence), t.target), length(t.target)) || '</b>' || replace(replace(substring(s.sentence, strpos(lower(s.sentence), t.target) + length(t.target)), '&', '&amp;'), chr(39), '&#x27;')
-ELSE replace(replace(s.sentence, '&', '&amp;'), chr(39), '&#x27;') END AS html FROM sentences s, (SELECT min(target) AS target FROM targets) t WHERE NOT regexp_matches(s.sentence, '[<>"]')""",
-    "corpus", "targets", "sentences",
+    """, f AS (SELECT doc_id, sent_id, sentence, lower(regexp_extract(sentence, '[A-Za-z]{6,}')) AS target FROM sentences WHERE regexp_matches(sentence, '[A-Za-z]{6,}') AND NOT regexp_matches(sentence, '[<>"]')), g AS (SELECT *, strpos(lower(sentence), target) AS p FROM f)
+SELECT doc_id, sent_id, target, replace(replace(substring(sentence, 1, p - 1), '&', '&amp;'), chr(39), '&#x27;') || '<b>' || substring(sentence, p, length(target)) || '</b>' || replace(replace(substring(sentence, p + length(target)), '&', '&amp;'), chr(39), '&#x27;') AS html FROM g""",
+    "corpus", "sentences",
 )
 def fun8_emphasize(spark, d):
-    one = targets(spark, d).agg(F.min("target").alias("target"))  # one row
-    return _sents(spark, d).where(~F.col("sentence").rlike('[<>"]')).join(F.broadcast(one)).select("doc_id", "sent_id", "target", T.emphasize(F.col("sentence"), F.col("target")).alias("html"))
+    """The first long word of each sentence is its target."""
+    s = _sents(spark, d).where(~F.col("sentence").rlike('[<>"]')).withColumn("target", F.lower(F.regexp_extract("sentence", "[A-Za-z]{6,}", 0))).where("target <> ''")
+    return s.select("doc_id", "sent_id", "target", T.emphasize(F.col("sentence"), F.col("target")).alias("html"))
 
 
 @query(f', {_HITS} SELECT doc_id, sent_id, start, "end", target FROM hits ORDER BY doc_id, sent_id, start, "end" - start DESC, target', "corpus", "targets", "sentences", "words")
@@ -150,7 +152,7 @@ _ANCHORS = f"{_FIRST}, c AS (SELECT doc_id, sent_id, start AS place, target, sen
 
 
 def _scored(spark, d):
-    found = C.concordance(corpus(spark, d), _sents(spark, d), targets(spark, d)).drop("sentence").join(_sents(spark, d), ["doc_id", "sent_id"])
+    found = C.concordance(corpus(spark, d), _sents(spark, d), targets(spark, d))
     anchors = found.groupBy("target").agg(F.min_by("sentence", F.struct("doc_id", "sent_id", "place")).alias("anchor"))
     return M.score(found, anchors)
 
@@ -206,8 +208,16 @@ def srt3_candidate_order(spark, d):
     return marked.orderBy("target", F.desc("approved"), F.desc("score"), "doc_id", "sent_id", "place").select("doc_id", "sent_id", "place", "target", "approved", F.col("score").cast("long").alias("score"))
 
 
-@query(f"{_ANCHORS} SELECT target, count(*) AS candidates, count(DISTINCT doc_id) AS docs FROM (SELECT target, doc_id, sent_id FROM c UNION ALL SELECT t.target, l.doc_id, -1 FROM labels l, targets t WHERE l.toxic = 1) GROUP BY target", "corpus", "targets", "sentences", "words")
+@query(
+    r""", stems AS (SELECT target, regexp_replace(target, '^([a-z]{3,}?)(ments|ment|ings|ing|edly|ed|es|ly|s)$', '\1') AS stem FROM targets),
+u AS (SELECT w.doc_id, w.sent_id, w.start, t.target, 'exact' AS kind FROM words w JOIN targets t ON lower(w.token) = t.target
+UNION ALL SELECT w.doc_id, w.sent_id, w.start, s.target, 'variant' FROM words w JOIN stems s ON regexp_replace(lower(w.token), '^([a-z]{3,}?)(ments|ment|ings|ing|edly|ed|es|ly|s)$', '\1') = s.stem WHERE length(w.token) >= 3 AND lower(w.token) <> s.target)
+SELECT target, kind, count(*) AS candidates, count(DISTINCT doc_id) AS docs FROM u GROUP BY target, kind""",
+    "corpus", "targets", "sentences", "words",
+)
 def set1_union_candidates(spark, d):
-    exact = C.concordance(corpus(spark, d), _sents(spark, d), targets(spark, d)).select("target", "doc_id", "sent_id")
-    flagged = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(-1).alias("sent_id"), F.explode(F.lit([0])).alias("z")).join(F.broadcast(targets(spark, d))).drop("z")  # 20 targets
-    return exact.unionByName(flagged).groupBy("target").agg(F.count("*").alias("candidates"), F.count_distinct("doc_id").alias("docs"))
+    index, wanted = X.word_index(_sents(spark, d)), targets(spark, d)
+    exact = C.exact_matches(index, wanted, longest=1).withColumn("kind", F.lit("exact"))
+    stems = C.variant_matches(index, wanted, stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0)).where("kind = 0").withColumn("kind", F.lit("variant"))
+    variant = stems.join(exact.drop("kind"), ["doc_id", "sent_id", "start", "end", "target"], "left_anti")
+    return exact.unionByName(variant).groupBy("target", "kind").agg(F.count("*").alias("candidates"), F.count_distinct("doc_id").alias("docs"))

@@ -162,7 +162,7 @@ def joi16_page_of_position(spark, d):
     pages = corpus(spark, d).where("text <> ''").groupBy((F.col("doc_id") % 50).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("page_no"), F.length("text").alias("n")))).alias("p"))
     def step(acc, x):
         start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"] + 1, F.lit(0))
-        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"))))
+        return F.concat(acc, F.array(F.named_struct(F.lit("start"), start, F.lit("end"), start + x["n"])))
 
     ranges = F.aggregate("p", F.array().cast("array<struct<start:int,end:int>>"), step)
     asked = pages.select("doc_id", ranges.alias("r"), F.explode(F.array(*map(F.lit, [0, 1000, 5000, 20000, 10000000]))).alias("position"))
