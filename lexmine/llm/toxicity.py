@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexmine.llm.common import as_bytes
 
 #: Labelled rows that are learned from at most (those with the smallest hash), features kept at most, and words that a worker remembers.
-SAMPLE, FEATURES, MEMO = 6000, 20_000, 1_000_000
+SAMPLE, FEATURES, MEMO = 4000, 20_000, 1_000_000
 #: Letters in the prefixes that count as features; the least toxic documents of a feature; evidence of a labelled token.
 PREFIXES, LEAST_DOCS, STRONG = (4, 5, 6, 7), 4, 1.5
 
@@ -102,20 +102,25 @@ def summary(probabilities: list[np.ndarray]) -> np.ndarray:
     return np.array([[1.0, np.log1p(p.sum()), p.max() if len(p) else 0.0, np.log1p(len(p))] for p in probabilities]).reshape(-1, 4)
 
 
-def fit_chain(evidence: list[np.ndarray], tags: list[np.ndarray], rounds: int = 120, piece: int = 64) -> np.ndarray:
+def fit_chain(evidence: list[np.ndarray], tags: list[np.ndarray], rounds: int = 60, piece: int = 64) -> np.ndarray:
     """Gradient ascent (Adam) on the likelihood of the tags; texts are cut into pieces for it."""
     x = [i[k : k + piece] for i in inputs(evidence) for k in range(0, len(i), piece)]
     y = [t[k : k + piece] for t in tags for k in range(0, len(t), piece)]
+    sizes = [len(t) for t in y]
     chain = np.array([-3.0, 1.0, 0.0, 0.0, -4.0, 0.0])
-    total = max(1, sum(map(len, y)))
-    flat_x, flat_y = (np.concatenate(x), np.concatenate(y)) if x else (np.zeros((0, 4)), np.zeros(0))
-    last = np.concatenate([np.r_[0, t[:-1]] for t in y]) if y else np.zeros(0)
-    inner = np.concatenate([np.r_[0, np.ones(max(0, len(t) - 1))][: len(t)] for t in y]) if y else np.zeros(0)
+    total = max(1, sum(sizes))
+    if not y:
+        return chain
+    flat_x, flat_y, cuts = np.concatenate(x), np.concatenate(y), np.cumsum(sizes)[:-1]
+    del x, y
+    inner = np.ones(len(flat_y), np.float32)
+    inner[np.cumsum(sizes) - sizes] = 0
+    last = np.r_[0, flat_y[:-1]].astype(np.float32)
     m, v = np.zeros(6), np.zeros(6)
     for k in range(1, rounds + 1):
-        p = np.concatenate(marginals([i @ chain[:4] for i in x], chain)) if x else np.zeros(0)
-        p_last = np.r_[0, p[:-1]] if len(p) else p
-        gap = flat_y - p
+        p = np.concatenate(marginals(np.split(flat_x @ chain[:4].astype(np.float32), cuts), chain))
+        p_last = np.r_[0, p[:-1]].astype(np.float32)
+        gap = (flat_y - p).astype(np.float32)
         odds = 1 / (1 + np.exp(-chain[4:6]))
         grad = np.r_[flat_x.T @ gap, (inner * (1 - last) * (flat_y - odds[0])).sum() - (inner * (1 - p_last) * (p - odds[0])).sum(), (inner * last * (flat_y - odds[1])).sum() - (inner * p_last * (p - odds[1])).sum()] / total
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -146,17 +151,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keys = list(found[0] | found[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([found[y][k] for k in keys], pa.int64()) for y in (1, 0))], names=["f", "bad", "good"])
 
-    texts = rows.select("t", "y", "i").orderBy(F.xxhash64("i"), "i", "t").limit(sample).collect()  # bounded by sample
-    n_bad, n_good = sum(r["y"] > 0 for r in texts), sum(r["y"] <= 0 for r in texts)
+    n_bad, n_good = rows.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     counts = rows.select("t", "y").mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1)) - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     kept = counts.where(F.col("bad") >= LEAST_DOCS).withColumn("w", odds).where("w > 0").orderBy(F.desc("w"), "f").limit(FEATURES).collect()
     model = Model({r["f"]: r["w"] for r in kept}, np.zeros(6), np.array([-4.0, 0, 0, 0]), {})
     if not n_bad:
         return model
-    evidence = [model.evidence(r["t"].encode().split()) for r in texts]
-    y = np.array([float(r["y"] > 0) for r in texts])
-    model.chain = fit_chain(evidence, [(e >= STRONG) * t for e, t in zip(evidence, y, strict=True)])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches):
+        for batch in batches:
+            data = [shared.value.evidence(t.split()).tobytes() for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(data, pa.binary())], names=["i", "y", "e"])
+
+    kind = rows.schema["i"].dataType.simpleString()
+    found = rows.select("t", "i", "y").mapInArrow(weigh, f"i {kind}, y int, e binary").orderBy(F.xxhash64("i"), "i", "y", "e").limit(sample).collect()  # numbers of at most sample rows
+    evidence = [np.frombuffer(r["e"], np.float32) for r in found]
+    y = np.array([float(r["y"] > 0) for r in found])
+    del found
+    model.chain = fit_chain(evidence, [((e >= STRONG) * t).astype(np.float32) for e, t in zip(evidence, y, strict=True)])
     model.curve = fit_curve(summary(marginals([i @ model.chain[:4] for i in inputs(evidence)], model.chain)), y)
     model.memo = {}
     return model
