@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,19 @@ def as_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
+    """Parts of a batch whose texts have most bytes at most (a longer text is a part of its own), to bound what is held at once."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    start = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and held + size > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import Texts, as_bytes, checkpoint, partitions
+from lexmine.llm.common import Texts, as_bytes, checkpoint, partitions, slices
 
 #: Words of a seed, seeds beside each other of which the smallest is kept, words that a repeated passage has at least.
 SEED, WINDOW, LEAST = 12, 20, 50
@@ -129,21 +129,19 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int =
     n = max(partitions(docs.sparkSession), -(-total // PART_BYTES))
 
     def seeds(batches):
-        for batch in batches:
+        for batch in (part for big in batches for part in slices(big, 0)):
             s = _Suffixes(as_bytes(batch.column(0)), seed, window, least)
             yield pa.RecordBatch.from_arrays([pa.array(s.seed.view(np.int64))], names=["seed"])
 
     shared = docs.sparkSession.sparkContext.broadcast(_repeated(rows.select("text").mapInArrow(seeds, "seed long")))
 
     def suffixes(batches):
-        for big in batches:
-            for k in range(0, big.num_rows, 1000):
-                batch = big.slice(k, 1000)
-                s = _Suffixes(as_bytes(batch.column(1)), seed, window, least)
-                chosen = np.flatnonzero(_in(shared.value, s.seed))
-                right, left = s.around(chosen)
-                place = s.at[chosen] - s.made.first[s.text[chosen]]
-                yield pa.RecordBatch.from_arrays([pa.array(s.seed[chosen].view(np.int64)), _blob(right), _blob(left), batch.column(0).take(pa.array(s.text[chosen])), pa.array(place, pa.int64())], names=["seed", "right", "left", "id", "place"])
+        for batch in (part for big in batches for part in slices(big, 1)):
+            s = _Suffixes(as_bytes(batch.column(1)), seed, window, least)
+            chosen = np.flatnonzero(_in(shared.value, s.seed))
+            right, left = s.around(chosen)
+            place = s.at[chosen] - s.made.first[s.text[chosen]]
+            yield pa.RecordBatch.from_arrays([pa.array(s.seed[chosen].view(np.int64)), _blob(right), _blob(left), batch.column(0).take(pa.array(s.text[chosen])), pa.array(place, pa.int64())], names=["seed", "right", "left", "id", "place"])
 
     order = ["seed", "right", "left", "id", "place"]
     ranged = rows.mapInArrow(suffixes, f"seed long, right binary, left binary, id {kind}, place long").repartitionByRange(n, *order).sortWithinPartitions(*order)
