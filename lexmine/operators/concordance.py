@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,3 +106,28 @@ def variant_concordance(sents: DataFrame, targets: DataFrame, limit: int = 8, **
 def first_seen_by_target(found: DataFrame) -> DataFrame:
     w = W.partitionBy("doc_id", "target", F.lower("surface"), T.target_key(F.col("sentence"))).orderBy("kind", "sent_id", "place")
     return found.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def pattern_matches(docs: DataFrame, targets: DataFrame, block: int = 500) -> DataFrame:
+    """UDF8. (doc_id, start, end, target) of targets that hold more than letters and spaces, which no run of words can express.
+
+    Targets are taken in blocks of about `block`, each against all texts; a text is searched for each
+    target of the block, on letter bounds, in any case, with any white space between words.
+    """
+    total = targets.count()
+    blocks = -(-total // block)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = None
+    for k in range(blocks):
+        some = [r["target"] for r in targets.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == k).orderBy("target").collect()]
+        patterns = [(t, "(?<![A-Za-z])" + r"\s+".join(map(re.escape, t.split())) + "(?![A-Za-z])") for t in some if t and t.strip()]
+
+        def search(batches, patterns=patterns):
+            compiled = [(t, re.compile(p, re.IGNORECASE)) for t, p in patterns]
+            for rows in batches:
+                found = [(i, m.start(), m.end(), t) for i, text in zip(rows["doc_id"], rows["text"], strict=True) for t, p in compiled for m in p.finditer(text or "")]
+                yield pd.DataFrame(found, columns=["doc_id", "start", "end", "target"])
+
+        one = docs.select("doc_id", "text").mapInPandas(search, f"doc_id {kind}, start long, end long, target string")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, start long, end long, target string")

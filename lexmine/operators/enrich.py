@@ -86,6 +86,16 @@ def fuzzy_top(highlights: DataFrame, leaders: DataFrame, cutoff: float = 45.0, l
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("highlight_id", "cluster_id", "leader", "score", "rank")
 
 
+def cluster_assign(highlights: DataFrame, leaders: DataFrame, least: float = 80.0, score=udfs.weighted_ratio) -> DataFrame:
+    """PIP8. Highlights (highlight_id, user_id, text) with the cluster of the likest leader of their user if it is like enough, else a new one named by the text's hash.
+
+    Equal texts of a user come to the same new cluster, so no order is needed between highlights.
+    """
+    best = fuzzy_top(highlights, leaders, cutoff=least, limit=1, score=score).select("highlight_id", "cluster_id")
+    out = highlights.join(best, "highlight_id", "left")
+    return out.select("highlight_id", "user_id", F.coalesce(F.col("cluster_id").cast("string"), F.concat(F.lit("new-"), T.stable_id(F.col("user_id"), F.col("text")))).alias("cluster"), F.col("cluster_id").isNull().alias("is_new"))
+
+
 def replay_clusters(highlights: DataFrame, cutoff: float = 90.0) -> DataFrame:
     """PIP8, PIP9. Highlights (highlight_id, user_id, text, created_at) assigned in order: each joins the likest cluster of its user, or begins one.
 

@@ -209,6 +209,17 @@ def joi11_fuzzy_top(spark, d):
     return E.fuzzy_top(*_leaders(spark, d), score=likeness).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    """WITH l AS (SELECT CAST(p_partkey / 10 AS BIGINT) % 50 AS user_id, p_partkey AS cluster_id, p_name AS leader FROM part WHERE p_partkey % 10 = 0), h AS (SELECT p_partkey AS highlight_id, (p_partkey // 10) % 50 AS user_id, p_name AS text FROM part WHERE p_partkey % 10 = 3),
+n AS (SELECT highlight_id, user_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\- ]', ' ', 'g'), ' +', ' ', 'g'), ' -') AS text FROM h), m AS (SELECT cluster_id, user_id, trim(regexp_replace(regexp_replace(lower(leader), '[^a-z0-9\\- ]', ' ', 'g'), ' +', ' ', 'g'), ' -') AS leader FROM l),
+b AS (SELECT highlight_id, cluster_id FROM (SELECT highlight_id, cluster_id, row_number() OVER (PARTITION BY highlight_id ORDER BY 100.0 - 100.0 * levenshtein(text, leader) / greatest(length(text), length(leader)) DESC, cluster_id) AS k FROM n JOIN m USING (user_id) WHERE 100.0 - 100.0 * levenshtein(text, leader) / greatest(length(text), length(leader)) >= 60) WHERE k = 1)
+SELECT n.highlight_id, n.user_id, coalesce(CAST(b.cluster_id AS VARCHAR), 'new-' || substring(sha256(n.user_id || '|' || n.text), 1, 16)) AS cluster, b.cluster_id IS NULL AS is_new FROM n LEFT JOIN b ON n.highlight_id = b.highlight_id"""
+)
+def pip8_cluster_assign(spark, d):
+    likeness = lambda a, b: 100.0 - 100.0 * F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    return E.cluster_assign(*_leaders(spark, d), least=60.0, score=likeness)
+
+
 @query(None)
 def fun25_weighted_ratio(spark, d):
     return E.fuzzy_top(*_leaders(spark, d))
@@ -242,6 +253,16 @@ def src3_csv_round_trip(spark, d):
     return files.read_cards_csv(spark, [to], ["Front", "Back", "Tags"]).withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
+@query("SELECT c_custkey AS row_id, c_name AS front FROM customer")
+def src2_csv_read(spark, d):
+    """Two files with a byte-order mark before the header."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("\ufeffrow_id"), F.col("c_name").alias("front"))
+    folders = [_scratch(spark) for _ in range(2)]
+    for k, to in enumerate(folders):
+        files.write_cards_csv(rows.where(F.col("\ufeffrow_id").cast("bigint") % 2 == k), to)
+    return files.read_cards_csv(spark, folders, ["row_id", "front"]).withColumn("row_id", F.col("row_id").cast("bigint"))
+
+
 @query("SELECT doc_id, source FROM documents")
 def src4_json_round_trip(spark, d):
     to = _scratch(spark)

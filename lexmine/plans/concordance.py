@@ -221,3 +221,42 @@ def set1_union_candidates(spark, d):
     stems = C.variant_matches(index, wanted, stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0)).where("kind = 0").withColumn("kind", F.lit("variant"))
     variant = stems.join(exact.drop("kind"), ["doc_id", "sent_id", "start", "end", "target"], "left_anti")
     return exact.unionByName(variant).groupBy("target", "kind").agg(F.count("*").alias("candidates"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(
+    """, cand AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+, [a-z]+')) AS target FROM corpus), top AS (SELECT target FROM cand WHERE split_part(target, ', ', 1) <> split_part(target, ', ', 2) GROUP BY target ORDER BY count(*) DESC, target LIMIT 5),
+pieces AS (SELECT c.doc_id, t.target, string_split_regex(lower(c.text), '\\s+') AS ws FROM corpus c, top t),
+p AS (SELECT doc_id, target, unnest(range(1, len(ws))) AS i, ws FROM pieces)
+SELECT doc_id, target, count(*) AS n FROM p WHERE regexp_matches(ws[i], '(^|[^a-z])' || split_part(target, ' ', 1) || '$') AND regexp_matches(ws[i + 1], '^' || split_part(target, ' ', 2) || '([^a-z]|$)') GROUP BY doc_id, target""",
+    "corpus",
+)
+def joi12_pattern_matches(spark, d):
+    """Targets with a comma inside."""
+    c = corpus(spark, d)
+    top = c.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+, [a-z]+"), F.lit(0))).alias("target")).where("split_part(target, ', ', 1) <> split_part(target, ', ', 2)").groupBy("target").count().orderBy(F.desc("count"), "target").limit(5).select("target")
+    return C.pattern_matches(c, top).groupBy("doc_id", "target").agg(F.count("*").alias("n"))
+
+
+@query(f", {_HITS} SELECT h.doc_id, h.sent_id, h.start, h.target, length(s.sentence) AS sentence_chars FROM hits h JOIN sentences s ON h.doc_id = s.doc_id AND h.sent_id = s.sent_id AND h.start BETWEEN 0 AND length(s.sentence)", "corpus", "targets", "sentences", "words")
+def joi15_match_in_sentence(spark, d):
+    """Matches are found inside their sentence's row, so an equi join takes the place of a range join."""
+    sents = _sents(spark, d)
+    found = C.exact_matches(X.word_index(sents), targets(spark, d), longest=1)
+    return found.join(sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "start", "target", F.length("sentence").alias("sentence_chars"))
+
+
+_STEM = r"regexp_replace({0}, '^([a-z]{{3,}}?)(ments|ment|ings|ing|edly|ed|es|ly|s)$', '\1')"
+
+
+@query(
+    f""", stems AS (SELECT target, {_STEM.format("target")} AS stem FROM targets),
+vocabulary AS (SELECT DISTINCT lower(token) AS w FROM words WHERE length(token) >= 4),
+near AS (SELECT v.w, s.target FROM vocabulary v JOIN stems s ON substring(v.w, 1, 4) = substring(s.target, 1, 4) WHERE v.w <> s.target AND abs(length(v.w) - length(s.target)) <= 4 AND {_STEM.format("v.w")} <> s.stem AND 100.0 - 100.0 * levenshtein(v.w, s.target) / greatest(length(v.w), length(s.target)) >= 70),
+u AS (SELECT w.doc_id, w.sent_id, w.start, s.target, 0 AS kind FROM words w JOIN stems s ON {_STEM.format("lower(w.token)")} = s.stem WHERE length(w.token) >= 3 UNION ALL SELECT w.doc_id, w.sent_id, w.start, n.target, 1 FROM words w JOIN near n ON lower(w.token) = n.w)
+SELECT doc_id, sent_id, start, target, kind FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY kind, sent_id, start) AS k FROM u) WHERE k <= 8""",
+    "corpus", "targets", "sentences", "words",
+)
+def win8_variant_cap(spark, d):
+    likeness = lambda a, b: 100.0 - 100.0 * F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    found = C.variant_matches(X.word_index(_sents(spark, d)), targets(spark, d), stem=lambda w: T.suffix_stem(F.col(w)), ratio=likeness, cutoff=70.0)
+    return M.cap(found, ["doc_id", "target"], ["kind", "sent_id", "start"], 8).select("doc_id", "sent_id", "start", "target", "kind")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def read_cards_csv(spark: SparkSession, paths: list[str], required: list[str]) -> DataFrame:
     """SRC2, SET7. Card files with a header; a byte-order mark before it is ignored, missing required columns are an error."""
     df = spark.read.csv(paths, header=True, multiLine=True, escape='"', quote='"')
-    df = df.toDF(*[c.lstrip("﻿").strip('"') for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff").strip('"') for c in df.columns])
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     return df
