@@ -88,13 +88,17 @@ def _chains(emission: list[np.ndarray], chain: np.ndarray) -> tuple[np.ndarray,
     return order, sizes, before, after
 
 
-def marginals(emission: list[np.ndarray], chain: np.ndarray) -> list[np.ndarray]:
-    """Chance of toxic at every word of each text, by forward-backward."""
-    order, sizes, before, after = _chains(emission, chain)
-    both = 1 / (1 + np.exp(-np.clip(before + after, -30, 30)))
+def marginals(emission: list[np.ndarray], chain: np.ndarray, cells: int = 2_000_000) -> list[np.ndarray]:
+    """Chance of toxic at every word of each text, by forward-backward; texts of like length together, cells places at once at most (or one text)."""
     out: list[np.ndarray] = [np.zeros(0)] * len(emission)
-    for k, i in enumerate(order):
-        out[i] = both[: sizes[k], k]
+    by_length = sorted(range(len(emission)), key=lambda i: -len(emission[i]))
+    while by_length:
+        count = max(1, cells // max(1, len(emission[by_length[0]])))
+        block, by_length = by_length[:count], by_length[count:]
+        order, sizes, before, after = _chains([emission[i] for i in block], chain)
+        both = 1 / (1 + np.exp(-np.clip(before + after, -30, 30)))
+        for k, i in enumerate(order):
+            out[block[i]] = both[: sizes[k], k].copy()
     return out
 
 
