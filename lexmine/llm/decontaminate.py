@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import Texts, as_bytes
+from lexmine.llm.common import Texts, as_bytes, slices
 
 #: Words in a seed; benchmark bytes in a block (which bounds what is broadcast); places a seed's documents may exceed its item's median.
 SEED_WORDS, BLOCK_BYTES, FLOOR, FACTOR = 4, 16_000_000, 10, 4
@@ -131,7 +131,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, width: int, item_col: str, it
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def count(batches, shared=shared):
-            for batch in batches:
+            for batch in (part for big in batches for part in slices(big, 0)):
                 t = Texts([plain(x) for x in as_bytes(batch.column(0))])
                 hashes, at = t.windows(width)
                 hit = shared.value.hits(hashes)
@@ -160,7 +160,7 @@ def contaminated(
     for shared in _blocks(docs, benchmark, width, item_col, item_text, text_col, block_bytes):
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in (part for big in batches for part in slices(big, 1)):
                 block = shared.value
                 found = matches(as_bytes(batch.column(1)), block, width, least)
                 item_ids = pa.array([block.ids[m[1]] for m in found], pa.int64() if item_kind == "bigint" else None)
@@ -179,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = SEED_WORDS
     for shared in _blocks(docs, benchmark, width, item_col, item_text, text_col, block_bytes):
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in (part for big in batches for part in slices(big, place)):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[m[0] for m in matches(as_bytes(batch.column(place)), shared.value, width, least)]] = False
                 yield batch.filter(pa.array(clean))
