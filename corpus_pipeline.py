@@ -11,9 +11,8 @@ from lexmine.llm.queries import WORD_BPE, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    good = quality.quality(docs).where("kept").select(F.col("doc_id").alias("qk_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["qk_id"]), "left_semi")
+    """Documents that the quality rules keep, without the lines above their host's limit; n_chars follows the text."""
+    return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 Lines are normalised (lower case, single spaces, trimmed) and hashed; for each host the distinct
 documents that hold a line are counted, copies of one text once. A line above the host's limit is
 boilerplate. A document fails if its base figures are bad, or if too little is left without such lines.
+clean() returns the documents that pass, with the lines above the limit removed from their texts.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import SPACES, has_word, let, text_key, words
+from lexmine.llm.common import SPACES, checkpoint, has_word, let, text_key, words
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Common lines of all hosts (8 bytes each) up to which clean() broadcasts them.
+BROADCAST_LINES = 100_000
 
 
 def _covered_by_repeats(w: Column, width: int = 3) -> Column:
@@ -24,6 +27,10 @@ def _covered_by_repeats(w: Column, width: int = 3) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda p: F.sequence(p, p + (width - 1))))))
 
 
+def _bad(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
 def base_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -37,7 +44,38 @@ def base_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_repeat_words": _covered_by_repeats(F.col("q_words")).cast("long"),
         }
     ).drop("q_words", "q_lines")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return out.withColumn("base_failed", _bad(F.col("n_words"), F.col("n_repeat_words")))
+
+
+def _normal(line: Column) -> Column:
+    return F.xxhash64(F.array_join(words(F.lower(line)), " "))
+
+
+def _common(rows: DataFrame, least_docs: int, share: float) -> DataFrame:
+    """(q_at host, q_common hash of a line above the host's limit) from rows with q_host, q_key, q_text."""
+    lines = F.filter(F.split(F.col("q_text"), "\n"), has_word)
+    texts = rows.groupBy("q_host").agg(F.count_distinct("q_key").alias("q_texts"))
+    held = rows.select("q_host", "q_key", F.explode(F.array_distinct(F.transform(lines, _normal))).alias("q_line")).distinct().groupBy("q_host", "q_line").count().where(F.col("count") > least_docs)
+    return held.join(texts, held["q_host"].eqNullSafe(texts["q_host"])).where(F.col("count") > share * F.col("q_texts")).select(held["q_host"].alias("q_at"), F.col("q_line").alias("q_common"))
+
+
+def clean(docs: DataFrame, host_col: str = "source", least_docs: int = 20, share: float = 0.1, left_percent: int = 50, text_col: str = "text") -> DataFrame:
+    """The rows of docs that quality() keeps, without the lines above their host's limit; other columns stay as they are.
+
+    The figures that decide are those of the whole text. Lines without a word stay. Every row is judged
+    by its own text, whatever its id.
+    """
+    rows = docs.select(F.col(host_col).alias("q_host"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text")).withColumn("q_key", text_key(F.col("q_text")))
+    sets = checkpoint(_common(rows, least_docs, share).groupBy("q_at").agg(F.collect_set("q_common").alias("q_set")))
+    few = (sets.agg(F.sum(F.size("q_set"))).first()[0] or 0) <= BROADCAST_LINES
+    out = docs.join(F.broadcast(sets) if few else sets, docs[host_col].eqNullSafe(sets["q_at"]), "left")
+    lines = F.split(text_col, "\n")
+    common = lambda x: has_word(x) & F.array_contains("q_set", _normal(x))
+    gone = F.when(F.col("q_set").isNull(), 0).otherwise(F.aggregate(F.filter(lines, common), F.lit(0), lambda n, x: n + F.size(words(x))))
+    # One expression, as Spark would compute columns that a filter uses once for every use.
+    kept = let(words(F.col(text_col)), lambda w: ~_bad(F.size(w), _covered_by_repeats(w)) & (100 * (F.size(w) - gone) >= left_percent * F.size(w)))
+    text = F.when(F.col("q_set").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x: ~common(x)), "\n"))
+    return out.where(kept).select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def quality(docs: DataFrame, host_col: str = "source", least_docs: int = 20, share: float = 0.1, left_percent: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,12 +90,9 @@ def quality(docs: DataFrame, host_col: str = "source", least_docs: int = 20, sha
     rows = docs.select(F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text"))
     rows = rows.withColumn("q_key", text_key(F.col("q_text")))
     lines = F.filter(F.split(F.col("q_text"), "\n"), has_word)
-    normal = lambda x: F.xxhash64(F.array_join(words(F.lower(x)), " "))
-    texts = rows.groupBy("q_host").agg(F.count_distinct("q_key").alias("q_texts"))
-    held = rows.select("q_host", "q_key", F.explode(F.array_distinct(F.transform(lines, normal))).alias("q_line")).distinct().groupBy("q_host", "q_line").count().where(F.col("count") > least_docs)
-    common = held.join(texts, held["q_host"].eqNullSafe(texts["q_host"])).where(F.col("count") > share * F.col("q_texts")).select(held["q_host"].alias("q_at"), F.col("q_line").alias("q_common"))
+    common = _common(rows, least_docs, share)
 
-    placed = rows.select("q_id", "q_host", "q_key", F.explode(F.transform(lines, lambda x: F.struct(normal(x).alias("h"), F.size(words(x)).alias("n")))).alias("q_l"))
+    placed = rows.select("q_id", "q_host", "q_key", F.explode(F.transform(lines, lambda x: F.struct(_normal(x).alias("h"), F.size(words(x)).alias("n")))).alias("q_l"))
     gone = (
         placed.join(common, placed["q_host"].eqNullSafe(common["q_at"]) & (placed["q_l.h"] == common["q_common"]), "left_semi")
         .groupBy("q_id", "q_key", "q_host").agg(F.sum("q_l.n").alias("q_sum"), F.count("*").alias("q_n"))

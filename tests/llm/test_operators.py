@@ -215,6 +215,18 @@ def test_quality_equals_plain_version(spark, rows):
     assert any(v[6] for v in got.values())
 
 
+@pytest.mark.parametrize("broadcast_lines", [100_000, 0])
+def test_clean_removes_lines_above_the_limit(spark, rows, monkeypatch, broadcast_lines):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", broadcast_lines)
+    extra = [(1000 + k, f"Boiler  plate line\n\nown{k}\n" + " ".join(f"w{k}x{j}" for j in range(60 if k % 2 else 2)) + "\nboiler plate LINE") for k in range(60)]
+    extra += [(1060, "boiler plate line\n" * 30 + " ".join(f"v{j}" for j in range(60)))]
+    good = plain_quality(rows + extra, 5, 0.1)
+    got = {r["doc_id"]: r["text"] for r in quality.clean(frame(spark, rows + extra), least_docs=5, share=0.1).collect()}
+    assert got.keys() == {i for i, v in good.items() if v[-1]} and 1001 in got and 1060 not in got
+    assert all(got[1000 + k] == f"\nown{k}\n" + " ".join(f"w{k}x{j}" for j in range(60)) for k in range(1, 60, 2))
+    assert all(got[i] == t for i, t in rows if i in got and not good[i][6])
+
+
 def test_lm_base_and_gain(spark, rows):
     docs = frame(spark, [r for r in rows if len(r[1] or "") < 5000])
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2

@@ -35,3 +35,13 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
         want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and 202 in got and 201 not in got
+
+
+def test_quality_stage_carries_texts_without_boilerplate(spark, tmp_path):
+    import corpus_pipeline
+
+    own = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(40)]
+    made = [(k, "all rights reserved\n" + t, "en", "s", 0) for k, t in enumerate(own)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == [(k, t, len(t)) for k, t in enumerate(own)]
