@@ -289,6 +289,30 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark).collect()) == [0, 4, 9]
 
 
+def test_decontamination_finds_every_alignment(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    say = lambda k: rng.choices(words, k=k)
+    items = [["lone"], ["two", "some"], *(say(k) for k in (3, 4, 5, 8, 15, 15, 20, 20, 40))]
+    texts = [" ".join(say(30))] + [" ".join(w if k % 4 else "changed" for k, w in enumerate(items[-1]))]
+    texts += [" ".join(v for w in items[8] for v in (w, "filler"))]
+    for x in items * 12:
+        gone = set(rng.sample(range(len(x)), len(x) // 3))
+        edited = [v for k, w in enumerate(x) for v in ([rng.choice(["changed", *words])] if k in gone and rng.random() < 0.7 else [] if k in gone else [w, "in"] if rng.random() < 0.1 else [w])]
+        texts.append(" ".join(say(rng.randint(0, 60)) + edited + say(rng.randint(0, 60))))
+    texts += texts[:1] * 30 + [" ".join(items[6][:4])] * 30
+    hashed = lambda t: decontaminate.Texts([t.encode()]).hash
+    want = {}
+    for r, t in enumerate(texts):
+        for i, x in enumerate(items):
+            score = decontaminate.align(hashed(" ".join(x)), hashed(t))[0]
+            if score >= 0.5 * len(x):
+                want[r, i] = score / len(x)
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame(spark, list(enumerate(texts))), benchmark).collect()}
+    assert got == want and (1, 10) in got and (2, 8) in got and {i for _, i in got} == set(range(11))
+
+
 def plain_components(rows):
     def fingerprint(t):
         w = t.encode().lower().split()
