@@ -1,48 +1,80 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A text is cut where a rolling hash of the bytes before a white-space character says so, so equal
-passages are cut alike in every document. A worker encodes a chunk once, whatever documents share it.
-Each join of two chunks is then checked: the words at the join are encoded together, and if that
-differs from the two sides, more words on either side are taken until outer tokens agree, at worst both
-whole chunks. No text or id is shuffled.
+A text is cut where a rolling hash of the 16 bytes before a character says so, so equal passages are cut
+alike in every document, wherever they stand and even inside a word. A chunk is encoded once:
+
+1. A first pass counts the documents that hold each chunk (by its hash). The chunks whose reuse saves most
+   are encoded by one job, and their ids are shared with every worker; their number is bounded.
+2. A second pass puts every text together from its chunks. A worker encodes a chunk that isn't shared at
+   its first sight and remembers it within a bound.
+3. Joins are repaired. The words around a join are encoded again as one, from one whole word before the cut
+   word to one whole word after it. If the chunks' own ids agree with the outer words', only the ids
+   in between are replaced; if not, more words are taken, at last both whole chunks.
+
+Texts and ids are never shuffled, only hashes and counts of chunks.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import re
+import os
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lexmine.llm.common import as_bytes, mix
+from lexmine.llm.common import as_bytes, slices
 
-#: One white-space character in so many ends a chunk.
-EVERY = 64
-#: Bytes of chunks, and numbers of words and joins, that a worker remembers at most.
-CHUNK_BYTES, MEMO = 64_000_000, 1_000_000
+#: One character in so many ends a chunk (a power of 2); words that end in a chunk at least; words taken on either side of a join at the first and second try.
+EVERY, ENDS, TRIES = 1024, 6, (2, 8)
+#: Chunks shared over the cluster at most and bytes of each at most; bytes of chunks and number of joins that a worker remembers at most.
+SHARED, SHARED_BYTES, CHUNK_BYTES, MEMO = 4096, 8192, 48_000_000, 200_000
 
 
-def cuts(text: bytes, every: int = EVERY) -> np.ndarray:
-    """Ends of the chunks: white-space places whose 16 bytes before hash to 0 modulo every."""
+def word_ends(raw: np.ndarray) -> np.ndarray:
+    """Places of the white space right after a printable ASCII character: no token reaches over them."""
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    return np.flatnonzero(space[1:] & (raw[:-1] > 32) & (raw[:-1] < 127)) + 1
+
+
+def candidates(raw: np.ndarray, every: int = EVERY, block: int = 1 << 22) -> np.ndarray:
+    """Starts of characters whose 16 bytes before hash to 0 in every."""
+    found = []
+    for a in range(16, len(raw), block):
+        part = raw[a - 16 : min(len(raw), a + block)]
+        pair = np.ndarray(len(part) - 15, "<u8", part.tobytes() + bytes(8), strides=(1,))
+        far = np.ndarray(len(part) - 15, "<u8", part.tobytes() + bytes(8), 8, strides=(1,))
+        mixed = (pair * np.uint64(0x9E3779B97F4A7C15)) ^ (far * np.uint64(0xD1342543DE82EF95))
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        at = np.flatnonzero(mixed >> np.uint64(64 - every.bit_length() + 1) == 0)[: len(part) - 16] + a
+        found.append(at[at < len(raw)])
+    at = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return at[(raw[at] & 0xC0) != 0x80]
+
+
+def cuts(text: bytes, every: int = EVERY) -> tuple[list[int], np.ndarray]:
+    """Ends of the chunks, each with at least ENDS word ends, and all word ends of the text."""
     raw = np.frombuffer(text, np.uint8)
-    if len(raw) < 17:
-        return np.array([len(raw)])
-    at = np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    at = at[at >= 16]
-    seen = np.lib.stride_tricks.sliding_window_view(raw, 16)[at - 16]
-    pair = np.ascontiguousarray(seen).view(np.uint64)
-    hash_ = mix(mix(pair[:, 0]) + pair[:, 1])
-    ends = at[hash_ % np.uint64(every) == 0]
-    return np.append(ends[ends < len(raw)], len(raw))
+    if len(raw) < 64:
+        return [len(raw)], np.zeros(0, np.int64)
+    ends = word_ends(raw)
+    at = candidates(raw, every)
+    seen, out, last = np.searchsorted(ends, at).tolist(), [], 0
+    for place, n in zip(at.tolist(), seen, strict=True):
+        if n - last >= ENDS and len(ends) - n > ENDS:
+            out.append(place)
+            last = n
+    return [*out, len(raw)], ends
 
 
 class Encoder:
-    """A tokenizer with memories of words, chunks and joins."""
+    """A tokenizer with memories of chunks (those shared over the cluster, those of this worker) and of joins."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,141 +82,174 @@ class Encoder:
         self.tokenizer.no_padding()
         self.names: dict[int, str] = {}
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str("ab cd\tef\n gh") if self.tokenizer.pre_tokenizer else []
-        #: Does white space end a token and vanish? Then a word's ids don't depend on its neighbours.
-        self.by_word = [p for p, _ in pieces] == ["ab", "cd", "ef", "gh"] and self.tokenizer.decoder is None
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.joins: dict[tuple[bytes, bytes], bool] = {}
+        #: Do tokens end where words end? Only then may a text be cut.
+        self.cuttable = len(pieces) >= 4
+        self.chunks: dict[bytes, bytes] = {}
+        self.joins: dict[tuple[bytes, bytes], tuple[bytes, bytes, bytes]] = {}
         self.held = 0
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def name(self, token: int) -> str:
-        if token not in self.names:
-            self.names[token] = self.tokenizer.id_to_token(token)
-        return self.names[token]
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 4 bytes each) of each text; one call of the library, none for an empty list."""
+        if not texts:
+            return []
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def plain(self, ids: list[int]) -> bytes:
+    def plain(self, ids: bytes) -> str:
         """The library's decode() of ids; without a decoder it joins the tokens with spaces."""
-        if self.tokenizer.decoder is None:
-            return " ".join(map(self.name, ids)).encode()
-        return self.tokenizer.decode(ids, skip_special_tokens=False).encode()
-
-    def learn(self, found: list[bytes]) -> None:
-        """Encode words not met before, in one call."""
-        if len(self.words) > MEMO:
-            self.words.clear()
-        new = list(set(found).difference(self.words))
-        for word, ids in zip(new, self.ids([w.decode() for w in new]), strict=True):
-            self.words[word] = (np.array(ids, "<u4").tobytes(), self.plain(ids))
-
-    def chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """Ids (little-endian, 4 bytes each) and decoded text of a chunk, encoded at its first sight."""
-        known = self.chunks.get(chunk)
-        if known is None:
-            if self.by_word:
-                pairs = list(map(self.words.__getitem__, chunk.split()))
-                known = b"".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs if p[0]])
-            else:
-                ids = self.ids([chunk.decode()])[0]
-                known = np.array(ids, "<u4").tobytes(), b""
-            if self.held > CHUNK_BYTES:
-                self.chunks.clear()
-                self.held = 0
-            self.chunks[chunk] = known
-            self.held += len(chunk) + len(known[0]) + len(known[1])
-        return known
-
-    def sides(self, text: bytes) -> bytes:
-        """Ids of a piece of text at a join."""
-        if self.by_word:
-            found = text.split()
-            self.learn(found)
-            return b"".join([self.words[w][0] for w in found])
-        return np.array(self.ids([text.decode()])[0], "<u4").tobytes()
-
-    def agree(self, pairs: list[tuple[bytes, bytes]]) -> list[bool]:
-        """For each pair of neighbours: are the ids of both together those of the left and then those of the right?"""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(numbers, skip_special_tokens=False)
+        for n in set(numbers).difference(self.names):
+            self.names[n] = self.tokenizer.id_to_token(n)
+        return " ".join(map(self.names.__getitem__, numbers))
+
+    def parts(self, text: bytes) -> tuple[list[int], np.ndarray]:
+        return cuts(text) if self.cuttable else ([len(text)], np.zeros(0, np.int64))
+
+    def learn(self, chunks: set[bytes], shared: dict[bytes, bytes]) -> None:
+        """Encode the chunks not met before, in one call."""
+        new = [c for c in chunks if c not in self.chunks and c not in shared]
+        if self.held > CHUNK_BYTES:
+            self.chunks = {c: self.chunks[c] for c in chunks if c in self.chunks}
+            self.held = sum(len(c) + len(i) for c, i in self.chunks.items())
+        for chunk, ids in zip(new, self.ids(new), strict=True):
+            self.chunks[chunk] = ids
+            self.held += len(chunk) + len(ids)
+
+    def learn_joins(self, pairs: set[tuple[bytes, bytes]]) -> None:
+        """Ids of the words before and after joins, and of both together."""
         if len(self.joins) > MEMO:
             self.joins.clear()
-        new = list({p for p in pairs if p not in self.joins})
-        for (a, b), both in zip(new, self.ids([(a + b).decode() for a, b in new]), strict=True):
-            self.joins[a, b] = np.array(both, "<u4").tobytes() == self.sides(a) + self.sides(b)
-        return [self.joins[p] for p in pairs]
-
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """Ids and decoded text of a whole text, put together from its chunks."""
-        ends = cuts(text).tolist()
-        parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        if self.by_word:
-            self.learn(text.split())
-        fits = self.agree([(last_words(a, 1), first_words(b, 1)) for a, b in zip(parts, parts[1:], strict=False)])
-        kept = [parts[0]]
-        for part, fit in zip(parts[1:], fits, strict=True):
-            if fit or self._joined(kept[-1], part):
-                kept.append(part)
-            else:  # they only agree as one
-                kept[-1] += part
-        found = [self.chunk(p) if len(p) < CHUNK_BYTES // 8 or self.by_word else self._whole(p) for p in kept]
-        ids = b"".join([f[0] for f in found])
-        if self.by_word:
-            return ids, b" ".join([f[1] for f in found if f[0]])
-        return ids, self.plain(np.frombuffer(ids, "<u4").tolist())
-
-    def _whole(self, text: bytes) -> tuple[bytes, bytes]:
-        return np.array(self.ids([text.decode()])[0], "<u4").tobytes(), b""
-
-    def _joined(self, left: bytes, right: bytes) -> bool:
-        """Widen what is re-encoded around a join until it agrees; False if even the whole chunks don't."""
-        n = 4
+        new = [p for p in pairs if p not in self.joins]
+        both = self.ids([x for a, b in new for x in (a, b, a + b)])
+        for k, p in enumerate(new):
+            self.joins[p] = both[3 * k], both[3 * k + 1], both[3 * k + 2]
+
+    def encode(self, texts: list[bytes], shared: dict[bytes, bytes] | None = None) -> list[bytes]:
+        """Ids of whole texts, put together from their chunks."""
+        shared, found = shared or {}, [self.parts(t) for t in texts]
+        level = [dict.fromkeys(stops[:-1], 0) for stops, _ in found]
         while True:
-            a, b = last_words(left, n), first_words(right, n)
-            if self.agree([(a, b)])[0]:
-                return True
-            if len(a) == len(left) and len(b) == len(right):
-                return False
-            n *= 4
+            around = [{c: _around(text, stops, ends, c, TRIES[level[k][c]]) for c in stops[:-1]} for k, (text, (stops, ends)) in enumerate(zip(texts, found, strict=True))]
+            self.learn({text[a:b] for text, (stops, _) in zip(texts, found, strict=True) for a, b in zip([0, *stops], stops, strict=False)}, shared)
+            self.learn_joins({p for own in around for p in own.values() if p})
+            out, again = [], []
+            for k, (text, (stops, _)) in enumerate(zip(texts, found, strict=True)):
+                chunks = [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+                ids = [shared.get(c) or self.chunks[c] for c in chunks]
+                pairs = [around[k][c] for c in stops[:-1]]
+                bad = [c for n, c in enumerate(stops[:-1]) if not self._fits(ids[n], ids[n + 1], pairs[n])]
+                again.append(bad)
+                out.append(b"" if bad else self._joined(ids, pairs))
+            if not any(again):
+                return out
+            for k, bad in enumerate(again):
+                for c in bad:
+                    level[k][c] += 1
+                    if level[k][c] == len(TRIES):  # they only agree as one
+                        found[k][0].remove(c)
+
+    def _fits(self, left: bytes, right: bytes, pair: tuple[bytes, bytes] | None) -> bool:
+        """Do the chunks' ids agree with those of the words around the join, and these with the outer words' in the joined form?"""
+        if not pair:
+            return False
+        a, b, both = self.joins[pair]
+        return bool(a and b) and left.endswith(a) and right.startswith(b) and both[:4] == a[:4] and both[-4:] == b[-4:]
+
+    def _joined(self, ids: list[bytes], pairs: list[tuple[bytes, bytes]]) -> bytes:
+        out, start = [], 0
+        for n, pair in enumerate(pairs):
+            a, b, both = self.joins[pair]
+            out += [ids[n][start : len(ids[n]) - len(a)], both]
+            start = len(b)
+        return b"".join([*out, ids[-1][start:]])
+
+
+def _around(text: bytes, stops: list[int], ends: np.ndarray, cut: int, n: int) -> tuple[bytes, bytes] | None:
+    """The text of n words before and after a cut, from word end to word end; None if that would leave its chunks or meet other joins."""
+    k = stops.index(cut)
+    before, after = int(np.searchsorted(ends, cut)) - n, int(np.searchsorted(ends, cut, "right")) + n - 1
+    low, high = (stops[k - 1] if k else 0), stops[k + 1]
+    if before < 0 or after >= len(ends):
+        return None
+    a, b = int(ends[before]), int(ends[after])
+    if k and a < _half(ends, low, cut) or k + 2 < len(stops) and b > _half(ends, cut, high) or a < low or b > high:
+        return None
+    return text[a:cut], text[cut:b]
+
+
+def _half(ends: np.ndarray, low: int, high: int) -> int:
+    """The middle one of the word ends in a chunk, so that the joins on its two sides never overlap."""
+    a, b = np.searchsorted(ends, [low, high])
+    return int(ends[(a + b) // 2])
 
 
-_WORD = re.compile(rb"\S+")
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-def last_words(text: bytes, n: int) -> bytes:
-    """The end of a text from its n-th last word on."""
-    if n == 1:
-        core = text.rstrip()
-        return text[len(core) - len(core.rsplit(None, 1)[-1]) :] if core else text
-    at = [m.start() for m in _WORD.finditer(text)]
-    return text[at[-n] :] if len(at) > n else text
+def _hash(chunk: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(chunk) - (1 << 63)
 
 
-def first_words(text: bytes, n: int) -> bytes:
-    """The start of a text up to the end of its n-th word."""
-    if n == 1:
-        core = text.lstrip()
-        return text[: len(text) - len(core) + len(core.split(None, 1)[0])] if core else text
-    at = [m.end() for m in _WORD.finditer(text)]
-    return text[: at[n - 1]] if len(at) > n else text
+def shared_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, most: int = SHARED) -> dict[bytes, bytes]:
+    """Ids of the chunks whose reuse saves most bytes over all documents, most of them at most; each is encoded once, by one job."""
 
+    def count(batches):
+        for batch in (part for big in batches for part in slices(big, 1)):
+            held: dict[int, list[int]] = {}
+            for k, text in enumerate(as_bytes(batch.column(1))):
+                stops, _ = encoder(tokenizer).parts(text)
+                if len(text) >= 64:
+                    for chunk in {text[a:b] for a, b in zip([0, *stops], stops, strict=False)}:
+                        h = _hash(chunk)
+                        if h in held:
+                            held[h][1] += 1
+                        elif len(chunk) <= SHARED_BYTES:
+                            held[h] = [k, 1, len(chunk)]
+            own = list(held.values())
+            columns = [pa.array(list(held), pa.int64()), batch.column(0).take(pa.array([x[0] for x in own], pa.int32())), *(pa.array([x[k] for x in own], pa.int64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "i", "n", "size"])
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    seen = rows.mapInArrow(count, f"h long, i {kind}, n long, size long").groupBy("h").agg(F.min("i").alias("i"), F.sum("n").alias("n"), F.max("size").alias("size"))
+    top = seen.where("n > 1 AND i IS NOT NULL").orderBy(F.desc(F.expr("(n - 1) * size")), "h").limit(most).select("h", "i").collect()
+    if not top:
+        return {}
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in {r["i"] for r in top}], f"i {kind}")
+    hashes = {r["h"] for r in top}
+
+    def find(batches):
+        for batch in (part for big in batches for part in slices(big, 0)):
+            chunks = set()
+            for text in as_bytes(batch.column(0)):
+                stops, _ = encoder(tokenizer).parts(text)
+                chunks.update(c for a, b in zip([0, *stops], stops, strict=False) if _hash(c := text[a:b]) in hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.binary())], names=["chunk"])
+
+    def encode(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder(tokenizer).ids(batch.column(0).to_pylist()), pa.binary())], names=["chunk", "ids"])
 
+    some = rows.join(F.broadcast(wanted), "i", "left_semi").select("t").mapInArrow(find, "chunk binary").distinct()
+    return {bytes(r["chunk"]): bytes(r["ids"]) for r in some.mapInArrow(encode, "chunk binary, ids binary").collect()}  # SHARED of SHARED_BYTES at most
 
-def _rows(path: str, id_col: str, give):
-    """A function for mapInArrow: give(ids, decoded) is the tuple of a text's values, of the types given beside it."""
-    make, kinds, names = give
+
+def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, make, kinds: list, schema: str) -> DataFrame:
+    """Rows of id and make(ids, decoded text), of the Arrow types kinds."""
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, tokenizer, id_col, text_col))
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, *[x.split()[0] for x in schema.split(", ")]]
 
     def run(batches):
-        bpe = encoder(path)
-        for batch in batches:
-            out = [make(*bpe.encode(text)) for text in as_bytes(batch.column(1))]
-            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *names])
+        bpe = encoder(tokenizer)
+        for batch in (part for big in batches for part in slices(big, 1, 1_000_000)):
+            out = [make(ids, bpe.plain(ids)) for ids in bpe.encode(as_bytes(batch.column(1)), shared.value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=names)
 
-    return run
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,16 +257,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     tokenizer is the path of a tokenizers file. A null text counts as empty: no ids, decoded is "".
     Repeated rows are encoded each (from the same chunks). Other columns are not read, whatever their
-    names. An empty table gives an empty result. Texts are never truncated.
+    names. An empty table gives an empty result. Texts are never truncated; what has no white space is one
+    chunk. A tokenizer that doesn't split at white space encodes texts whole.
     """
-    give = (lambda ids, text: (np.frombuffer(ids, "<i4"), text.decode())), [pa.list_(pa.int32()), pa.string()], ["ids", "decoded"]
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_rows(tokenizer, id_col, give), f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return _encoded(docs, tokenizer, id_col, text_col, lambda ids, text: (np.frombuffer(ids, "<i4"), text), [pa.list_(pa.int32()), pa.string()], "ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode_decode(), but with n_tokens and SHA-256 of ids (little-endian, 4 bytes each) and decoded text in place of both, so ids never leave the worker."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    give = (lambda ids, text: (len(ids) // 4, sha(ids), sha(text))), [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"]
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_rows(tokenizer, id_col, give), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    make = lambda ids, text: (len(ids) // 4, sha(ids), sha(text.encode()))
+    return _encoded(docs, tokenizer, id_col, text_col, make, [pa.int64(), pa.string(), pa.string()], "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -144,12 +144,35 @@ def test_bpe_equals_the_library(spark, docs, rows, file):
     assert sha == {i: (len(r["ids"]), hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()) for i, r in got.items()}
 
 
-def test_bpe_repairs_joins_that_disagree():
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_repairs_joins_that_disagree(monkeypatch, file):
+    rng = random.Random(3)
+    monkeypatch.setattr(bpe.cuts, "__defaults__", (64,))
+    texts = [" ".join("".join(rng.choices("abcdefgéñ'", k=rng.randint(1, 12))) + rng.choice(["", ",", "  \n", "\t ", "<|endoftext|>"]) for _ in range(600)).encode() for _ in range(5)]
+    e = bpe.Encoder(public_tokenizers.path(file))
+    want = e.ids(texts)
+    parts = [[t[a:b] for a, b in zip([0, *s], s, strict=False)] for t in texts for s in [bpe.cuts(t)[0]]]
+    assert min(map(len, parts)) > 10 and all(b"".join(e.ids(p)) != w for p, w in zip(parts, want, strict=True))  # joins do differ
+    assert e.encode(texts) == want
+    assert e.encode(texts, dict.fromkeys([]) | {p[1]: e.ids([p[1]])[0] for p in parts}) == want
+    fits, asked = bpe.Encoder._fits, []
+
+    def refuse(self, left, right, pair):
+        asked.append(pair)
+        return pair is not None and len(asked) % 3 == 0 and fits(self, left, right, pair)
+
+    monkeypatch.setattr(bpe.Encoder, "_fits", refuse)  # more words, and at last whole chunks, are taken
+    assert e.encode(texts) == want
+
+
+def test_bpe_shares_repeated_chunks(spark):
+    rng = random.Random(5)
+    passage = " ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(1500))
+    docs = frame(spark, [(k, f"own{k} start {passage} and own{k} end") for k in range(20)] + [(50, None), (51, "short"), (None, passage)])
+    shared = bpe.shared_chunks(docs, BPE, "doc_id", "text")
     e = bpe.Encoder(BPE)
-    e.agree = lambda pairs: [False] * len(pairs)
-    text = ("some words to cut into chunks of text " * 80).encode()
-    assert len(bpe.cuts(text)) > 1 or len(set(text.split())) < 16
-    assert e.encode(text)[0] == bpe.Encoder(BPE).encode(text)[0]
+    assert len(shared) >= 5 and all(e.ids([c]) == [i] and c.decode() in passage for c, i in shared.items())
+    assert len(bpe.shared_chunks(docs, BPE, "doc_id", "text", most=2)) == 2
 
 
 def test_token_counts_equal_greedy_matching(docs, rows):
