@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexmine.llm.common import as_bytes, slices
 
 #: One character in so many ends a chunk (a power of 2); words that end in a chunk at least; words taken on either side of a join at the first and second try.
-EVERY, ENDS, TRIES = 1024, 6, (2, 8)
+EVERY, ENDS, TRIES = 2048, 6, (2, 8)
 #: Chunks shared over the cluster at most and bytes of each at most; bytes of chunks and number of joins that a worker remembers at most.
 SHARED, SHARED_BYTES, CHUNK_BYTES, MEMO = 4096, 8192, 48_000_000, 200_000
 
@@ -80,7 +80,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names: dict[int, str] = {}
+        self.names = [self.tokenizer.id_to_token(k) or "" for k in range(max(self.tokenizer.get_vocab(True).values()) + 1)]
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str("ab cd\tef\n gh") if self.tokenizer.pre_tokenizer else []
         #: Do tokens end where words end? Only then may a text be cut.
         self.cuttable = len(pieces) >= 4
@@ -99,8 +99,6 @@ class Encoder:
         numbers = np.frombuffer(ids, "<u4").tolist()
         if self.tokenizer.decoder is not None:
             return self.tokenizer.decode(numbers, skip_special_tokens=False)
-        for n in set(numbers).difference(self.names):
-            self.names[n] = self.tokenizer.id_to_token(n)
         return " ".join(map(self.names.__getitem__, numbers))
 
     def parts(self, text: bytes) -> tuple[list[int], np.ndarray]:
@@ -130,14 +128,14 @@ class Encoder:
         shared, found = shared or {}, [self.parts(t) for t in texts]
         level = [dict.fromkeys(stops[:-1], 0) for stops, _ in found]
         while True:
-            around = [{c: _around(text, stops, ends, c, TRIES[level[k][c]]) for c in stops[:-1]} for k, (text, (stops, ends)) in enumerate(zip(texts, found, strict=True))]
+            around = [_around(text, stops, ends, [TRIES[level[k][c]] for c in stops[:-1]]) for k, (text, (stops, ends)) in enumerate(zip(texts, found, strict=True))]
             self.learn({text[a:b] for text, (stops, _) in zip(texts, found, strict=True) for a, b in zip([0, *stops], stops, strict=False)}, shared)
-            self.learn_joins({p for own in around for p in own.values() if p})
+            self.learn_joins({p for own in around for p in own if p})
             out, again = [], []
             for k, (text, (stops, _)) in enumerate(zip(texts, found, strict=True)):
                 chunks = [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
                 ids = [shared.get(c) or self.chunks[c] for c in chunks]
-                pairs = [around[k][c] for c in stops[:-1]]
+                pairs = around[k]
                 bad = [c for n, c in enumerate(stops[:-1]) if not self._fits(ids[n], ids[n + 1], pairs[n])]
                 again.append(bad)
                 out.append(b"" if bad else self._joined(ids, pairs))
@@ -165,23 +163,24 @@ class Encoder:
         return b"".join([*out, ids[-1][start:]])
 
 
-def _around(text: bytes, stops: list[int], ends: np.ndarray, cut: int, n: int) -> tuple[bytes, bytes] | None:
-    """The text of n words before and after a cut, from word end to word end; None if that would leave its chunks or meet other joins."""
-    k = stops.index(cut)
-    before, after = int(np.searchsorted(ends, cut)) - n, int(np.searchsorted(ends, cut, "right")) + n - 1
-    low, high = (stops[k - 1] if k else 0), stops[k + 1]
-    if before < 0 or after >= len(ends):
-        return None
-    a, b = int(ends[before]), int(ends[after])
-    if k and a < _half(ends, low, cut) or k + 2 < len(stops) and b > _half(ends, cut, high) or a < low or b > high:
-        return None
-    return text[a:cut], text[cut:b]
-
-
-def _half(ends: np.ndarray, low: int, high: int) -> int:
-    """The middle one of the word ends in a chunk, so that the joins on its two sides never overlap."""
-    a, b = np.searchsorted(ends, [low, high])
-    return int(ends[(a + b) // 2])
+def _around(text: bytes, stops: list[int], ends: np.ndarray, tries: list[int]) -> list[tuple[bytes, bytes] | None]:
+    """For each cut, the text of so many words before and after it, from word end to word end; None if that would leave its chunks or meet other joins."""
+    cuts_, n = np.array(stops[:-1], np.int64), np.array(tries, np.int64)
+    if not len(cuts_):
+        return []
+    before, after = np.searchsorted(ends, cuts_) - n, np.searchsorted(ends, cuts_, "right") + n - 1
+    low, high = np.r_[0, cuts_[:-1]], np.array(stops[1:], np.int64)
+    inside = (before >= 0) & (after < len(ends))
+    a, b = ends[np.maximum(before, 0)], ends[np.minimum(after, len(ends) - 1)]
+    left, right = _middle(ends, low, cuts_), _middle(ends, cuts_, high)  # joins on both sides of a chunk never overlap
+    left[0], right[-1] = low[0], high[-1]
+    inside &= (a >= left) & (b <= right)
+    return [(text[x:c], text[c:y]) if ok else None for x, c, y, ok in zip(a.tolist(), stops, b.tolist(), inside.tolist(), strict=False)]
+
+
+def _middle(ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The middle ones of the word ends between two places."""
+    return ends[(np.searchsorted(ends, low) + np.searchsorted(ends, high)) // 2]
 
 
 @functools.lru_cache(maxsize=2)

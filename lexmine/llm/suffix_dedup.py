@@ -1,12 +1,20 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
 Only suffixes at minimiser positions are kept: places whose run of SEED words has the smallest hash in
-some WINDOW runs beside each other. Equal passages choose equal places, and a passage of LEAST words has
-several. Suffixes whose seed occurs once are dropped by a Bloom filter of fixed size. The rest are
-range-partitioned and sorted by seed and following words, so a suffix lies beside those that agree with
-it longest; a suffix is compared with its nearest neighbours of another document, and matches are
-extended right and left by the words around. Since the sort also goes by document and place, equal
-suffixes of a very common passage spread over many partitions.
+some WINDOW runs beside each other. Equal passages choose equal places: a passage of LEAST words has one
+among its first WINDOW words, whose suffix goes on for LEAST - WINDOW + 1 words (the key) at least.
+
+1. Suffixes whose key occurs once are dropped by a Bloom filter of fixed size.
+2. The rest are range-partitioned and sorted by key and following words, so a suffix lies beside those
+   that agree with it longest to the right. It is compared with its nearest neighbours of another
+   document before and after, and matches are extended left and right by the words around.
+3. The nearest to the right need not agree most to the left, and some neighbours lie in another partition.
+   So the windows of LEAST words around a suffix that its neighbours' agreement to the right allows, but
+   that no match covers, are looked up exactly: their hashes make a second Bloom filter, every
+   suffix's windows that it passes are grouped by hash, and those of two documents are matches too.
+
+The sort also goes by document and place and the grouping combines before it shuffles, so a very
+common passage spreads over many partitions.
 """
 
 from __future__ import annotations
@@ -16,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import Texts, as_bytes, checkpoint, partitions, slices
+from lexmine.llm.common import Texts, as_bytes, checkpoint, mix, partitions, slices, window_hashes
 
 #: Words of a seed, seeds beside each other of which the smallest is kept, words that a repeated passage has at least.
 SEED, WINDOW, LEAST = 12, 20, 50
-#: The Bloom filter's blocks and bits in a block (16 MB in all); bytes of text for each sorted partition.
+#: The Bloom filters' blocks and bits in a block (16 MB each in all); bytes of text for each sorted partition.
 BLOCKS, BITS, PART_BYTES = 1 << 16, 2048, 32_000_000
 
 
@@ -38,27 +46,48 @@ def minimisers(hashes: np.ndarray, at: np.ndarray, text: np.ndarray, window: int
 
 
 class _Suffixes:
-    """The minimiser suffixes of some texts: seed, text and place, with words before and after as 2-byte hashes (0 past the text's ends)."""
+    """The minimiser suffixes of some texts that go on for key words: key, text and place."""
 
     def __init__(self, texts: list[bytes], seed: int, window: int, least: int):
         self.made = t = Texts(texts)
         text = np.repeat(np.arange(len(texts)), t.n_words)
         hashes, at = t.windows(seed)
-        keep = minimisers(hashes, at, text, window)
-        self.seed, self.at = hashes[keep], at[keep]
-        self.text = text[self.at] if len(self.at) else np.zeros(0, np.int64)
-        self.reach, self.width = least - seed, seed
+        at = at[minimisers(hashes, at, text, window)]
+        self.least, self.width, self.reach = least, least - window + 1, window - 1
+        at = at[at + self.width <= t.first[text[at] + 1]] if len(at) else np.zeros(0, np.int64)
+        whole = window_hashes(t.hash, self.width, 0xE7037ED1A0B428DB)
+        self.at, self.key = at, whole[at] if len(at) else np.zeros(0, np.uint64)
+        self.text = text[at] if len(at) else np.zeros(0, np.int64)
 
     def around(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words after the seed, and words before it (nearest first), of the chosen suffixes."""
+        """Words after the key, and words before it (nearest first), of the chosen suffixes, as 4-byte hashes (0 past the text's ends)."""
         t, n = self.made, self.reach
-        small = np.maximum((t.hash >> np.uint64(48)).astype(np.uint16), 1)
+        small = np.maximum((t.hash >> np.uint64(32)).astype(np.uint32), 1)
         lo, hi = t.first[self.text[chosen]], t.first[self.text[chosen] + 1]
         after = self.at[chosen][:, None] + self.width + np.arange(n)
         before = self.at[chosen][:, None] - 1 - np.arange(n)
         right = np.where(after < hi[:, None], small[np.minimum(after, len(small) - 1)], 0)
         left = np.where(before >= lo[:, None], small[np.maximum(before, 0)], 0)
-        return right.astype(">u2"), left.astype(">u2")
+        return right.astype(">u4"), left.astype(">u4")
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the windows of least words that hold a chosen suffix's key: its number in chosen, the window's hash and its first word's place."""
+        start = self.at[chosen][:, None] - np.arange(self.reach + 1)
+        lo, hi = self.made.first[self.text[chosen]], self.made.first[self.text[chosen] + 1]
+        own, back = np.nonzero((start >= lo[:, None]) & (start + self.least <= hi[:, None]))
+        start = start[own, back]
+        right, left = self.around(chosen)
+        return own, _window_hashes(self.key[chosen], right, left)[own, back], start
+
+
+def _window_hashes(key: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that start 0, 1, .. words before each suffix: of the key, of so many words left, and of as many fewer right."""
+    n = right.shape[1]
+    after, before = np.zeros((len(key), n + 1), np.uint64), np.zeros((len(key), n + 1), np.uint64)
+    for k in range(n):
+        after[:, k + 1] = after[:, k] * np.uint64(0xA0761D6478BD642F) + right[:, k].astype(np.uint64)
+        before[:, k + 1] = before[:, k] * np.uint64(0xD1342543DE82EF95) + left[:, k].astype(np.uint64)
+    return mix(mix(key[:, None] + mix(after[:, ::-1])) + mix(before + np.uint64(1)))
 
 
 def _blob(rows: np.ndarray) -> pa.Array:
@@ -67,29 +96,29 @@ def _blob(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(data), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def _bloom_places(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block and two bits in it of each seed."""
-    return (seeds >> np.uint64(48)).astype(np.int64), ((seeds >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), (seeds % np.uint64(BITS)).astype(np.int64)
+def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block and two bits in it of each key."""
+    return (keys >> np.uint64(48)).astype(np.int64), ((keys >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), (keys % np.uint64(BITS)).astype(np.int64)
 
 
-def _repeated(suffixes: DataFrame) -> np.ndarray:
-    """Bloom filter (a row of bits for each block) of the seeds that occur twice or more."""
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """Bloom filter (a row of bits for each block) of distinct keys (key long)."""
 
     def fill(table: pa.Table) -> pa.Table:
-        block, a, b = _bloom_places(table.column("seed").to_numpy().view(np.uint64))
+        block, a, b = _bloom_places(table.column("key").to_numpy().view(np.uint64))
         bits = np.zeros(BITS, np.uint8)
         bits[a] = bits[b] = 1
         return pa.table({"block": pa.array([int(block[0])], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    twice = suffixes.groupBy("seed").count().where("count > 1").select("seed", F.shiftrightunsigned("seed", 48).cast("int").alias("block"))
     out = np.zeros((BLOCKS, BITS // 8), np.uint8)
-    for r in twice.groupBy("block").applyInArrow(fill, "block int, bits binary").collect():  # BLOCKS rows of BITS / 8 bytes at most
+    blocks = keys.select("key", F.shiftrightunsigned("key", 48).cast("int").alias("block")).groupBy("block").applyInArrow(fill, "block int, bits binary")
+    for r in blocks.collect():  # BLOCKS rows of BITS / 8 bytes at most
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _in(bloom: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    block, a, b = _bloom_places(seeds)
+def _in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    block, a, b = _bloom_places(keys)
     bit = lambda k: (bloom[block, k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1
     return (bit(a) & bit(b)).astype(bool)
 
@@ -100,83 +129,105 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _neighbours(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted suffixes: the nearest one before and after with another document and the same seed, or -1."""
-    n = len(seed)
+def _neighbours(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted suffixes: the nearest one before and after with another document and the same key; -1 if there is none, -2 if another partition may have it."""
+    n = len(key)
     new = np.ones(n + 1, bool)
-    new[1:n] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
+    new[1:n] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     edge = np.flatnonzero(new)
     run = np.cumsum(new[:n]) - 1
     before, after = edge[run] - 1, edge[run + 1]
-    before = np.where((before >= 0) & (seed[np.maximum(before, 0)] == seed), before, -1)
-    after = np.where((after < n) & (seed[np.minimum(after, n - 1)] == seed), after, -1)
+    before = np.where(before < 0, -2, np.where(key[np.maximum(before, 0)] == key, before, -1))
+    after = np.where(after >= n, -2, np.where(key[np.minimum(after, n - 1)] == key, after, -1))
     return before, after
 
 
-def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """A row for each document with a passage of least words or more that another document has too: id,
-    n_repeated (words in such passages), spans (array of first word and word after the last), match_id (the smallest
-    document it was matched with).
+    n_repeated (words in such passages), spans (array of first word and word after the last; all such passages), match_id (the
+    smallest of the documents it was compared with that have one of them).
 
     Words end at ASCII white space and are compared as they are. Documents without such a passage, null
     and short texts have no row. Rows equal in id are one document, as are all rows with a null id, so
     what repeats only inside them isn't reported; rows equal in id add up their spans. Other columns are
-    not read. An empty table gives an empty result. Words around a seed are compared by 2-byte hashes.
+    not read. An empty table gives an empty result. least is seed + window - 1 at least. Words are compared by
+    hashes of 32 bits or more.
     """
+    if least < seed + window - 1:
+        raise ValueError("least is shorter than the words in which a minimiser is sure")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), -(-total // PART_BYTES))
+    n = max(partitions(docs.sparkSession), -(-total // part_bytes))
+    reach, width = window - 1, least - window + 1
+    context = docs.sparkSession.sparkContext
 
-    def seeds(batches):
+    def keys(batches):
         for batch in (part for big in batches for part in slices(big, 0)):
             s = _Suffixes(as_bytes(batch.column(0)), seed, window, least)
-            yield pa.RecordBatch.from_arrays([pa.array(s.seed.view(np.int64))], names=["seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64))], names=["key"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(_repeated(rows.select("text").mapInArrow(seeds, "seed long")))
+    shared = context.broadcast(_bloom(rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")))
 
     def suffixes(batches):
         for batch in (part for big in batches for part in slices(big, 1)):
             s = _Suffixes(as_bytes(batch.column(1)), seed, window, least)
-            chosen = np.flatnonzero(_in(shared.value, s.seed))
+            chosen = np.flatnonzero(_in(shared.value, s.key))
             right, left = s.around(chosen)
             place = s.at[chosen] - s.made.first[s.text[chosen]]
-            yield pa.RecordBatch.from_arrays([pa.array(s.seed[chosen].view(np.int64)), _blob(right), _blob(left), batch.column(0).take(pa.array(s.text[chosen])), pa.array(place, pa.int64())], names=["seed", "right", "left", "id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.key[chosen].view(np.int64)), _blob(right), _blob(left), batch.column(0).take(pa.array(s.text[chosen])), pa.array(place, pa.int64())], names=["key", "right", "left", "id", "place"])
 
-    order = ["seed", "right", "left", "id", "place"]
-    ranged = rows.mapInArrow(suffixes, f"seed long, right binary, left binary, id {kind}, place long").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    reach = least - seed
+    order = ["key", "right", "left", "id", "place"]
+    ranged = rows.mapInArrow(suffixes, f"key long, right binary, left binary, id {kind}, place long").repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def compare(batches):
         found = [b for b in batches if b.num_rows]
         if not found:
             return
         table = pa.Table.from_batches(found)
-        words = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), ">u2").reshape(-1, reach)
-        key, right, left, place = table.column("seed").to_numpy(), words("right"), words("left"), table.column("place").to_numpy()
-        ids = table.column("id").combine_chunks().dictionary_encode()
-        doc = np.asarray(ids.indices.fill_null(-1))
-        out = []
+        words = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), ">u4").reshape(-1, reach)
+        key, right, left, place = table.column("key").to_numpy(), words("right"), words("left"), table.column("place").to_numpy()
+        column = table.column("id").combine_chunks()
+        doc = np.asarray(column.dictionary_encode().indices.fill_null(-1))
+        out, covered, most = [], np.zeros((len(key), reach + 1), bool), np.zeros(len(key), np.int64)
+        back = np.arange(reach + 1)
         for near in _neighbours(key, doc):
             has = np.flatnonzero(near >= 0)
             r, l = _same(right[has], right[near[has]]), _same(left[has], left[near[has]])
-            good = l + seed + r >= least
-            out.append((has[good], near[has][good], place[has][good] - l[good], place[has][good] + seed + r[good]))
+            most[has] = np.maximum(most[has], r)
+            most[near == -2] = reach
+            covered[has] |= (back <= l[:, None]) & (back >= (reach - r)[:, None])
+            good = l + width + r >= least
+            out.append((has[good], near[has][good], place[has][good] - l[good], place[has][good] + width + r[good]))
         own, other, start, end = (np.concatenate([x[k] for x in out]) for k in range(4))
-        ends = np.array([0, table.num_rows - 1])
-        column = table.column("id").combine_chunks()
-        yield pa.RecordBatch.from_arrays(
-            [column.take(pa.array(np.append(own, ends))), column.take(pa.array(np.append(other, ends))), pa.array(np.append(start, place[ends])), pa.array(np.append(end, [-1, -2])), pa.array(np.append(key[own], key[ends])),
-             _blob(np.concatenate([np.zeros((len(own), reach), ">u2"), right[ends]])), _blob(np.concatenate([np.zeros((len(own), reach), ">u2"), left[ends]]))],
-            names=["id", "other", "start", "end", "seed", "right", "left"],
-        )
-
-    made = checkpoint(ranged.mapInArrow(compare, f"id {kind}, other {kind}, start long, end long, seed long, right binary, left binary"))
-    edges = made.where("end < 0").select("id", "start", "end", "seed", "right", "left").collect()  # two rows a partition
-    joined = _across(edges, seed, least)
-    found = made.where("end >= 0").select("id", "other", "start", "end")
-    if joined:
-        found = found.unionByName(docs.sparkSession.createDataFrame(joined, f"id {kind}, other {kind}, start long, end long"))
+        have_left, have_right = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
+        open_ = ~covered & (back >= (reach - np.minimum(most, have_right))[:, None]) & (back <= have_left[:, None])
+        row, col = np.nonzero(open_)
+        hashes = np.unique(_window_hashes(key[row].view(np.uint64), right[row], left[row])[np.arange(len(row)), col]) if len(row) else np.zeros(0, np.uint64)
+        none = pa.nulls(len(hashes), column.type)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([column.take(pa.array(own)), none]), pa.concat_arrays([column.take(pa.array(other)), none]), pa.array(np.append(start, hashes.view(np.int64))), pa.array(np.append(end, np.full(len(hashes), -1)))], names=["id", "other", "start", "end"])
+
+    made = checkpoint(ranged.mapInArrow(compare, f"id {kind}, other {kind}, start long, end long"))
+    found = made.where("end >= 0")
+    looked_up = made.where("end < 0").select(F.col("start").alias("key")).distinct()
+    second = context.broadcast(_bloom(looked_up))
+
+    def windows(batches):
+        for batch in (part for big in batches for part in slices(big, 1)):
+            s = _Suffixes(as_bytes(batch.column(1)), seed, window, least)
+            own, hashes, start = s.windows(np.flatnonzero(_in(shared.value, s.key)))
+            chosen = np.flatnonzero(_in(shared.value, s.key))[own]
+            hit = np.flatnonzero(_in(second.value, hashes))
+            _, first = np.unique(np.stack([hashes[hit], start[hit].astype(np.uint64)]), axis=1, return_index=True)
+            hit = hit[first]
+            place = start[hit] - s.made.first[s.text[chosen[hit]]]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), batch.column(0).take(pa.array(s.text[chosen[hit]])), pa.array(place, pa.int64())], names=["key", "id", "start"])
+
+    if not looked_up.isEmpty():
+        hits = rows.mapInArrow(windows, f"key long, id {kind}, start long")
+        twice = hits.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).where("low <> high OR (nulls > 0 AND low IS NOT NULL)")
+        other = F.when(F.col("id").eqNullSafe(F.col("low")), F.when(F.col("low") != F.col("high"), F.col("high"))).otherwise(F.col("low"))
+        found = found.unionByName(hits.join(twice, "key").select("id", other.alias("other"), "start", (F.col("start") + least).alias("end")))
 
     def unite(batches):
         for batch in batches:
@@ -194,19 +245,3 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int =
 
     by_doc = found.groupBy("id").agg(F.min("other").alias("other"), F.collect_set(F.struct("start", "end")).alias("all"))
     return by_doc.mapInArrow(unite, f"`{id_col}` {kind}, n_repeated long, spans array<struct<start:bigint,end:bigint>>, match_id {kind}")
-
-
-def _across(edges: list, seed: int, least: int) -> list[tuple]:
-    """Matches between the last suffix of a partition and the first of the next one."""
-    firsts = {(r["seed"], bytes(r["right"]), bytes(r["left"]), r["start"], r["id"]): r for r in edges if r["end"] == -1}
-    lasts = {(r["seed"], bytes(r["right"]), bytes(r["left"]), r["start"], r["id"]): r for r in edges if r["end"] == -2}
-    key = lambda r: (r["seed"], bytes(r["right"]), bytes(r["left"]), r["id"] is not None, r["id"] or 0, r["start"])
-    line = sorted([*((key(r), 0, r) for r in firsts.values()), *((key(r), 1, r) for r in lasts.values())], key=lambda x: x[:2])
-    out = []
-    for (_, _, a), (_, _, b) in zip(line, line[1:], strict=False):
-        if a["end"] == -2 and b["end"] == -1 and a["seed"] == b["seed"] and a["id"] != b["id"]:
-            words = lambda r, side: np.frombuffer(bytes(r[side]), ">u2")[None]
-            r, l = int(_same(words(a, "right"), words(b, "right"))[0]), int(_same(words(a, "left"), words(b, "left"))[0])
-            if l + seed + r >= least:
-                out += [(x["id"], y["id"], x["start"] - l, x["start"] + seed + r) for x, y in ((a, b), (b, a))]
-    return out

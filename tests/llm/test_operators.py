@@ -393,7 +393,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {**dict.fromkeys(range(1, 51), 0), **dict.fromkeys(range(1001, 1041), 1000)}
 
 
-def test_repeats_equal_plain_version(spark, docs, rows):
+def plain_repeats(rows):
     grams, cover = defaultdict(set), {}
     for i, t in rows:
         w = words_of(t)
@@ -404,8 +404,38 @@ def test_repeats_equal_plain_version(spark, docs, rows):
         own = {k for p in range(len(w) - 49) if len(grams[b" ".join(w[p : p + 50])]) > 1 for k in range(p, p + 50)}
         if own:
             cover[i] = own
-    got = {r["doc_id"]: {k for s in r["spans"] for k in range(s["start"], s["end"])} for r in suffix_dedup.repeats(docs).collect()}
-    assert got == cover and cover
+    return cover
+
+
+def repeats_of(docs, **settings):
+    return {r["doc_id"]: {k for s in r["spans"] for k in range(s["start"], s["end"])} for r in suffix_dedup.repeats(docs, **settings).collect()}
+
+
+def test_repeats_equal_plain_version(docs, rows):
+    cover = plain_repeats(rows)
+    assert repeats_of(docs) == cover and cover
+
+
+@pytest.mark.parametrize("part_bytes", [1_500, 32_000_000])
+def test_repeats_are_found_among_decoys(spark, part_bytes):
+    """Passages of just 50 words whose seeds other documents share with more words to one side, but too few in all."""
+    rng = random.Random(part_bytes)
+    say = lambda k: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(k)]
+    texts = []
+    for _ in range(8):
+        passage, after, before = say(50), say(30), say(30)
+        texts += [before + passage + after, say(30) + passage + say(30), say(rng.randint(0, 9)) + passage]
+        for _ in range(12):  # to the right they agree with the first document longer than the second does
+            k = rng.randint(8, 40)
+            texts.append(say(rng.randint(0, 20)) + (passage + after)[k : k + 49] + say(rng.randint(0, 20)))
+        for _ in range(6):
+            k = rng.randint(8, 30)
+            texts.append(say(9) + (before + passage)[-k - 20 : -k] + passage[: 49 - 20] + say(20))
+    texts += [texts[0]] * 3
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = plain_repeats(rows)
+    assert repeats_of(frame(spark, rows), part_bytes=part_bytes) == want and len(want) >= 24
 
 
 def test_toxicity_on_held_out_documents(spark):
