@@ -167,7 +167,7 @@ def test_bpe_repairs_joins_that_disagree(monkeypatch, file):
 
 def test_bpe_shares_repeated_chunks(spark):
     rng = random.Random(5)
-    passage = " ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(1500))
+    passage = " ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(6000))
     docs = frame(spark, [(k, f"own{k} start {passage} and own{k} end") for k in range(20)] + [(50, None), (51, "short"), (None, passage)])
     shared = bpe.shared_chunks(docs, BPE, "doc_id", "text")
     e = bpe.Encoder(BPE)
