@@ -8,12 +8,12 @@ among its first WINDOW words, whose suffix goes on for LEAST - WINDOW + 1 words
 2. The rest are range-partitioned and sorted by key and following words, so a suffix lies beside those
    that agree with it longest to the right. It is compared with its nearest neighbours of another
    document before and after, and matches are extended left and right by the words around.
-3. The nearest to the right need not agree most to the left, and some neighbours lie in another partition.
-   So the windows of LEAST words around a suffix that its neighbours' agreement to the right allows, but
-   that no match covers, are looked up exactly: their hashes make a second Bloom filter, every
-   suffix's windows that it passes are grouped by hash, and those of two documents are matches too.
+3. The nearest to the right need not agree most to the left. So windows of LEAST words around a suffix that the
+   farthest agreement to the right and to the left allow, but that no match covers, are left open. The
+   suffixes with the same key send their hashes of such windows, and those of two documents are matches
+   too. Where a key's suffixes may go on in another partition, all their windows are sent.
 
-The sort also goes by document and place and the grouping combines before it shuffles, so a very
+The sort also goes by document and place and the last grouping combines before it shuffles, so a very
 common passage spreads over many partitions.
 """
 
@@ -28,7 +28,7 @@ from lexmine.llm.common import Texts, as_bytes, checkpoint, mix, partitions, sli
 
 #: Words of a seed, seeds beside each other of which the smallest is kept, words that a repeated passage has at least.
 SEED, WINDOW, LEAST = 12, 20, 50
-#: The Bloom filters' blocks and bits in a block (16 MB each in all); bytes of text for each sorted partition.
+#: The Bloom filter's blocks and bits in a block (16 MB in all); bytes of text for each sorted partition.
 BLOCKS, BITS, PART_BYTES = 1 << 16, 2048, 32_000_000
 
 
@@ -70,15 +70,6 @@ class _Suffixes:
         left = np.where(before >= lo[:, None], small[np.maximum(before, 0)], 0)
         return right.astype(">u4"), left.astype(">u4")
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the windows of least words that hold a chosen suffix's key: its number in chosen, the window's hash and its first word's place."""
-        start = self.at[chosen][:, None] - np.arange(self.reach + 1)
-        lo, hi = self.made.first[self.text[chosen]], self.made.first[self.text[chosen] + 1]
-        own, back = np.nonzero((start >= lo[:, None]) & (start + self.least <= hi[:, None]))
-        start = start[own, back]
-        right, left = self.around(chosen)
-        return own, _window_hashes(self.key[chosen], right, left)[own, back], start
-
 
 def _window_hashes(key: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Hashes of the windows that start 0, 1, .. words before each suffix: of the key, of so many words left, and of as many fewer right."""
@@ -130,15 +121,15 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted suffixes: the nearest one before and after with another document and the same key; -1 if there is none, -2 if another partition may have it."""
+    """Of sorted suffixes: the nearest one before and after with another document and the same key, or -1."""
     n = len(key)
     new = np.ones(n + 1, bool)
     new[1:n] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     edge = np.flatnonzero(new)
     run = np.cumsum(new[:n]) - 1
     before, after = edge[run] - 1, edge[run + 1]
-    before = np.where(before < 0, -2, np.where(key[np.maximum(before, 0)] == key, before, -1))
-    after = np.where(after >= n, -2, np.where(key[np.minimum(after, n - 1)] == key, after, -1))
+    before = np.where((before >= 0) & (key[np.maximum(before, 0)] == key), before, -1)
+    after = np.where((after < n) & (key[np.minimum(after, n - 1)] == key), after, -1)
     return before, after
 
 
@@ -160,14 +151,13 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int =
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(docs.sparkSession), -(-total // part_bytes))
     reach, width = window - 1, least - window + 1
-    context = docs.sparkSession.sparkContext
 
     def keys(batches):
         for batch in (part for big in batches for part in slices(big, 0)):
             s = _Suffixes(as_bytes(batch.column(0)), seed, window, least)
             yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64))], names=["key"])
 
-    shared = context.broadcast(_bloom(rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")))
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")))
 
     def suffixes(batches):
         for batch in (part for big in batches for part in slices(big, 1)):
@@ -189,45 +179,35 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int =
         key, right, left, place = table.column("key").to_numpy(), words("right"), words("left"), table.column("place").to_numpy()
         column = table.column("id").combine_chunks()
         doc = np.asarray(column.dictionary_encode().indices.fill_null(-1))
-        out, covered, most = [], np.zeros((len(key), reach + 1), bool), np.zeros(len(key), np.int64)
-        back = np.arange(reach + 1)
+        out, covered, back = [], np.zeros((len(key), reach + 1), bool), np.arange(reach + 1)
+        most = {"right": np.zeros(len(key), np.int64), "left": np.zeros(len(key), np.int64)}
         for near in _neighbours(key, doc):
             has = np.flatnonzero(near >= 0)
             r, l = _same(right[has], right[near[has]]), _same(left[has], left[near[has]])
-            most[has] = np.maximum(most[has], r)
-            most[near == -2] = reach
+            most["right"][has] = np.maximum(most["right"][has], r)
             covered[has] |= (back <= l[:, None]) & (back >= (reach - r)[:, None])
             good = l + width + r >= least
             out.append((has[good], near[has][good], place[has][good] - l[good], place[has][good] + width + r[good]))
         own, other, start, end = (np.concatenate([x[k] for x in out]) for k in range(4))
-        have_left, have_right = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
-        open_ = ~covered & (back >= (reach - np.minimum(most, have_right))[:, None]) & (back <= have_left[:, None])
-        row, col = np.nonzero(open_)
-        hashes = np.unique(_window_hashes(key[row].view(np.uint64), right[row], left[row])[np.arange(len(row)), col]) if len(row) else np.zeros(0, np.uint64)
-        none = pa.nulls(len(hashes), column.type)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([column.take(pa.array(own)), none]), pa.concat_arrays([column.take(pa.array(other)), none]), pa.array(np.append(start, hashes.view(np.int64))), pa.array(np.append(end, np.full(len(hashes), -1)))], names=["id", "other", "start", "end"])
-
-    made = checkpoint(ranged.mapInArrow(compare, f"id {kind}, other {kind}, start long, end long"))
-    found = made.where("end >= 0")
-    looked_up = made.where("end < 0").select(F.col("start").alias("key")).distinct()
-    second = context.broadcast(_bloom(looked_up))
-
-    def windows(batches):
-        for batch in (part for big in batches for part in slices(big, 1)):
-            s = _Suffixes(as_bytes(batch.column(1)), seed, window, least)
-            own, hashes, start = s.windows(np.flatnonzero(_in(shared.value, s.key)))
-            chosen = np.flatnonzero(_in(shared.value, s.key))[own]
-            hit = np.flatnonzero(_in(second.value, hashes))
-            _, first = np.unique(np.stack([hashes[hit], start[hit].astype(np.uint64)]), axis=1, return_index=True)
-            hit = hit[first]
-            place = start[hit] - s.made.first[s.text[chosen[hit]]]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), batch.column(0).take(pa.array(s.text[chosen[hit]])), pa.array(place, pa.int64())], names=["key", "id", "start"])
-
-    if not looked_up.isEmpty():
-        hits = rows.mapInArrow(windows, f"key long, id {kind}, start long")
-        twice = hits.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).where("low <> high OR (nulls > 0 AND low IS NOT NULL)")
-        other = F.when(F.col("id").eqNullSafe(F.col("low")), F.when(F.col("low") != F.col("high"), F.col("high"))).otherwise(F.col("low"))
-        found = found.unionByName(hits.join(twice, "key").select("id", other.alias("other"), "start", (F.col("start") + least).alias("end")))
+        by_left = np.lexsort((np.ascontiguousarray(left).view(f"S{4 * reach}")[:, 0], key))
+        for near in _neighbours(key[by_left], doc[by_left]):
+            has = np.flatnonzero(near >= 0)
+            most["left"][by_left[has]] = np.maximum(most["left"][by_left[has]], _same(left[by_left[has]], left[by_left[near[has]]]))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        wanted = np.logical_or.reduceat(~covered & (back >= (reach - most["right"])[:, None]) & (back <= most["left"][:, None]), starts)
+        wanted[[0, -1]] = True  # the first and the last key may go on elsewhere
+        fits = (back <= (left != 0).sum(axis=1)[:, None]) & (back >= (reach - (right != 0).sum(axis=1))[:, None])
+        row, col = np.nonzero(np.repeat(wanted, np.diff(np.r_[starts, len(key)]), axis=0) & fits)
+        some, number = np.unique(row, return_inverse=True)
+        hashes = _window_hashes(key[some].view(np.uint64), right[some], left[some])[number, col].view(np.int64)
+        columns = [column.take(pa.array(np.append(own, row))), pa.concat_arrays([column.take(pa.array(other)), pa.nulls(len(row), column.type)]), np.append(start, place[row] - col), np.append(end, np.full(len(row), -1)), np.append(np.zeros(len(own), np.int64), hashes)]
+        yield pa.RecordBatch.from_arrays([*columns[:2], *map(pa.array, columns[2:])], names=["id", "other", "start", "end", "window"])
+
+    made = checkpoint(ranged.mapInArrow(compare, f"id {kind}, other {kind}, start long, end long, window long"))
+    open_ = made.where("end < 0").select("window", "id", "start").distinct()
+    twice = open_.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).where("low <> high OR (nulls > 0 AND low IS NOT NULL)")
+    other = F.when(F.col("id").eqNullSafe(F.col("low")), F.when(F.col("low") != F.col("high"), F.col("high"))).otherwise(F.col("low"))
+    found = made.where("end >= 0").select("id", "other", "start", "end").unionByName(open_.join(twice, "window").select("id", other.alias("other"), "start", (F.col("start") + least).alias("end")))
 
     def unite(batches):
         for batch in batches:
