@@ -1,42 +1,57 @@
-"""Language-model scores: word counts of the whole corpus, and a small causal self-attention model.
+"""Language-model scores: causal self-attention over subword pieces, trained by exact counts of the whole corpus.
 
-Counts. Documents are dealt into buckets; each bucket sends every slice of the hash space the distinct
-words it holds with their counts in training documents, and gets back their counts over the corpus, so
-no word's rows meet in one task and nothing grows on the driver.
+Words are cut into subword pieces by greedy longest match; a piece's number is a class and a place in the
+class, so its chance has two small steps. At each place of a window the model attends, under a causal
+mask, to
 
-Model. Words are cut into subword pieces by greedy longest match; a piece's number is a class and a
-place in the class, so a softmax has two small steps. One head of causal self-attention over the last
-pieces predicts the next piece. Each round trains, in every partition, on the documents that a hash
-picks (one in RATE, so training grows with the corpus), and averages the partitions' weights.
+- three memories, whose values are the chances of the next piece after the last two pieces, after the
+  last piece, and after anything. These values are counted over all training documents: pieces are
+  hashed to rows, and a row's counts make a distribution, so all chances add up to 1 at any size;
+- every earlier place of the window whose piece, or whose last two pieces, equal the query's. Its value
+  is the piece that followed there.
 
-Scores. A word's chance is MIX times its share of the training tokens, plus 1 - MIX times the attention
-model's chance of its pieces; the model alone gives attention_score. A text is cut into windows of WINDOW pieces that overlap by CONTEXT, every piece is scored once,
-and many windows are scored at once under a causal mask.
+The attention's logits (a memory's by how often its row was seen) are trained in numpy by gradient ascent
+of the likelihood of all training pieces, each one left out of the counts that predict it. For that, the
+corpus is summed up as a histogram of what the slots say. Counts and histogram are sums of whole numbers, so the
+weights don't depend on how Spark deals the rows.
+
+Scores. A text is cut into windows of WINDOW pieces that overlap by CONTEXT; every piece is scored once, and
+many windows are scored at once under the mask. The log chances of its pieces add up to the text's.
+
+Words. Documents are dealt into buckets; each bucket sends the distinct words that it holds with their counts
+in training documents, and gets back their counts over the corpus by a join, for base_score.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import Texts, partitions
+from lexmine.llm.common import Texts, as_bytes, partitions, slices
 from lexmine.llm.token_counts import byte_of_symbol
 
 #: Pieces are the first so many of the vocabulary's (and a mark for a word's end); classes and places in a class.
 PIECES, CLASSES, PLACES = 4000, 64, 64
-#: Window, pieces of it that are only context, width of the model; rounds of training and the share of documents each takes.
-WINDOW, CONTEXT, WIDTH, HIDDEN, ROUNDS, RATE = 16, 4, 8, 16, 3, 128
+#: Window (its attention masks are 32-bit numbers), and pieces of it that are only context.
+WINDOW, CONTEXT = 32, 8
+#: Bits of the row numbers of the memories: two pieces, two pieces and a class, a piece, a piece and a class.
+ROW_BITS = (17, 19, 12, 16)
+#: Cells of counts that one record holds; records that one task adds up; text bytes counted at once.
+PART, FAN, COUNT_BYTES = 1 << 16, 64, 8_000_000
 #: Text bytes of a bucket, and words that a worker remembers.
 BUCKET_BYTES, MEMO = 8_000_000, 1_000_000
-#: Share of the corpus's word frequencies in a word's chance; the rest is the attention model's.
-MIX = 0.8
 #: A word that no text has: the end of a text.
 END = np.uint64(0x9E3779B97F4A7C15)
+#: Counts are kept as one of 256 levels: exact up to 20, then steps of a tenth.
+LEVELS = np.concatenate([np.arange(20), np.round(20 * 1.1 ** np.arange(236))]).astype(np.float32)
+#: Steps of the histogram: chances of the two-piece and one-piece memories and of any piece (in factors of 4), how often the two pieces were seen, matches and hits of one and of two pieces.
+STEPS = (10, 10, 7, 14, 4, 3, 3, 3)
 
 
 class Pieces:
@@ -55,9 +70,8 @@ class Pieces:
             if len(found) < most and all(c in symbol for c in body):
                 found.setdefault(bytes(symbol[c] for c in body) + (b" " if end else b""), len(found))
         self.start, self.stop, self.size = len(found), len(found) + 1, len(found) + 2
-        self.by_length = [{p: n for p, n in found.items() if len(p) == k} for k in range(max(map(len, found)) + 1)]
         self.begins = {p[:k] for p in found for k in range(1, len(p) + 1)}
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.memo: dict[bytes, bytes] = {}
         self.numbers = found
 
     def cut(self, word: bytes) -> list[int]:
@@ -73,17 +87,16 @@ class Pieces:
             i += best
         return out
 
-    def stream(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Piece numbers of a text from START to STOP, and how many of them each word and the end have."""
+    def stream(self, text: bytes) -> np.ndarray:
+        """Piece numbers of a text from START to STOP."""
         words = text.lower().split()
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
         for w in set(words).difference(memo):
-            memo[w] = np.array(self.cut(w + b" "), np.uint16).tobytes()
-        cut = list(map(memo.__getitem__, words))
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut)) // 2
-        return np.concatenate([np.array([self.start], np.uint16), np.frombuffer(b"".join(cut), np.uint16), np.array([self.stop], np.uint16)]), np.append(sizes, 1)
+            memo[w] = np.array(self.cut(w + b" "), "<u2").tobytes()
+        mark = [np.array([x], "<u2").tobytes() for x in (self.start, self.stop)]
+        return np.frombuffer(b"".join([mark[0], *map(memo.__getitem__, words), mark[1]]), "<u2")
 
 
 @functools.lru_cache(maxsize=2)
@@ -96,267 +109,259 @@ def windows(stream: np.ndarray, window: int = WINDOW, context: int = CONTEXT) ->
     n = len(stream) - 1  # targets
     count = 1 + max(0, -(-(n - window) // (window - context)))
     at = np.arange(count) * (window - context)
-    whole = np.concatenate([stream.astype(np.int32), np.full(window + 1, -1, np.int32)])
+    whole = np.full(at[-1] + window + 1, -1, np.int16)
+    whole[: n + 1] = stream
     first = np.full(count, context)
     first[0] = 0
     return whole[at[:, None] + np.arange(window + 1)], first
 
 
-class Attention:
-    """The model's weights and its arithmetic. shapes: what is averaged over partitions."""
-
-    SHAPES = {
-        "piece": (CLASSES * PLACES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
-        "skip": (WIDTH, HIDDEN), "mixed": (WIDTH, HIDDEN), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "places": (CLASSES, HIDDEN, PLACES), "place_bias": (CLASSES, PLACES),
-    }
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 7):
-        total = sum(int(np.prod(s)) for s in self.SHAPES.values())
-        if flat is None:
-            rng = np.random.default_rng(seed)
-            flat = (rng.normal(size=total) * 0.3).astype(np.float32)
-            at = total - CLASSES * PLACES - CLASSES * HIDDEN * PLACES - CLASSES
-            flat[-CLASSES * PLACES :] = 0
-            flat[at : at + CLASSES] = 0
-        self.flat, at = flat.astype(np.float32), 0
-        self.hidden = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-        for name, shape in self.SHAPES.items():
-            setattr(self, name, self.flat[at : at + int(np.prod(shape))].reshape(shape))
-            at += int(np.prod(shape))
-
-    def forward(self, ids: np.ndarray):
-        n = len(ids)
-        x = (np.take(self.piece, ids.ravel(), axis=0).reshape(n, WINDOW, WIDTH) + self.place).reshape(-1, WIDTH)
-        shape = (n, WINDOW, WIDTH)
-        q, k, v = (x @ (self.query * np.float32(WIDTH**-0.5))).reshape(shape), (x @ self.key).reshape(shape), (x @ self.value).reshape(shape)
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        np.clip(a, -20, 20, out=a)
-        a += self.hidden
-        np.exp(a, out=a)
-        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
-        o = np.matmul(a, v)
-        h = np.tanh(x @ self.skip + o.reshape(-1, WIDTH) @ self.mixed).reshape(n, WINDOW, HIDDEN)
-        return x.reshape(shape), q, k, v, a, o, h
+def _row(x: np.ndarray, bits: int) -> np.ndarray:
+    return ((x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+BASES = np.cumsum([0, *(CLASSES << b for b in ROW_BITS)]).tolist()
+CELLS = BASES[-1] + CLASSES * PLACES
+
+
+def cells(two: np.ndarray, one: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    """Cells of the counts that predict target after the pieces two and one before it: the four memories' and any piece's."""
+    of, place = target // PLACES, target % PLACES
+    pair = two.astype(np.int64) * (CLASSES * PLACES) + one
+    rows = _row(pair, ROW_BITS[0]), _row(pair * CLASSES + of, ROW_BITS[1]), one.astype(np.int64), _row(one.astype(np.int64) * CLASSES + of, ROW_BITS[3])
+    return [*(base + row * CLASSES + col for base, row, col in zip(BASES, rows, (of, place, of, place), strict=False)), BASES[-1] + target]
+
+
+def _scored(windows_: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window and place of every target that is scored, window after window."""
+    return np.nonzero((windows_[:, 1:] >= 0) & (np.arange(windows_.shape[1] - 1) >= first[:, None]))
+
+
+def attend(windows_: np.ndarray) -> list[np.ndarray]:
+    """For every place of every window, under the causal mask: earlier places with the same piece, those of them whose next piece is the target, and the same for the last two pieces.
+
+    Windows have 32 places, so a row of the masked attention matrix is one 32-bit number.
+    """
+    equal = windows_[:, :, None] == windows_[:, None, 1:]
+    bits = np.packbits(equal, axis=2, bitorder="little").view("<u4")[:, :, 0]  # bit i: as at place i + 1
+    mask = np.array([(1 << t) - 1 for t in range(WINDOW)], np.uint32)
+    one = ((bits[:, :-1] << np.uint32(1)) | (windows_[:, :-1] == windows_[:, :1])) & mask  # bit i: as at place i
+    two = np.zeros_like(one)
+    two[:, 1:] = one[:, 1:] & (one[:, :-1] << np.uint32(1))
+    return [np.bitwise_count(x) for x in (one, one & bits[:, 1:], two, two & bits[:, 1:])]
+
+
+@dataclass
+class Model:
+    """Levels of the counts, and the attention's logits: of the two-piece memory by how often it was seen, of the one-piece memory, of a place with the same piece, with the same two (that of the memory of any piece is 0)."""
+
+    levels: np.ndarray
+    logits: np.ndarray = field(default_factory=lambda: np.r_[np.linspace(-3, 4, STEPS[3]), 2.0, -2.0, -1.0])
+
+    def sums(self) -> np.ndarray:
+        """Sums of the rows' counts (made once in a worker)."""
+        if "made" not in self.__dict__:
+            rows = self.levels.reshape(-1, CLASSES)
+            made = np.concatenate([LEVELS[rows[k : k + PART]].sum(axis=1) for k in range(0, len(rows), PART)])
+            self.any = LEVELS[self.levels[BASES[-1] :]] + 0.5
+            self.any /= self.any.sum()
+            self.made = made
+        return self.made
+
+    def __getstate__(self):
+        return {"levels": self.levels, "logits": self.logits}
+
+    def values(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chances of target by the three memories, and how often the two pieces were seen; less: occurrences left out."""
+        sums, found, small = self.sums(), [], np.float32(less)
+        for at in cells(two, one, target)[:4]:
+            n, of = np.maximum(LEVELS[self.levels[at]] - small, np.float32(0)), sums[at // np.int64(CLASSES)] - small
+            found.append(np.where(of > 0, n / np.maximum(of, np.float32(0.5)), np.float32(1 / PLACES)))  # all alike in an unseen row
+            if len(found) == 1:
+                seen = np.maximum(of, np.float32(0))
+        return found[0] * found[1], found[2] * found[3], self.any[target], seen
 
     def log_chances(self, windows_: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of the chance of every scored target, window after window."""
-        h = self.forward(np.maximum(windows_[:, :-1], 0))[-1]
-        target = windows_[:, 1:]
-        row, col = np.nonzero((target >= 0) & (np.arange(WINDOW) >= first[:, None]))
-        t, h = target[row, col], h[row, col]
-        of, place = t // PLACES, t % PLACES
-        order = np.argsort(of.astype(np.uint8), kind="stable")
-        h, of, place = h[order], of[order], place[order]
-        z = h @ self.classes + self.class_bias
-        out = z[np.arange(len(of)), of] - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32)) if len(of) else np.zeros(0)
-        ends, ones = np.searchsorted(of, np.arange(CLASSES + 1)), np.ones(PLACES, np.float32)
-        for c in range(CLASSES):
-            a, b = ends[c], ends[c + 1]
-            if a < b:
-                z = h[a:b] @ self.places[c] + self.place_bias[c]
-                out[a:b] += z[np.arange(b - a), place[a:b]] - np.log(np.exp(z, out=z) @ ones)
-        back = np.empty(len(out), np.float32)
-        back[order] = out
-        return back
-
-    def gradient(self, windows_: np.ndarray) -> np.ndarray:
-        """Of the mean log chance of the windows' targets, by back-propagation."""
-        ids = np.maximum(windows_[:, :-1], 0)
-        x, q, k, v, a, o, h = self.forward(ids)
-        target = windows_[:, 1:]
-        good = target >= 0
-        t, n = target[good], max(1, int(good.sum()))
-        of, place, hs = t // PLACES, t % PLACES, h[good]
-        g = Attention(np.zeros_like(self.flat))
-        z = np.exp(hs @ self.classes + self.class_bias)
-        z /= -z.sum(1, keepdims=True)
-        z[np.arange(len(of)), of] += 1
-        g.classes[:], g.class_bias[:] = hs.T @ z, z.sum(0)
-        dh_ = z @ self.classes.T
-        for c in np.unique(of):
-            own = np.flatnonzero(of == c)
-            z = np.exp(hs[own] @ self.places[c] + self.place_bias[c])
-            z /= -z.sum(1, keepdims=True)
-            z[np.arange(len(own)), place[own]] += 1
-            g.places[c], g.place_bias[c] = hs[own].T @ z, z.sum(0)
-            dh_[own] += z @ self.places[c].T
-        dh = np.zeros_like(h)
-        dh[good] = dh_
-        dz = dh * (1 - h * h)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g.skip[:], g.mixed[:] = flat(x).T @ flat(dz), flat(o).T @ flat(dz)
-        do = dz @ self.mixed.T
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        scale = np.float32(WIDTH**-0.5)
-        g.query[:], g.key[:], g.value[:] = flat(x).T @ flat(dq) * scale, flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dz @ self.skip.T + dq @ self.query.T * scale + dk @ self.key.T + dv @ self.value.T
-        g.place[:] = dx.sum(0)
-        for w in range(WIDTH):
-            g.piece[:, w] = np.bincount(ids.ravel(), dx[..., w].ravel(), len(g.piece))
-        return g.flat / n
-
-    def with_frequencies(self, windows_: np.ndarray) -> Attention:
-        """A copy whose biases are the log frequencies of the windows' targets, to start from."""
-        out, target = Attention(self.flat.copy()), windows_[:, 1:]
-        counts = np.bincount(target[target >= 0], minlength=CLASSES * PLACES).reshape(CLASSES, PLACES) + 0.1
-        out.class_bias[:] = np.log(counts.sum(1) / counts.sum())
-        out.place_bias[:] = np.log(counts / counts.sum(1, keepdims=True))
-        return out
-
-    def fit(self, windows_: np.ndarray, rate: float = 0.01, batch: int = 64, seed: int = 1) -> Attention:
-        """One pass of Adam over the windows in a fixed shuffle."""
-        flat, m, s = self.flat.copy(), np.zeros_like(self.flat), np.zeros_like(self.flat)
-        order = np.random.default_rng(seed).permutation(len(windows_))
-        for step, k in enumerate(range(0, len(order), batch), 1):
-            g = Attention(flat).gradient(windows_[order[k : k + batch]])
-            m += 0.1 * (g - m)
-            s += 0.02 * (g * g - s)
-            flat = flat + rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-8)
-        return Attention(flat)
-
-
-def _parts(flat: np.ndarray, size: int = 4096) -> list[bytes]:
-    return [flat[k : k + size].astype("<f4").tobytes() for k in range(0, len(flat), size)]
-
-
-def train(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS, rate: int = RATE) -> Attention:
-    """A model from rows (id, text) of training documents: in each round, one in rate of them, chosen by a hash of id and text."""
-    model = Attention()
-    spark = rows.sparkSession
-    for k in range(rounds):
-        chosen = rows.where(F.pmod(F.xxhash64(F.lit(k), "id", "text"), F.lit(rate)) == 0)
-        shared = spark.sparkContext.broadcast(model.flat)
-
-        def fit(batches, shared=shared, k=k):
-            cut, found = pieces(vocabulary), []
-            for batch in batches:
-                found += [windows(cut.stream(t or b"")[0], context=0)[0] for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        row, col = _scored(windows_, first)
+        v2, v1, v0, seen = self.values(*_last(windows_, row, col))
+        matches = [m[row, col] for m in attend(windows_)]
+        return np.log(mixed(self.logits, (v2, v1, v0), _seen_step(seen), matches))
+
+
+def _last(windows_: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two pieces before each target (before the first one is the first itself), and the target."""
+    return windows_[row, np.maximum(col - 1, 0)], windows_[row, col], windows_[row, col + 1].astype(np.int64)
+
+
+def _seen_step(seen: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(seen + 1).astype(np.int64), STEPS[3] - 1)
+
+
+def mixed(logits: np.ndarray, values: tuple, step: np.ndarray, matches: list[np.ndarray], shares: bool = False):
+    """The softmax-weighted sum of the slots' values; with shares, each slot's weight and its part of the sum."""
+    n = STEPS[3]
+    weight = [np.where(step > 0, np.exp(logits[:n])[step], 0), np.exp(logits[n]), 1.0, matches[0] * np.exp(logits[n + 1]), matches[2] * np.exp(logits[n + 2])]
+    part = [weight[0] * values[0], weight[1] * values[1], values[2], matches[1] * np.exp(logits[n + 1]), matches[3] * np.exp(logits[n + 2])]
+    total, good = sum(weight), sum(part)
+    return (weight, total, part, good) if shares else good / total
+
+
+def gradient(logits: np.ndarray, values: tuple, step: np.ndarray, matches: list[np.ndarray], share: np.ndarray) -> np.ndarray:
+    """Of the sum of share times the log of mixed(), by the logits."""
+    weight, total, part, good = mixed(logits, values, step, matches, shares=True)
+    gain = [share * (p / good - w / total) for w, p in zip(weight, part, strict=True)]
+    return np.r_[np.bincount(step, gain[0], STEPS[3]), gain[1].sum(), gain[3].sum(), gain[4].sum()]
+
+
+def fit_logits(cell: np.ndarray, n: np.ndarray, rounds: int = 400, rate: float = 0.05) -> np.ndarray:
+    """Gradient ascent (Adam) of the histogram's log likelihood."""
+    logits = Model(np.zeros(0, np.uint8)).logits.copy()
+    digit = np.unravel_index(cell, STEPS)
+    chance = [np.where(d > 0, 4.0 ** (1 - np.maximum(d, 1) - 0.5), 0) for d in digit[:3]]
+    chance[2] = np.maximum(chance[2], 1e-6)
+    matches = [digit[4], np.minimum(digit[5], digit[4]), digit[6], np.minimum(digit[7], digit[6])]
+    m, v, share = np.zeros_like(logits), np.zeros_like(logits), n / max(1, n.sum())
+    for t in range(1, rounds + 1):
+        g = gradient(logits, tuple(chance), digit[3], matches, share)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        logits = logits + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return logits
+
+
+def histogram(model: Model, windows_: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The histogram's cell of every scored target, itself left out of the counts."""
+    row, col = _scored(windows_, first)
+    values = model.values(*_last(windows_, row, col), less=1)
+    digits = [np.where(x > 0, np.clip(1 - np.log2(np.maximum(x, np.float32(1e-30)).astype(np.float32)) / 2, 1, s - 1).astype(np.int64), 0) for x, s in zip(values[:3], STEPS, strict=False)]
+    digits += [_seen_step(values[3]), *(np.minimum(m[row, col], s - 1) for m, s in zip(attend(windows_), STEPS[4:], strict=True))]
+    return np.ravel_multi_index(digits, STEPS)
+
+
+def _blocks(texts: list[bytes], cut: Pieces, most: int = 4096):
+    """Windows of many texts, some thousands at once, and the number of windows of each text."""
+    held, count = [], 0
+    for text in texts:
+        held.append(windows(cut.stream(text)))
+        count += len(held[-1][1])
+        if count >= most:
+            yield held
+            held, count = [], 0
+    if held:
+        yield held
+
+
+def train(rows: DataFrame, vocabulary: str, total: int) -> Model:
+    """A model from all rows (text) of training documents; total: their bytes, or more."""
+
+    def count(batches):
+        cut, number = pieces(vocabulary), 0
+        for batch in (part for big in batches for part in slices(big, 0, COUNT_BYTES)):
+            streams = [cut.stream(t) for t in as_bytes(batch.column(0))]
+            two = np.concatenate([np.r_[s[:1], s[:-2]] for s in streams])
+            one, target = np.concatenate([s[:-1] for s in streams]), np.concatenate([s[1:] for s in streams]).astype(np.int64)
+            at, n = np.unique(np.concatenate([c.astype(np.int32) for c in cells(two, one, target)]), return_counts=True)
+            parts, begin = np.unique(at // PART, return_index=True)
+            ends = [*begin.tolist(), len(at)]
+            number += 1
+            blobs = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] for x in ((at % PART).astype("<u2"), n.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["part", "at", "n"])
+
+    def add(table: pa.Table) -> np.ndarray:
+        sums = np.zeros(PART, np.int64)
+        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
+            sums[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        return sums
+
+    def some(table: pa.Table) -> pa.Table:
+        sums = add(table)
+        at = np.flatnonzero(sums)
+        return pa.table({"part": table.column("part")[:1], "at": pa.array([at.astype("<u2").tobytes()], pa.binary()), "n": pa.array([np.minimum(sums[at], 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+
+    def level(table: pa.Table) -> pa.Table:
+        found = np.searchsorted(LEVELS, add(table), "right") - 1
+        return pa.table({"part": table.column("part")[:1], "levels": pa.array([found.astype(np.uint8).tobytes()], pa.binary())})
+
+    sent, records = rows.mapInArrow(count, "part int, at binary, n binary"), -(-total // COUNT_BYTES)
+    while records > FAN * FAN:  # no task adds up more than some thousand records
+        records = -(-records // FAN)
+        sent = sent.withColumn("salt", F.pmod(F.xxhash64("at", "n"), F.lit(records))).groupBy("part", "salt").applyInArrow(some, "part int, at binary, n binary")
+    levels = np.zeros(-(-CELLS // PART) * PART, np.uint8)
+    for r in sent.groupBy("part").applyInArrow(level, "part int, levels binary").toLocalIterator():  # CELLS bytes in all
+        levels[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["levels"], np.uint8)
+    model = Model(levels[:CELLS])
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def tell(batches):
+        cut = pieces(vocabulary)
+        for batch in (part for big in batches for part in slices(big, 0)):
+            found = []
+            for held in _blocks(as_bytes(batch.column(0)), cut):
+                found.append(histogram(shared.value, *(np.concatenate([h[k] for h in held]) for k in range(2))))
             if found:
-                own = np.concatenate(found)
-                start = Attention(shared.value)
-                flat = (start if k else start.with_frequencies(own)).fit(own, rate=0.01 / (1 + k)).flat
-                parts = _parts(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([len(own)] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["part", "n", "data"])
-
-        def mean(table: pa.Table) -> pa.Table:
-            n = np.array(table.column("n").to_pylist(), np.float64)
-            data = sum(np.frombuffer(d, "<f4") * (w / n.sum()) for d, w in zip(table.column("data").to_pylist(), n, strict=True))
-            return pa.table({"part": table.column("part")[:1], "data": pa.array([data.astype("<f4").tobytes()], pa.binary())})
-
-        some = chosen.select("text").mapInArrow(fit, "part int, n long, data binary").groupBy("part").applyInArrow(mean, "part int, data binary").collect()  # as many rows as the model has parts
-        if some:
-            model = Attention(np.concatenate([np.frombuffer(r["data"], "<f4") for r in sorted(some, key=lambda r: r["part"])]))
-    return model
-
+                cell, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
-def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(texts.hash, return_inverse=True)
+    told = rows.mapInArrow(tell, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row a cell of the histogram at most
+    if told:
+        cell, n = (np.array([r[k] for r in sorted(told)], np.int64) for k in ("cell", "n"))
+        model = Model(model.levels, fit_logits(cell, n.astype(float)))
+    return model
 
 
 def lm_scores(docs: DataFrame, training: Column, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Per row: id, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's
-    chance), attention_score (the same for the attention model alone).
+    """Per row: id, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's chance by the attention model).
 
-    training is a condition on docs; only rows that meet it are learned from (null: not met). Tokens are
-    the words (A-Z lowered, cut at ASCII white space) and one end. base_score adds log10((c + 1) / (N + V + 1))
-    over the tokens. Null texts count as empty. Repeated rows count, and are scored, each; null ids are
-    ids like others. Other columns are not read. An empty table gives an empty result.
+    training is a condition on docs; only rows that meet it are learned from (null: not met), and all of
+    them are. Tokens are the words (A-Z lowered, cut at ASCII white space) and one end. base_score adds
+    log10((c + 1) / (N + V + 1)) over the tokens. Null texts count as empty. Repeated rows count, and are scored,
+    each; null ids are ids like others. Without training rows every piece is alike. Other columns are
+    not read. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    model = train(rows.where("train").select("id", "text"), vocabulary)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.where("train").select("text"), vocabulary, total))
     buckets = max(partitions(docs.sparkSession), -(-total // bucket_bytes))
-    slices = max(32, -(-total // 48_000_000))
-    shared = docs.sparkSession.sparkContext.broadcast(model.flat)
     dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "id", "text", "train").repartition("bucket")
 
-    def texts_of(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-        return [t.lower() for t in table.column("text").cast(pa.binary()).to_pylist()], np.array(table.column("train").to_pylist(), bool)
-
-    def distinct(texts: Texts, train_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words of the bucket (END too) ordered by slice, their training counts, and each word's number in that order."""
-        words, number = np.unique(np.append(texts.hash, END), return_inverse=True)
-        counts = np.bincount(number, np.append(np.repeat(train_, texts.n_words), 0), len(words)).astype(np.int64)
-        counts[number[-1]] += int(train_.sum())
-        order = np.lexsort((words, words % np.uint64(slices)))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        return words[order], counts[order], place[number]
-
-    def ends_of(words: np.ndarray) -> np.ndarray:
-        return np.searchsorted((words % np.uint64(slices)).astype(np.int64), np.arange(slices + 1))
+    def words_of(table: pa.Table) -> tuple[list[bytes], Texts, np.ndarray, np.ndarray]:
+        """Texts, their words, the bucket's distinct words (END too), and each word's number in those."""
+        texts = [t.lower() for t in as_bytes(table.column("text"))]
+        made = Texts(texts)
+        return texts, made, *np.unique(np.append(made.hash, END), return_inverse=True)
 
     def send(table: pa.Table) -> pa.Table:
-        texts, train_ = texts_of(table)
-        words, counts, _ = distinct(Texts(texts), train_)
-        ends = ends_of(words)
-        pairs = list(zip(ends, ends[1:], strict=False))
-        return pa.table({
-            "slice": pa.array(range(slices), pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * slices, pa.int32()),
-            "words": pa.array([words[a:b].astype("<u8").tobytes() for a, b in pairs], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in pairs], pa.binary()),
-        })
-
-    def merge(table: pa.Table) -> pa.Table:
-        """Sums by word; every bucket gets those of its words, and the slice's sum and number of training words."""
-        parts = [np.frombuffer(w, "<u8") for w in table.column("words").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
-        words, number = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(number, counts, len(words)).astype(np.int64)
-        edges = np.cumsum([0, *map(len, parts)])
-        n = table.num_rows
-        return pa.table({
-            "bucket": table.column("bucket"), "slice": table.column("slice"), "n": pa.array([int(sums.sum())] * n, pa.int64()), "v": pa.array([int((sums > 0).sum())] * n, pa.int64()),
-            "counts": pa.array([sums[number[a:b]].astype("<u8").tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
-        })
+        _, made, words, number = words_of(table)
+        train_ = np.array(table.column("train").to_pylist(), np.int64)
+        counts = np.bincount(number, np.append(np.repeat(train_, made.n_words), train_.sum()), len(words)).astype(np.int64)
+        return pa.table({"bucket": pa.repeat(table.column("bucket")[0], len(words)), "word": pa.array(words.view(np.int64)), "n": pa.array(counts)})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, train_ = texts_of(table)
-        made = Texts(texts)
-        _, _, number = distinct(made, train_)
-        rows_ = sorted(answers.to_pylist(), key=lambda r: r["slice"])
-        counts = np.concatenate([np.frombuffer(r["counts"], "<u8") for r in rows_]).astype(np.int64)
-        n, v = sum(r["n"] for r in rows_), sum(r["v"] for r in rows_)
+        texts, made, words, number = words_of(table)
+        counts = np.zeros(len(words), np.int64)
+        counts[np.searchsorted(words, answers.column("word").to_numpy().view(np.uint64))] = answers.column("n").to_numpy()
+        n, v = answers.column("tokens")[0].as_py(), answers.column("types")[0].as_py()
         of, end = counts[number[:-1]], int(counts[number[-1]])
         text = np.repeat(np.arange(len(texts)), made.n_words)
         logs = np.bincount(text, np.log10(of + 1.0), len(texts)) + np.log10(end + 1.0)
         known = np.bincount(text, of > 0, len(texts)).astype(np.int64) + (end > 0)
         tokens = made.n_words + 1
-        chance, lengths = attention(texts)
-        share = np.zeros(len(chance))
-        ends = np.cumsum(lengths) - 1
-        inner = np.ones(len(chance), bool)
-        inner[ends] = False
-        share[inner], share[ends] = of / max(n, 1), end / max(n, 1)
-        mixed = np.log10(MIX * share + (1 - MIX) * 10.0**chance)
-        by_text = lambda x: np.bincount(np.repeat(np.arange(len(texts)), lengths), x, len(texts))
         base = logs - tokens * np.log10(n + v + 1.0)
-        return pa.table([table.column("id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base), pa.array(by_text(mixed)), pa.array(by_text(chance))], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score"])
-
-    def attention(texts: list[bytes], block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """log10 chances of the words (and end) of the texts, one after another, and how many words each text has with its end."""
-        m, cut, out, lengths = Attention(shared.value), pieces(vocabulary), [], []
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush():
-            w, f, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
-            logs = np.concatenate([m.log_chances(w[a : a + block], f[a : a + block]) for a in range(0, len(w), block)])
-            out.append(np.add.reduceat(logs, np.cumsum(sizes) - sizes))
-            held.clear()
-
-        for text in texts:
-            stream, sizes = cut.stream(text)
-            held.append((*windows(stream), sizes))
-            lengths.append(len(sizes))
-            if sum(len(h[1]) for h in held[-64:]) >= 2 * block or len(held) >= 512:
-                flush()
-        if held:
-            flush()
-        return np.concatenate(out) / np.log(10), np.array(lengths)
-
-    sent = dealt.groupBy("bucket").applyInArrow(send, "slice int, bucket int, words binary, counts binary")
-    answers = sent.groupBy("slice").applyInArrow(merge, "bucket int, slice int, n long, v long, counts binary")
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, attention_score double")
+        return pa.table([table.column("id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base), pa.array(attention(texts))], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def attention(texts: list[bytes]) -> np.ndarray:
+        """log10 chances of the texts."""
+        out, cut = [], pieces(vocabulary)
+        for held in _blocks(texts, cut):
+            w, first, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [len(h[1]) for h in held]
+            text = np.repeat(np.repeat(np.arange(len(held)), sizes), ((w[:, 1:] >= 0) & (np.arange(WINDOW) >= first[:, None])).sum(axis=1))
+            logs = np.concatenate([shared.value.log_chances(w[k : k + 4096], first[k : k + 4096]) for k in range(0, len(w), 4096)])
+            out.append(np.bincount(text, logs, len(held)))
+        return np.concatenate(out) / np.log(10) if out else np.zeros(0)
+
+    sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, word long, n long").repartition("word")
+    totals = sent.groupBy("word").agg(F.sum("n").alias("n"))
+    sizes = totals.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types"))
+    answers = sent.select("bucket", "word").join(totals, "word").crossJoin(F.broadcast(sizes))  # sizes is one row
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
