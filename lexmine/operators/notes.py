@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
+from lexmine.sources.shared import checkpoint
 
 #: The kinds of a card, in the order in which they are looked for; prefixes of tags that the engine sets itself.
 DIRECTIONS = ("meaning", "recall")
@@ -59,44 +60,73 @@ def ordered_distinct(df: DataFrame, keys: list[str], order: list, value: str, li
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_f._v"))), lambda x: x["_v"]).alias(value))
 
 
-def identities(front: Column, tags: Column) -> Column:
-    """FUN17. What a note is known by: its site card and direction, its bold target with the front, else its front."""
-    key = T.squeeze(T.fold(T.strip_tags(front)))
-    bold = T.squeeze(T.fold(T.strip_tags(F.regexp_extract(front, "(?is)<b\\b[^>]*>(.*?)</b>", 1))))
-    d, card = direction_of(tags), tag_value(tags, "site::")
-    site = F.when(card.isNotNull() & d.isNotNull(), F.concat_ws("|", F.lit("site"), d, card))
-    context = F.when((bold != "") & d.isNotNull(), F.concat_ws("|", F.lit("context"), d, bold, key))
-    found = F.filter(F.array(site, context), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat_ws("|", F.lit("front"), key)))
+def identities(front: Column, back: Column, tags: Column) -> Column:
+    """FUN17. What a note is known by: an array of one or more strings.
+
+    A card of an article (tags card::meaning or card::recall, and article::) is known by its site card, and
+    by its target in its context: of a meaning card the bold words and the whole front, of a recall card the
+    back and the front around its bold words, without a hint at its end. Other notes, and cards with
+    neither, are known by their front.
+    """
+    plain = lambda c: T.squeeze(T.fold(T.strip_tags(c)))
+    has = lambda tag: F.array_contains(tag_list(tags), tag)
+    kind = F.when(has("card::recall"), "recall").when(has("card::meaning"), "meaning")
+    card = tag_value(tags, "site::")
+    site = F.when(card.isNotNull(), F.concat_ws("|", F.lit("site"), kind, card))
+    bold = plain(F.regexp_extract(front, "(?is)<b\\b[^>]*>(.*?)</b>", 1))
+    meaning = F.when(bold != "", F.concat_ws("|", F.lit("context"), kind, bold, plain(front)))
+    context = F.regexp_replace(front, "(?is)<br\\s*/?><small>.*?</small>\\s*$", "")
+    whole = F.regexp_extract(context, "(?is)<b\\b[^>]*>.*?</b>", 0)
+    at = F.instr(context, whole)
+    before, after = F.substr(context, F.lit(1), at - 1), F.substr(context, at + F.length(whole))
+    around = T.squeeze(T.fold(F.concat(T.squeeze(T.strip_tags(before)), F.lit(" \u2063 "), T.squeeze(T.strip_tags(after)))))
+    recall = F.when((plain(back) != "") & (whole != ""), F.concat_ws("|", F.lit("context"), kind, plain(back), around))
+    found = F.filter(F.array(site, F.when(kind == "recall", recall).otherwise(meaning)), lambda x: x.isNotNull())
+    known = kind.isNotNull() & F.exists(tag_list(tags), lambda t: t.startswith("article::")) & (F.size(found) > 0)
+    return F.when(known, found).otherwise(F.array(F.concat_ws("|", F.lit("front"), plain(front))))
 
 
 def merge_notes(notes: DataFrame, incoming: DataFrame) -> DataFrame:
     """PIP11. What each incoming row (row_id, front, back, tags) does to notes (note_id, front, back, tags): row_id, action, note_id.
 
     update: a note with the same site card and direction changes; same: it is as it is already; skip: an
-    identity is there already, in a note or an earlier row; insert: a new note, numbered after the last.
+    earlier row has its site card and direction, or an identity is there already, in a note or in an
+    earlier row that is inserted; insert: a new note, numbered after the last. Rows go by row_id.
+
+    Rows are decided in rounds: a row that comes first for all its identities is inserted, rows that share one
+    with an inserted row are skipped, and the rest goes on. A chain of rows takes a round for every second link.
     """
     key = lambda df: df.withColumns({"card": tag_value(F.col("tags"), "site::"), "dir": direction_of(F.col("tags"))})
     known = first_by(key(notes).where("card IS NOT NULL AND dir IS NOT NULL"), ["card", "dir"], ["note_id"]).select("card", "dir", F.col("note_id").alias("old_id"), F.col("front").alias("old_front"), F.col("back").alias("old_back"), F.col("tags").alias("old_tags"))
     rows = key(incoming).join(known, ["card", "dir"], "left")
     same = (F.col("front") == F.col("old_front")) & (F.col("back") == F.col("old_back")) & (merge_tags(F.col("old_tags"), F.col("tags")) == F.array_join(tag_list(F.col("old_tags")), " "))
     matched = rows.where("old_id IS NOT NULL").select("row_id", F.when(same, "same").otherwise("update").alias("action"), F.col("old_id").alias("note_id"))
-    rest = rows.where("old_id IS NULL").select("row_id", F.explode(identities(F.col("front"), F.col("tags"))).alias("identity"))
-    there = notes.select(F.explode(identities(F.col("front"), F.col("tags"))).alias("identity")).distinct()
-    hits = rest.join(there, "identity", "left_semi").select("row_id").distinct()
-    earlier = rest.withColumn("first", F.min("row_id").over(W.partitionBy("identity"))).groupBy("row_id").agg(F.min("first").alias("first")).where("first < row_id").select("row_id")
-    gone = hits.unionByName(earlier).distinct()
-    skipped = gone.select("row_id", F.lit("skip").alias("action"), F.lit(None).cast("bigint").alias("note_id"))
-    new = rest.select("row_id").distinct().join(gone, "row_id", "left_anti")
+    keyed = F.col("card").isNotNull() & F.col("dir").isNotNull()
+    place = F.row_number().over(W.partitionBy("card", "dir", F.when(~keyed, F.col("row_id"))).orderBy("row_id"))
+    rest = checkpoint(rows.where("old_id IS NULL").withColumn("place", F.when(keyed, place).otherwise(1)).select("row_id", "place", identities(F.col("front"), F.col("back"), F.col("tags")).alias("all")))
+    there = notes.select(F.explode(identities(F.col("front"), F.col("back"), F.col("tags"))).alias("identity")).distinct()
+    each = rest.where("place = 1").select("row_id", F.explode("all").alias("identity"))
+    open_ = checkpoint(each.join(each.join(there, "identity", "left_semi").select("row_id").distinct(), "row_id", "left_anti"))
+    new = None
+    while not open_.isEmpty():
+        first = open_.groupBy("identity").agg(F.min("row_id").alias("first"))
+        won = checkpoint(open_.join(first, "identity").groupBy("row_id").agg(F.bool_and(F.col("first") == F.col("row_id")).alias("won")).where("won").select("row_id"))
+        taken = open_.join(won, "row_id", "left_semi").select("identity").distinct()
+        out = open_.join(taken, "identity", "left_semi").select("row_id").distinct()
+        new = won if new is None else new.unionByName(won)
+        open_ = checkpoint(open_.join(out, "row_id", "left_anti"))
+    new = rest.select("row_id").limit(0) if new is None else new
+    skipped = rest.select("row_id").join(new, "row_id", "left_anti").select("row_id", F.lit("skip").alias("action"), F.lit(None).cast("bigint").alias("note_id"))
     return matched.unionByName(skipped).unionByName(number_after(new, notes, "row_id", "note_id").select("row_id", F.lit("insert").alias("action"), "note_id"))
 
 
 def number_after(rows: DataFrame, notes: DataFrame, order: str, name: str) -> DataFrame:
     """WIN14. rows with name: numbers in order that follow the largest of notes.
 
-    Rows are counted by range partition and numbered inside each, so no task gets them all.
+    Rows are counted by range partition and numbered inside each, so no task gets them all. The
+    partitions are written down, as later plans may deal the rows otherwise.
     """
-    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    ranged = checkpoint(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").count()
     offsets = sizes.withColumn("_o", F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).select("_p", F.coalesce("_o", F.lit(0)).alias("_o"))  # a row a partition
     last = notes.agg(F.coalesce(F.max(name), F.lit(0)).alias("_m"))  # one row
@@ -167,6 +197,7 @@ def distractor_hint(valid: Column, related: Column) -> Column:
     folded = F.transform(valid, T.fold)
     rest = F.filter(related, lambda v: ~F.array_contains(folded, T.fold(v)))
     part = lambda label, values: F.when(F.size(values) > 0, F.concat(F.lit(label), F.array_join(F.transform(values, T.escape_html), ", ")))
+    # The two labels.
     hints = F.filter(F.array(part("Подходит, но не целевой ответ: ", valid), part("Близко по смыслу: ", rest)), lambda x: x.isNotNull())
     return F.when(F.size(hints) > 0, F.concat(F.lit("<br><small>"), F.array_join(hints, "<br>"), F.lit("</small>"))).otherwise("")
 

@@ -114,14 +114,16 @@ def fun16_bullets(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(items, "|").alias("items"))
 
 
-@query(", w AS (SELECT note_id, CASE WHEN note_id % 3 = 0 THEN 'site|' || direction || '|' || card_id || ';context|' || direction || '|a' || (note_id % 5) || '|say a' || (note_id % 5) || ' now' ELSE 'front|say a' || (note_id % 5) || ' now' END AS identities FROM notes) SELECT * FROM w", "notes")
+@query(
+    "SELECT note_id, CASE note_id % 4 WHEN 0 THEN 'site|meaning|' || card_id || ';context|meaning|a' || (note_id % 5) || '|say a' || (note_id % 5) || ' now' WHEN 1 THEN 'context|recall|a' || (note_id % 5) || '|say ' || chr(8291) || ' now' ELSE 'front|say a' || (note_id % 5) || ' now' END AS identities FROM notes",
+    "notes",
+)
 def fun17_identities(spark, d):
-    n = notes(spark, d)
-    front = F.concat(F.lit("Say <b>A"), F.col("note_id") % 5, F.lit("</b>  now"))
-    plain = F.concat(F.lit("Say A"), F.col("note_id") % 5, F.lit("  now"))
-    known = F.col("note_id") % 3 == 0
-    tags = F.when(known, F.concat(F.lit("site::"), "card_id", F.lit(" card::"), "direction")).otherwise("x")
-    return n.select("note_id", F.array_join(N.identities(F.when(known, front).otherwise(plain), tags), ";").alias("identities"))
+    """Meaning cards with a site card, recall cards with a hint, cards of no article, and plain notes."""
+    n, k, word = notes(spark, d), F.col("note_id") % 4, F.concat(F.lit("A"), F.col("note_id") % 5)
+    front = F.when(k == 1, "Say <B>gap</B>  now<br/><small>hint</small>").otherwise(F.concat(F.lit("Say <b>"), word, F.lit("</b>  now")))
+    tags = F.when(k == 0, F.concat(F.lit("site::"), "card_id", F.lit(" card::meaning article::p"))).when(k == 1, "article::p card::recall").when(k == 2, "site::1 card::meaning").otherwise("x")
+    return n.select("note_id", F.array_join(N.identities(front, word, tags), ";").alias("identities"))
 
 
 @query("SELECT c.card_id, c.user_id, d.source FROM cards c JOIN documents d ON c.document_id = d.doc_id", "cards")
@@ -266,16 +268,16 @@ def pip13_reconcile(spark, d):
 
 
 @query(
-    """, old AS (SELECT note_id, 'Card ' || card_id AS front, 'b' AS back, 'site::' || card_id || ' card::' || direction AS tags, card_id, direction FROM (SELECT *, row_number() OVER (PARTITION BY card_id, direction ORDER BY note_id) AS k FROM notes WHERE deck_id < 4) WHERE k = 1),
-inc AS (SELECT note_id AS row_id, 'Card ' || card_id AS front, CASE WHEN deck_id % 2 = 0 THEN 'b' ELSE 'c' END AS back, card_id, direction FROM notes),
+    """, old AS (SELECT note_id, 'b' AS back, card_id, direction FROM (SELECT *, row_number() OVER (PARTITION BY card_id, direction ORDER BY note_id) AS k FROM notes WHERE deck_id < 4) WHERE k = 1),
+inc AS (SELECT note_id AS row_id, CASE WHEN deck_id % 2 = 0 THEN 'b' ELSE 'c' END AS back, card_id, direction FROM notes),
 m AS (SELECT i.row_id, CASE WHEN i.back = o.back THEN 'same' ELSE 'update' END AS action, o.note_id FROM inc i JOIN old o ON i.card_id = o.card_id AND i.direction = o.direction),
 r AS (SELECT row_id, row_number() OVER (PARTITION BY card_id, direction ORDER BY row_id) AS k FROM inc i WHERE NOT EXISTS (SELECT 1 FROM old o WHERE i.card_id = o.card_id AND i.direction = o.direction))
 SELECT * FROM m UNION ALL SELECT row_id, 'skip', NULL FROM r WHERE k > 1 UNION ALL SELECT row_id, 'insert', (SELECT max(note_id) FROM old) + row_number() OVER (ORDER BY row_id) FROM r WHERE k = 1""",
     "notes",
 )
 def pip11_merge_notes(spark, d):
-    tags = F.concat(F.lit("site::"), "card_id", F.lit(" card::"), "direction")
-    front = F.concat(F.lit("Card "), "card_id")
+    tags = F.concat(F.lit("article::p site::"), "card_id", F.lit(" card::"), "direction")
+    front = F.concat(F.lit("Card <b>word</b> "), "card_id")
     old = N.first_by(notes(spark, d).where("deck_id < 4"), ["card_id", "direction"], ["note_id"]).select("note_id", front.alias("front"), F.lit("b").alias("back"), tags.alias("tags"))
     new = notes(spark, d).select(F.col("note_id").alias("row_id"), front.alias("front"), F.when(F.col("deck_id") % 2 == 0, "b").otherwise("c").alias("back"), tags.alias("tags"))
     return N.merge_notes(old, new)

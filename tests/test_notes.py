@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lexmine.operators import notes as N
@@ -9,15 +12,70 @@ def test_merge_is_idempotent_and_skips_repeats(spark):
     schema = "note_id long, front string, back string, tags string"
     notes = spark.createDataFrame([(1, "Card A", "x", "site::a card::meaning mine"), (2, "Plain", "y", "")], schema)
     incoming = spark.createDataFrame(
-        [(1, "Card A2", "x", "site::a card::meaning"), (2, "plain ", "z", ""), (3, "New <b>w</b> one", "q", "site::b card::meaning"), (4, "New <b>w</b> one", "q", "site::b card::meaning"), (5, "Other", "q", "")], "row_id long, front string, back string, tags string"
+        [(1, "Card A2", "x", "site::a card::meaning"), (2, "plain ", "z", ""), (3, "New <b>w</b> one", "q", "article::p site::b card::meaning"), (4, "New <b>w</b> one", "q", "article::p site::b card::meaning"), (5, "Other", "q", "")], "row_id long, front string, back string, tags string"
     )
     got = {r["row_id"]: (r["action"], r["note_id"]) for r in N.merge_notes(notes, incoming).collect()}
     assert got == {1: ("update", 1), 2: ("skip", None), 3: ("insert", 3), 4: ("skip", None), 5: ("insert", 4)}
-    after = spark.createDataFrame([(1, "Card A2", "x", "site::a card::meaning mine"), (2, "Plain", "y", ""), (3, "New <b>w</b> one", "q", "site::b card::meaning"), (4, "Other", "q", "")], schema)
+    after = spark.createDataFrame([(1, "Card A2", "x", "site::a card::meaning mine"), (2, "Plain", "y", ""), (3, "New <b>w</b> one", "q", "article::p site::b card::meaning"), (4, "Other", "q", "")], schema)
     again = {r["row_id"]: r["action"] for r in N.merge_notes(after, incoming).collect()}
     assert again == {1: "same", 2: "skip", 3: "same", 4: "same", 5: "skip"}
 
 
+def test_a_skipped_row_keeps_nobody_out(spark):
+    notes = spark.createDataFrame([], "note_id long, front string, back string, tags string")
+    row = lambda k, site, word: (k, f"See <b>{word}</b> here", "q", f"article::p site::{site} card::meaning")
+    incoming = spark.createDataFrame([row(1, 1, "p"), row(2, 1, "q"), row(3, 3, "q")], "row_id long, front string, back string, tags string")
+    assert {r["row_id"]: r["action"] for r in N.merge_notes(notes, incoming).collect()} == {1: "insert", 2: "skip", 3: "insert"}
+
+
+def test_merge_equals_row_by_row_version(spark):
+    rng = random.Random(2)
+    norm = lambda t: " ".join(re.sub("<[^>]+>", "", t).lower().split())
+
+    def known_by(front, back, tags):
+        kind = "recall" if "card::recall" in tags.split() else "meaning" if "card::meaning" in tags.split() else ""
+        site = [t[6:] for t in tags.split() if t.startswith("site::")]
+        out = set()
+        if kind and any(t.startswith("article::") for t in tags.split()):
+            out |= {("site", kind, x) for x in site}
+            core = re.sub(r"<br><small>.*?</small>$", "", front) if kind == "recall" else front
+            bold = re.search("<b>(.*?)</b>", core)
+            if bold and kind == "meaning":
+                out.add((kind, norm(bold[1]), norm(front)))
+            elif bold:
+                out.add((kind, norm(back), norm(core[: bold.start()]) + "_" + norm(core[bold.end() :])))
+        return out or {("front", norm(front))}
+
+    def made(k):
+        kind = rng.choice(["card::meaning", "card::recall", "x"])
+        front = f"See <b>{rng.choice('abc')}</b> {rng.choice('mn')}" + rng.choice(["", "<br><small>hint</small>"])
+        tags = " ".join(x for x in (kind, rng.choice(["", "article::p", "article::p"]), rng.choice(["", f"site::{rng.randint(1, 6)}"])) if x)
+        return k, front, rng.choice(["u", "v <i>w</i>"]), tags
+
+    for _ in range(3):
+        notes, rows = [made(k) for k in range(1, 6)], [made(k) for k in range(60)]
+        key = lambda tags: (tags.split()[0], [t for t in tags.split() if t.startswith("site::")][0]) if "card::" in tags and "site::" in tags else None
+        seen, old, pending, want, last = set(), {}, set(), {}, 5
+        for k, front, back, tags in notes:
+            seen |= known_by(front, back, tags)
+            if key(tags):
+                old.setdefault(key(tags), (k, front, back))
+        for k, front, back, tags in rows:
+            if key(tags) in old:
+                want[k] = old[key(tags)][0]
+                continue
+            skip = key(tags) is not None and key(tags) in pending
+            pending.add(key(tags))
+            if skip or known_by(front, back, tags) & seen:
+                want[k] = None
+            else:
+                seen |= known_by(front, back, tags)
+                last += 1
+                want[k] = last
+        frame = lambda r, k: spark.createDataFrame(r, f"{k} long, front string, back string, tags string")
+        assert {r["row_id"]: r["note_id"] for r in N.merge_notes(frame(notes, "note_id"), frame(rows, "row_id")).collect()} == want
+
+
 def test_reconcile_uses_a_note_once(spark):
     cards = spark.createDataFrame([(1, "same"), (2, "same"), (3, "solo")], "card_id long, front string")
     notes = spark.createDataFrame([(10, "same", "card::meaning"), (11, "x", "card::2 direction::recall"), (12, "solo", "card::recall"), (13, "y", "")], "note_id long, front string, tags string")
@@ -45,6 +103,18 @@ def test_numbers_follow_without_gaps_on_any_partitioning(spark):
         assert [r["note_id"] for r in got] == list(range(42, 142))
 
 
+def test_numbers_of_wide_rows_are_complete(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = spark.range(20_000).select(F.col("id").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("wide"))
+        got = N.number_after(rows, spark.createDataFrame([(0,)], "note_id long"), "k", "note_id")
+        assert got.where("note_id = k + 1 AND length(wide) = 1280").count() == 20_000 == got.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_delete_cascade(spark):
     h = spark.createDataFrame([(1, 10, 5), (2, 20, 5), (3, 5, 6)], "highlight_id long, created_at long, document_id long")
     links = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "card_id long, highlight_id long")
