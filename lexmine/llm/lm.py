@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import functools
 import json
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,21 +122,22 @@ def _row(x: np.ndarray, bits: int) -> np.ndarray:
     return ((x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-BASES = np.cumsum([0, *(CLASSES << b for b in ROW_BITS)]).tolist()
-CELLS = BASES[-1] + CLASSES * PLACES
+#: Where the rows of each memory begin among all rows.
+BASES = np.cumsum([0, *(1 << b for b in ROW_BITS)]).tolist()
+CELLS = (BASES[-1] + CLASSES) * CLASSES
 
 
-def cells(two: np.ndarray, one: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-    """Cells of the counts that predict target after the pieces two and one before it: the four memories' and any piece's."""
-    of, place = target // PLACES, target % PLACES
+def rows_of(two: np.ndarray, one: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the counts that predict target after the pieces two and one before it, and the columns in them: of the four memories' class and place, and of any piece."""
+    of, place, one = target >> 6, target & 63, one.astype(np.int64)
     pair = two.astype(np.int64) * (CLASSES * PLACES) + one
-    rows = _row(pair, ROW_BITS[0]), _row(pair * CLASSES + of, ROW_BITS[1]), one.astype(np.int64), _row(one.astype(np.int64) * CLASSES + of, ROW_BITS[3])
-    return [*(base + row * CLASSES + col for base, row, col in zip(BASES, rows, (of, place, of, place), strict=False)), BASES[-1] + target]
+    rows = _row(pair, ROW_BITS[0]), _row(pair * CLASSES + of, ROW_BITS[1]), one, _row(one * CLASSES + of, ROW_BITS[3])
+    return [*((base + row, col) for base, row, col in zip(BASES, rows, (of, place, of, place), strict=False)), (BASES[-1] + of, place)]
 
 
-def _scored(windows_: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Window and place of every target that is scored, window after window."""
-    return np.nonzero((windows_[:, 1:] >= 0) & (np.arange(windows_.shape[1] - 1) >= first[:, None]))
+def _scored(windows_: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places (in all windows, one after another) of the targets that are scored."""
+    return np.flatnonzero((windows_[:, 1:] >= 0) & (np.arange(windows_.shape[1] - 1) >= first[:, None]))
 
 
 def attend(windows_: np.ndarray) -> list[np.ndarray]:
@@ -162,36 +165,42 @@ class Model:
         """Sums of the rows' counts (made once in a worker)."""
         if "made" not in self.__dict__:
             rows = self.levels.reshape(-1, CLASSES)
-            made = np.concatenate([LEVELS[rows[k : k + PART]].sum(axis=1) for k in range(0, len(rows), PART)])
-            self.any = LEVELS[self.levels[BASES[-1] :]] + 0.5
-            self.any /= self.any.sum()
-            self.made = made
+            self.made = np.concatenate([LEVELS[rows[k : k + PART]].sum(axis=1) for k in range(0, len(rows), PART)])
+            every = LEVELS[self.levels[BASES[-1] * CLASSES :]] + np.float32(0.5)
+            self.any = every / every.sum()
         return self.made
 
     def __getstate__(self):
-        return {"levels": self.levels, "logits": self.logits}
+        return {"levels": zlib.compress(self.levels.tobytes(), 1), "logits": self.logits}
+
+    def __setstate__(self, state):
+        self.levels, self.logits = np.frombuffer(zlib.decompress(state["levels"]), np.uint8), state["logits"]
 
     def values(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Chances of target by the three memories, and how often the two pieces were seen; less: occurrences left out."""
         sums, found, small = self.sums(), [], np.float32(less)
-        for at in cells(two, one, target)[:4]:
-            n, of = np.maximum(LEVELS[self.levels[at]] - small, np.float32(0)), sums[at // np.int64(CLASSES)] - small
+        for row, col in rows_of(two, one, target)[:4]:
+            n, of = LEVELS.take(self.levels.take((row << 6) + col)), sums.take(row)
+            if less:
+                n, of = np.maximum(n - small, np.float32(0)), np.maximum(of - small, np.float32(0))
             found.append(np.where(of > 0, n / np.maximum(of, np.float32(0.5)), np.float32(1 / PLACES)))  # all alike in an unseen row
             if len(found) == 1:
-                seen = np.maximum(of, np.float32(0))
-        return found[0] * found[1], found[2] * found[3], self.any[target], seen
+                seen = of
+        return found[0] * found[1], found[2] * found[3], self.any.take(target), seen
 
     def log_chances(self, windows_: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of the chance of every scored target, window after window."""
-        row, col = _scored(windows_, first)
-        v2, v1, v0, seen = self.values(*_last(windows_, row, col))
-        matches = [m[row, col] for m in attend(windows_)]
-        return np.log(mixed(self.logits, (v2, v1, v0), _seen_step(seen), matches))
+        at = _scored(windows_, first)
+        v2, v1, v0, seen = self.values(*_last(windows_, at))
+        return np.log(mixed(self.logits, (v2, v1, v0), _seen_step(seen), [m.ravel().take(at) for m in attend(windows_)]))
 
 
-def _last(windows_: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _last(windows_: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two pieces before each target (before the first one is the first itself), and the target."""
-    return windows_[row, np.maximum(col - 1, 0)], windows_[row, col], windows_[row, col + 1].astype(np.int64)
+    width = windows_.shape[1] - 1
+    row, flat = at // width, windows_.ravel()
+    place = at + row  # the window's inputs and its last target are width + 1 numbers
+    return flat.take(np.maximum(place - 1, row * (width + 1))), flat.take(place), flat.take(place + 1).astype(np.int64)
 
 
 def _seen_step(seen: np.ndarray) -> np.ndarray:
@@ -231,10 +240,10 @@ def fit_logits(cell: np.ndarray, n: np.ndarray, rounds: int = 400, rate: float =
 
 def histogram(model: Model, windows_: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The histogram's cell of every scored target, itself left out of the counts."""
-    row, col = _scored(windows_, first)
-    values = model.values(*_last(windows_, row, col), less=1)
+    at = _scored(windows_, first)
+    values = model.values(*_last(windows_, at), less=1)
     digits = [np.where(x > 0, np.clip(1 - np.log2(np.maximum(x, np.float32(1e-30)).astype(np.float32)) / 2, 1, s - 1).astype(np.int64), 0) for x, s in zip(values[:3], STEPS, strict=False)]
-    digits += [_seen_step(values[3]), *(np.minimum(m[row, col], s - 1) for m, s in zip(attend(windows_), STEPS[4:], strict=True))]
+    digits += [_seen_step(values[3]), *(np.minimum(m.ravel().take(at), s - 1) for m, s in zip(attend(windows_), STEPS[4:], strict=True))]
     return np.ravel_multi_index(digits, STEPS)
 
 
@@ -251,41 +260,53 @@ def _blocks(texts: list[bytes], cut: Pieces, most: int = 4096):
         yield held
 
 
+def pack(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Places below 65536 in order, as gaps, and counts: first all lowest bytes, then all next ones, which compress well."""
+    cells_ = np.empty(len(at), [("gap", "<u2"), ("n", "<u4")])
+    cells_["gap"], cells_["n"] = np.diff(at, prepend=0), n
+    return cells_.view(np.uint8).reshape(-1, 6).T.tobytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cells_ = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(6, -1).T).view([("gap", "<u2"), ("n", "<u4")])[:, 0]
+    return np.cumsum(cells_["gap"], dtype=np.int64), cells_["n"]
+
+
 def train(rows: DataFrame, vocabulary: str, total: int) -> Model:
     """A model from all rows (text) of training documents; total: their bytes, or more."""
 
     def count(batches):
-        cut, number = pieces(vocabulary), 0
+        cut = pieces(vocabulary)
         for batch in (part for big in batches for part in slices(big, 0, COUNT_BYTES)):
             streams = [cut.stream(t) for t in as_bytes(batch.column(0))]
             two = np.concatenate([np.r_[s[:1], s[:-2]] for s in streams])
             one, target = np.concatenate([s[:-1] for s in streams]), np.concatenate([s[1:] for s in streams]).astype(np.int64)
-            at, n = np.unique(np.concatenate([c.astype(np.int32) for c in cells(two, one, target)]), return_counts=True)
+            at, n = np.unique(np.concatenate([((row << 6) + col).astype(np.int32) for row, col in rows_of(two, one, target)]), return_counts=True)
             parts, begin = np.unique(at // PART, return_index=True)
             ends = [*begin.tolist(), len(at)]
-            number += 1
-            blobs = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] for x in ((at % PART).astype("<u2"), n.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["part", "at", "n"])
+            blobs = [pack(at[a:b] % PART, n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
 
     def add(table: pa.Table) -> np.ndarray:
         sums = np.zeros(PART, np.int64)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
-            sums[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        for counts in table.column("counts").to_pylist():
+            at, n = unpack(counts)
+            sums[at] += n
         return sums
 
     def some(table: pa.Table) -> pa.Table:
         sums = add(table)
         at = np.flatnonzero(sums)
-        return pa.table({"part": table.column("part")[:1], "at": pa.array([at.astype("<u2").tobytes()], pa.binary()), "n": pa.array([np.minimum(sums[at], 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([pack(at, np.minimum(sums[at], 2**32 - 1))], pa.binary())})
 
     def level(table: pa.Table) -> pa.Table:
         found = np.searchsorted(LEVELS, add(table), "right") - 1
         return pa.table({"part": table.column("part")[:1], "levels": pa.array([found.astype(np.uint8).tobytes()], pa.binary())})
 
-    sent, records = rows.mapInArrow(count, "part int, at binary, n binary"), -(-total // COUNT_BYTES)
+    sent, records = rows.mapInArrow(count, "part int, counts binary"), -(-total // COUNT_BYTES)
     while records > FAN * FAN:  # no task adds up more than some thousand records
         records = -(-records // FAN)
-        sent = sent.withColumn("salt", F.pmod(F.xxhash64("at", "n"), F.lit(records))).groupBy("part", "salt").applyInArrow(some, "part int, at binary, n binary")
+        sent = sent.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(records))).groupBy("part", "salt").applyInArrow(some, "part int, counts binary")
     levels = np.zeros(-(-CELLS // PART) * PART, np.uint8)
     for r in sent.groupBy("part").applyInArrow(level, "part int, levels binary").toLocalIterator():  # CELLS bytes in all
         levels[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["levels"], np.uint8)
@@ -337,31 +358,39 @@ def lm_scores(docs: DataFrame, training: Column, vocabulary: str, id_col: str =
         counts = np.bincount(number, np.append(np.repeat(train_, made.n_words), train_.sum()), len(words)).astype(np.int64)
         return pa.table({"bucket": pa.repeat(table.column("bucket")[0], len(words)), "word": pa.array(words.view(np.int64)), "n": pa.array(counts)})
 
+    def result(ids, *columns) -> pa.Table:
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+        return pa.table([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:  # no document came into this bucket
+            return result(table.column("id"), *[[]] * 5)
         texts, made, words, number = words_of(table)
         counts = np.zeros(len(words), np.int64)
+        size = answers.filter(pc.is_valid(answers.column("types")))
+        n, v = size.column("n")[0].as_py(), size.column("types")[0].as_py()
+        answers = answers.filter(pc.is_null(answers.column("types")))
         counts[np.searchsorted(words, answers.column("word").to_numpy().view(np.uint64))] = answers.column("n").to_numpy()
-        n, v = answers.column("tokens")[0].as_py(), answers.column("types")[0].as_py()
         of, end = counts[number[:-1]], int(counts[number[-1]])
         text = np.repeat(np.arange(len(texts)), made.n_words)
         logs = np.bincount(text, np.log10(of + 1.0), len(texts)) + np.log10(end + 1.0)
         known = np.bincount(text, of > 0, len(texts)).astype(np.int64) + (end > 0)
         tokens = made.n_words + 1
         base = logs - tokens * np.log10(n + v + 1.0)
-        return pa.table([table.column("id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base), pa.array(attention(texts))], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return result(table.column("id"), tokens, known, np.full(len(texts), n), base, attention(texts))
 
     def attention(texts: list[bytes]) -> np.ndarray:
         """log10 chances of the texts."""
         out, cut = [], pieces(vocabulary)
         for held in _blocks(texts, cut):
             w, first, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [len(h[1]) for h in held]
-            text = np.repeat(np.repeat(np.arange(len(held)), sizes), ((w[:, 1:] >= 0) & (np.arange(WINDOW) >= first[:, None])).sum(axis=1))
+            text = np.repeat(np.arange(len(held)), sizes)[_scored(w, first) // WINDOW]
             logs = np.concatenate([shared.value.log_chances(w[k : k + 4096], first[k : k + 4096]) for k in range(0, len(w), 4096)])
             out.append(np.bincount(text, logs, len(held)))
         return np.concatenate(out) / np.log(10) if out else np.zeros(0)
 
     sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, word long, n long").repartition("word")
     totals = sent.groupBy("word").agg(F.sum("n").alias("n"))
-    sizes = totals.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types"))
-    answers = sent.select("bucket", "word").join(totals, "word").crossJoin(F.broadcast(sizes))  # sizes is one row
+    sizes = totals.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("types")).select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(0).cast("long").alias("word"), "n", "types")  # a row a bucket
+    answers = sent.select("bucket", "word").join(totals, "word").select("bucket", "word", "n", F.lit(None).cast("long").alias("types")).unionByName(sizes)
     return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
