@@ -9,11 +9,12 @@ among its first WINDOW words, whose suffix goes on for LEAST - WINDOW + 1 words
    that agree with it longest to the right. It is compared with its nearest neighbours of another
    document before and after, and matches are extended left and right by the words around.
 3. The nearest to the right need not agree most to the left. So windows of LEAST words around a suffix that the
-   farthest agreement to the right and to the left allow, but that no match covers, are left open. The
-   suffixes with the same key send their hashes of such windows, and those of two documents are matches
-   too. Where a key's suffixes may go on in another partition, all their windows are sent.
+   farthest agreement to the right and to the left allow, but that no match covers, are left open. For
+   the suffixes with that key, a partition claims each hash of such windows once, with two of its
+   documents; open windows that two documents claim are matches too. Where a key's suffixes may go on in
+   another partition, all windows that the agreement to the right allows are claimed.
 
-The sort also goes by document and place and the last grouping combines before it shuffles, so a very
+The sort also goes by document and place and claims are combined before they are shuffled, so a very
 common passage spreads over many partitions.
 """
 
@@ -121,15 +122,15 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted suffixes: the nearest one before and after with another document and the same key, or -1."""
+    """Of sorted suffixes: the nearest one before and after with another document and the same key; -1 if there is none, -2 if another partition may have it."""
     n = len(key)
     new = np.ones(n + 1, bool)
     new[1:n] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     edge = np.flatnonzero(new)
     run = np.cumsum(new[:n]) - 1
     before, after = edge[run] - 1, edge[run + 1]
-    before = np.where((before >= 0) & (key[np.maximum(before, 0)] == key), before, -1)
-    after = np.where((after < n) & (key[np.minimum(after, n - 1)] == key), after, -1)
+    before = np.where(before < 0, -2, np.where(key[np.maximum(before, 0)] == key, before, -1))
+    after = np.where(after >= n, -2, np.where(key[np.minimum(after, n - 1)] == key, after, -1))
     return before, after
 
 
@@ -185,6 +186,7 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int =
             has = np.flatnonzero(near >= 0)
             r, l = _same(right[has], right[near[has]]), _same(left[has], left[near[has]])
             most["right"][has] = np.maximum(most["right"][has], r)
+            most["right"][near == -2] = reach
             covered[has] |= (back <= l[:, None]) & (back >= (reach - r)[:, None])
             good = l + width + r >= least
             out.append((has[good], near[has][good], place[has][good] - l[good], place[has][good] + width + r[good]))
@@ -193,21 +195,28 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int =
         for near in _neighbours(key[by_left], doc[by_left]):
             has = np.flatnonzero(near >= 0)
             most["left"][by_left[has]] = np.maximum(most["left"][by_left[has]], _same(left[by_left[has]], left[by_left[near[has]]]))
+        most["left"][(key == key[0]) | (key == key[-1])] = reach  # these keys may go on elsewhere
+        possible = (back >= (reach - np.minimum(most["right"], (right != 0).sum(axis=1)))[:, None]) & (back <= np.minimum(most["left"], (left != 0).sum(axis=1))[:, None])
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        wanted = np.logical_or.reduceat(~covered & (back >= (reach - most["right"])[:, None]) & (back <= most["left"][:, None]), starts)
-        wanted[[0, -1]] = True  # the first and the last key may go on elsewhere
-        fits = (back <= (left != 0).sum(axis=1)[:, None]) & (back >= (reach - (right != 0).sum(axis=1))[:, None])
-        row, col = np.nonzero(np.repeat(wanted, np.diff(np.r_[starts, len(key)]), axis=0) & fits)
+        wanted = np.logical_or.reduceat(possible & ~covered, starts)
+        wanted[[0, -1]] = True
+        row, col = np.nonzero(np.repeat(wanted, np.diff(np.r_[starts, len(key)]), axis=0) & possible)
         some, number = np.unique(row, return_inverse=True)
         hashes = _window_hashes(key[some].view(np.uint64), right[some], left[some])[number, col].view(np.int64)
-        columns = [column.take(pa.array(np.append(own, row))), pa.concat_arrays([column.take(pa.array(other)), pa.nulls(len(row), column.type)]), np.append(start, place[row] - col), np.append(end, np.full(len(row), -1)), np.append(np.zeros(len(own), np.int64), hashes)]
-        yield pa.RecordBatch.from_arrays([*columns[:2], *map(pa.array, columns[2:])], names=["id", "other", "start", "end", "window"])
+        open_ = ~covered[row, col]
+        by_window = np.lexsort((doc[row], hashes))
+        new = np.flatnonzero(np.r_[True, hashes[by_window][1:] != hashes[by_window][:-1]]) if len(row) else by_window
+        claim = by_window[np.unique(np.r_[new, new[1:] - 1, np.full(min(1, len(row)), len(row) - 1)].astype(np.int64))]  # the first and the last document of each
+        rows_, none = np.r_[own, row[open_], row[claim]], pa.nulls(int(open_.sum()) + len(claim), column.type)
+        zero = np.zeros(len(claim), np.int64)
+        numbers = np.r_[start, (place[row] - col)[open_], zero], np.r_[end, np.full(int(open_.sum()), -1), zero - 2], np.r_[np.zeros(len(own), np.int64), hashes[open_], hashes[claim]]
+        yield pa.RecordBatch.from_arrays([column.take(pa.array(rows_)), pa.concat_arrays([column.take(pa.array(other)), none]), *map(pa.array, numbers)], names=["id", "other", "start", "end", "window"])
 
     made = checkpoint(ranged.mapInArrow(compare, f"id {kind}, other {kind}, start long, end long, window long"))
-    open_ = made.where("end < 0").select("window", "id", "start").distinct()
-    twice = open_.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).where("low <> high OR (nulls > 0 AND low IS NOT NULL)")
+    twice = made.where("end = -2").groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).where("low <> high OR (nulls > 0 AND low IS NOT NULL)")
     other = F.when(F.col("id").eqNullSafe(F.col("low")), F.when(F.col("low") != F.col("high"), F.col("high"))).otherwise(F.col("low"))
-    found = made.where("end >= 0").select("id", "other", "start", "end").unionByName(open_.join(twice, "window").select("id", other.alias("other"), "start", (F.col("start") + least).alias("end")))
+    late = made.where("end = -1").select("window", "id", "start").join(twice, "window").select("id", other.alias("other"), "start", (F.col("start") + least).alias("end"))
+    found = made.where("end >= 0").select("id", "other", "start", "end").unionByName(late)
 
     def unite(batches):
         for batch in batches:
