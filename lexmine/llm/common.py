@@ -1,15 +1,15 @@
-"""Small helpers shared by the text operators: ASCII-space words, hashes, checkpoints."""
+"""Small helpers shared by the text operators: ASCII-space words, hashes."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lexmine.sources.shared import checkpoint  # noqa: F401
+
 #: The characters that end a word: space and U+0009 to U+000D (what bytes.split() splits at).
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,18 +34,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that all executors share (spark.checkpoint.dir).
-
-    A folder of our own is set only where neither the session nor the context names one, as in tests.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,40 +64,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BASE = np.uint64(0xD1342543DE82EF95)
+INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+
+
+_made: dict[int, np.ndarray] = {}
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """Powers from 0 to n - 1; kept for the next texts up to a few million."""
+    known = _made.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= 1 << 22:
+            _made[int(base)] = known
+    return known[:n]
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of a text, by sums of powers over its bytes, and where the words start."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of a text, by sums of powers over its bytes, and where the words start and end."""
     raw = np.frombuffer(text, np.uint8)
     space = np.ones(len(raw) + 2, bool)
     space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
     start = np.flatnonzero(space[:-1] & ~space[1:])
     end = np.flatnonzero(~space[:-1] & space[1:])
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * _powers(_BASE, len(raw)), out=total[1:])
+    np.cumsum(BYTES[raw] * powers(BASE, len(raw)), out=total[1:])
     size = (end - start).astype(np.uint64)
-    return mix((total[end] - total[start]) * _powers(_INVERSE, len(raw) + 1)[start] + size), start
+    return mix((total[end] - total[start]) * powers(INVERSE, len(raw) + 1)[start] + size), start, end
 
 
 class Texts:
-    """The words of many texts in one row: their hashes, and where each text's words begin."""
+    """The words of many texts in one row: their hashes, where they start and end in raw, and where each text's words begin."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        self.hash, at = word_hashes(b"\n".join(texts))
+        self.raw = b"\n".join(texts)
+        self.hash, self.start, self.end = word_hashes(self.raw)
         ends = np.cumsum(sizes)
-        self.first = np.searchsorted(at, np.concatenate([[0], ends])) if len(texts) else np.zeros(1, np.int64)
+        self.first = np.searchsorted(self.start, np.concatenate([[0], ends])) if len(texts) else np.zeros(1, np.int64)
         self.n_words = np.diff(self.first)
 
     def windows(self, width: int, base: int = 0xA0761D6478BD642F) -> tuple[np.ndarray, np.ndarray]:

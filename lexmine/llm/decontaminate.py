@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmine.llm.common import Texts, as_bytes, mix, slices
 
@@ -185,6 +186,7 @@ def contaminated(
     gives an empty result.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, item_id {item_kind}, score double, start_word long, end_word long"
     out = None
     for shared in _blocks(docs, benchmark, least, item_col, item_text, text_col, block_bytes):
@@ -193,7 +195,7 @@ def contaminated(
             for batch in (part for big in batches for part in slices(big, 1)):
                 block = shared.value
                 found = matches(as_bytes(batch.column(1)), block, least)
-                item_ids = pa.array([block.ids[m[1]] for m in found], pa.int64() if item_kind == "bigint" else None)
+                item_ids = pa.array([block.ids[m[1]] for m in found], item_type)
                 columns = [batch.column(0).take(pa.array([m[0] for m in found], pa.int64())), item_ids, pa.array([m[2] / len(block.words[m[1]]) for m in found], pa.float64()), *(pa.array([m[k] for m in found], pa.int64()) for k in (3, 4))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "item_id", "score", "start_word", "end_word"])
 

@@ -12,7 +12,7 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, m): every node u of the edges (u, v) that isn't the smallest of its component, and that smallest node m.
 
     Alternates two steps until nothing changes: every node hangs its larger neighbours below its
@@ -21,7 +21,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = checkpoint(now), None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,6 +31,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = checkpoint(small)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
-            break
+            return now.select("u", F.col("v").alias("m"))
         before = state
-    return now.select("u", F.col("v").alias("m"))

@@ -25,9 +25,13 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     Lines end at "\\n". Lines without a word stay and take no part. A window's first place is the one
     with the smallest (id, hash of the text, line). Rows equal in id and text count as one document and
     get the same text. Null ids are a value like others (the smallest). A null text stays null with 0
-    lines; one with fewer than three lines stays as it is. Columns keep their names and order; an empty
-    table gives an empty result.
+    lines; one with fewer than three lines stays as it is. Columns keep their names and order, whatever they
+    are called; only columns named ld_lines or ld_removed give way to the new ones. An empty table gives an
+    empty result.
     """
+    names = [c for c in docs.columns if c not in ("ld_lines", "ld_removed")]
+    docs = docs.select([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     plain = (
         docs.select(F.col(id_col).alias("ld_id"), text_key(F.col(text_col)).alias("ld_text"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("ld_all"))
         .withColumn("ld_full", F.filter("ld_all", has_word))
@@ -53,7 +57,7 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     stay = F.array_except(F.sequence(F.lit(0), F.size("ld_all") - 1), F.col("ld_gone"))
     text = F.concat_ws("\n", let(F.col("ld_all"), lambda lines: F.transform(stay, lambda i: F.get(lines, i))))
     return parts.select(
-        *[(F.when(F.col("ld_starts").isNull(), F.col(text_col)).otherwise(text).alias(c) if c == text_col else F.col(c)) for c in docs.columns],
+        *[(F.when(F.col("ld_starts").isNull(), F.col(text_col)).otherwise(text) if c == text_col else F.col(c)).alias(name) for c, name in zip(docs.columns, names, strict=True)],
         F.size("ld_full").cast("long").alias("ld_lines"),
         F.size("ld_gone").cast("long").alias("ld_removed"),
     )

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import Texts, as_bytes, partitions, slices
+from lexmine.llm.common import BASE, BYTES, INVERSE, Texts, as_bytes, mix, partitions, powers, slices
 from lexmine.llm.token_counts import byte_of_symbol
 
 #: Pieces are the first so many of the vocabulary's (and a mark for a word's end); classes and places in a class.
@@ -45,9 +45,9 @@ WINDOW, CONTEXT = 32, 8
 #: Bits of the row numbers of the memories: two pieces, two pieces and a class, a piece, a piece and a class.
 ROW_BITS = (17, 19, 12, 16)
 #: Cells of counts that one record holds; records that one task adds up; text bytes counted at once.
-PART, FAN, COUNT_BYTES = 1 << 16, 64, 8_000_000
-#: Text bytes of a bucket, and words that a worker remembers.
-BUCKET_BYTES, MEMO = 8_000_000, 1_000_000
+PART, FAN, COUNT_BYTES = 1 << 16, 64, 4_000_000
+#: Text bytes of a bucket; bits of the table of pieces; bytes of a word that is cut by itself.
+BUCKET_BYTES, TABLE_BITS, LONG = 8_000_000, 20, 40
 #: A word that no text has: the end of a text.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Counts are kept as one of 256 levels: exact up to 20, then steps of a tenth.
@@ -72,33 +72,91 @@ class Pieces:
             if len(found) < most and all(c in symbol for c in body):
                 found.setdefault(bytes(symbol[c] for c in body) + (b" " if end else b""), len(found))
         self.start, self.stop, self.size = len(found), len(found) + 1, len(found) + 2
-        self.begins = {p[:k] for p in found for k in range(1, len(p) + 1)}
-        self.memo: dict[bytes, bytes] = {}
         self.numbers = found
-
-    def cut(self, word: bytes) -> list[int]:
-        out, i, n = [], 0, len(word)
-        begins, numbers = self.begins, self.numbers
-        while i < n:
-            best, j = 1, i + 1
-            while j <= n and (part := word[i:j]) in begins:
-                if part in numbers:
-                    best = j - i
-                j += 1
-            out.append(numbers[word[i : i + best]])
-            i += best
-        return out
-
-    def stream(self, text: bytes) -> np.ndarray:
-        """Piece numbers of a text from START to STOP."""
-        words = text.lower().split()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        for w in set(words).difference(memo):
-            memo[w] = np.array(self.cut(w + b" "), "<u2").tobytes()
-        mark = [np.array([x], "<u2").tobytes() for x in (self.start, self.stop)]
-        return np.frombuffer(b"".join([mark[0], *map(memo.__getitem__, words), mark[1]]), "<u2")
+        #: Numbers of the single bytes, and the longest piece that begins with two bytes.
+        self.single, self.reach = np.array([found[bytes([b])] for b in range(256)], np.int64), np.ones(1 << 16, np.uint8)
+        for p in found:
+            if len(p) > 1:
+                self.reach[p[0] << 8 | p[1]] = max(self.reach[p[0] << 8 | p[1]], len(p))
+        #: Pieces by hash: a table of places by its first bits, another by its last bits for those that share a place, and the whole hash.
+        self.hash = np.array([_span_hash(np.frombuffer(p, np.uint8)) for p in found], np.uint64)
+        self.tables = [np.zeros(1 << TABLE_BITS, np.uint16) for _ in range(2)]
+        self.tables[0][self.hash >> np.uint64(64 - TABLE_BITS)] = np.arange(len(found))
+        lost = np.flatnonzero(self.tables[0][self.hash >> np.uint64(64 - TABLE_BITS)] != np.arange(len(found)))
+        self.tables[1][self.hash[lost] % np.uint64(1 << TABLE_BITS)] = lost
+        if len(lost) != len(np.unique(self.hash[lost] % np.uint64(1 << TABLE_BITS))):
+            raise ValueError("pieces share a place in both tables")
+
+    def _find(self, hash_: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or -1."""
+        number = self.tables[0].take((hash_ >> np.uint64(64 - TABLE_BITS)).astype(np.int64)).astype(np.int64)
+        other = np.flatnonzero(self.hash.take(number) != hash_)
+        second = self.tables[1].take((hash_[other] % np.uint64(1 << TABLE_BITS)).astype(np.int64)).astype(np.int64)
+        number[other] = np.where(self.hash.take(second) == hash_[other], second, -1)
+        return number
+
+    def longest(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and size of the longest piece at every place of words that each end in a space."""
+        number, size = self.single[raw], np.ones(len(raw), np.int64)
+        total, inverse = _sums(raw), powers(INVERSE, len(raw) + 1)
+        reach = np.append(self.reach[raw[:-1].astype(np.int64) << 8 | raw[1:]], 1) if len(raw) else np.ones(1, np.uint8)
+        for k in range(2, int(self.reach.max()) + 1):
+            at = np.flatnonzero(reach[: max(0, len(raw) - k + 1)] >= k)
+            found = self._find(mix((total[at + k] - total[at]) * inverse[at] + np.uint64(k)))
+            good = found >= 0
+            number[at[good]], size[at[good]] = found[good], k
+        return number, size
+
+    def cut_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of many words, one after another, and how many each has; a step takes the next piece of all words that aren't long."""
+        raw = np.frombuffer(b" ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8)
+        number, size = self.longest(raw)
+        end = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
+        begin = np.concatenate([[0], end[:-1]]).astype(np.int64)
+        count, live, place, steps = np.zeros(len(words), np.int64), np.flatnonzero(end - begin <= LONG), begin.copy(), []
+        while len(live):
+            steps.append((live, number[place[live]]))
+            count[live] += 1
+            place[live] += size[place[live]]
+            live = live[place[live] < end[live]]
+        long_ = []
+        for w in np.flatnonzero(end - begin > LONG).tolist():
+            at, step = [0], size[begin[w] : end[w]].tolist()
+            while at[-1] < len(step):
+                at.append(at[-1] + step[at[-1]])
+            long_.append((w, number[begin[w] + np.array(at[:-1])]))
+            count[w] = len(at) - 1
+        flat, first = np.empty(int(count.sum()), np.uint16), np.cumsum(count) - count
+        for k, (live, own) in enumerate(steps):
+            flat[first[live] + k] = own
+        for w, own in long_:
+            flat[first[w] : first[w] + len(own)] = own
+        return flat, count
+
+    def stream(self, made: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of lowered texts from START to STOP, one text after another, and how many each text has."""
+        _, first, number = np.unique(made.hash, return_index=True, return_inverse=True)
+        flat, count = self.cut_all([made.raw[a:b] for a, b in zip(made.start[first].tolist(), made.end[first].tolist(), strict=True)])
+        own = count[number]
+        at = np.repeat((np.cumsum(count) - count)[number] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        text = np.repeat(np.arange(len(made.n_words)), made.n_words)
+        sizes = np.bincount(text, own, len(made.n_words)).astype(np.int64) + 2
+        out = np.empty(int(sizes.sum()), np.uint16)
+        ends = np.cumsum(sizes)
+        out[ends - sizes], out[ends - 1] = self.start, self.stop
+        out[np.arange(len(at)) + np.repeat(2 * text + 1, own)] = flat[at]
+        return out, sizes
+
+
+def _sums(raw: np.ndarray) -> np.ndarray:
+    """Sums of powers over the bytes before each place: what lies between two places has a hash that doesn't depend on where it is."""
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTES[raw] * powers(BASE, len(raw)), out=out[1:])
+    return out
+
+
+def _span_hash(piece: np.ndarray) -> np.uint64:
+    return mix(_sums(piece)[-1:] + np.uint64(len(piece)))[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -106,16 +164,22 @@ def pieces(path: str, most: int = PIECES) -> Pieces:
     return Pieces(path, most)
 
 
-def windows(stream: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of window + 1 numbers (inputs and, one further, targets; -1 beyond the end), and the first target of each that it scores."""
-    n = len(stream) - 1  # targets
-    count = 1 + max(0, -(-(n - window) // (window - context)))
-    at = np.arange(count) * (window - context)
-    whole = np.full(at[-1] + window + 1, -1, np.int16)
-    whole[: n + 1] = stream
-    first = np.full(count, context)
-    first[0] = 0
-    return whole[at[:, None] + np.arange(window + 1)], first
+class Windows:
+    """Windows of a stream of texts: WINDOW inputs and, one further, targets (-1 beyond the text's end), of which each text's later windows score all but the first CONTEXT."""
+
+    def __init__(self, stream: np.ndarray, sizes: np.ndarray, window: int = WINDOW, context: int = CONTEXT):
+        count = 1 + np.maximum(0, -(-(sizes - 1 - window) // (window - context)))
+        self.stream, self.width = stream.astype(np.int16), window
+        self.text = np.repeat(np.arange(len(sizes)), count)
+        number = np.arange(len(self.text)) - np.repeat(np.cumsum(count) - count, count)
+        self.at, self.end = (np.cumsum(sizes) - sizes)[self.text] + number * (window - context), np.cumsum(sizes)[self.text]
+        self.first = np.where(number > 0, context, 0)
+
+    def blocks(self, most: int = 4096):
+        """Windows, first scored targets and texts' numbers, most windows at once."""
+        for k in range(0, len(self.at), most):
+            at = self.at[k : k + most, None] + np.arange(self.width + 1)
+            yield np.where(at < self.end[k : k + most, None], self.stream.take(np.minimum(at, len(self.stream) - 1)), np.int16(-1)), self.first[k : k + most], self.text[k : k + most]
 
 
 def _row(x: np.ndarray, bits: int) -> np.ndarray:
@@ -247,19 +311,6 @@ def histogram(model: Model, windows_: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.ravel_multi_index(digits, STEPS)
 
 
-def _blocks(texts: list[bytes], cut: Pieces, most: int = 4096):
-    """Windows of many texts, some thousands at once, and the number of windows of each text."""
-    held, count = [], 0
-    for text in texts:
-        held.append(windows(cut.stream(text)))
-        count += len(held[-1][1])
-        if count >= most:
-            yield held
-            held, count = [], 0
-    if held:
-        yield held
-
-
 def pack(at: np.ndarray, n: np.ndarray) -> bytes:
     """Places below 65536 in order, as gaps, and counts: first all lowest bytes, then all next ones, which compress well."""
     cells_ = np.empty(len(at), [("gap", "<u2"), ("n", "<u4")])
@@ -278,9 +329,11 @@ def train(rows: DataFrame, vocabulary: str, total: int) -> Model:
     def count(batches):
         cut = pieces(vocabulary)
         for batch in (part for big in batches for part in slices(big, 0, COUNT_BYTES)):
-            streams = [cut.stream(t) for t in as_bytes(batch.column(0))]
-            two = np.concatenate([np.r_[s[:1], s[:-2]] for s in streams])
-            one, target = np.concatenate([s[:-1] for s in streams]), np.concatenate([s[1:] for s in streams]).astype(np.int64)
+            stream, sizes = cut.stream(Texts([t.lower() for t in as_bytes(batch.column(0))]))
+            begins = np.zeros(len(stream), bool)
+            begins[np.cumsum(sizes) - sizes] = True
+            target = np.flatnonzero(~begins)
+            two, one, target = stream[target - np.where(begins[target - 1], 1, 2)], stream[target - 1], stream[target].astype(np.int64)
             at, n = np.unique(np.concatenate([((row << 6) + col).astype(np.int32) for row, col in rows_of(two, one, target)]), return_counts=True)
             parts, begin = np.unique(at // PART, return_index=True)
             ends = [*begin.tolist(), len(at)]
@@ -316,9 +369,8 @@ def train(rows: DataFrame, vocabulary: str, total: int) -> Model:
     def tell(batches):
         cut = pieces(vocabulary)
         for batch in (part for big in batches for part in slices(big, 0)):
-            found = []
-            for held in _blocks(as_bytes(batch.column(0)), cut):
-                found.append(histogram(shared.value, *(np.concatenate([h[k] for h in held]) for k in range(2))))
+            windows_ = Windows(*cut.stream(Texts([t.lower() for t in as_bytes(batch.column(0))])))
+            found = [histogram(shared.value, w, first) for w, first, _ in windows_.blocks()]
             if found:
                 cell, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
@@ -327,6 +379,7 @@ def train(rows: DataFrame, vocabulary: str, total: int) -> Model:
     if told:
         cell, n = (np.array([r[k] for r in sorted(told)], np.int64) for k in ("cell", "n"))
         model = Model(model.levels, fit_logits(cell, n.astype(float)))
+    shared.destroy()
     return model
 
 
@@ -346,14 +399,13 @@ def lm_scores(docs: DataFrame, training: Column, vocabulary: str, id_col: str =
     buckets = max(partitions(docs.sparkSession), -(-total // bucket_bytes))
     dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "id", "text", "train").repartition("bucket")
 
-    def words_of(table: pa.Table) -> tuple[list[bytes], Texts, np.ndarray, np.ndarray]:
-        """Texts, their words, the bucket's distinct words (END too), and each word's number in those."""
-        texts = [t.lower() for t in as_bytes(table.column("text"))]
-        made = Texts(texts)
-        return texts, made, *np.unique(np.append(made.hash, END), return_inverse=True)
+    def words_of(table: pa.Table) -> tuple[Texts, np.ndarray, np.ndarray]:
+        """The words of the texts, the bucket's distinct ones (END too), and each word's number in those."""
+        made = Texts([t.lower() for t in as_bytes(table.column("text"))])
+        return made, *np.unique(np.append(made.hash, END), return_inverse=True)
 
     def send(table: pa.Table) -> pa.Table:
-        _, made, words, number = words_of(table)
+        made, words, number = words_of(table)
         train_ = np.array(table.column("train").to_pylist(), np.int64)
         counts = np.bincount(number, np.append(np.repeat(train_, made.n_words), train_.sum()), len(words)).astype(np.int64)
         return pa.table({"bucket": pa.repeat(table.column("bucket")[0], len(words)), "word": pa.array(words.view(np.int64)), "n": pa.array(counts)})
@@ -365,29 +417,27 @@ def lm_scores(docs: DataFrame, training: Column, vocabulary: str, id_col: str =
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:  # no document came into this bucket
             return result(table.column("id"), *[[]] * 5)
-        texts, made, words, number = words_of(table)
+        made, words, number = words_of(table)
+        n_texts = table.num_rows
         counts = np.zeros(len(words), np.int64)
         size = answers.filter(pc.is_valid(answers.column("types")))
         n, v = size.column("n")[0].as_py(), size.column("types")[0].as_py()
         answers = answers.filter(pc.is_null(answers.column("types")))
         counts[np.searchsorted(words, answers.column("word").to_numpy().view(np.uint64))] = answers.column("n").to_numpy()
         of, end = counts[number[:-1]], int(counts[number[-1]])
-        text = np.repeat(np.arange(len(texts)), made.n_words)
-        logs = np.bincount(text, np.log10(of + 1.0), len(texts)) + np.log10(end + 1.0)
-        known = np.bincount(text, of > 0, len(texts)).astype(np.int64) + (end > 0)
+        text = np.repeat(np.arange(n_texts), made.n_words)
+        logs = np.bincount(text, np.log10(of + 1.0), n_texts) + np.log10(end + 1.0)
+        known = np.bincount(text, of > 0, n_texts).astype(np.int64) + (end > 0)
         tokens = made.n_words + 1
         base = logs - tokens * np.log10(n + v + 1.0)
-        return result(table.column("id"), tokens, known, np.full(len(texts), n), base, attention(texts))
+        return result(table.column("id"), tokens, known, np.full(n_texts, n), base, attention(made))
 
-    def attention(texts: list[bytes]) -> np.ndarray:
+    def attention(made: Texts) -> np.ndarray:
         """log10 chances of the texts."""
-        out, cut = [], pieces(vocabulary)
-        for held in _blocks(texts, cut):
-            w, first, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [len(h[1]) for h in held]
-            text = np.repeat(np.arange(len(held)), sizes)[_scored(w, first) // WINDOW]
-            logs = np.concatenate([shared.value.log_chances(w[k : k + 4096], first[k : k + 4096]) for k in range(0, len(w), 4096)])
-            out.append(np.bincount(text, logs, len(held)))
-        return np.concatenate(out) / np.log(10) if out else np.zeros(0)
+        out = np.zeros(len(made.n_words))
+        for w, first, text in Windows(*pieces(vocabulary).stream(made)).blocks():
+            out += np.bincount(text[_scored(w, first) // WINDOW], shared.value.log_chances(w, first), len(out))
+        return out / np.log(10)
 
     sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, word long, n long").repartition("word")
     totals = sent.groupBy("word").agg(F.sum("n").alias("n"))

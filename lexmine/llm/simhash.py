@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import as_bytes, checkpoint, text_key
+from lexmine.llm.common import as_bytes, checkpoint, partitions, text_key
 from lexmine.llm.graph import components
 
 #: Bits that linked fingerprints may differ in, words in a shingle, seed of the hash.
@@ -52,14 +52,14 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) per row of docs."""
+    """(id, key long, fp long) per row of docs; key is the text's hash."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [fingerprint(t) for t in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["id", "key", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.select(id_col, text_key(F.col(text_col)), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, key long, fp long")
 
 
 def bit_groups(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -169,6 +169,7 @@ def near_pairs(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int)
 def clusters(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, m) for the distinct fingerprints fp: m is the same for all that are linked over any number of links."""
     keys = F.transform(F.lit(_flips(list(range(BITS)), 1)).cast("array<bigint>"), lambda x: F.col("fp").bitwiseXOR(x))
+    fps = fps.repartition(4 * partitions(fps.sparkSession), "fp")  # fingerprints are small, but not what they become
     met = fps.select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     first = components(met.select(F.explode("all").alias("u"), "v"))
     some = checkpoint(fps.join(first, fps["fp"] == first["u"], "left").select("fp", F.coalesce("m", "fp").alias("m")))
@@ -176,6 +177,15 @@ def clusters(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return some.join(second, some["m"] == second["u"], "left").select("fp", F.coalesce(second["m"], some["m"]).alias("m"))
 
 
+def _components(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, fp, component_id) per row of docs."""
+    made = checkpoint(fingerprints(docs, id_col, text_col))
+    groups = clusters(made.select("fp").distinct(), radius)
+    lowest = made.groupBy("fp").agg(F.min("id").alias("low")).join(groups, "fp")
+    named = groups.join(lowest.groupBy("m").agg(F.min("low").alias("component_id")), "m").select("fp", "component_id")
+    return made.join(named, "fp")
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (the smallest id linked with it, itself included).
 
@@ -184,15 +194,15 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc
     rows are kept, and null ids too; a component of null ids alone has a null component_id. Other
     columns are not read. An empty table gives an empty result.
     """
-    made = checkpoint(fingerprints(docs, id_col, text_col))
-    groups = clusters(made.select("fp").distinct(), radius)
-    lowest = made.groupBy("fp").agg(F.min("id").alias("low")).join(groups, "fp")
-    named = groups.join(lowest.groupBy("m").agg(F.min("low").alias("component_id")), "m").select("fp", "component_id")
-    return made.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _components(docs, radius, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a smaller id in their component; columns stay as they are."""
-    found = simhash_components(docs, radius, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("sh_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["sh_id"]), "left_semi")
+    """docs without those that have a smaller id in their component; columns stay as they are, whatever they are called.
+
+    A row is judged by its id and text: of two texts with one id each goes by its own component. Rows equal in
+    both are one document and stay or go together. Null ids stay only in components of null ids.
+    """
+    found = _components(docs, radius, id_col, text_col)
+    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["kept_id"]) & (text_key(docs[text_col]) == keep["kept_key"]), "left_semi")

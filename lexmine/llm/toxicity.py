@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lexmine.llm.common import as_bytes
 
-#: Labelled rows that are learned from at most (those with the smallest hash), features kept at most, and words that a worker remembers.
-SAMPLE, FEATURES, MEMO = 4000, 20_000, 1_000_000
+#: Labelled rows that are learned from at most (those with the smallest hash), and words that a worker remembers.
+SAMPLE, MEMO = 4000, 1_000_000
 #: Letters in the prefixes that count as features; the least toxic documents of a feature; evidence of a labelled token.
 PREFIXES, LEAST_DOCS, STRONG = (4, 5, 6, 7), 4, 1.5
 
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_bad, n_good = rows.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     counts = rows.select("t", "y").mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1)) - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    kept = counts.where(F.col("bad") >= LEAST_DOCS).withColumn("w", odds).where("w > 0").orderBy(F.desc("w"), "f").limit(FEATURES).collect()
+    kept = counts.where(F.col("bad") >= LEAST_DOCS).withColumn("w", odds).where("w > 0").collect()  # of the sample's words
     model = Model({r["f"]: r["w"] for r in kept}, np.zeros(6), np.array([-4.0, 0, 0, 0]), {})
     if not n_bad:
         return model
