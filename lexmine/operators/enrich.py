@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexmine.functions import text as T
 from lexmine.functions import udfs
 from lexmine.functions.fuzzy import weighted_ratio
+from lexmine.sources.shared import checkpoint
 
 #: Attempts at a batch; the version that cache keys begin with.
 ATTEMPTS, VERSION = 5, "v5"
@@ -45,17 +46,43 @@ def violations(item: Column) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
 
 
-def enrich(targets: DataFrame, cache: DataFrame, infer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> tuple[DataFrame, DataFrame]:
+def enrich(targets: DataFrame, cache: DataFrame, infer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], good: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """PIP15. targets (id, target, sentence) with value, and the rows to append to the cache (key, value).
 
-    Only keys that the cache lacks go to infer (key, target, sentence to key, value), each once;
-    nothing is called when all are known. infer retries in itself (see retried).
+    A cached value counts if good(value, target) says so; all if good is None. Only keys without one go to infer
+    (key, target, sentence to key, value), each once; nothing is called when all are known. infer retries in
+    itself (see retried). What it answered is written down before it is used, so result and cache agree
+    and nothing is asked twice. An answer that isn't good has no value and isn't put into the cache.
     """
+    fine = (lambda v, t: F.lit(True)) if good is None else good
     keyed = targets.withColumn("key", cache_key(F.col("target"), F.col("sentence")))
-    known = latest_cache(cache)
-    misses = keyed.select("key", "target", "sentence").dropDuplicates(["key"]).join(known, "key", "left_anti")
-    made = misses.mapInPandas(infer, "key string, value string")
-    return keyed.join(known.unionByName(made), "key", "left"), made
+    asked = keyed.select("key", "target", "sentence").dropDuplicates(["key"])
+    known = asked.select("key", "target").join(latest_cache(cache), "key").where(F.coalesce(fine(F.col("value"), F.col("target")), F.lit(False))).select("key", "value")
+    made = checkpoint(asked.join(known, "key", "left_anti").mapInPandas(infer, "key string, value string"))
+    new = made.join(asked.select("key", "target"), "key").where(F.coalesce(fine(F.col("value"), F.col("target")), F.lit(False))).select("key", "value")
+    return keyed.join(known.unionByName(new), "key", "left"), new
+
+
+#: The shape of an item in a model's answer.
+ITEM = "explanation string, translations array<string>, replacement string, alternatives array<string>"
+
+
+def item_of(value: Column) -> Column:
+    """FUN36. The item in an answer's text, with or without a code fence around it; null if it isn't one."""
+    return F.from_json(T.strip_code_fence(value), ITEM)
+
+
+def valid_item(value: Column, target: Column) -> Column:
+    """Is a value an item without violations (FIL11) whose alternatives don't repeat the target (FIL13, by letters alone)?"""
+    item = item_of(value)
+    repeats = F.exists(item["alternatives"], lambda a: T.letters_only(a) == T.letters_only(target))
+    return item.isNotNull() & (F.size(violations(item)) == 0) & ~F.coalesce(repeats, F.lit(False))
+
+
+def complete_batches(answers: DataFrame, requests: DataFrame) -> DataFrame:
+    """JOI25. Batches (batch, id) of requests whose answers have the same ids, each once: batch, complete."""
+    both = requests.groupBy("batch", "id").agg(F.count("*").alias("asked")).join(answers.groupBy("batch", "id").agg(F.count("*").alias("told")), ["batch", "id"], "full")
+    return both.groupBy("batch").agg(F.bool_and(F.coalesce((F.col("told") == 1) & F.col("asked").isNotNull(), F.lit(False))).alias("complete"))
 
 
 def retried(call: Callable[[pd.DataFrame, int], pd.DataFrame], attempts: int = ATTEMPTS):

@@ -179,27 +179,36 @@ def fil11_violations(spark, d):
     return table(spark, d, "part").withColumn("item", item).select("p_partkey", F.size(E.violations(F.col("item"))).cast("int").alias("problems"))
 
 
-@query(None)
+@query(
+    """WITH t AS (SELECT o_orderkey AS id, 'cust' || o_custkey AS target, 'v5:' || sha256('cust' || o_custkey || '|' || o_orderpriority) AS key, o_custkey FROM orders),
+c AS (SELECT key, max(id) AS last FROM t WHERE id % 5 <> 0 GROUP BY key)
+SELECT t.id, t.target, CASE WHEN c.last % 3 <> 0 THEN 'слово ' || c.last WHEN t.o_custkey % 4 = 0 THEN NULL ELSE 'ответ' END AS explanation FROM t LEFT JOIN c ON t.key = c.key"""
+)
 def pip15_enrich(spark, d):
-    """Targets of cards through the cache; what it lacks gets a rule's answer."""
+    """Targets of cards through the cache: some cached items are not valid, and so are some new answers, which come in a code fence."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("cust"), "o_custkey").alias("target"), F.col("o_orderpriority").alias("sentence"))
+    text = lambda word, alternative: F.concat(F.lit('{"explanation": "'), word, F.lit('", "translations": ["дом"], "replacement": "дом", "alternatives": ["'), alternative, F.lit('"]}'))
+    cached = o.where("id % 5 <> 0").select(E.cache_key(F.col("target"), F.col("sentence")).alias("key"), text(F.concat(F.lit("слово "), "id"), F.when(F.col("id") % 3 == 0, "дом").otherwise("hut")).alias("value"), F.col("id").alias("written_at"))
 
     def answer(batches):
         for b in batches:
-            yield b.assign(value=b["target"].str.upper())[["key", "value"]]
+            repeats = b["target"].str.removeprefix("cust").astype("int64") % 4 == 0
+            alternative = repeats.map({True: "Cust!", False: "hut"})
+            yield b.assign(value='```json\n{"explanation": "ответ", "translations": ["дом"], "replacement": "дом", "alternatives": ["' + alternative + '"]}\n```')[["key", "value"]]
 
-    t = cards(spark, d).select(F.col("card_id").alias("id"), F.col("user_id").cast("string").alias("target"), F.col("target").alias("sentence"))
-    return E.enrich(t, _cache(spark, d), answer)[0].select("id", "target", "value")
+    rows, _ = E.enrich(o, cached, answer, good=E.valid_item)
+    return rows.select("id", "target", E.item_of(F.col("value"))["explanation"].alias("explanation"))
 
 
 def _leaders(spark, d):
-    p = table(spark, d, "part")
-    leaders = p.where("p_partkey % 10 = 0").select((F.col("p_partkey") / 10 % 50).cast("bigint").alias("user_id"), F.col("p_partkey").alias("cluster_id"), T.normalize_selection(F.col("p_name")).alias("leader"))
-    marks = p.where("p_partkey % 10 = 3").select((F.col("p_partkey") / 10).cast("bigint").alias("k"), "*").select(F.col("p_partkey").alias("highlight_id"), (F.col("k") % 50).alias("user_id"), T.normalize_selection(F.col("p_name")).alias("text"))
-    return marks, leaders
+    """Parts of even size as clusters' leaders, the others as highlights; a hundred keys are a user."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 100").alias("user_id"), T.normalize_selection(F.col("p_name")).alias("name"), "p_size")
+    leaders = p.where("p_size % 2 = 0").select("user_id", F.col("id").alias("cluster_id"), F.col("name").alias("leader"))
+    return p.where("p_size % 2 <> 0").select(F.col("id").alias("highlight_id"), "user_id", F.col("name").alias("text")), leaders
 
 
 @query(
-    """WITH l AS (SELECT CAST(p_partkey / 10 AS BIGINT) % 50 AS user_id, p_partkey AS cluster_id, p_name AS leader FROM part WHERE p_partkey % 10 = 0), h AS (SELECT p_partkey AS highlight_id, (p_partkey // 10) % 50 AS user_id, p_name AS text FROM part WHERE p_partkey % 10 = 3),
+    """WITH l AS (SELECT p_partkey // 100 AS user_id, p_partkey AS cluster_id, p_name AS leader FROM part WHERE p_size % 2 = 0), h AS (SELECT p_partkey AS highlight_id, p_partkey // 100 AS user_id, p_name AS text FROM part WHERE p_size % 2 <> 0),
 n AS (SELECT highlight_id, user_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\- ]', ' ', 'g'), ' +', ' ', 'g'), ' -') AS text FROM h), m AS (SELECT cluster_id, user_id, trim(regexp_replace(regexp_replace(lower(leader), '[^a-z0-9\\- ]', ' ', 'g'), ' +', ' ', 'g'), ' -') AS leader FROM l),
 s AS (SELECT highlight_id, cluster_id, leader, 100.0 - 100.0 * levenshtein(text, leader) / greatest(length(text), length(leader)) AS score FROM n JOIN m USING (user_id))
 SELECT highlight_id, cluster_id, leader, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY highlight_id ORDER BY score DESC, cluster_id) AS rank FROM s WHERE score >= 45) WHERE rank <= 5"""
@@ -210,7 +219,7 @@ def joi11_fuzzy_top(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT CAST(p_partkey / 10 AS BIGINT) % 50 AS user_id, p_partkey AS cluster_id, p_name AS leader FROM part WHERE p_partkey % 10 = 0), h AS (SELECT p_partkey AS highlight_id, (p_partkey // 10) % 50 AS user_id, p_name AS text FROM part WHERE p_partkey % 10 = 3),
+    """WITH l AS (SELECT p_partkey // 100 AS user_id, p_partkey AS cluster_id, p_name AS leader FROM part WHERE p_size % 2 = 0), h AS (SELECT p_partkey AS highlight_id, p_partkey // 100 AS user_id, p_name AS text FROM part WHERE p_size % 2 <> 0),
 n AS (SELECT highlight_id, user_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\- ]', ' ', 'g'), ' +', ' ', 'g'), ' -') AS text FROM h), m AS (SELECT cluster_id, user_id, trim(regexp_replace(regexp_replace(lower(leader), '[^a-z0-9\\- ]', ' ', 'g'), ' +', ' ', 'g'), ' -') AS leader FROM l),
 b AS (SELECT highlight_id, cluster_id FROM (SELECT highlight_id, cluster_id, row_number() OVER (PARTITION BY highlight_id ORDER BY 100.0 - 100.0 * levenshtein(text, leader) / greatest(length(text), length(leader)) DESC, cluster_id) AS k FROM n JOIN m USING (user_id) WHERE 100.0 - 100.0 * levenshtein(text, leader) / greatest(length(text), length(leader)) >= 60) WHERE k = 1)
 SELECT n.highlight_id, n.user_id, coalesce(CAST(b.cluster_id AS VARCHAR), 'new-' || substring(sha256(n.user_id || '|' || n.text), 1, 16)) AS cluster, b.cluster_id IS NULL AS is_new FROM n LEFT JOIN b ON n.highlight_id = b.highlight_id"""
@@ -233,7 +242,7 @@ def srt7_fuzzy_order(spark, d):
 @query(None)
 def pip9_replay_clusters(spark, d):
     o = table(spark, d, "part")
-    h = o.select(F.col("p_partkey").alias("highlight_id"), (F.col("p_partkey") % 50).alias("user_id"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" "), F.lower("p_brand")).alias("text"), F.col("p_partkey").alias("created_at"))
+    h = o.select(F.col("p_partkey").alias("highlight_id"), F.expr("p_partkey div 100").alias("user_id"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" "), F.lower("p_brand")).alias("text"), F.col("p_partkey").alias("created_at"))
     return E.replay_clusters(h)
 
 
@@ -279,7 +288,8 @@ def src5_text_cache(spark, d):
 
 @query(None)
 def src6_upload_intake(spark, d):
-    return files.classify_uploads(spark, f"{d}/region.parquet", magic={"parquet": b"PAR1"}, most_mb=50)
+    """All files of the folder."""
+    return files.classify_uploads(spark, d, magic={"parquet": b"PAR1"}, most_mb=50)
 
 
 @query("SELECT lang, count(*) AS n, sum(n_chars) AS chars, min(doc_id) AS first FROM documents GROUP BY lang")

@@ -65,10 +65,9 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of every tenth order's key as rectangles of highlights, made by a reader or imported."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
-    return li.select(
-        _line_id().alias("highlight_id"), (F.col("l_partkey") % 40).alias("document_id"), (1 + F.col("l_suppkey") % 5).alias("page"), F.when(F.col("l_returnflag") == "N", "reader").otherwise("pdf_import").alias("source"), F.concat(F.lit("w"), (F.col("l_partkey") % 3).cast("string")).alias("target"),
+    """Line items as rectangles of highlights, made by a reader or imported; a thousand orders' keys are a document."""
+    return table(spark, sf_dir, "lineitem").select(
+        _line_id().alias("highlight_id"), F.expr("l_orderkey div 1000").alias("document_id"), (1 + F.col("l_suppkey") % 5).alias("page"), F.when(F.col("l_returnflag") == "N", "reader").otherwise("pdf_import").alias("source"), F.concat(F.lit("w"), (F.col("l_partkey") % 3).cast("string")).alias("target"),
         (F.col("l_partkey") * 7 % 480).cast("double").alias("x1"), (F.col("l_suppkey") * 11 % 700).cast("double").alias("y1"), ((F.col("l_partkey") * 7 % 480) + 20 + F.col("l_quantity")).cast("double").alias("x2"), ((F.col("l_suppkey") * 11 % 700) + 12).cast("double").alias("y2"), F.col("l_shipdate").alias("created_at"),
     )
 
@@ -82,8 +81,8 @@ ROLES = {
     "notes": """notes AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber AS note_id, l_orderkey AS card_id, CASE WHEN l_linenumber % 2 = 0 THEN 'meaning' ELSE 'recall' END AS direction, l_suppkey % 7 AS deck_id,
   l_partkey AS due, CAST(l_quantity AS BIGINT) AS ivl, l_suppkey % 10 AS reps, l_suppkey % 3 AS lapses,
   'card::' || l_orderkey || ' direction::' || CASE WHEN l_linenumber % 2 = 0 THEN 'meaning' ELSE 'recall' END || ' ' || lower(l_returnflag) AS tags FROM lineitem)""",
-    "rects": """rects AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber AS highlight_id, l_partkey % 40 AS document_id, 1 + l_suppkey % 5 AS page, CASE WHEN l_returnflag = 'N' THEN 'reader' ELSE 'pdf_import' END AS source, 'w' || (l_partkey % 3) AS target,
-  CAST(l_partkey * 7 % 480 AS DOUBLE) AS x1, CAST(l_suppkey * 11 % 700 AS DOUBLE) AS y1, CAST(l_partkey * 7 % 480 + 20 + l_quantity AS DOUBLE) AS x2, CAST(l_suppkey * 11 % 700 + 12 AS DOUBLE) AS y2, l_shipdate AS created_at FROM lineitem WHERE l_orderkey % 10 = 0)""",
+    "rects": """rects AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber AS highlight_id, l_orderkey // 1000 AS document_id, 1 + l_suppkey % 5 AS page, CASE WHEN l_returnflag = 'N' THEN 'reader' ELSE 'pdf_import' END AS source, 'w' || (l_partkey % 3) AS target,
+  CAST(l_partkey * 7 % 480 AS DOUBLE) AS x1, CAST(l_suppkey * 11 % 700 AS DOUBLE) AS y1, CAST(l_partkey * 7 % 480 + 20 + l_quantity AS DOUBLE) AS x2, CAST(l_suppkey * 11 % 700 + 12 AS DOUBLE) AS y2, l_shipdate AS created_at FROM lineitem)""",
     "sentences": r"""squeezed AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM corpus),
 decimals AS (SELECT doc_id, regexp_replace(regexp_replace(s, '([A-Za-z0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([A-Za-z0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g') AS s FROM squeezed),
 dotted AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '(?i)(^| )(e)\.(g)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g'), '(?i)(^| )(i)\.(e)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g'), '(?i)(^| )(v)\.(s)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g') AS s FROM decimals),

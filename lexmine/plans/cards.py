@@ -74,7 +74,7 @@ def fun21_cache_key(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.lit("v5"), "o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string")), 256).alias("key"))
 
 
-@query("SELECT highlight_id, substring(sha1('doc' || document_id || page || target || x1 || y1), 1, 8) AS head FROM (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber AS highlight_id, l_partkey % 40 AS document_id, 1 + l_suppkey % 5 AS page, 'w' || (l_partkey % 3) AS target, CAST(l_partkey * 7 % 480 AS BIGINT) AS x1, CAST(l_suppkey * 11 % 700 AS BIGINT) AS y1 FROM lineitem WHERE l_orderkey % 10 = 0)")
+@query("SELECT highlight_id, substring(sha1('doc' || document_id || page || target || x1 || y1), 1, 8) AS head FROM (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber AS highlight_id, l_orderkey // 1000 AS document_id, 1 + l_suppkey % 5 AS page, 'w' || (l_partkey % 3) AS target, CAST(l_partkey * 7 % 480 AS BIGINT) AS x1, CAST(l_suppkey * 11 % 700 AS BIGINT) AS y1 FROM lineitem)")
 def fun20_name_id(spark, d):
     """The first group of a name-based id."""
     from lexmine.plans.base import rects

@@ -82,7 +82,9 @@ def _highlights(spark, d, source):
     return rects(spark, d).where(f"source = '{source}'").withColumnRenamed("highlight_id", "id")
 
 
-_OVER = f"over_ AS (SELECT a.highlight_id AS id, b.highlight_id AS other FROM rects a JOIN rects b ON a.document_id = b.document_id AND a.page = b.page AND a.target = b.target AND a.source = 'pdf_import' AND b.source = 'reader' WHERE {_PAIR} / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) >= 0.6)"
+_SIZE = "(SELECT highlight_id, sum((x2 - x1) * (y2 - y1)) AS size FROM rects WHERE source = '{}' GROUP BY highlight_id)"
+_OVER = f"""both_ AS (SELECT a.highlight_id AS id, b.highlight_id AS other, sum({_PAIR}) AS shared FROM rects a JOIN rects b ON a.document_id = b.document_id AND a.page = b.page AND a.target = b.target AND a.source = 'pdf_import' AND b.source = 'reader' AND a.highlight_id <> b.highlight_id WHERE {_PAIR} > 0 GROUP BY 1, 2),
+over_ AS (SELECT id, other FROM both_ JOIN {_SIZE.format("pdf_import")} s ON s.highlight_id = id JOIN {_SIZE.format("reader")} t ON t.highlight_id = other WHERE shared / least(s.size, t.size) >= 0.6)"""
 
 
 @query(f", {_OVER} SELECT id, other FROM over_", "rects")

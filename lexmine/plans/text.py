@@ -20,9 +20,9 @@ def src1_scan(spark, d):
     return table(spark, d, "documents").where("lang = 'de'").select("doc_id", "text", "source").orderBy("doc_id")
 
 
-@query(f", {_LINES} SELECT doc_id, n, regexp_matches(line, '^([\\p{{L}}\\p{{N}}_]+([''’-][\\p{{L}}\\p{{N}}_]+)*)(\\s+[\\p{{L}}\\p{{N}}_]+([''’-][\\p{{L}}\\p{{N}}_]+)*){{0,3}}$') AND length(line) <= 100 AS selectable FROM lines WHERE length(line) BETWEEN 1 AND 200 AND line = trim(line)", "corpus")
+@query(f", {_LINES} SELECT doc_id, n, regexp_matches(line, '^([\\p{{L}}\\p{{N}}_]+([''’-][\\p{{L}}\\p{{N}}_]+)*)(\\s+[\\p{{L}}\\p{{N}}_]+([''’-][\\p{{L}}\\p{{N}}_]+)*){{0,3}}$') AND length(line) <= 100 AS selectable FROM lines", "corpus")
 def fil2_selectable(spark, d):
-    return _lines(spark, d).where("length(line) BETWEEN 1 AND 200 AND line = trim(line)").select("doc_id", "n", T.is_selectable(F.col("line")).alias("selectable"))
+    return _lines(spark, d).select("doc_id", "n", T.is_selectable(F.col("line")).alias("selectable"))
 
 
 @query(
@@ -51,16 +51,15 @@ def fil19_content_words(spark, d):
 
 
 @query(
-    r"""SELECT doc_id, trim(regexp_replace(replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '-\s*\r?\n\s*', '', 'g'), '[’‘]', chr(39), 'g'), '[^\p{L}\p{M}\p{N}''\-]', ' ', 'g')), 'ß', 'ss'), '\s+', ' ', 'g'), ' -''') AS target FROM (SELECT doc_id, substring(text, 1, 60) AS text FROM documents) WHERE NOT regexp_matches(text, '--|''''')"""
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '-\s*\r?\n\s*', '', 'g'), '[’‘ʼ]', chr(39), 'g'), '[\p{Pd}−]', '-', 'g'), '[^\p{L}\p{M}\p{N}''\-]', ' ', 'g')), 'ß', 'ss'), '\s+', ' ', 'g')), '-{2,}', '-', 'g'), '''{2,}', chr(39), 'g'), '^[ \-'']+|[ \-'']+$', '', 'g') AS target FROM documents"""
 )
 def fun1_normalize_selection(spark, d):
-    start = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("text")).where(~F.col("text").rlike("--|''"))
-    return start.select("doc_id", T.normalize_selection(F.col("text")).alias("target"))
+    return table(spark, d, "documents").select("doc_id", T.normalize_selection(F.col("text")).alias("target"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(replace(lower(substring(text, 1, 80)), 'ß', 'ss'), '\s+', ' ', 'g')) AS key FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS key FROM documents")
 def fun2_target_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.target_key(F.substring("text", 1, 80)).alias("key"))
+    return table(spark, d, "documents").select("doc_id", T.target_key(F.col("text")).alias("key"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+([,;:.!?%)\]}])', '\1', 'g'), '([(\[{])\s+', '\1', 'g'), '\s+([''’])s\b', '\1s', 'g'), '\s+', ' ', 'g')) AS repaired FROM corpus", "corpus")
@@ -106,9 +105,9 @@ def fun12_heading(spark, d):
     return _lines(spark, d).select("doc_id", "n", T.is_heading(F.col("line")).alias("heading"))
 
 
-@query("SELECT doc_id, CASE WHEN t = '' THEN 'article' ELSE t END AS tag FROM (SELECT doc_id, regexp_replace(regexp_replace(substring(text, 1, 40), '[^A-Za-z0-9_:-]+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN t = '' THEN 'article' ELSE t END AS tag FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9_:-]+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM documents)")
 def fun22_safe_tag(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.safe_tag(F.substring("text", 1, 40)).alias("tag"))
+    return table(spark, d, "documents").select("doc_id", T.safe_tag(F.col("text")).alias("tag"))
 
 
 @query(r"SELECT event_id, CAST(json_extract(regexp_extract(f, '(?s)^```[A-Za-z]*\s*(.*?)\s*```$', 1), '$.k') AS BIGINT) AS k FROM (SELECT event_id, '```json' || chr(10) || props || chr(10) || '```' AS f FROM events)")
@@ -140,26 +139,26 @@ def pip2_sentence_report(spark, d):
 
 
 @query(
-    r""", pages_ AS (SELECT doc_id % 50 AS doc, doc_id AS page_no, trim(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]{1,3}$') AND NOT regexp_matches(x, '(?i)^[0-9]*\s*(https?://|www\.)\S+$') AND NOT (length(x) <= 120 AND regexp_matches(x, '^([0-9]+(\.[0-9]+)*\.?|[A-Z]\.?)\s+[A-Z][A-Za-z0-9 :,\-/()]+$'))), chr(10)), '([a-z])- *\n *([a-z])', '\1\2', 'g'), '\s+', ' ', 'g')) AS t FROM corpus)
+    r""", pages_ AS (SELECT doc_id // 20 AS doc, doc_id AS page_no, trim(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]{1,3}$') AND NOT regexp_matches(x, '(?i)^[0-9]*\s*(https?://|www\.)\S+$') AND NOT (length(x) <= 120 AND regexp_matches(x, '^([0-9]+(\.[0-9]+)*\.?|[A-Z]\.?)\s+[A-Z][A-Za-z0-9 :,\-/()]+$'))), chr(10)), '([a-z])- *\n *([a-z])', '\1\2', 'g'), '\s+', ' ', 'g')) AS t FROM corpus)
 SELECT doc AS doc_id, count(*) AS pages, sha256(string_agg(t, ' ' ORDER BY page_no)) AS text_sha, sum(length(t)) + count(*) - 1 AS last_end FROM pages_ WHERE t <> '' GROUP BY doc""",
     "corpus",
 )
 def pip1_clean_documents(spark, d):
-    pages = corpus(spark, d).select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("page_no"), F.col("text").alias("raw_text"))
+    pages = corpus(spark, d).select(F.expr("doc_id div 20").alias("doc_id"), F.col("doc_id").alias("page_no"), F.col("text").alias("raw_text"))
     full = pages.where(F.size(T.clean_lines(F.col("raw_text"))) > 0)
     out = X.clean_documents(full)
     return out.select("doc_id", F.size("page_ranges").cast("long").alias("pages"), F.sha2("text", 256).alias("text_sha"), F.element_at("page_ranges", -1)["end"].cast("long").alias("last_end"))
 
 
 @query(
-    r""", p AS (SELECT doc_id % 50 AS doc, doc_id AS page_no, text FROM corpus WHERE text <> ''),
+    r""", p AS (SELECT doc_id // 20 AS doc, doc_id AS page_no, text FROM corpus WHERE text <> ''),
 r AS (SELECT doc, page_no, row_number() OVER o AS k, sum(length(text) + 1) OVER o - length(text) - 1 AS a, sum(length(text) + 1) OVER o - 1 AS b FROM p WINDOW o AS (PARTITION BY doc ORDER BY page_no)),
 q AS (SELECT doc, unnest([0, 1000, 5000, 20000, 10000000]) AS position FROM (SELECT DISTINCT doc FROM p))
 SELECT q.doc AS doc_id, q.position, coalesce(min(CASE WHEN q.position BETWEEN r.a AND r.b THEN r.k END), max(r.k)) AS page FROM q JOIN r ON q.doc = r.doc GROUP BY q.doc, q.position""",
     "corpus",
 )
 def joi16_page_of_position(spark, d):
-    pages = corpus(spark, d).where("text <> ''").groupBy((F.col("doc_id") % 50).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("page_no"), F.length("text").alias("n")))).alias("p"))
+    pages = corpus(spark, d).where("text <> ''").groupBy(F.expr("doc_id div 20").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("page_no"), F.length("text").alias("n")))).alias("p"))
     def step(acc, x):
         start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"] + 1, F.lit(0))
         return F.concat(acc, F.array(F.named_struct(F.lit("start"), start, F.lit("end"), start + x["n"])))
