@@ -97,13 +97,28 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[end] - total[start]) * powers(INVERSE, len(raw) + 1)[start] + size), start, end
 
 
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
+
+
 class Texts:
     """The words of many texts in one row: their hashes, where they start and end in raw, and where each text's words begin."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.raw = b"\n".join(texts)
-        self.hash, self.start, self.end = word_hashes(self.raw)
+        blocks, held, base = [[]], 0, 0
+        for text, size in zip(texts, sizes.tolist(), strict=True):  # a block at a time, to bound what hashing needs
+            if held and held + size > BLOCK:
+                blocks.append([])
+                held = 0
+            blocks[-1].append(text)
+            held += size
+        found = []
+        for block in blocks:
+            found.append([x + base if k else x for k, x in enumerate(word_hashes(b"\n".join(block)))])
+            base += sum(map(len, block)) + len(block)
+        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*found, strict=True))
         ends = np.cumsum(sizes)
         self.first = np.searchsorted(self.start, np.concatenate([[0], ends])) if len(texts) else np.zeros(1, np.int64)
         self.n_words = np.diff(self.first)

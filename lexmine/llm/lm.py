@@ -27,7 +27,6 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -218,39 +217,49 @@ def attend(windows_: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_count(x) for x in (one, one & bits[:, 1:], two, two & bits[:, 1:])]
 
 
-@dataclass
 class Model:
-    """Levels of the counts, and the attention's logits: of the two-piece memory by how often it was seen, of the one-piece memory, of a place with the same piece, with the same two (that of the memory of any piece is 0)."""
+    """Levels of the counts, and the attention's logits: of the two-piece memory by how often it was seen, of the one-piece memory, of a place with the same piece, with the same two (that of the memory of any piece is 0).
 
-    levels: np.ndarray
-    logits: np.ndarray = field(default_factory=lambda: np.r_[np.linspace(-3, 4, STEPS[3]), 2.0, -2.0, -1.0])
+    A model travels compressed; a worker keeps the arrays of the one that it used last.
+    """
 
-    def sums(self) -> np.ndarray:
-        """Sums of the rows' counts (made once in a worker)."""
-        if "made" not in self.__dict__:
-            rows = self.levels.reshape(-1, CLASSES)
-            self.made = np.concatenate([LEVELS[rows[k : k + PART]].sum(axis=1) for k in range(0, len(rows), PART)])
-            every = LEVELS[self.levels[BASES[-1] * CLASSES :]] + np.float32(0.5)
-            self.any = every / every.sum()
-        return self.made
+    last: Model | None = None
 
-    def __getstate__(self):
-        return {"levels": zlib.compress(self.levels.tobytes(), 1), "logits": self.logits}
+    def __init__(self, levels: np.ndarray, logits: np.ndarray | None = None):
+        self.held = {"levels": levels}
+        self.logits = np.r_[np.linspace(-3, 4, STEPS[3]), 2.0, -2.0, -1.0] if logits is None else logits
 
-    def __setstate__(self, state):
-        self.levels, self.logits = np.frombuffer(zlib.decompress(state["levels"]), np.uint8), state["logits"]
+    def __getstate__(self):
+        return {"packed": zlib.compress(self.levels.tobytes(), 1), "logits": self.logits, "held": {}}
+
+    @property
+    def levels(self) -> np.ndarray:
+        if "levels" not in self.held:
+            if Model.last is not None:
+                Model.last.held.clear()
+            Model.last = self
+            self.held["levels"] = np.frombuffer(zlib.decompress(self.packed), np.uint8)
+        return self.held["levels"]
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the rows' counts, and the chances of any piece (made once in a worker)."""
+        rows = self.levels.reshape(-1, CLASSES)
+        if "sums" not in self.held:
+            every = LEVELS[self.levels[BASES[-1] * CLASSES :]] + np.float32(0.5)
+            self.held["sums"] = np.concatenate([LEVELS[rows[k : k + PART]].sum(axis=1) for k in range(0, len(rows), PART)]), every / every.sum()
+        return self.held["sums"]
 
     def values(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Chances of target by the three memories, and how often the two pieces were seen; less: occurrences left out."""
-        sums, found, small = self.sums(), [], np.float32(less)
+        (sums, every), found, small, levels = self.sums(), [], np.float32(less), self.levels
         for row, col in rows_of(two, one, target)[:4]:
-            n, of = LEVELS.take(self.levels.take((row << 6) + col)), sums.take(row)
+            n, of = LEVELS.take(levels.take((row << 6) + col)), sums.take(row)
             if less:
                 n, of = np.maximum(n - small, np.float32(0)), np.maximum(of - small, np.float32(0))
             found.append(np.where(of > 0, n / np.maximum(of, np.float32(0.5)), np.float32(1 / PLACES)))  # all alike in an unseen row
             if len(found) == 1:
                 seen = of
-        return found[0] * found[1], found[2] * found[3], self.any.take(target), seen
+        return found[0] * found[1], found[2] * found[3], every.take(target), seen
 
     def log_chances(self, windows_: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of the chance of every scored target, window after window."""
