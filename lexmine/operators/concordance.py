@@ -17,18 +17,21 @@ from lexmine.operators.text import phrase_grams, word_index
 LONGEST = 4
 
 
-def exact_matches(postings: DataFrame, targets: DataFrame, longest: int = LONGEST) -> DataFrame:
+def exact_matches(sents: DataFrame, targets: DataFrame, longest: int = LONGEST) -> DataFrame:
     """JOI12. (doc_id, sent_id, start, end, target) of targets (of letters and spaces) in any case, on word bounds.
 
     A phrase is looked up among the phrases of its own length by an equi join; no text is scanned once
-    a target. Spark broadcasts the targets if they are small.
+    a target, and only lengths that targets have are looked up. Spark broadcasts the targets if they are small.
     """
-    keyed = targets.select("target", T.target_key(F.col("target")).alias("gram")).withColumn("n", F.size(F.split("gram", " ")))
-    out = None
-    for n in range(1, longest + 1):
-        one = phrase_grams(postings, n).join(keyed.where(F.col("n") == n), "gram").select("doc_id", "sent_id", "start", "end", "target")
-        out = one if out is None else out.unionByName(one)
-    return out
+    keyed = targets.select("target", T.target_key(F.col("target")).alias("gram")).withColumn("n", F.size(F.split("gram", " "))).where(F.col("n") <= longest)
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect()) or [1]  # LONGEST numbers at most
+    postings = word_index(sents, lengths[-1])
+    if lengths == [1]:
+        found = phrase_grams(postings, 1)
+    else:
+        of = lambda n: F.when(F.size("run") >= n, F.struct(F.get("run", F.lit(n - 1))["end"].alias("end"), F.array_join(F.transform(F.slice("run", 1, n), lambda x: x["v"]), " ").alias("gram")))
+        found = postings.select("doc_id", "sent_id", "start", F.explode(F.array(*map(of, lengths))).alias("g")).where("g IS NOT NULL").select("doc_id", "sent_id", "start", "g.end", "g.gram")
+    return found.join(keyed.select("target", "gram"), "gram").select("doc_id", "sent_id", "start", "end", "target")
 
 
 def longest_first(matches: DataFrame, limit: int = 12) -> DataFrame:
@@ -49,14 +52,14 @@ def longest_first(matches: DataFrame, limit: int = 12) -> DataFrame:
     return rows.select("doc_id", F.explode(F.aggregate("m", zero, step)["taken"]).alias("t")).select("doc_id", "t.sent_id", "t.start", "t.end", "t.target")
 
 
-def contexts(matches: DataFrame, sents: DataFrame) -> DataFrame:
-    """Matches with the sentence (trimmed around the target), the surface form, HTML and recall template, and a stable id."""
+def contexts(matches: DataFrame, sents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Matches with the sentence (trimmed around the target), the surface form, HTML and recall template, and a stable id; columns to keep come last."""
     both = matches.join(sents, ["doc_id", "sent_id"])
     w = T.trim_window(F.col("sentence"), F.col("start").cast("int"), F.col("end").cast("int"))
-    out = both.withColumn("w", w).select("doc_id", "sent_id", "target", F.col("start").alias("place"), F.col("w.sentence").alias("sentence"), F.col("w.start").alias("s"), F.col("w.end").alias("e"))
+    out = both.withColumn("w", w).select("doc_id", "sent_id", "target", *keep, F.col("start").alias("place"), F.col("w.sentence").alias("sentence"), F.col("w.start").alias("s"), F.col("w.end").alias("e"))
     marked, recall = T.mark_span(F.col("sentence"), F.col("s"), F.col("e"))
     out = out.withColumn("surface", F.substr("sentence", F.col("s") + 1, F.col("e") - F.col("s")))
-    return out.select("doc_id", "sent_id", "place", "target", "surface", "sentence", marked.alias("sentence_html"), recall.alias("recall_template"), T.stable_id(F.col("doc_id"), F.col("sent_id"), F.col("place"), F.col("surface"), F.col("sentence")).alias("id"))
+    return out.select("doc_id", "sent_id", "place", "target", "surface", "sentence", marked.alias("sentence_html"), recall.alias("recall_template"), T.stable_id(F.col("doc_id"), F.col("sent_id"), F.col("place"), F.col("surface"), F.col("sentence")).alias("id"), *keep)
 
 
 def first_seen(found: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def first_seen(found: DataFrame) -> DataFrame:
 
 def concordance(docs: DataFrame, sents: DataFrame, targets: DataFrame, limit: int = 12) -> DataFrame:
     """PIP3. Contexts of literal occurrences."""
-    return first_seen(contexts(longest_first(exact_matches(word_index(sents), targets), limit), sents))
+    return first_seen(contexts(longest_first(exact_matches(sents, targets), limit), sents))
 
 
 def variant_matches(postings: DataFrame, targets: DataFrame, stem=udfs.porter_stem, ratio=udfs.weighted_ratio, cutoff: float = 78.0) -> DataFrame:
@@ -81,24 +84,22 @@ def variant_matches(postings: DataFrame, targets: DataFrame, stem=udfs.porter_st
     t = targets.select("target", F.regexp_extract_all(F.lower("target"), F.lit("[a-z]+"), F.lit(0)).alias("ws")).where(F.forall("ws", lambda w: F.length(w) >= 3) & (F.size("ws") > 0))
     pieces = t.select("target", F.posexplode("ws").alias("i", "w"))
     stems = pieces.withColumn("stem", stem("w")).groupBy("target").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("i", "stem"))), lambda x: x["stem"])).alias("gram"), F.count("*").alias("n"))
-    stemmed = words.join(vocabulary, "w")
-    out = None
-    for n in range(1, LONGEST + 1):
-        one = phrase_grams(stemmed, n, F.col("stem")).join(stems.where(F.col("n") == n), "gram").select("doc_id", "sent_id", "start", "end", "target", F.lit(0).alias("kind"))
-        out = one if out is None else out.unionByName(one)
     single = stems.where("n = 1").withColumn("t", F.lower("target"))
+    alike = vocabulary.join(single.select(F.col("gram").alias("stem"), "target"), "stem").select("w", "target", F.lit(0).alias("kind"))
     near = vocabulary.where(F.length("w") >= 4).join(single, F.substr("w", F.lit(1), F.lit(4)) == F.substr("t", F.lit(1), F.lit(4)))
     near = near.where((F.col("w") != F.col("t")) & (F.abs(F.length("w") - F.length("t")) <= 4) & (F.col("stem") != F.col("gram"))).select("w", "t", "target").distinct()
-    near = near.withColumn("score", ratio("t", "w")).where(F.col("score") >= cutoff)
-    spelled = words.join(near.select("w", "target"), "w").select("doc_id", "sent_id", "start", (F.col("start") + F.length("token")).alias("end"), "target", F.lit(1).alias("kind"))
-    return out.unionByName(spelled)
+    near = near.withColumn("score", ratio("t", "w")).where(F.col("score") >= cutoff).select("w", "target", F.lit(1).alias("kind"))
+    out = words.join(alike.unionByName(near), "w").select("doc_id", "sent_id", "start", (F.col("start") + F.length("token")).alias("end"), "target", "kind")
+    for n in sorted(r["n"] for r in stems.where(F.col("n").between(2, LONGEST)).select("n").distinct().collect()):  # LONGEST numbers at most
+        phrases = phrase_grams(words.join(vocabulary, "w"), n, F.col("stem")).join(stems.where(F.col("n") == n), "gram")
+        out = out.unionByName(phrases.select("doc_id", "sent_id", "start", "end", "target", F.lit(0).alias("kind")))
+    return out
 
 
 def variant_concordance(sents: DataFrame, targets: DataFrame, limit: int = 8, **how) -> DataFrame:
     """PIP4. Contexts of variant forms, limit a target and document, stems before spellings (WIN8)."""
     found = variant_matches(word_index(sents), targets, **how)
-    kinds = found.select("doc_id", "sent_id", F.col("start").alias("place"), "target", "kind")
-    made = first_seen_by_target(contexts(found.drop("kind"), sents).join(kinds, ["doc_id", "sent_id", "place", "target"])).where(F.lower("surface") != T.target_key(F.col("target")))
+    made = first_seen_by_target(contexts(found, sents, keep=("kind",))).where(F.lower("surface") != T.target_key(F.col("target")))
     w = W.partitionBy("doc_id", "target").orderBy("kind", "sent_id", "place")
     return made.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
 

@@ -40,23 +40,49 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.sentence_array("text")).alias("sent_id", "sentence"))
 
 
-def word_index(sents: DataFrame) -> DataFrame:
+def word_index(sents: DataFrame, ahead: int = 1) -> DataFrame:
     """AGG11. Postings (doc_id, sent_id, pos, start, token): the runs of letters of each sentence with their offsets.
 
     pos counts all runs (of letters, of spaces, of others), so words that only a space parts differ by 2.
+    With ahead above 1 also run: the word and those that follow it, parted by spaces alone, ahead in all at
+    most, each with its end. All is computed within a sentence's row; nothing is shuffled.
     """
-    parts = sents.select("doc_id", "sent_id", F.posexplode(F.regexp_extract_all("sentence", F.lit("[A-Za-z]+|[^A-Za-z\\s]+|\\s+"), F.lit(0))).alias("pos", "token"))
-    w = W.partitionBy("doc_id", "sent_id").orderBy("pos")
-    placed = parts.withColumn("start", (F.sum(F.length("token")).over(w) - F.length("token")).cast("long"))
-    return placed.where(F.col("token").rlike("^[A-Za-z]+$")).select("doc_id", "sent_id", "pos", "start", "token")
+
+    def starts(runs):
+        step = lambda acc, x: F.struct(F.concat(acc["at"], F.array(acc["n"])).alias("at"), (acc["n"] + F.length(x)).alias("n"))
+        return F.aggregate(runs, F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("bigint").alias("n")), step)["at"]
+
+    def following(runs, at, i):
+        known, out = F.lit(True), []
+        for k in range(ahead):
+            token, place = F.get(runs, i + 2 * k), F.get(at, i + 2 * k)
+            if k:
+                known = known & F.get(runs, i + 2 * k - 1).rlike("^\\s") & F.coalesce(token.rlike("^[A-Za-z]"), F.lit(False))
+            out.append(F.when(known, F.struct(F.lower(token).alias("v"), (place + F.length(token)).alias("end"))))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    def postings(runs, at):
+        more = lambda i: [following(runs, at, i).alias("run")] if ahead > 1 else []
+        placed = F.transform(runs, lambda x, i: F.when(x.rlike("^[A-Za-z]"), F.struct(i.alias("pos"), F.get(at, i).alias("start"), x.alias("token"), *more(i))))
+        return F.filter(placed, lambda x: x.isNotNull())
+
+    runs = F.regexp_extract_all("sentence", F.lit("[A-Za-z]+|[^A-Za-z\\s]+|\\s+"), F.lit(0))
+    rows = T.let(runs, lambda r: T.let(starts(r), lambda at: postings(r, at)))
+    return sents.select("doc_id", "sent_id", F.explode(rows).alias("w")).select("doc_id", "sent_id", "w.*")
 
 
 def phrase_grams(postings: DataFrame, n: int, value: Column | None = None) -> DataFrame:
-    """Runs of n words parted by spaces alone: (doc_id, sent_id, start, end, gram); gram joins value (the token by default) in lower case."""
-    w = W.partitionBy("doc_id", "sent_id").orderBy("pos")
-    word = postings.withColumn("v", F.lower("token") if value is None else value).withColumn("stop", F.col("start") + F.length("token"))
+    """Runs of n words parted by spaces alone: (doc_id, sent_id, start, end, gram); gram joins value (the token by default) in lower case.
+
+    Tokens are read from run, so postings look n words ahead; other values, which a join has brought, are
+    looked up along the sentence.
+    """
     if n == 1:
-        return word.select("doc_id", "sent_id", "start", F.col("stop").alias("end"), F.col("v").alias("gram"))
+        return postings.select("doc_id", "sent_id", "start", (F.col("start") + F.length("token")).alias("end"), (F.lower("token") if value is None else value).alias("gram"))
+    if value is None:
+        return postings.where(F.size("run") >= n).select("doc_id", "sent_id", "start", F.get("run", F.lit(n - 1))["end"].alias("end"), F.array_join(F.transform(F.slice("run", 1, n), lambda x: x["v"]), " ").alias("gram"))
+    w = W.partitionBy("doc_id", "sent_id").orderBy("pos")
+    word = postings.withColumn("v", value).withColumn("stop", F.col("start") + F.length("token"))
     lead = lambda c, k: F.lead(c, k).over(w)
     space = F.lit(True)
     for k in range(1, n):

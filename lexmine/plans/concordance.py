@@ -46,7 +46,7 @@ def agg11_prefix_index(spark, d):
 
 @query(f', {_HITS} SELECT doc_id, sent_id, start, "end", target FROM hits', "corpus", "targets", "sentences", "words")
 def joi12_exact_matches(spark, d):
-    return C.exact_matches(X.word_index(_sents(spark, d)), targets(spark, d), longest=1)
+    return C.exact_matches(_sents(spark, d), targets(spark, d), longest=1)
 
 
 @query(
@@ -56,9 +56,9 @@ SELECT p.doc_id, p.sent_id, p.start, p."end", p.gram AS target FROM pairs p JOIN
     "corpus", "sentences", "words",
 )
 def joi12_phrase_matches(spark, d):
-    index = X.word_index(_sents(spark, d))
-    top = X.phrase_grams(index, 2).groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(10).select(F.col("gram").alias("target"))
-    return C.exact_matches(index, top, longest=2)
+    sents = _sents(spark, d)
+    top = X.phrase_grams(X.word_index(sents, 2), 2).groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(10).select(F.col("gram").alias("target"))
+    return C.exact_matches(sents, top, longest=2)
 
 
 @query(
@@ -96,13 +96,13 @@ def fun26_porter_stems(spark, d):
 
 @query(f", {_HITS} SELECT doc_id, sent_id, start, target, row_number() OVER (PARTITION BY doc_id, target ORDER BY sent_id, start) - 1 AS occurrence FROM hits", "corpus", "targets", "sentences", "words")
 def win1_occurrence(spark, d):
-    found = C.exact_matches(X.word_index(_sents(spark, d)), targets(spark, d), longest=1)
+    found = C.exact_matches(_sents(spark, d), targets(spark, d), longest=1)
     return found.select("doc_id", "sent_id", "start", "target", (F.row_number().over(W.partitionBy("doc_id", "target").orderBy("sent_id", "start")) - 1).cast("long").alias("occurrence"))
 
 
 @query(f', {_HITS} SELECT doc_id, sent_id, start, "end", target FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY sent_id, start) AS n FROM hits) WHERE n <= 12', "corpus", "targets", "sentences", "words")
 def win7_longest_first(spark, d):
-    return C.longest_first(C.exact_matches(X.word_index(_sents(spark, d)), targets(spark, d), longest=1), 12)
+    return C.longest_first(C.exact_matches(_sents(spark, d), targets(spark, d), longest=1), 12)
 
 
 @query(f"{_FIRST} SELECT doc_id, sent_id, start AS place, target FROM seen WHERE k = 1", "corpus", "targets", "sentences", "words")
@@ -144,7 +144,7 @@ def fun8_emphasize(spark, d):
 
 @query(f', {_HITS} SELECT doc_id, sent_id, start, "end", target FROM hits ORDER BY doc_id, sent_id, start, "end" - start DESC, target', "corpus", "targets", "sentences", "words")
 def srt4_match_order(spark, d):
-    return C.exact_matches(X.word_index(_sents(spark, d)), targets(spark, d), longest=1).orderBy("doc_id", "sent_id", "start", F.desc(F.col("end") - F.col("start")), "target")
+    return C.exact_matches(_sents(spark, d), targets(spark, d), longest=1).orderBy("doc_id", "sent_id", "start", F.desc(F.col("end") - F.col("start")), "target")
 
 
 _WORDS_OF = f"list_sort(list_distinct(list_filter(regexp_extract_all(replace(lower({{0}}), 'ß', 'ss'), '[a-z]+'), lambda w: length(w) >= 3 AND NOT list_contains({T.STOPWORDS}, w) AND w <> {{1}})))"
@@ -216,9 +216,9 @@ SELECT target, kind, count(*) AS candidates, count(DISTINCT doc_id) AS docs FROM
     "corpus", "targets", "sentences", "words",
 )
 def set1_union_candidates(spark, d):
-    index, wanted = X.word_index(_sents(spark, d)), targets(spark, d)
-    exact = C.exact_matches(index, wanted, longest=1).withColumn("kind", F.lit("exact"))
-    stems = C.variant_matches(index, wanted, stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0)).where("kind = 0").withColumn("kind", F.lit("variant"))
+    sents, wanted = _sents(spark, d), targets(spark, d)
+    exact = C.exact_matches(sents, wanted, longest=1).withColumn("kind", F.lit("exact"))
+    stems = C.variant_matches(X.word_index(sents), wanted, stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0)).where("kind = 0").withColumn("kind", F.lit("variant"))
     variant = stems.join(exact.drop("kind"), ["doc_id", "sent_id", "start", "end", "target"], "left_anti")
     return exact.unionByName(variant).groupBy("target", "kind").agg(F.count("*").alias("candidates"), F.count_distinct("doc_id").alias("docs"))
 
@@ -241,7 +241,7 @@ def joi12_pattern_matches(spark, d):
 def joi15_match_in_sentence(spark, d):
     """Matches are found inside their sentence's row, so an equi join takes the place of a range join."""
     sents = _sents(spark, d)
-    found = C.exact_matches(X.word_index(sents), targets(spark, d), longest=1)
+    found = C.exact_matches(sents, targets(spark, d), longest=1)
     return found.join(sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "start", "target", F.length("sentence").alias("sentence_chars"))
 
 

@@ -14,19 +14,19 @@ def test_longest_match_wins(spark):
     docs, sents, targets = tables(spark, ["It works as well as before, and as well here."], ["as well", "as well as"])
     got = [(r["target"], r["surface"]) for r in C.concordance(docs, sents, targets).orderBy("place").collect()]
     assert got == [("as well as", "as well as"), ("as well", "as well")]
-    taken = C.longest_first(C.exact_matches(X.word_index(sents), targets)).orderBy("start").collect()
+    taken = C.longest_first(C.exact_matches(sents, targets)).orderBy("start").collect()
     assert [(r["target"], r["start"]) for r in taken] == [("as well as", 9), ("as well", 32)]
 
 
 def test_phrase_needs_white_space_only(spark):
     _, sents, targets = tables(spark, ["They trail, behind us. They Trail\n behind us."], ["trail behind"])
-    got = C.exact_matches(X.word_index(sents), targets).collect()
+    got = C.exact_matches(sents, targets).collect()
     assert [(r["sent_id"], r["start"], r["end"]) for r in got] == [(1, 5, 17)]
 
 
 def test_limit_a_target_is_tested_before_overlap(spark):
     _, sents, targets = tables(spark, ["a b. " * 5], ["a b", "b"])
-    got = C.longest_first(C.exact_matches(X.word_index(sents), targets), limit=2).collect()
+    got = C.longest_first(C.exact_matches(sents, targets), limit=2).collect()
     assert sorted((r["sent_id"], r["target"]) for r in got) == [(0, "a b"), (1, "a b"), (2, "b"), (3, "b")]
 
 
