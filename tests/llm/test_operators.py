@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import random
 import zlib
@@ -200,16 +201,13 @@ def test_bpe_shares_repeated_chunks(spark):
 
 
 def test_token_counts_equal_greedy_matching(docs, rows):
-    c = token_counts.counter(BPE)
-    vocabulary = set()
+    from tokenizers import pre_tokenizers
 
-    def walk(u, prefix):
-        for b, v in c.next[u].items():
-            if c.fail[v] == c.inner and c.popped[v] == 1:
-                vocabulary.add(prefix + bytes([b]))
-            walk(v, prefix + bytes([b]))
-
-    walk(0, b"")
+    with open(BPE, encoding="utf-8") as f:
+        tokens = {t.removesuffix("</w>") for t in json.load(f)["model"]["vocab"]}
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    byte = {s: b for k in [*range(0x800), *range(0x800, 0x110000, 0x1000)] if not 0xD800 <= k < 0xE000 for s, b in zip(level.pre_tokenize_str(chr(k))[0][0], chr(k).encode(), strict=True)}
+    vocabulary = {bytes(byte[c] for c in t) for t in tokens if all(c in byte for c in t)}
     longest = max(map(len, vocabulary))
 
     def greedy(w):
