@@ -41,7 +41,10 @@ def str3_rate(spark, d):
     return _plain(J.run_available(J.rate(_stream(spark, d, "events"), "1 day", most=4), "complete"))
 
 
-@query(None)
+@query(
+    """WITH s AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+SELECT a.user_id, a.event_id, count(*) AS failures FROM s a JOIN s b ON a.user_id = b.user_id AND a.k = b.k AND b.event_type = 'error' AND (b.ts, b.event_id) <= (a.ts, a.event_id) AND b.t > a.t - 864000 WHERE a.event_type = 'error' GROUP BY a.user_id, a.event_id"""
+)
 def str3_rate_cleared(spark, d):
     return J.run_available(J.cleared_failures(_stream(spark, d, "events"), seconds=10 * 86400))
 

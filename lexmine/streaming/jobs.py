@@ -14,8 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lexmine.operators.text import sentences
 from lexmine.sources.shared import shared_folder
 
-#: How late a row may come.
-LATE = "10 minutes"
+#: How late a row may come; seconds after a user's last event when a run of failures is forgotten.
+LATE, FORGET = "10 minutes", 90 * 86400
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +51,8 @@ def intake(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(events: DataFrame, keys: list[str]) -> DataFrame:
-    """STR2. The first row of each key; keys are forgotten once the watermark is past."""
-    return events.withWatermark("ts", LATE).dropDuplicates([*keys, "ts"])
+    """STR2. The first row of each key, whatever its time; keys are forgotten once the watermark is past."""
+    return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
 
 
 def rate(events: DataFrame, window: str = "15 minutes", slide: str | None = None, most: int = 8) -> DataFrame:
@@ -95,29 +95,39 @@ def assemble(chunks: DataFrame) -> DataFrame:
     return parts.select("conv_id", "role", F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"), F.size("c").alias("chunks"))
 
 
-def streaks(events: DataFrame) -> DataFrame:
+def _keep(state: GroupState, value: tuple, last: pd.Timestamp, seconds: int) -> None:
+    """Set a state that is forgotten when the watermark is so many seconds past a time."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def streaks(events: DataFrame, forget: int = FORGET) -> DataFrame:
     """STR6 and STR7. Every failure with its number in the user's unbroken run of failures; any other event ends a run.
 
-    The run's length so far is the state of a user. A batch's events of a user are taken in order of time.
+    The run's length so far is the state of a user, forgotten so many seconds after its last event. A batch's events of a user are taken in order of time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            return state.remove()
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         run, out = (state.get[0] if state.exists else 0), []
         for kind in rows["event_type"]:
             run = run + 1 if kind == "error" else 0
             out.append(run)
-        state.update((run,))
+        _keep(state, (run,), rows["ts"].iloc[-1], forget)
         rows = rows.assign(streak=out)
         yield rows[rows["streak"] > 0][["user_id", "event_id", "ts", "streak"]]
 
-    return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp, streak long", "run long", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", LATE).select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp, streak long", "run long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cleared_failures(events: DataFrame, seconds: int = 900) -> DataFrame:
-    """STR3 with clearing. Each failure with the number of the user's failures in the trailing time since the last success."""
+    """STR3 with clearing. Each failure with the number of the user's failures in the trailing time since the last success; a user is forgotten once that time is past."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            return state.remove()
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         recent, out = (list(state.get[0]) if state.exists else []), []
         for kind, ts in zip(rows["event_type"], rows["ts"], strict=True):
@@ -127,8 +137,8 @@ def cleared_failures(events: DataFrame, seconds: int = 900) -> DataFrame:
             if kind == "error":
                 recent = [t for t in recent if t > now - seconds] + [now]
             out.append(len(recent) if kind == "error" else 0)
-        state.update((recent,))
+        _keep(state, (recent,), rows["ts"].iloc[-1], seconds)
         rows = rows.assign(failures=out)
         yield rows[rows["failures"] > 0][["user_id", "event_id", "failures"]]
 
-    return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, failures long", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", LATE).select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, failures long", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
