@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
+from lexmine.operators import concordance as C
 
 #: Candidates of a document taken before any filter, sent to approval, kept for a target, and of these from one document.
 PER_DOCUMENT, APPROVAL, KEPT, KEPT_PER_DOCUMENT = 6, 14, 4, 2
@@ -45,3 +46,19 @@ def mine(scored: DataFrame, approved: DataFrame | None = None, strict: bool = Tr
         return two_caps(rows.join(approved.distinct(), "doc_id", "left_semi"))
     marked = rows.join(approved.distinct().withColumn("_ok", F.lit(True)), "doc_id", "left").withColumn("score", F.col("score") + F.when(F.col("_ok"), 1000).otherwise(0))
     return two_caps(marked).withColumn("score", F.when(F.col("_ok"), F.col("score") - 1000).otherwise(F.col("score"))).drop("_ok")
+
+
+def refresh(sents: DataFrame, targets: DataFrame, anchors: DataFrame, retained: DataFrame, approved: DataFrame | None = None, strict: bool = True, **how) -> DataFrame:
+    """PIP5. The contexts of each target after a round of mining: (target, id, sentence, is_new).
+
+    Literal occurrences (PIP3) and variant forms (PIP4, with how) are scored against the known text of their
+    target, capped, checked for readability and approval (WIN9, FIL3, WIN11, WIN10), and added to the retained
+    ones (target, id, sentence), which stay (SET2). A target without a new row is unchanged, so a second
+    round with the first one's result changes nothing.
+    """
+    exact = C.concordance(sents, sents, targets)
+    variants = C.variant_concordance(sents, targets, **how).select(exact.columns)
+    both = exact.unionByName(variants).dropDuplicates(["target", "id"])
+    chosen = mine(score(both, anchors), approved, strict).select("target", "id", "sentence")
+    new = chosen.join(retained.select("target", "id"), ["target", "id"], "left_anti")
+    return retained.select("target", "id", "sentence", F.lit(False).alias("is_new")).unionByName(new.select("target", "id", "sentence", F.lit(True).alias("is_new")))

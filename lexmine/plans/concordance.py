@@ -192,6 +192,16 @@ def pip5_mine_contexts(spark, d):
     return M.mine(_scored(spark, d), approved).select("doc_id", "sent_id", "place", "target")
 
 
+@query(None)
+def pip5_refresh_contexts(spark, d):
+    """The whole round, with inflected and near-spelled forms: literal contexts of a target's first document are its known ones."""
+    sents, wanted = _sents(spark, d), targets(spark, d)
+    found = C.concordance(sents, sents, wanted)
+    anchors = found.groupBy("target").agg(F.min_by("sentence", F.struct("doc_id", "sent_id", "place")).alias("anchor"), F.min("doc_id").alias("doc_id"))
+    retained = found.join(anchors.select("target", "doc_id"), ["target", "doc_id"], "left_semi").select("target", "id", "sentence")
+    return M.refresh(sents, wanted, anchors.select("target", "anchor"), retained, table(spark, d, "labels").where("quality = 1").select("doc_id"))
+
+
 @query(
     f"{_MINED}, g AS (SELECT *, row_number() OVER (PARTITION BY target, doc_id ORDER BY o DESC, sent_id, place) AS rd FROM ok) SELECT doc_id, sent_id, place, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY o DESC, doc_id, sent_id, place) AS rt FROM g WHERE rd <= 2) WHERE rt <= 4",
     "corpus", "targets", "sentences", "words",

@@ -48,3 +48,18 @@ def test_caps_equal_the_greedy_walk(spark):
                 n += 1
                 want.add((str(t), d, k))
     assert {(r["target"], r["doc_id"], r["sent_id"]) for r in M.two_caps(df).collect()} == want
+
+
+def test_refresh_adds_variants_and_is_idempotent(spark):
+    known = "The new model was able to trail behind every other strong system in the long test."
+    texts = [(1, known), (2, "Nobody saw a strong system trail behind the new model in such a long test before."), (3, "A strong system that trails badly failed the long test of every new model again."), (4, "To trail behind is short.")]
+    sents = spark.createDataFrame([(i, 0, t) for i, t in texts], "doc_id long, sent_id int, sentence string")
+    targets = spark.createDataFrame([("trail",), ("absent",)], "target string")
+    anchors = spark.createDataFrame([("trail", known)], "target string, anchor string")
+    none = spark.createDataFrame([], "target string, id string, sentence string")
+    first = M.refresh(sents, targets, anchors, none).collect()
+    assert sorted(r["sentence"] for r in first) == sorted(t for _, t in texts[:3]) and all(r["is_new"] for r in first)
+    kept = spark.createDataFrame([(r["target"], r["id"], r["sentence"]) for r in first], "target string, id string, sentence string")
+    assert not any(r["is_new"] for r in M.refresh(sents, targets, anchors, kept).collect())
+    approved = spark.createDataFrame([(3,)], "doc_id long")
+    assert [r["sentence"] for r in M.refresh(sents, targets, anchors, none, approved).collect()] == [texts[2][1]]
