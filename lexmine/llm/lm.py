@@ -19,7 +19,7 @@ Scores. A text is cut into windows of WINDOW pieces that overlap by CONTEXT; eve
 many windows are scored at once under the mask. The log chances of its pieces add up to the text's.
 
 Words. Documents are dealt into buckets; each bucket sends the distinct words that it holds with their counts
-in training documents, and gets back their counts over the corpus by a join, for base_score.
+in training documents, and gets back their sums over the corpus, for base_score.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmine.llm.common import BASE, BYTES, INVERSE, Texts, as_bytes, mix, partitions, powers, slices
@@ -449,7 +450,9 @@ def lm_scores(docs: DataFrame, training: Column, vocabulary: str, id_col: str =
         return out / np.log(10)
 
     sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, word long, n long").repartition("word")
-    totals = sent.groupBy("word").agg(F.sum("n").alias("n"))
+    # Both uses of sent need all its columns, so that Spark makes and shuffles it once.
+    totals = sent.groupBy("word").agg(F.sum("n").alias("n"), F.min("bucket").alias("low")).where("low >= 0")
     sizes = totals.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("types")).select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(0).cast("long").alias("word"), "n", "types")  # a row a bucket
-    answers = sent.select("bucket", "word").join(totals, "word").select("bucket", "word", "n", F.lit(None).cast("long").alias("types")).unionByName(sizes)
+    whole = F.sum("n").over(W.partitionBy("word"))
+    answers = sent.select("bucket", "word", whole.alias("n"), F.lit(None).cast("long").alias("types")).unionByName(sizes)
     return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
