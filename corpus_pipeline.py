@@ -1,4 +1,12 @@
-"""A corpus pipeline of five stages over documents: quality, lines, near copies, benchmark passages, tokens."""
+"""A corpus pipeline of five stages over documents: quality, lines, near copies, benchmark passages, tokens.
+
+Odd rows. A null text is an empty one: the quality stage rejects it, and the later stages take it for one
+without lines, words or tokens. A null host is a host of its own, null ids are ids like others (in the
+near-copy stage only those whose whole group has null ids stay). Rows equal in id and text count as one document
+and stay or go together; of two texts with one id each is judged by itself. Empty tables, also an empty
+benchmark, give empty results or leave documents as they are. Other columns are carried on, whatever they are
+called.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of line windows; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs).drop("ld_lines", "ld_removed")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

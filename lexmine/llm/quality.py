@@ -63,8 +63,11 @@ def clean(docs: DataFrame, host_col: str = "source", least_docs: int = 20, share
     """The rows of docs that quality() keeps, without the lines above their host's limit; other columns stay as they are.
 
     The figures that decide are those of the whole text. Lines without a word stay. Every row is judged
-    by its own text, whatever its id.
+    by its own text, whatever its id. Columns keep their names and order, whatever they are called.
     """
+    names = docs.columns
+    docs = docs.select([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    host_col, text_col = f"c{names.index(host_col)}", f"c{names.index(text_col)}"
     rows = docs.select(F.col(host_col).alias("q_host"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text")).withColumn("q_key", text_key(F.col("q_text")))
     sets = checkpoint(_common(rows, least_docs, share).groupBy("q_at").agg(F.collect_set("q_common").alias("q_set")))
     few = (sets.agg(F.sum(F.size("q_set"))).first()[0] or 0) <= BROADCAST_LINES
@@ -75,7 +78,7 @@ def clean(docs: DataFrame, host_col: str = "source", least_docs: int = 20, share
     # One expression, as Spark would compute columns that a filter uses once for every use.
     kept = let(words(F.col(text_col)), lambda w: ~_bad(F.size(w), _covered_by_repeats(w)) & (100 * (F.size(w) - gone) >= left_percent * F.size(w)))
     text = F.when(F.col("q_set").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x: ~common(x)), "\n"))
-    return out.where(kept).select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return out.where(kept).select(*[(text if c == text_col else docs[c]).alias(name) for c, name in zip(docs.columns, names, strict=True)])
 
 
 def quality(docs: DataFrame, host_col: str = "source", least_docs: int = 20, share: float = 0.1, left_percent: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,3 +45,22 @@ def test_quality_stage_carries_texts_without_boilerplate(spark, tmp_path):
     docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == [(k, t, len(t)) for k, t in enumerate(own)]
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ld_id int, q_set string, kept_id int, `a.b` int"
+    good, other = (" ".join(f"{p}{j}" for j in range(80)) for p in "vw")
+    rows = [(None, None, None, None, None, 1, "x", 2, 3), (4, good, "en", None, 1, 1, "x", 2, 3), (4, good, "en", None, 1, 1, "x", 2, 3), (4, other, None, "s", None, 1, "x", 2, 3), (7, "", "en", "s", 0, 1, "x", 2, 3)]
+    for k, (made, items) in enumerate([(rows, [(None, None), (1, "")]), ([], [])]):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.createDataFrame(made, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, folder)
+            if name != "bpe":
+                assert got.columns == docs.columns
+            ids = sorted(str(r["doc_id"]) for r in got.collect())
+            want = {"quality_rules": ["4", "4", "4"], "simhash_near_dedup": ["4", "4", "4", "7"]}.get(name, ["4", "4", "4", "7", "None"])
+            assert ids == (want if made else []), name
