@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.llm import bpe, decontaminate, line_dedup, lm, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from lexmine.llm import bpe, conversation_trie, decontaminate, line_dedup, lm, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -75,11 +79,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_conversation_trie": op11_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_DEDUP_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op5_quality": QUALITY_SQL}
+    return {"op1_substring_dedup": SUBSTRING_DEDUP_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op5_quality": QUALITY_SQL, "op11_conversation_trie": CONVERSATION_TRIE_SQL}
 
 
 LINE_DEDUP_SQL = r"""
@@ -124,3 +129,20 @@ k AS (SELECT x.doc_id, x.p, x.word, coalesce(e.last + 19 >= x.p, false) AS gone
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, count(k.p) FILTER (k.gone) AS n_removed, sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.p) FILTER (NOT k.gone), '')) AS kept_sha256
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id GROUP BY w.doc_id, w.ws
 """
+
+#: CRC-32 of an id's decimal text; t: turns in order, q: rebuilt ones; a node's subtree is reached by the conversation that names it.
+CONVERSATION_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda acc, v: list_reduce(list_prepend(xor(acc, v), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+q AS (SELECT c.conv_id, 0 AS part, t.j, t.r, t.x FROM c JOIN t ON t.conv_id = c.base AND t.j <= c.h UNION ALL SELECT c.conv_id, 1, t.j, t.r, t.x FROM c JOIN t ON t.conv_id = c.conv_id AND t.j > c.h),
+k AS (SELECT conv_id, row_number() OVER w AS d, md5(string_agg(md5(r) || md5(x), '') OVER w) AS key, strlen(x) AS bytes FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY part, j)),
+p AS (SELECT conv_id, d, key, bytes FROM k UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (SELECT p.d, p.key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM p JOIN (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id) m USING (conv_id, d) GROUP BY p.d, p.key),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own FROM p GROUP BY d, key),
+l AS (SELECT n.*, a.key AS parent_key FROM n LEFT JOIN p a ON a.conv_id = n.conv_id AND a.d = n.d - 1),
+f AS (SELECT d - 1 AS d, parent_key AS key, count(*) AS n_children FROM l WHERE d > 0 GROUP BY 1, 2),
+s AS (SELECT a.d, a.key, count(*) FILTER (f.key IS NULL) AS n_leaves, CAST(sum(n.own) AS BIGINT) AS saved_tokens FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN f ON f.d = n.d AND f.key = n.key GROUP BY a.d, a.key)
+SELECT l.conv_id, l.d AS depth, u.conv_id AS parent_conv_id, l.n_convs, coalesce(f.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM l JOIN s ON s.d = l.d AND s.key = l.key LEFT JOIN n u ON u.d = l.d - 1 AND u.key = l.parent_key LEFT JOIN f ON f.d = l.d AND f.key = l.key LEFT JOIN e ON e.d = l.d AND e.key = l.key
+"""
