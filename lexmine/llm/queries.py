@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.llm import bpe, conversation_trie, decontaminate, line_dedup, lm, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from lexmine.llm import bpe, conversation_repair, conversation_trie, decontaminate, line_dedup, lm, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -67,6 +67,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repairs(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -80,11 +88,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_warc": op12_warc,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_DEDUP_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op5_quality": QUALITY_SQL, "op11_conversation_trie": CONVERSATION_TRIE_SQL}
+    return {"op1_substring_dedup": SUBSTRING_DEDUP_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op5_quality": QUALITY_SQL, "op11_conversation_trie": CONVERSATION_TRIE_SQL, "op12_warc": WARC_SQL}
 
 
 LINE_DEDUP_SQL = r"""
@@ -146,3 +156,9 @@ s AS (SELECT a.d, a.key, count(*) FILTER (f.key IS NULL) AS n_leaves, CAST(sum(n
 SELECT l.conv_id, l.d AS depth, u.conv_id AS parent_conv_id, l.n_convs, coalesce(f.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM l JOIN s ON s.d = l.d AND s.key = l.key LEFT JOIN n u ON u.d = l.d - 1 AND u.key = l.parent_key LEFT JOIN f ON f.d = l.d AND f.key = l.key LEFT JOIN e ON e.d = l.d AND e.key = l.key
 """
+
+WARC_SQL = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN r IS NULL THEN 'response' ELSE 'revisit' END AS record_type, r AS refers_to FROM (
+  SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 THEN nullif(min(page_id) OVER (PARTITION BY h), coalesce(page_id, min(page_id) OVER (PARTITION BY h) - 1)) END AS r
+  FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""

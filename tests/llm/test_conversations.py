@@ -9,6 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from lexmine.llm import conversation_repair as repair
 from lexmine.llm import conversation_trie as trie
 from lexmine.llm.ordered import running
 
@@ -109,3 +110,122 @@ def test_trie_of_odd_tables(spark):
     for rows in ([(3, 1, "user", "x")], [(5, 1, None, None), (5, 1, None, None)], [(11, 2, "user", "y"), (11, None, "user", "z")]):
         assert sorted((tuple(r) for r in trie.conversation_trie(frame(spark, rows)).collect()), key=str) == plain_trie(rows)
     assert trie.conversation_trie(frame(spark, chats())).where(F.col("depth") == 0).count() == 1
+
+
+FAULTS = ["", " ", "ok.", "ok", "what?\n", "no !", "…", "x" * 300 + "."]
+
+
+def talks(seed: int = 11) -> list[tuple]:
+    """Short conversations of every kind, one of 900 rows, one all blank, one all alike, null ids, turns, roles and texts."""
+    rng = random.Random(seed)
+    rows = []
+    for c in range(250):
+        turns = [None if rng.random() < 0.1 else rng.randint(-2, 9) for _ in range(rng.randint(1, 6))]
+        rows += [(c, t, rng.choice(["user", "assistant", "system", "tool", None, "", "u", "User"]), rng.choice([*FAULTS, None])) for t in set(turns)]
+    rows += [(500, t, rng.choice(["user", "assistant", "assistant", "system"]), f"line {rng.randrange(600)}{rng.choice('.. x')}") for t in range(900)]
+    rows += [(501, t, "user", " \n") for t in range(40)] + [(502, t, "user", "alike.") for t in range(60)] + [(503, 4, "user", "twice."), (503, 4, "user", "twice."), (503, 4, "assistant", "twice.")]
+    return rows + [(None, t, ("user", "assistant")[t % 2], f"nobody {t}.") for t in range(4)]
+
+
+def plain_damage(rows):
+    out = {}
+    for c, t, r, x in rows:
+        out.setdefault(c, [])
+        fault = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        r, x = " " if r is None else r, " " if x is None else x
+        if fault == 0:
+            continue
+        x = "" if fault == 1 else "".join(y for y in x if y not in ".!?") if fault == 2 else x
+        out[c] += [(t, "user" if fault == 4 else r, x)] * (2 if fault == 3 else 1)
+    return out
+
+
+def plain_repair(rows):
+    """Least cost and audit by trying a row's edits and inserts from every state, one row after the other."""
+    blank = duplicate = truncated = illegal = 0
+    seen, kinds = set(), []
+    for _, r, x in rows:
+        bare = x.strip(" \t\n\x0b\f\r")
+        kind = 0 if not bare else 1 if (r, x) in seen else 2 if bare[-1] not in ".!?" else 3
+        seen.add((r, x))
+        kinds.append(kind)
+    blank, duplicate, truncated = (kinds.count(k) for k in range(3))
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    step = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    role = {"u": "user", "a": "assistant"}
+
+    def widen(ways):
+        while True:
+            more = dict(ways)
+            for s, (cost, audit, said) in ways.items():
+                for to in (t for t in step[s].values() if t != "s"):
+                    one = (cost + 2, audit + "I", (*said, f"{role[to]}:"))
+                    if to not in more or one[:2] < more[to][:2]:
+                        more[to] = one
+            if more == ways:
+                return ways
+            ways = more
+
+    ways = widen({"": (0, "", ())})
+    for (_, r, x), kind in zip(rows, kinds, strict=True):
+        after = {}
+        for s, (cost, audit, said) in ways.items():
+            edits = [(s, cost + 3, audit + "D", said)]
+            if kind > 1:
+                edits += [(t, cost + 2 + (kind == 2), audit + "R", (*said, f"{role[t]}:{x}")) for t in step[s].values() if t != "s"]
+                if r[:1] in step[s]:
+                    edits.append((step[s][r[:1]], cost + (kind == 2), audit + "K", (*said, f"{r}:{x}")))
+            for to, *one in edits:
+                if to not in after or tuple(one[:2]) < after[to][:2]:
+                    after[to] = tuple(one)
+        ways = widen(after)
+    cost, audit, said = min((ways[s] for s in ("", "a") if s in ways), key=lambda w: w[:2])
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return gaps, blank, duplicate, truncated, illegal, cost, audit, "\n".join(said)
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+@pytest.mark.parametrize("block, shuffle", [(256, 4), (3, 24)])
+def test_repairs_equal_plain_version(spark, block, shuffle):
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    try:
+        table = repair.damage(frame(spark, talks()).repartition(3))
+        got = {r["conv_id"]: tuple(r)[1:] for r in repair.repairs(table, block).collect()}
+        turns = {}
+        for r in sorted(repair.repaired_turns(table, block).collect(), key=lambda r: (r["conv_id"] is None, r["conv_id"] or 0, r["place"])):
+            turns.setdefault(r["conv_id"], []).append(f"{r['role']}:{r['text']}")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = plain_damage(talks())
+    assert set(got) == set(want)
+    for c, rows in want.items():
+        *counts, said = plain_repair(in_order(rows))
+        assert got[c] == (*counts, hashlib.sha256(said.encode()).hexdigest()), c
+        assert "\n".join(turns.get(c, [])) == said
+
+
+def test_search_equals_trying_all_edits():
+    """Every audit of up to n edits is tried on small conversations."""
+    rng = random.Random(4)
+    for _ in range(150):
+        rows = [(rng.choice("sua?"), gone := rng.random() < 0.3, not gone and rng.random() < 0.3) for _ in range(rng.randint(0, 4))]
+        best, ways = (3 * len(rows) + 1, ""), [(0, "", 0, 0)]
+        while ways:
+            cost, audit, i, s = ways.pop()
+            if i == len(rows) and s in repair.ACCEPT:
+                best = min(best, (cost, audit))
+            lattice = repair.Rows(rows)
+            ways += [(cost + c, audit + e, *to) for to, c, e in lattice.after((i, s)) if cost + c <= best[0]]
+        assert repair.repair(rows) == best
+        assert len(rows) < 2 or repair.repair(rows, block=1) == best
+
+
+def test_repairs_of_odd_tables(spark):
+    assert repair.repairs(frame(spark, [])).collect() == []
+    assert repair.repaired_turns(frame(spark, [])).collect() == []
+    gone = spark.createDataFrame([("x", 1, "user", "hi.", 0)], "conv_id string, turn int, role string, text string, copies int")
+    assert [tuple(r) for r in repair.repairs(gone).collect()] == [("x", 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
