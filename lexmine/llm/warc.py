@@ -37,7 +37,7 @@ from lexmine.sources.shared import shared_folder
 
 #: Bytes from which on a payload may be a revisit; records a file at most; repeated digests that are broadcast at most.
 LEAST, PER_FILE, BROADCAST_ROWS = 100, 10_000, 100_000
-#: Captures in a block, and those from which splitters are taken: the ones with the smallest hashes.
+#: Captures in a block; about how many, chosen by hash, splitters are taken from.
 BLOCK, SAMPLE = 512, 10_000
 # The WARC 1.1 names of an identical-payload revisit.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -241,8 +241,9 @@ def capture_histories(captures: DataFrame, ids: str = ID) -> DataFrame:
     """Captures (the runs of read_archives) in the order of URL key and date over all partitions: the index of the archives."""
     spark = captures.sparkSession
     parts, schema, fields = partitions(spark), _schema(ids), CAPTURE.format(id=ids)
-    sample = captures.orderBy(F.xxhash64("archive", "offset"), "archive", "offset").limit(SAMPLE)  # SAMPLE rows of an index at most
-    some = sorted(_order(tuple(r)) for r in sample.select(captures.columns).collect())
+    total = max(1, captures.count())
+    sample = captures.where(F.pmod(F.xxhash64("archive", "offset"), F.lit(total)) < SAMPLE)  # about SAMPLE rows of an index
+    some = sorted(_order((r["urlkey"], r["date"], r["page_id"], *[None] * 5, r["archive"], r["offset"])) for r in sample.select("urlkey", "date", "page_id", "archive", "offset").collect())
     cuts = [some[len(some) * k // parts] for k in range(1, parts)] if some else []
     packed = pa.schema([("range", pa.int32()), ("urlkey", pa.string()), ("date", pa.string()), ("page_id", schema.field("page_id").type), ("archive", pa.string()), ("offset", pa.int64()), ("rows", pa.list_(pa.struct(list(schema))))])
 
