@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from bisect import bisect_right
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmine.functions import text as T
 from lexmine.functions import udfs
-from lexmine.operators.text import phrase_grams, word_index
+from lexmine.operators.text import word_index
+from lexmine.sources.shared import checkpoint
 
 #: A target has four words at most, so that many lengths of phrases are looked up.
 LONGEST = 4
@@ -20,36 +25,61 @@ LONGEST = 4
 def exact_matches(sents: DataFrame, targets: DataFrame, longest: int = LONGEST) -> DataFrame:
     """JOI12. (doc_id, sent_id, start, end, target) of targets (of letters and spaces) in any case, on word bounds.
 
-    A phrase is looked up among the phrases of its own length by an equi join; no text is scanned once
-    a target, and only lengths that targets have are looked up. Spark broadcasts the targets if they are small.
+    Postings meet the words of the targets first; phrases are then put together from what is left, by the
+    words that follow each other. No text is scanned once a target. Spark broadcasts the words if they are few.
     """
-    keyed = targets.select("target", T.target_key(F.col("target")).alias("gram")).withColumn("n", F.size(F.split("gram", " "))).where(F.col("n") <= longest)
-    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect()) or [1]  # LONGEST numbers at most
-    postings = word_index(sents, lengths[-1])
-    if lengths == [1]:
-        found = phrase_grams(postings, 1)
-    else:
-        of = lambda n: F.when(F.size("run") >= n, F.struct(F.get("run", F.lit(n - 1))["end"].alias("end"), F.array_join(F.transform(F.slice("run", 1, n), lambda x: x["v"]), " ").alias("gram")))
-        found = postings.select("doc_id", "sent_id", "start", F.explode(F.array(*map(of, lengths))).alias("g")).where("g IS NOT NULL").select("doc_id", "sent_id", "start", "g.end", "g.gram")
-    return found.join(keyed.select("target", "gram"), "gram").select("doc_id", "sent_id", "start", "end", "target")
+    keyed = targets.select("target", T.target_key(F.col("target")).alias("gram")).withColumn("ws", F.split("gram", " ")).where(F.size("ws") <= longest)
+    postings = word_index(sents).withColumn("w", F.lower("token"))
+    if longest == 1:
+        found = postings.join(keyed.select("target", F.col("gram").alias("w")), "w").select("doc_id", "sent_id", "start", (F.col("start") + F.length("token")).alias("end"), "target")
+        return found
+    some = postings.join(keyed.select(F.explode("ws").alias("w")).distinct(), "w")
+    return word_grams(some, F.col("w"), longest).join(keyed.select("target", "gram"), "gram").select("doc_id", "sent_id", "start", "end", "target")
 
 
-def longest_first(matches: DataFrame, limit: int = 12) -> DataFrame:
-    """WIN7. In each document the matches that a greedy walk takes: by place, longer first, none that overlaps one taken, limit for each target (tested first).
+def word_grams(postings: DataFrame, value, longest: int, shortest: int = 1) -> DataFrame:
+    """Runs of shortest to longest words, of which only white space parts each from the one before: (doc_id, sent_id, start, end, gram of their values).
 
-    A fold over the sorted matches of one document; what is folded is a document's matches, not its text.
+    postings needn't be all words: a run is broken where one is missing.
     """
-    rows = matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "start", (F.col("start") - F.col("end")).alias("shorter"), "target", "end"))).alias("m"))
-    zero = F.struct(F.array().cast("array<struct<sent_id:int,start:bigint,shorter:bigint,target:string,end:bigint>>").alias("taken"))
+    w = W.partitionBy("doc_id", "sent_id").orderBy("pos")
+    one = postings.select("doc_id", "sent_id", "pos", "start", (F.col("start") + F.length("token")).alias("stop"), "follows", value.alias("v"))
+    grams, known, said = [], F.lit(True), F.col("v")
+    for n in range(1, longest + 1):
+        if n > 1:
+            ahead = lambda c, k=n - 1: F.lead(c, k).over(w)
+            known = known & F.coalesce(ahead("follows") & (ahead("pos") == F.col("pos") + 2 * (n - 1)), F.lit(False))
+            said = F.concat_ws(" ", said, ahead("v"))
+        if n >= shortest:
+            grams.append(F.when(known, F.struct((F.col("stop") if n == 1 else F.lead("stop", n - 1).over(w)).alias("end"), said.alias("gram"))))
+    found = one.select("doc_id", "sent_id", "start", F.array(*grams).alias("g"))
+    return found.select("doc_id", "sent_id", "start", F.explode("g").alias("g")).where("g IS NOT NULL").select("doc_id", "sent_id", "start", "g.end", "g.gram")
+
 
-    def step(acc, x):
-        taken = acc["taken"]
-        full = F.size(F.filter(taken, lambda t: t["target"] == x["target"])) >= limit
-        last = F.get(taken, F.size(taken) - 1)
-        free = last.isNull() | (last["sent_id"] != x["sent_id"]) | (x["start"] >= last["end"])
-        return F.struct(F.when(~full & free, F.concat(taken, F.array(x))).otherwise(taken).alias("taken"))
+def longest_first(matches: DataFrame, limit: int = 12) -> DataFrame:
+    """WIN7. In each document the matches that a greedy walk takes: by place, longer first, none that overlaps one taken, limit for each target (tested first).
 
-    return rows.select("doc_id", F.explode(F.aggregate("m", zero, step)["taken"]).alias("t")).select("doc_id", "t.sent_id", "t.start", "t.end", "t.target")
+    Spark sorts each document's matches; the walk goes over them once and holds a count a target of one document.
+    """
+    kind = matches.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("sent_id", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("target", pa.string())])
+
+    def walk(batches):
+        doc, counts, last = None, None, None
+        for batch in batches:
+            kept = []
+            for k, (d, s, start, end, target) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if counts is None or d != doc:
+                    doc, counts, last = d, {}, None
+                if counts.get(target, 0) < limit and (last is None or last[0] != s or start >= last[1]):
+                    counts[target] = counts.get(target, 0) + 1
+                    last = s, end
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int32())).cast(schema)
+
+    rows = matches.select("doc_id", F.col("sent_id").cast("int").alias("sent_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "target")
+    laid = rows.repartition("doc_id").sortWithinPartitions("doc_id", "sent_id", "start", F.desc("end"), "target")
+    return laid.mapInArrow(walk, f"doc_id {kind.simpleString()}, sent_id int, start long, end long, target string")
 
 
 def contexts(matches: DataFrame, sents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -73,32 +103,35 @@ def concordance(docs: DataFrame, sents: DataFrame, targets: DataFrame, limit: in
     return first_seen(contexts(longest_first(exact_matches(sents, targets), limit), sents))
 
 
-def variant_matches(postings: DataFrame, targets: DataFrame, stem=udfs.porter_stem, ratio=udfs.weighted_ratio, cutoff: float = 78.0) -> DataFrame:
+def variant_matches(sents: DataFrame, targets: DataFrame, stem=udfs.porter_stem, ratio=udfs.weighted_ratio, cutoff: float = 78.0) -> DataFrame:
     """JOI13 and JOI14. Inflected and near-spelled forms: (doc_id, sent_id, start, end, target, kind), kind 0 by stem and 1 by spelling.
 
-    Stems and likeness are computed on the distinct vocabulary and its pairs with the targets' first
-    four letters, then joined back, never for each occurrence.
+    Stems and likeness are computed on the distinct vocabulary (written down once) and its pairs with the targets'
+    first four letters. Postings then meet the forms found, so only words that are one are ever shuffled.
     """
-    words = postings.where(F.length("token") >= 3).withColumn("w", F.lower("token"))
-    vocabulary = words.select("w").distinct().withColumn("stem", stem("w"))
+    postings = word_index(sents).where(F.length("token") >= 3).withColumn("w", F.lower("token"))
+    vocabulary = checkpoint(postings.select("w").distinct().withColumn("stem", stem("w")))
     t = targets.select("target", F.regexp_extract_all(F.lower("target"), F.lit("[a-z]+"), F.lit(0)).alias("ws")).where(F.forall("ws", lambda w: F.length(w) >= 3) & (F.size("ws") > 0))
     pieces = t.select("target", F.posexplode("ws").alias("i", "w"))
-    stems = pieces.withColumn("stem", stem("w")).groupBy("target").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("i", "stem"))), lambda x: x["stem"])).alias("gram"), F.count("*").alias("n"))
+    stems = pieces.withColumn("stem", stem("w")).groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "stem"))), lambda x: x["stem"]).alias("stems"))
+    stems = checkpoint(stems.select("target", "stems", F.array_join("stems", " ").alias("gram"), F.size("stems").alias("n")))
     single = stems.where("n = 1").withColumn("t", F.lower("target"))
     alike = vocabulary.join(single.select(F.col("gram").alias("stem"), "target"), "stem").select("w", "target", F.lit(0).alias("kind"))
     near = vocabulary.where(F.length("w") >= 4).join(single, F.substr("w", F.lit(1), F.lit(4)) == F.substr("t", F.lit(1), F.lit(4)))
     near = near.where((F.col("w") != F.col("t")) & (F.abs(F.length("w") - F.length("t")) <= 4) & (F.col("stem") != F.col("gram"))).select("w", "t", "target").distinct()
     near = near.withColumn("score", ratio("t", "w")).where(F.col("score") >= cutoff).select("w", "target", F.lit(1).alias("kind"))
-    out = words.join(alike.unionByName(near), "w").select("doc_id", "sent_id", "start", (F.col("start") + F.length("token")).alias("end"), "target", "kind")
-    for n in sorted(r["n"] for r in stems.where(F.col("n").between(2, LONGEST)).select("n").distinct().collect()):  # LONGEST numbers at most
-        phrases = phrase_grams(words.join(vocabulary, "w"), n, F.col("stem")).join(stems.where(F.col("n") == n), "gram")
-        out = out.unionByName(phrases.select("doc_id", "sent_id", "start", "end", "target", F.lit(0).alias("kind")))
-    return out
+    out = postings.join(alike.unionByName(near), "w").select("doc_id", "sent_id", "start", (F.col("start") + F.length("token")).alias("end"), "target", "kind")
+    many = stems.where(F.col("n").between(2, LONGEST))
+    if many.isEmpty():
+        return out
+    forms = vocabulary.join(many.select(F.explode("stems").alias("stem")).distinct(), "stem")
+    grams = word_grams(postings.join(forms, "w"), F.col("stem"), LONGEST, shortest=2).join(many.select("gram", "target"), "gram")
+    return out.unionByName(grams.select("doc_id", "sent_id", "start", "end", "target", F.lit(0).alias("kind")))
 
 
 def variant_concordance(sents: DataFrame, targets: DataFrame, limit: int = 8, **how) -> DataFrame:
     """PIP4. Contexts of variant forms, limit a target and document, stems before spellings (WIN8)."""
-    found = variant_matches(word_index(sents), targets, **how)
+    found = variant_matches(sents, targets, **how)
     made = first_seen_by_target(contexts(found, sents, keep=("kind",))).where(F.lower("surface") != T.target_key(F.col("target")))
     w = W.partitionBy("doc_id", "target").orderBy("kind", "sent_id", "place")
     return made.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
@@ -109,26 +142,111 @@ def first_seen_by_target(found: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def pattern_matches(docs: DataFrame, targets: DataFrame, block: int = 500) -> DataFrame:
+#: Bytes of targets that one automaton holds at most; with more, texts are read once for each such part.
+AUTOMATON_BYTES = 8_000_000
+
+
+def _fold(c: str) -> str:
+    """A letter as a search in any case knows it; one letter for one, so places stay."""
+    folded = c.casefold()
+    return {"\u0130": "i", "\u0131": "i"}.get(c) or (folded if len(folded) == 1 else c.lower() if len(c.lower()) == 1 else c)
+
+
+#: In any case, so a few letters beyond ASCII count too.
+_LETTER = re.compile("[A-Za-z]", re.IGNORECASE)
+
+
+class Finder:
+    """All targets in one automaton. find() reads a text once and gives (start, end, target) as a search for each target would: on letter bounds, in any case, any white space between words, none that overlaps an earlier one of its target."""
+
+    def __init__(self, targets: tuple[str, ...]):
+        self.known: dict[str, str] = {}
+        self.automaton = ahocorasick.Automaton()
+        by_key: dict[str, list[int]] = {}
+        self.targets = targets
+        self.patterns: list[re.Pattern | None] = [None] * len(targets)
+        for k, target in enumerate(targets):
+            if key := self.folded(" ".join(target.split())):
+                by_key.setdefault(key, []).append(k)
+        for key, which in by_key.items():
+            self.automaton.add_word(key, (len(key), which))
+        self.any = bool(by_key)
+        if self.any:
+            self.automaton.make_automaton()
+
+    def folded(self, text: str) -> str:
+        known = self.known
+        for c in set(text) - known.keys():
+            known[c] = _fold(c)
+        return "".join([known[c] for c in text])
+
+    def _same(self, k: int, found: str) -> bool:
+        """Folding joins a few letters more than a search in any case does."""
+        if self.patterns[k] is None:
+            self.patterns[k] = re.compile("\\s+".join(map(re.escape, self.targets[k].split())), re.IGNORECASE)
+        return self.patterns[k].fullmatch(found) is not None
+
+    def find(self, text: str | None) -> list[tuple[int, int, str]]:
+        if not text or not self.any:
+            return []
+        # white space runs as one space: `cuts` has the places after which more was left out, `gone` how much by then
+        cuts, gone, parts, last, lost = [], [0], [], 0, 0
+        for run in re.finditer("\\s+", text):
+            a, b = run.span()
+            parts += [text[last:a], " "]
+            last = b
+            if b - a > 1:
+                lost += b - a - 1
+                cuts.append(b - lost - 1)
+                gone.append(lost)
+        parts.append(text[last:])
+        flat = self.folded("".join(parts))
+        out, reached = [], {}
+        for end, (size, which) in self.automaton.iter(flat):
+            first = end + 1 - size
+            a, b = first + gone[bisect_right(cuts, first - 1)], end + 1 + gone[bisect_right(cuts, end)]
+            if (a and _LETTER.match(text[a - 1])) or (b < len(text) and _LETTER.match(text[b])):
+                continue
+            for k in which:
+                if reached.get(k, 0) <= a and self._same(k, text[a:b]):
+                    reached[k] = b
+                    out.append((a, b, self.targets[k]))
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def _finder(targets: tuple[str, ...]) -> Finder:
+    """A worker builds an automaton once."""
+    return Finder(targets)
+
+
+def pattern_matches(docs: DataFrame, targets: DataFrame, most: int = AUTOMATON_BYTES) -> DataFrame:
     """UDF8. (doc_id, start, end, target) of targets that hold more than letters and spaces, which no run of words can express.
 
-    Targets are taken in blocks of about `block`, each against all texts; a text is searched for each
-    target of the block, on letter bounds, in any case, with any white space between words.
+    A text is read once for all targets together, by an automaton; targets are split only if they have more than
+    `most` bytes, by hash, into as many parts as that needs.
     """
-    total = targets.count()
-    blocks = -(-total // block)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    real = targets.select("target").where(F.trim(F.regexp_replace("target", "\\s+", " ")) != "").distinct()
+    held = real.agg(F.coalesce(F.sum(F.octet_length("target")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-held // most))
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("start", pa.int64()), ("end", pa.int64()), ("target", pa.string())])
     out = None
-    for k in range(blocks):
-        some = [r["target"] for r in targets.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == k).orderBy("target").collect()]
-        patterns = [(t, "(?<![A-Za-z])" + r"\s+".join(map(re.escape, t.split())) + "(?![A-Za-z])") for t in some if t and t.strip()]
-
-        def search(batches, patterns=patterns):
-            compiled = [(t, re.compile(p, re.IGNORECASE)) for t, p in patterns]
-            for rows in batches:
-                found = [(i, m.start(), m.end(), t) for i, text in zip(rows["doc_id"], rows["text"], strict=True) for t, p in compiled for m in p.finditer(text or "")]
-                yield pd.DataFrame(found, columns=["doc_id", "start", "end", "target"])
-
-        one = docs.select("doc_id", "text").mapInPandas(search, f"doc_id {kind}, start long, end long, target string")
+    for part in range(parts):
+        some = [r["target"] for r in real.where(F.pmod(F.xxhash64("target"), F.lit(parts)) == part).orderBy("target").collect()]  # about `most` bytes
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(some))
+
+        def search(batches, shared=shared):
+            finder = _finder(shared.value)
+            for batch in batches:
+                rows, found = [], []
+                for k, text in enumerate(batch.column(1)):
+                    hits = finder.find(text.as_py())
+                    rows += [k] * len(hits)
+                    found += hits
+                columns = list(zip(*found, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+
+        one = docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind.simpleString()}, start long, end long, target string")
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, start long, end long, target string")
+    return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmine.functions import text as T
+
 #: Height of the bands that boxes are dealt into, so that only boxes near each other meet in a join.
 BAND = 32.0
 
@@ -83,34 +85,51 @@ def word_boxes(docs: DataFrame) -> DataFrame:
     return w.withColumns({"x2": F.col("x1") + 5 * F.length("word"), "y2": F.col("y1") + 11})
 
 
-def phrase_groups(words: DataFrame, gap: float = 8.0, between: int = 2) -> DataFrame:
-    """WIN2. Selected words (doc_id, word_id, line, x1, x2, word, selected) with group_id: runs of selected words.
+#: Room between words of a phrase, and over a skipped mark or formula; how far down a phrase may wrap, in heights.
+GAP, WIDE_GAP, WRAP = 8.0, 60.0, 1.6
+#: Words that a phrase of three words or more doesn't begin with.
+LEADING = ["and", "but", "or"]
+
+
+def phrase_groups(words: DataFrame, gap: float = GAP, between: int = 2) -> DataFrame:
+    """WIN2. Selected words (doc_id, page, word_id, x1, y1, x2, y2, word, selected) with group_id: runs of selected words of a page, counted from 1.
 
-    Two selected words go together if at most `between` words without a letter or digit lie between
-    them, and they stand on one line with little room, or the second begins the next line, or the
-    first ends in a hyphen. Gaps and islands over the selected rows alone.
+    Two selected words go together if they follow each other, or have at most `between` words without a letter or
+    digit between them, and one of these holds: they stand on one line with little room between them; the second
+    begins further left on the next line (at most 1.6 heights down) and the first ends no sentence; the first ends
+    in a hyphen and the second stands below. A group of three words or more loses a leading and, but, or.
+    Gaps and islands over the words of a page.
     """
-    by_doc = W.partitionBy("doc_id").orderBy("word_id")
-    marked = words.withColumn("plain", F.sum(F.when(F.col("word").rlike("[A-Za-z0-9]"), 1).otherwise(0)).over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
-    chosen = marked.where("selected")
-    prev = lambda c: F.lag(c).over(by_doc)
-    near = (F.col("word_id") - prev("word_id") <= between + 1) & (F.col("plain") - prev("plain") <= 1)
-    same_line = (F.col("line") == prev("line")) & (F.col("x1") - prev("x2") <= F.when(F.col("word_id") - prev("word_id") > 1, 60.0).otherwise(gap))
-    wraps = (F.col("line") == prev("line") + 1) | prev("word").endswith("-")
-    starts = F.when(F.coalesce(near & (same_line | wraps), F.lit(False)), 0).otherwise(1)
-    return chosen.withColumn("starts", starts).withColumn("group_id", F.sum("starts").over(by_doc.rowsBetween(W.unboundedPreceding, 0))).drop("starts", "plain")
+    by_page = W.partitionBy("doc_id", "page").orderBy("word_id")
+    plain = F.when(F.col("word").rlike("[A-Za-z0-9]"), 1).otherwise(0)
+    marked = words.withColumns({"_plain": plain, "_all": F.sum(plain).over(by_page.rowsBetween(W.unboundedPreceding, 0)), "_place": F.row_number().over(by_page)})
+    prev = lambda c: F.lag(c).over(by_page)
+    height = F.greatest(F.col("y2") - F.col("y1"), prev("y2") - prev("y1"))
+    skipped = F.col("_place") - prev("_place") - 1
+    marks = skipped.between(1, between) & (F.col("_all") - F.col("_plain") == prev("_all"))
+    down = F.col("y1") - prev("y1")
+    one_line, room = F.abs(down) <= F.greatest(F.lit(2.0), 0.25 * height), F.col("x1") - prev("x2")
+    wraps = (down > 2.0) & (down <= WRAP * height) & (F.col("x1") < prev("x1")) & ~T.is_sentence_end(prev("word"))
+    hyphen = prev("word").endswith("-") & (down > 2.0)
+    goes_on = ((skipped == 0) | marks) & ((one_line & ((room <= gap) | (marks & (room <= WIDE_GAP)))) | wraps | hyphen)
+    grouped = marked.where("selected").withColumn("_starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    grouped = grouped.withColumn("group_id", F.sum("_starts").over(by_page.rowsBetween(W.unboundedPreceding, 0)))
+    whole = W.partitionBy("doc_id", "page", "group_id")
+    core = F.lower(T.split_outer_punctuation(F.col("word"))["core"])
+    led = grouped.withColumn("_leads", (F.row_number().over(whole.orderBy("word_id")) == 1) & (F.count("*").over(whole) >= 3) & core.isin(LEADING))
+    return led.where(~F.col("_leads")).select(*words.columns, "group_id")
 
 
 def line_groups(words: DataFrame) -> DataFrame:
     """WIN3. words of groups with line_id: a new line where the top moves by more than a quarter of the height (2 at least)."""
-    w = W.partitionBy("doc_id", "group_id").orderBy("word_id")
+    w = W.partitionBy("doc_id", "page", "group_id").orderBy("word_id")
     moved = F.abs(F.col("y1") - F.lag("y1").over(w)) > F.greatest(F.lit(2.0), 0.25 * (F.col("y2") - F.col("y1")))
     return words.withColumn("line_id", F.sum(F.when(moved, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def group_boxes(words: DataFrame) -> DataFrame:
     """AGG9. A box for each line of each group."""
-    return line_groups(words).groupBy("doc_id", "group_id", "line_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n_words"))
+    return line_groups(words).groupBy("doc_id", "page", "group_id", "line_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n_words"))
 
 
 def paragraph_breaks(words: DataFrame) -> DataFrame:
@@ -126,6 +145,43 @@ def sentence_ids(words: DataFrame, ends: Column) -> DataFrame:
     return words.withColumn("sentence_id", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(w), F.lit(0)))
 
 
+def extract_highlights(words: DataFrame, regions: DataFrame, top: float, bottom: float) -> DataFrame:
+    """PIP6. Highlights of documents: doc_id, page, group_id, target, occurrence, sentence, rects.
+
+    words (doc_id, page, word_id, word, x1, y1, x2, y2, coverage, spill: how much of the box, and of the room above
+    or below it, is brushed) lose what stands outside the margins (FIL5); regions (doc_id, page, box) are
+    annotations (JOI10); selected words (FIL7) form phrases (WIN2), whose target is their words without outer
+    marks. occurrence counts a target's earlier ones on its page (WIN1). The sentence goes from the last sentence
+    end or paragraph break before the phrase to the next one after it (WIN4, WIN6). rects has a box a line (AGG9).
+
+    Words and a page's regions meet by document and page, and all windows up to the boxes keep that partitioning, so
+    words are shuffled once; sentences are then counted along the document.
+    """
+    inside = words.where((F.col("y1") >= top) & (F.col("y2") <= bottom) & (F.trim("word") != ""))
+    by_page = regions.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_regions"))
+    met = inside.join(by_page, ["doc_id", "page"], "left")
+    box = F.struct("x1", "y1", "x2", "y2")
+    overlap = F.coalesce(F.array_max(F.transform("_regions", lambda r: F.when(area(box) > 0, intersection(box, r) / area(box)).otherwise(0.0))), F.lit(0.0))
+    chosen = paragraph_breaks(met.withColumn("selected", selected(F.col("word"), F.col("y2") - F.col("y1"), F.col("coverage"), F.col("spill"), overlap)).drop("_regions"))
+    lined = line_groups(phrase_groups(chosen))
+    lines = lined.groupBy("doc_id", "page", "group_id", "line_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("w"))
+    groups = lines.groupBy("doc_id", "page", "group_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "x1", "y1", "x2", "y2", "w"))).alias("l"))
+    spelled = F.flatten(F.transform("l", lambda x: x["w"]))
+    rects = F.transform("l", lambda x: F.struct(x["x1"].alias("x1"), x["y1"].alias("y1"), x["x2"].alias("x2"), x["y2"].alias("y2")))
+    target = T.split_outer_punctuation(T.join_words(F.transform(spelled, lambda x: x["word"])))["core"]
+    groups = groups.select("doc_id", "page", "group_id", target.alias("target"), rects.alias("rects"), F.element_at(spelled, 1)["word_id"].alias("first"), F.element_at(spelled, -1)["word_id"].alias("last")).where("target <> ''")
+    groups = groups.withColumn("occurrence", F.row_number().over(W.partitionBy("doc_id", "page", T.fold(F.col("target"))).orderBy("first")) - 1)
+    by_doc = W.partitionBy("doc_id").orderBy("word_id")
+    said = sentence_ids(chosen.withColumn("_next", F.coalesce(F.lead("break_before").over(by_doc), F.lit(False))), T.is_sentence_end(F.col("word")) | F.col("_next")).select("doc_id", "word_id", "word", "sentence_id")
+    places = said.select("doc_id", F.col("word_id").alias("first"), F.col("sentence_id").alias("s1"))
+    ends = said.select("doc_id", F.col("word_id").alias("last"), F.col("sentence_id").alias("s2"))
+    wanted = groups.join(places, ["doc_id", "first"]).join(ends, ["doc_id", "last"])
+    parts = wanted.select("doc_id", "page", "group_id", F.explode(F.sequence("s1", "s2")).alias("sentence_id")).join(said, ["doc_id", "sentence_id"])
+    sentences = parts.groupBy("doc_id", "page", "group_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("w"))
+    sentences = sentences.select("doc_id", "page", "group_id", T.join_words(F.transform("w", lambda x: x["word"])).alias("sentence"))
+    return wanted.join(sentences, ["doc_id", "page", "group_id"]).select("doc_id", "page", "group_id", "target", F.col("occurrence").cast("int").alias("occurrence"), "sentence", "rects")
+
+
 def import_highlights(extracted: DataFrame, existing: DataFrame, tombstones: DataFrame) -> DataFrame:
     """PIP7. Which extracted highlights (id, document_id, page, target, x1, y1, x2, y2) to add: none deleted before (JOI7), none over an existing one (JOI9), none there already (SET9)."""
     fresh = extracted.join(tombstones.select("id").distinct(), "id", "left_anti").join(existing.select("id").distinct(), "id", "left_anti")

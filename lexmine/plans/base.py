@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents: doc_id, text."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Documents of all languages: doc_id, text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def targets(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
@@ -74,7 +74,7 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The roles in SQL.
 ROLES = {
-    "corpus": "corpus AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE lang = 'en')",
+    "corpus": "corpus AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
     "targets": """targets AS (SELECT target FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS target FROM corpus) WHERE length(target) >= 6 GROUP BY target ORDER BY count(*) DESC, target LIMIT 20)""",
     "cards": """cards AS (SELECT o_orderkey AS card_id, o_custkey AS user_id, o_orderkey % 40 AS document_id, o_orderdate AS created_at, o_orderstatus = 'O' AS current,
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS exported_at, regexp_replace(lower(o_orderpriority), '[^a-z]', '', 'g') AS target FROM orders)""",
@@ -85,7 +85,7 @@ ROLES = {
   CAST(l_partkey * 7 % 480 AS DOUBLE) AS x1, CAST(l_suppkey * 11 % 700 AS DOUBLE) AS y1, CAST(l_partkey * 7 % 480 + 20 + l_quantity AS DOUBLE) AS x2, CAST(l_suppkey * 11 % 700 + 12 AS DOUBLE) AS y2, l_shipdate AS created_at FROM lineitem)""",
     "sentences": r"""squeezed AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM corpus),
 decimals AS (SELECT doc_id, regexp_replace(regexp_replace(s, '([A-Za-z0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([A-Za-z0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g') AS s FROM squeezed),
-dotted AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '(?i)(^| )(e)\.(g)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g'), '(?i)(^| )(i)\.(e)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g'), '(?i)(^| )(v)\.(s)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g') AS s FROM decimals),
+dotted AS (SELECT doc_id, regexp_replace(regexp_replace(s, '(?i)(^| )(e)\.(g)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g'), '(?i)(^| )(v)\.(s)\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g') AS s FROM decimals),
 abbreviated AS (SELECT doc_id, regexp_replace(regexp_replace(s, '(?i)(^| )(al|approx|dr|e|eq|eqs|etc|fig|figs|g|mr|mrs|ms|no|prof|s|sec|secs|st|v|vs)\.', '\1\2' || chr(57344), 'g'), '(?i)(^| )(al|approx|dr|e|eq|eqs|etc|fig|figs|g|mr|mrs|ms|no|prof|s|sec|secs|st|v|vs)\.', '\1\2' || chr(57344), 'g') AS s FROM dotted),
 marked AS (SELECT doc_id, regexp_replace(regexp_replace(s, '([.!?]+["''”’)\]}]*)', '\1' || chr(57345), 'g'), '(:)(\s*[\w-]{1,30}\s*=)', '\1' || chr(57345) || '\2', 'g') AS s FROM abbreviated),
 parts AS (SELECT doc_id, list_filter(list_transform(string_split(s, chr(57345)), lambda x: trim(replace(x, chr(57344), '.'))), lambda x: x <> '') AS p FROM marked),

@@ -35,7 +35,7 @@ def _sents(spark, d):
 
 @query("SELECT doc_id, sent_id, pos, start, token FROM words", "corpus", "sentences", "words")
 def agg11_word_index(spark, d):
-    return X.word_index(_sents(spark, d))
+    return X.word_index(_sents(spark, d)).drop("follows")
 
 
 @query("SELECT substring(lower(token), 1, 4) AS prefix, count(*) AS postings, count(DISTINCT doc_id) AS docs, count(DISTINCT lower(token)) AS forms FROM words WHERE length(token) >= 4 GROUP BY 1", "corpus", "sentences", "words")
@@ -57,7 +57,7 @@ SELECT p.doc_id, p.sent_id, p.start, p."end", p.gram AS target FROM pairs p JOIN
 )
 def joi12_phrase_matches(spark, d):
     sents = _sents(spark, d)
-    top = X.phrase_grams(X.word_index(sents, 2), 2).groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(10).select(F.col("gram").alias("target"))
+    top = X.phrases(sents, 2).groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(10).select(F.col("gram").alias("target"))
     return C.exact_matches(sents, top, longest=2)
 
 
@@ -67,7 +67,7 @@ SELECT w.doc_id, w.sent_id, w.start, s.target FROM words w JOIN stems s ON regex
     "corpus", "targets", "sentences", "words",
 )
 def joi13_stem_matches(spark, d):
-    found = C.variant_matches(X.word_index(_sents(spark, d)), targets(spark, d), stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0))
+    found = C.variant_matches(_sents(spark, d), targets(spark, d), stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0))
     return found.where("kind = 0").select("doc_id", "sent_id", "start", "target")
 
 
@@ -80,7 +80,7 @@ SELECT w.doc_id, w.sent_id, w.start, n.target FROM words w JOIN near n ON lower(
 )
 def joi14_near_spellings(spark, d):
     likeness = lambda a, b: 100.0 - 100.0 * F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    found = C.variant_matches(X.word_index(_sents(spark, d)), targets(spark, d), stem=lambda w: T.suffix_stem(F.col(w)), ratio=likeness, cutoff=70.0)
+    found = C.variant_matches(_sents(spark, d), targets(spark, d), stem=lambda w: T.suffix_stem(F.col(w)), ratio=likeness, cutoff=70.0)
     return found.where("kind = 1").select("doc_id", "sent_id", "start", "target")
 
 
@@ -178,7 +178,7 @@ def win9_cap_before_filters(spark, d):
     return M.cap(_scored(spark, d), ["target", "doc_id"], ["sent_id", "place"], 6).select("doc_id", "sent_id", "place", "target")
 
 
-@query(f"{_MINED} SELECT doc_id, sent_id, place, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY o DESC, doc_id, sent_id, place) AS r FROM ok) WHERE r <= 14", "corpus", "targets", "sentences", "words")
+@query(f"{_MINED} SELECT doc_id, sent_id, place, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY o DESC, doc_id, sent_id, place) AS r14 FROM ok) WHERE r14 <= 14", "corpus", "targets", "sentences", "words")
 def win11_approval_cap(spark, d):
     return M.candidates(_scored(spark, d)).select("doc_id", "sent_id", "place", "target")
 
@@ -228,16 +228,16 @@ SELECT target, kind, count(*) AS candidates, count(DISTINCT doc_id) AS docs FROM
 def set1_union_candidates(spark, d):
     sents, wanted = _sents(spark, d), targets(spark, d)
     exact = C.exact_matches(sents, wanted, longest=1).withColumn("kind", F.lit("exact"))
-    stems = C.variant_matches(X.word_index(sents), wanted, stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0)).where("kind = 0").withColumn("kind", F.lit("variant"))
+    stems = C.variant_matches(sents, wanted, stem=lambda w: T.suffix_stem(F.col(w)), ratio=lambda a, b: F.lit(0.0)).where("kind = 0").withColumn("kind", F.lit("variant"))
     variant = stems.join(exact.drop("kind"), ["doc_id", "sent_id", "start", "end", "target"], "left_anti")
     return exact.unionByName(variant).groupBy("target", "kind").agg(F.count("*").alias("candidates"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query(
     """, cand AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+, [a-z]+')) AS target FROM corpus), top AS (SELECT target FROM cand WHERE split_part(target, ', ', 1) <> split_part(target, ', ', 2) GROUP BY target ORDER BY count(*) DESC, target LIMIT 5),
-pieces AS (SELECT c.doc_id, t.target, string_split_regex(lower(c.text), '\\s+') AS ws FROM corpus c, top t),
-p AS (SELECT doc_id, target, unnest(range(1, len(ws))) AS i, ws FROM pieces)
-SELECT doc_id, target, count(*) AS n FROM p WHERE regexp_matches(ws[i], '(^|[^a-z])' || split_part(target, ' ', 1) || '$') AND regexp_matches(ws[i + 1], '^' || split_part(target, ' ', 2) || '([^a-z]|$)') GROUP BY doc_id, target""",
+ws AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS w FROM corpus)),
+p AS (SELECT doc_id, regexp_extract(w, '[a-z]+,$') || ' ' || regexp_extract(lead(w) OVER (PARTITION BY doc_id ORDER BY i), '^[a-z]+') AS target FROM ws)
+SELECT doc_id, target, count(*) AS n FROM p JOIN top USING (target) GROUP BY doc_id, target""",
     "corpus",
 )
 def joi12_pattern_matches(spark, d):
@@ -268,5 +268,5 @@ SELECT doc_id, sent_id, start, target, kind FROM (SELECT *, row_number() OVER (P
 )
 def win8_variant_cap(spark, d):
     likeness = lambda a, b: 100.0 - 100.0 * F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    found = C.variant_matches(X.word_index(_sents(spark, d)), targets(spark, d), stem=lambda w: T.suffix_stem(F.col(w)), ratio=likeness, cutoff=70.0)
+    found = C.variant_matches(_sents(spark, d), targets(spark, d), stem=lambda w: T.suffix_stem(F.col(w)), ratio=likeness, cutoff=70.0)
     return M.cap(found, ["doc_id", "target"], ["kind", "sent_id", "start"], 8).select("doc_id", "sent_id", "start", "target", "kind")

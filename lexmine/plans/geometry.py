@@ -12,12 +12,14 @@ from lexmine.plans.base import corpus, query, rects, table, targets
 _BOXES = """, boxes AS (SELECT doc_id, p - 1 AS word_id, w AS word, (p - 1) // 300 AS page, (p - 1) // 12 AS line, CAST((p - 1) % 12 * 45 AS DOUBLE) AS x1, CAST(50 + (p - 1) // 12 % 25 * 14 AS DOUBLE) AS y1, CAST((p - 1) % 12 * 45 + 5 * length(w) AS DOUBLE) AS x2, CAST(61 + (p - 1) // 12 % 25 * 14 AS DOUBLE) AS y2
 FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM corpus)))"""
 _CHOSEN = _BOXES + ", marked AS (SELECT *, regexp_replace(lower(word), '[^a-z]', '', 'g') IN (SELECT target FROM targets) OR length(word) >= 12 AS selected FROM boxes)"
-_GROUPS = (
-    _CHOSEN
-    + """, counted AS (SELECT *, sum(CASE WHEN regexp_matches(word, '[A-Za-z0-9]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY word_id) AS plain FROM marked),
-flagged AS (SELECT *, CASE WHEN word_id - lag(word_id) OVER o <= 3 AND plain - lag(plain) OVER o <= 1 AND ((line = lag(line) OVER o AND x1 - lag(x2) OVER o <= CASE WHEN word_id - lag(word_id) OVER o > 1 THEN 60 ELSE 8 END) OR line = lag(line) OVER o + 1 OR suffix(lag(word) OVER o, '-')) THEN 0 ELSE 1 END AS starts FROM counted WHERE selected WINDOW o AS (PARTITION BY doc_id ORDER BY word_id)),
-groups AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY doc_id ORDER BY word_id) AS BIGINT) AS group_id FROM flagged)"""
-)
+_ENDS = f"(regexp_matches(regexp_replace(trim({{0}}), '[\"''”’)\\]}}}}]+$', ''), '[.!?]$') AND NOT list_contains({T.ABBREVIATIONS}, lower(regexp_replace(trim({{0}}), '[\"''”’)\\]}}}}]+$', ''))) AND NOT regexp_matches(regexp_replace(trim({{0}}), '[\"''”’)\\]}}}}]+$', ''), '^[0-9]+\\.[0-9]+$'))"
+_CORE = "regexp_extract({0}, '^([\"''“‘(\\[{{]*)(.*?)([\"''”’)\\]}},;:.!?]*)$', 2)"
+_GROUPED = f""", counted AS (SELECT *, CASE WHEN regexp_matches(word, '[A-Za-z0-9]') THEN 1 ELSE 0 END AS own, sum(CASE WHEN regexp_matches(word, '[A-Za-z0-9]') THEN 1 ELSE 0 END) OVER o AS plain, row_number() OVER o AS place FROM marked WINDOW o AS (PARTITION BY doc_id, page ORDER BY word_id)),
+lagged AS (SELECT *, place - lag(place) OVER o - 1 AS skipped, plain - own = lag(plain) OVER o AS no_plain, y1 - lag(y1) OVER o AS down, greatest(y2 - y1, lag(y2 - y1) OVER o) AS height, x1 - lag(x2) OVER o AS room, x1 < lag(x1) OVER o AS left_of, lag(word) OVER o AS before FROM counted WHERE selected WINDOW o AS (PARTITION BY doc_id, page ORDER BY word_id)),
+flagged AS (SELECT *, CASE WHEN (skipped = 0 OR (skipped BETWEEN 1 AND 2 AND no_plain)) AND ((abs(down) <= greatest(2, 0.25 * height) AND (room <= 8 OR (skipped BETWEEN 1 AND 2 AND no_plain AND room <= 60))) OR (down > 2 AND down <= 1.6 * height AND left_of AND NOT {_ENDS.format("before")}) OR (suffix(before, '-') AND down > 2)) THEN 0 ELSE 1 END AS starts FROM lagged),
+islands AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY doc_id, page ORDER BY word_id) AS BIGINT) AS group_id FROM flagged),
+groups AS (SELECT * FROM islands QUALIFY NOT (row_number() OVER (PARTITION BY doc_id, page, group_id ORDER BY word_id) = 1 AND count(*) OVER (PARTITION BY doc_id, page, group_id) >= 3 AND lower({_CORE.format("word")}) IN ('and', 'but', 'or')))"""
+_GROUPS = _CHOSEN + _GROUPED
 _PAIR = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 
 
@@ -107,35 +109,56 @@ def joi7_not_deleted(spark, d):
 _REGIONS = ", regions AS (SELECT doc_id, page, x1 + 10 AS x1, y1 + 2 AS y1, x2 + 40 AS x2, y2 + 8 AS y2 FROM boxes WHERE word_id % 17 = 3)"
 
 
+def _regions(boxes):
+    """An annotation about every seventeenth word, moved to the right and made wider."""
+    return boxes.where("word_id % 17 = 3").select("doc_id", "page", (F.col("x1") + 10).alias("x1"), (F.col("y1") + 2).alias("y1"), (F.col("x2") + 40).alias("x2"), (F.col("y2") + 8).alias("y2"))
+
+
 @query(_BOXES + _REGIONS + f" SELECT a.doc_id, a.word_id, coalesce(max(CASE WHEN b.doc_id IS NOT NULL THEN {_PAIR} / ((a.x2 - a.x1) * (a.y2 - a.y1)) END), 0) AS overlap FROM boxes a LEFT JOIN regions b ON a.doc_id = b.doc_id AND a.page = b.page AND a.y1 < b.y2 AND b.y1 < a.y2 AND a.x1 < b.x2 AND b.x1 < a.x2 GROUP BY a.doc_id, a.word_id", "corpus")
 def joi10_region_overlap(spark, d):
     boxes = _boxes(spark, d)
-    regions = boxes.where("word_id % 17 = 3").select("doc_id", "page", (F.col("x1") + 10).alias("x1"), (F.col("y1") + 2).alias("y1"), (F.col("x2") + 40).alias("x2"), (F.col("y2") + 8).alias("y2"))
-    return G.region_overlap(boxes, regions).select("doc_id", "word_id", "overlap")
+    return G.region_overlap(boxes, _regions(boxes)).select("doc_id", "word_id", "overlap")
 
 
-@query(_GROUPS + " SELECT doc_id, word_id, word, group_id FROM groups", "corpus", "targets")
+@query(_GROUPS + " SELECT doc_id, page, word_id, word, group_id FROM groups", "corpus", "targets")
 def win2_phrase_groups(spark, d):
-    return G.phrase_groups(_chosen(spark, d)).select("doc_id", "word_id", "word", "group_id")
+    return G.phrase_groups(_chosen(spark, d)).select("doc_id", "page", "word_id", "word", "group_id")
 
 
-_LINES = ", lined AS (SELECT *, CAST(sum(m) OVER (PARTITION BY doc_id, group_id ORDER BY word_id) AS BIGINT) AS line_id FROM (SELECT *, CASE WHEN abs(y1 - lag(y1) OVER (PARTITION BY doc_id, group_id ORDER BY word_id)) > greatest(2, 0.25 * (y2 - y1)) THEN 1 ELSE 0 END AS m FROM groups))"
+_LINES = ", lined AS (SELECT *, CAST(sum(m) OVER (PARTITION BY doc_id, page, group_id ORDER BY word_id) AS BIGINT) AS line_id FROM (SELECT *, CASE WHEN abs(y1 - lag(y1) OVER (PARTITION BY doc_id, page, group_id ORDER BY word_id)) > greatest(2, 0.25 * (y2 - y1)) THEN 1 ELSE 0 END AS m FROM groups))"
 
 
-@query(_GROUPS + _LINES + " SELECT doc_id, word_id, group_id, line_id FROM lined", "corpus", "targets")
+@query(_GROUPS + _LINES + " SELECT doc_id, page, word_id, group_id, line_id FROM lined", "corpus", "targets")
 def win3_line_groups(spark, d):
-    return G.line_groups(G.phrase_groups(_chosen(spark, d))).select("doc_id", "word_id", "group_id", "line_id")
+    return G.line_groups(G.phrase_groups(_chosen(spark, d))).select("doc_id", "page", "word_id", "group_id", "line_id")
 
 
-@query(_GROUPS + _LINES + " SELECT doc_id, group_id, line_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_words FROM lined GROUP BY doc_id, group_id, line_id", "corpus", "targets")
+@query(_GROUPS + _LINES + " SELECT doc_id, page, group_id, line_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_words FROM lined GROUP BY doc_id, page, group_id, line_id", "corpus", "targets")
 def agg9_group_boxes(spark, d):
     return G.group_boxes(G.phrase_groups(_chosen(spark, d)))
 
 
-@query(_GROUPS + " SELECT doc_id, group_id, string_agg(word, ' ' ORDER BY word_id) AS phrase, count(*) AS n_words, min(page) AS page FROM groups GROUP BY doc_id, group_id", "corpus", "targets")
+@query(
+    _BOXES + _REGIONS + f""", margins AS (SELECT *, (word_id * 7 % 100) / 100.0 AS coverage, (word_id * 3 % 40) / 100.0 AS spill FROM boxes WHERE y1 >= 60 AND y2 <= 380 AND trim(word) <> ''),
+over_ AS (SELECT a.doc_id, a.word_id, max({_PAIR} / ((a.x2 - a.x1) * (a.y2 - a.y1))) AS overlap FROM margins a JOIN regions b ON a.doc_id = b.doc_id AND a.page = b.page AND a.y1 < b.y2 AND b.y1 < a.y2 AND a.x1 < b.x2 AND b.x1 < a.x2 GROUP BY a.doc_id, a.word_id),
+marked AS (SELECT m.*, regexp_matches(word, '\\p{{L}}') AND ((y2 - y1 >= 8 AND ((coverage >= 0.60 AND spill < 0.30) OR (coverage >= 0.32 AND spill <= 0.22))) OR coalesce(overlap, 0) >= 0.45) AS selected,
+  coalesce(y1 - lag(y1) OVER p > 1.8 * greatest(y2 - y1, 1) OR y1 - lag(y1) OVER p < -1, false) AS break_before FROM margins m LEFT JOIN over_ USING (doc_id, word_id) WINDOW p AS (PARTITION BY doc_id, page ORDER BY word_id))"""
+    + _GROUPED + _LINES + f""", boxed AS (SELECT doc_id, page, group_id, line_id, min(x1) || ',' || min(y1) || ',' || max(x2) || ',' || max(y2) AS box FROM lined GROUP BY doc_id, page, group_id, line_id),
+rects AS (SELECT doc_id, page, group_id, string_agg(box, ';' ORDER BY line_id) AS rects FROM boxed GROUP BY doc_id, page, group_id),
+phrase AS (SELECT doc_id, page, group_id, regexp_replace(string_agg(word, ' ' ORDER BY word_id), '- ([a-z])', '\\1', 'g') AS joined, min(word_id) AS first, max(word_id) AS last FROM groups GROUP BY doc_id, page, group_id),
+named AS (SELECT *, {_CORE.format("joined")} AS target FROM phrase WHERE {_CORE.format("joined")} <> ''),
+counted_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, replace(lower(target), 'ß', 'ss') ORDER BY first) - 1 AS occurrence FROM named),
+ended AS (SELECT doc_id, word_id, word, CASE WHEN {_ENDS.format("word")} OR coalesce(lead(break_before) OVER (PARTITION BY doc_id ORDER BY word_id), false) THEN 1 ELSE 0 END AS e FROM marked),
+said AS (SELECT doc_id, word_id, word, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM ended),
+context AS (SELECT c.doc_id, c.page, c.group_id, regexp_replace(string_agg(s.word, ' ' ORDER BY s.word_id), '- ([a-z])', '\\1', 'g') AS sentence FROM counted_ c JOIN said a ON a.doc_id = c.doc_id AND a.word_id = c.first JOIN said z ON z.doc_id = c.doc_id AND z.word_id = c.last JOIN said s ON s.doc_id = c.doc_id AND s.sid BETWEEN a.sid AND z.sid GROUP BY c.doc_id, c.page, c.group_id)
+SELECT doc_id, page, group_id, target, CAST(occurrence AS INTEGER) AS occurrence, sentence, rects FROM counted_ JOIN context USING (doc_id, page, group_id) JOIN rects USING (doc_id, page, group_id)""",
+    "corpus",
+)
 def pip6_extract_highlights(spark, d):
-    g = G.phrase_groups(_chosen(spark, d)).groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("w"), F.count("*").alias("n_words"), F.min("page").alias("page"))
-    return g.select("doc_id", "group_id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase"), "n_words", "page")
+    k = F.col("word_id")
+    words = _boxes(spark, d).withColumns({"coverage": k * 7 % 100 / 100.0, "spill": k * 3 % 40 / 100.0})
+    found = G.extract_highlights(words, _regions(words), 60.0, 380.0)
+    return found.withColumn("rects", F.array_join(F.transform("rects", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("x1", "y1", "x2", "y2")])), ";"))
 
 
 @query(_BOXES + " SELECT doc_id, word_id, coalesce(y1 - lag(y1) OVER o > 1.8 * greatest(y2 - y1, 1) OR y1 - lag(y1) OVER o < -1, false) AS break_before FROM boxes WINDOW o AS (PARTITION BY doc_id, page ORDER BY word_id)", "corpus")

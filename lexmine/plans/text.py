@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
 from lexmine.operators import text as X
-from lexmine.plans.base import corpus, query, table
+from lexmine.plans.base import ROLES, corpus, query, table
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM corpus)"
 
@@ -133,36 +133,44 @@ def fun36_tolerant_json(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json(broken, "k bigint", {"mode": "PERMISSIVE"})["k"].alias("k"))
 
 
-@query("SELECT doc_id, count(*) AS sentences, sum(length(sentence)) AS chars FROM sentences GROUP BY doc_id", "corpus", "sentences")
+_DOCS = r""", pg AS (SELECT doc_id // 20 AS doc_id, doc_id AS page_no, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, doc_id % 3 = 0 AS hard FROM corpus),
+run AS (SELECT *, row_number() OVER o AS page, sum(length(t)) OVER o + greatest(count(*) FILTER (t <> '') OVER o - 1, 0) AS b FROM pg WINDOW o AS (PARTITION BY doc_id ORDER BY page_no)),
+whole AS (SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY page_no) FILTER (t <> ''), '') AS text FROM pg GROUP BY doc_id),
+"""
+
+
+@query(
+    _DOCS + ROLES["sentences"].replace("FROM corpus", "FROM whole") + r""", raw AS (SELECT doc_id, unnest(string_split(s, chr(57345))) AS part, generate_subscripts(string_split(s, chr(57345)), 1) AS k FROM marked),
+placed AS (SELECT doc_id, k, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) - length(part) AS off_ FROM raw),
+spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS sent_id, off_ + length(part) - length(ltrim(part)) AS s, off_ + length(rtrim(part)) AS e FROM placed WHERE trim(part) <> ''),
+said AS (SELECT spans.doc_id, sent_id, page, CAST(CASE WHEN hard THEN greatest(s, b - length(t)) ELSE s END AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM spans JOIN run ON spans.doc_id = run.doc_id AND t <> '' AND b - length(t) < e AND b > s),
+cut AS (SELECT said.*, text, length(regexp_extract(substring(text, s + 1, e - s), '^[a-z]\.,\s+')) AS dangling FROM said JOIN whole USING (doc_id))
+SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(page AS INTEGER) AS page, CAST(s + dangling AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", substring(text, s + dangling + 1, e - s - dangling) AS sentence FROM cut""",
+    "corpus",
+)
 def pip2_sentence_report(spark, d):
-    return X.sentences(corpus(spark, d)).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
+    """Twenty documents are the pages of one; every third begins hard."""
+    pages = corpus(spark, d).select(F.expr("doc_id div 20").alias("doc_id"), F.col("doc_id").alias("page_no"), T.squeeze(F.col("text")).alias("t"), (F.col("doc_id") % 3 == 0).alias("h"))
+    return X.page_sentences(X.joined_pages(pages))
 
 
 @query(
     r""", pages_ AS (SELECT doc_id // 20 AS doc, doc_id AS page_no, trim(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]{1,3}$') AND NOT regexp_matches(x, '(?i)^[0-9]*\s*(https?://|www\.)\S+$') AND NOT (length(x) <= 120 AND regexp_matches(x, '^([0-9]+(\.[0-9]+)*\.?|[A-Z]\.?)\s+[A-Z][A-Za-z0-9 :,\-/()]+$'))), chr(10)), '([a-z])- *\n *([a-z])', '\1\2', 'g'), '\s+', ' ', 'g')) AS t FROM corpus)
-SELECT doc AS doc_id, count(*) AS pages, sha256(string_agg(t, ' ' ORDER BY page_no)) AS text_sha, sum(length(t)) + count(*) - 1 AS last_end FROM pages_ WHERE t <> '' GROUP BY doc""",
+SELECT doc AS doc_id, count(*) AS pages, sha256(coalesce(string_agg(t, ' ' ORDER BY page_no) FILTER (t <> ''), '')) AS text_sha, sum(length(t)) + greatest(count(*) FILTER (t <> '') - 1, 0) AS last_end FROM pages_ GROUP BY doc""",
     "corpus",
 )
 def pip1_clean_documents(spark, d):
     pages = corpus(spark, d).select(F.expr("doc_id div 20").alias("doc_id"), F.col("doc_id").alias("page_no"), F.col("text").alias("raw_text"))
-    full = pages.where(F.size(T.clean_lines(F.col("raw_text"))) > 0)
-    out = X.clean_documents(full)
+    out = X.clean_documents(pages)
     return out.select("doc_id", F.size("page_ranges").cast("long").alias("pages"), F.sha2("text", 256).alias("text_sha"), F.element_at("page_ranges", -1)["end"].cast("long").alias("last_end"))
 
 
 @query(
-    r""", p AS (SELECT doc_id // 20 AS doc, doc_id AS page_no, text FROM corpus WHERE text <> ''),
-r AS (SELECT doc, page_no, row_number() OVER o AS k, sum(length(text) + 1) OVER o - length(text) - 1 AS a, sum(length(text) + 1) OVER o - 1 AS b FROM p WINDOW o AS (PARTITION BY doc ORDER BY page_no)),
-q AS (SELECT doc, unnest([0, 1000, 5000, 20000, 10000000]) AS position FROM (SELECT DISTINCT doc FROM p))
-SELECT q.doc AS doc_id, q.position, coalesce(min(CASE WHEN q.position BETWEEN r.a AND r.b THEN r.k END), max(r.k)) AS page FROM q JOIN r ON q.doc = r.doc GROUP BY q.doc, q.position""",
+    _DOCS.rstrip().rstrip(",") + r""", q AS (SELECT doc_id, unnest([0, 1000, 5000, 20000, 10000000]) AS position FROM whole)
+SELECT q.doc_id, q.position, coalesce(min(CASE WHEN q.position BETWEEN b - length(t) AND b THEN page END), max(page)) AS page FROM q JOIN run USING (doc_id) GROUP BY q.doc_id, q.position""",
     "corpus",
 )
 def joi16_page_of_position(spark, d):
-    pages = corpus(spark, d).where("text <> ''").groupBy(F.expr("doc_id div 20").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("page_no"), F.length("text").alias("n")))).alias("p"))
-    def step(acc, x):
-        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"] + 1, F.lit(0))
-        return F.concat(acc, F.array(F.named_struct(F.lit("start"), start, F.lit("end"), start + x["n"])))
-
-    ranges = F.aggregate("p", F.array().cast("array<struct<start:int,end:int>>"), step)
-    asked = pages.select("doc_id", ranges.alias("r"), F.explode(F.array(*map(F.lit, [0, 1000, 5000, 20000, 10000000]))).alias("position"))
-    return asked.select("doc_id", "position", X.page_of(F.col("position"), F.col("r")).cast("long").alias("page"))
+    pages = corpus(spark, d).select(F.expr("doc_id div 20").alias("doc_id"), F.col("doc_id").alias("page_no"), T.squeeze(F.col("text")).alias("t"), F.lit(False).alias("h"))
+    asked = X.joined_pages(pages).select("doc_id", "page_ranges", F.explode(F.array(*map(F.lit, [0, 1000, 5000, 20000, 10000000]))).alias("position"))
+    return asked.select("doc_id", "position", X.page_of(F.col("position"), F.col("page_ranges")).cast("long").alias("page"))

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from lexmine.operators import concordance as C
 from lexmine.operators import contexts as M
 from lexmine.operators import text as X
@@ -63,3 +66,24 @@ def test_refresh_adds_variants_and_is_idempotent(spark):
     assert not any(r["is_new"] for r in M.refresh(sents, targets, anchors, kept).collect())
     approved = spark.createDataFrame([(3,)], "doc_id long")
     assert [r["sentence"] for r in M.refresh(sents, targets, anchors, none, approved).collect()] == [texts[2][1]]
+
+
+def test_one_pass_equals_a_search_for_each_target(spark):
+    """5,000 targets with marks, digits, accents, letters of several cases, repeated parts and odd white space."""
+    rng = random.Random(9)
+    pieces = ["a", "b,", "c-d", "É", "ß", "İx", "ſ", "K", "(e)", "f.g", "9", "a.a", "x!", "µ", "Σς"]
+    targets = {" ".join(rng.choices(pieces, k=rng.randint(1, 4))) for _ in range(9000)} | {"a.a.a", " b,  a ", "", "  "}
+    targets = sorted(targets)[:5000]
+    texts = ["".join(rng.choice([*pieces, *map(str.upper, pieces), *map(str.lower, pieces)]) + rng.choice([" ", "  ", "\n\t", "", "z"]) for _ in range(rng.randint(0, 120))) for _ in range(40)] + [None, "", " \n ", "a.a.a.a.a.a"]
+    want = set()
+    for t in targets:
+        if t.split():
+            p = re.compile("(?<![A-Za-z])" + "\\s+".join(map(re.escape, t.split())) + "(?![A-Za-z])", re.IGNORECASE)
+            want |= {(k, m.start(), m.end(), t) for k, text in enumerate(texts) for m in p.finditer(text or "")}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([(t,) for t in targets], "target string")
+    for most in (8_000_000, 9_000):  # one automaton, several
+        got = C.pattern_matches(docs, wanted, most).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert len(want) > 1000
+    assert C.pattern_matches(docs, wanted.limit(0)).collect() == []

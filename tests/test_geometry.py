@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmine.operators import geometry as G
@@ -31,11 +32,41 @@ def test_imported_highlight_over_a_reader_one_is_dropped_and_import_is_idempoten
     assert G.import_highlights(new, old.unionByName(added.select(old.columns)), dead).count() == 0
 
 
-def test_phrases_group_over_lines_and_marks(spark):
-    words = [("by", 0, 0.0), ("and", 0, 20.0), ("large", 0, 40.0), ("(110)", 0, 60.0), ("far", 0, 200.0), ("trail", 1, 0.0)]
-    df = spark.createDataFrame([(1, k, w, line, x, x + 15.0, w != "(110)") for k, (w, line, x) in enumerate(words)], "doc_id long, word_id int, word string, line int, x1 double, x2 double, selected boolean")
-    got = [r["group_id"] for r in G.phrase_groups(df).orderBy("word_id").collect()]
-    assert got == [1, 1, 1, 2, 2]  # "far" is too far right; "trail" begins the next line
+WORDS = "doc_id long, page int, word_id int, word string, x1 double, y1 double, x2 double, y2 double, selected boolean"
+
+
+@pytest.mark.parametrize(
+    ("words", "want"),
+    [
+        ([("by", 0, 0, 1), ("and", 20, 0, 1), ("large", 40, 0, 1), ("(+)", 60, 0, 0), ("far", 100, 0, 1)], [["by", "and", "large", "far"]]),
+        ([("by", 0, 0, 1), ("(1)", 20, 0, 0), ("far", 40, 0, 1)], [["by"], ["far"]]),  # what is skipped holds a digit
+        ([("by", 0, 0, 1), ("far", 100, 0, 1)], [["by"], ["far"]]),  # too much room
+        ([("trail", 100, 0, 1), ("behind", 0, 12, 1)], [["trail", "behind"]]),
+        ([("trail", 100, 0, 1), ("behind", 0, 30, 1)], [["trail"], ["behind"]]),  # more than 1.6 heights down
+        ([("trail", 0, 0, 1), ("behind", 40, 12, 1)], [["trail"], ["behind"]]),  # not further left
+        ([("trail.", 100, 0, 1), ("behind", 0, 12, 1)], [["trail."], ["behind"]]),  # a sentence ends
+        ([("attri-", 0, 0, 1), ("buted", 40, 30, 1)], [["attri-", "buted"]]),  # a hyphen holds on
+        ([("and", 0, 0, 1), ("so", 20, 0, 1), ("on", 40, 0, 1)], [["so", "on"]]),
+        ([("“But", 0, 0, 1), ("so", 20, 0, 1), ("on", 40, 0, 1)], [["so", "on"]]),
+        ([("or", 0, 0, 1), ("so", 20, 0, 1)], [["or", "so"]]),
+    ],
+)
+def test_phrases(spark, words, want):
+    df = spark.createDataFrame([(1, 1, k, w, float(x), float(y), x + 15.0, y + 11.0, bool(s)) for k, (w, x, y, s) in enumerate(words)], WORDS)
+    got = {}
+    for r in G.phrase_groups(df).orderBy("word_id").collect():
+        got.setdefault(r["group_id"], []).append(r["word"])
+    assert list(got.values()) == want
+
+
+def test_highlights_are_extracted_with_sentence_and_boxes(spark):
+    line = lambda k0, y, ws: [(1, 1, k0 + k, w, 20.0 * k, float(y), 20.0 * k + 15, y + 11.0, 0.0, 0.0) for k, w in enumerate(ws)]
+    words = line(0, 5, ["head"]) + line(1, 100, ["One", "ends.", "They", "trail"]) + line(5, 112, ["behind,", "us.", "They", "trail", "off."])
+    df = spark.createDataFrame(words, "doc_id long, page int, word_id int, word string, x1 double, y1 double, x2 double, y2 double, coverage double, spill double")
+    regions = spark.createDataFrame([(1, 1, 60.0, 100.0, 75.0, 111.0), (1, 1, 0.0, 112.0, 15.0, 123.0), (1, 1, 60.0, 112.0, 75.0, 123.0), (2, 1, 0.0, 0.0, 900.0, 900.0)], "doc_id long, page int, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r["target"], r["occurrence"], r["sentence"], len(r["rects"])) for r in G.extract_highlights(df, regions, 50.0, 400.0).collect())
+    assert got == [("trail", 0, "They trail off.", 1), ("trail behind", 0, "They trail behind, us.", 2)]
+    assert G.extract_highlights(df.limit(0), regions, 50.0, 400.0).count() == 0
 
 
 def test_valid_rects(spark):

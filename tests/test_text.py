@@ -31,12 +31,14 @@ def test_normalize_selection(spark, raw, want):
         ("Version 1.2.3 works. Yes", ["Version 1.2.3 works.", "Yes"]),
         ("We set: x = 3 and go. Note: nothing", ["We set:", "x = 3 and go.", "Note: nothing"]),
         ('He said "stop." Then left', ['He said "stop."', "Then left"]),
-        ("i.e. v.s. no end", ["i.e. v.s. no end"]),
+        ("e.g. v.s. no end", ["e.g. v.s. no end"]),
+        ("Etc.. done. (e.g. this, i.e., that", ["Etc.. done.", "(e.", "g. this, i.", "e., that"]),
         ("  ", []),
     ],
 )
 def test_sentences(spark, text, want):
-    assert one(spark, T.sentence_array(F.col("t")), t=text) == want
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["sentence"] for r in X.sentence_spans(docs).orderBy("sent_id").collect()] == want
 
 
 @pytest.mark.parametrize(
@@ -94,3 +96,22 @@ def test_udfs_keep_nulls(spark):
     df = spark.createDataFrame([("ﬁne Straße", "a &amp; b &eacute;"), (None, None)], "a string, b string")
     assert [tuple(r) for r in df.select(udfs.nfkc_fold("a"), udfs.html_unescape("b"), udfs.porter_stem("a")).collect()][0][:2] == ("fine strasse", "a & b é")
     assert tuple(df.select(udfs.nfkc_fold("a"), udfs.html_unescape("b"), udfs.weighted_ratio("a", "b")).collect()[1]) == (None, None, None)
+
+
+def test_sentence_spans_meet_page_breaks(spark):
+    """Sentence ends and hard page starts are merged, and spans cut from the text equal the sentences."""
+    pages = [(1, 1, "One two. Three", False), (1, 2, "Four goes on. Five", True), (1, 3, "", True), (1, 4, "g., six ends. Seven", False), (2, 1, "", False), (3, 1, None, True)]
+    docs = X.joined_pages(spark.createDataFrame([(d, n, t or "", h) for d, n, t, h in pages], "doc_id long, page_no int, t string, h boolean"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = sorted((r["doc_id"], r["sent_id"], r["page"], r["start"], r["end"], r["sentence"]) for r in X.page_sentences(docs).collect())
+    assert all(text[d][a:b] == s for d, _, _, a, b, s in got)
+    assert [(n, p, s) for _, n, p, *_, s in got] == [(0, 1, "One two."), (1, 1, "Three Four goes on."), (1, 2, "Four goes on."), (2, 2, "Five g., six ends."), (2, 4, "Five g., six ends."), (3, 4, "Seven")]
+    places = spark.createDataFrame([(1, 1, 9), (1, 2, 15), (1, 4, 40), (1, 4, 999)], "doc_id long, page int, position int")
+    found = sorted((r["position"], r["sentence"]) for r in X.sentence_at(places, X.page_sentences(docs)).collect())
+    assert found == [(9, "Three Four goes on."), (15, "Four goes on."), (40, "Five g., six ends.")]
+
+
+def test_dangling_abbreviation_goes(spark):
+    docs = X.joined_pages(spark.createDataFrame([(1, 1, "One. g., two is here.", False)], "doc_id long, page_no int, t string, h boolean"))
+    cut = X.page_sentences(docs).orderBy("sent_id").collect()
+    assert [(r["start"], r["sentence"]) for r in cut] == [(0, "One."), (9, "two is here.")]
