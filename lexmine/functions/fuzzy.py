@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+
 
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, with a row of bits for each letter of b."""
@@ -63,3 +67,76 @@ def weighted_ratio(a: str, b: str) -> float:
         return max(best, 0.95 * token_ratio(a, b))
     scale = 0.9 if longer <= 8 else 0.6
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+
+
+def _counts(text: str) -> np.ndarray:
+    """How often each of 32 classes of letters occurs; classes of several letters only raise what two texts may share."""
+    return np.minimum(np.bincount(np.frombuffer(text.encode("utf-32-le"), "<u4") % 32, minlength=32), 255).astype(np.uint8)
+
+
+class Leaders:
+    """Texts that others are looked up among, by weighted_ratio, exactly, but without scoring all of them.
+
+    An upper bound of the ratio follows from lengths, letters in common and whether a token is shared; it is taken
+    for all leaders at once, and leaders are scored from the highest bound on until no other can be among the best.
+    """
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.scored = 0
+        self._counts, self._sizes = np.zeros((16, 32), np.uint8), np.zeros((16, 3), np.int32)
+        self._by_token: dict[str, list[int]] = {}
+
+    @staticmethod
+    def _lengths(text: str) -> tuple[int, int, int]:
+        """Of a text, of its tokens with single spaces, of its different tokens."""
+        tokens = text.split()
+        return len(text), len(" ".join(tokens)), len(" ".join(set(tokens)))
+
+    def add(self, text: str) -> None:
+        k = len(self.texts)
+        if k == len(self._counts):
+            self._counts, self._sizes = np.concatenate([self._counts, np.zeros_like(self._counts)]), np.concatenate([self._sizes, np.zeros_like(self._sizes)])
+        self._counts[k], self._sizes[k] = _counts(text), self._lengths(text)
+        for token in set(text.split()):
+            self._by_token.setdefault(token, []).append(k)
+        self.texts.append(text)
+
+    def bounds(self, text: str) -> np.ndarray:
+        """No leader's ratio with the text is higher than this."""
+        n = len(self.texts)
+        whole, spaced, distinct = self._lengths(text)
+        if not n or not text:
+            return np.zeros(n)
+        sizes = self._sizes[:n].astype(np.float64)
+        common = np.minimum(self._counts[:n], _counts(text)).sum(axis=1, dtype=np.uint16).astype(np.float64)
+        shared = np.zeros(n, bool)
+        for token in set(text.split()):
+            shared[self._by_token.get(token, [])] = True
+        short, long = np.minimum(sizes[:, 0], whole), np.maximum(sizes[:, 0], whole)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            times = long / short
+            near = 0.95 * np.where(shared, 100.0, np.minimum(100.0, 200 * common / (sizes[:, 1] + spaced)))
+            scale = np.where(times <= 8, 0.9, 0.6)
+            part = np.minimum(100.0, 200 * common / (short + common))
+            tokens = np.where(shared, 100.0, np.minimum(100.0, 200 * common / (np.minimum(sizes[:, 2], distinct) + common)))
+            far = scale * np.maximum(part, 0.95 * tokens)
+            bound = np.maximum(200 * common / (sizes[:, 0] + whole), np.where(times < 1.5, near, far))
+        bound = np.where(np.isfinite(bound), bound, 100.0)
+        bound[(sizes[:, 0] > 255) | (whole > 255)] = 100.0  # counts end at 255
+        bound[sizes[:, 0] == 0] = 0.0
+        return bound + 1e-9
+
+    def best(self, text: str, cutoff: float, limit: int = 1) -> list[tuple[float, int]]:
+        """(ratio, number) of the likest leaders with the cut-off or more; the earlier of equal ones first."""
+        bound = self.bounds(text)
+        some = np.flatnonzero(bound >= cutoff)
+        found: list[tuple[float, int]] = []  # a heap of (ratio, -number)
+        for k in some[np.argsort(-bound[some], kind="stable")].tolist():
+            if len(found) == limit and bound[k] < found[0][0]:
+                break
+            self.scored += 1
+            score = weighted_ratio(text, self.texts[k])
+            if score >= cutoff:
+                (heapq.heappushpop if len(found) == limit else heapq.heappush)(found, (score, -k))
+        return [(score, -k) for score, k in sorted(found, key=lambda f: (-f[0], -f[1]))]

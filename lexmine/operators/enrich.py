@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmine.functions import text as T
 from lexmine.functions import udfs
-from lexmine.functions.fuzzy import weighted_ratio
+from lexmine.functions.fuzzy import Leaders
 from lexmine.sources.shared import checkpoint
 
 #: Attempts at a batch; the version that cache keys begin with.
@@ -101,8 +103,48 @@ def retried(call: Callable[[pd.DataFrame, int], pd.DataFrame], attempts: int = A
     return infer
 
 
+#: Texts and leaders of a user that meet in one task at most; larger users are dealt over a grid of such blocks.
+TEXTS, LEADERS = 5_000, 20_000
+
+
+def weighted_top(highlights: DataFrame, leaders: DataFrame, cutoff: float = 45.0, limit: int = 5, texts: int = TEXTS, most: int = LEADERS) -> DataFrame:
+    """JOI11. For each highlight (highlight_id, user_id, text) the best leaders (cluster_id, leader) of its user by weighted ratio: score descending, id ascending.
+
+    A filtered similarity join: a user's different texts and leaders meet in blocks of `texts` by `most`, and
+    inside a block only pairs are scored whose bound can still reach the best ones (functions.fuzzy.Leaders). What
+    each block finds is cut to the limit once more. Null or empty texts and leaders match nothing.
+    """
+    id_kind, user_kind = (df.schema[c].dataType.simpleString() for df, c in ((leaders, "cluster_id"), (leaders, "user_id")))
+
+    def dealt(df: DataFrame, text: str, size: int, own: str) -> tuple[DataFrame, DataFrame]:
+        """Different texts of each user with the block they belong to; blocks a user has."""
+        one = df.where(F.col(text).isNotNull() & (F.col(text) != "")).groupBy("user_id", F.col(text).alias("text")).agg(F.min("cluster_id" if text == "leader" else "highlight_id").alias("id"))
+        blocks = one.groupBy("user_id").agg(F.ceil(F.count("*") / size).cast("int").alias(f"{own}_blocks"))
+        return one.join(blocks, "user_id").withColumn(own, F.pmod(F.xxhash64("text"), F.col(f"{own}_blocks")).cast("int")), blocks
+
+    (h, h_blocks), (c, c_blocks) = dealt(highlights, "text", texts, "h"), dealt(leaders, "leader", most, "c")
+    h = h.join(c_blocks, "user_id").select("user_id", "text", "h", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("c"))
+    c = c.join(h_blocks, "user_id").select("user_id", "text", "id", "c", F.explode(F.sequence(F.lit(0), F.col("h_blocks") - 1)).alias("h"))
+
+    def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        index = Leaders()
+        known = known.sort_values("id")
+        for text in known["text"]:
+            index.add(text)
+        ids = known["id"].tolist()
+        out = [(user, text, ids[k], index.texts[k], score) for user, text in zip(asked["user_id"], asked["text"], strict=True) for score, k in index.best(text, cutoff, limit)]
+        return pd.DataFrame(out, columns=["user_id", "text", "cluster_id", "leader", "score"])
+
+    pairs = h.groupBy("user_id", "h", "c").cogroup(c.groupBy("user_id", "h", "c")).applyInPandas(meet, f"user_id {user_kind}, text string, cluster_id {id_kind}, leader string, score double")
+    # a leader's smallest cluster stands for all that have it: back to each of them, and again the best ones of a text
+    every = pairs.drop("cluster_id").join(leaders.select("user_id", "leader", "cluster_id"), ["user_id", "leader"])
+    w = W.partitionBy("user_id", "text").orderBy(F.desc("score"), "cluster_id")
+    every = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return highlights.join(every, ["user_id", "text"]).select("highlight_id", "cluster_id", "leader", "score", "rank")
+
+
 def fuzzy_top(highlights: DataFrame, leaders: DataFrame, cutoff: float = 45.0, limit: int = 5, score=udfs.weighted_ratio) -> DataFrame:
-    """JOI11. For each highlight (highlight_id, user_id, text) the best leaders (cluster_id, leader) of its user: score descending, id ascending.
+    """JOI11 by any score: as weighted_top, but all pairs of a user are scored.
 
     Distinct pairs of texts of a user are scored once; the join is by user.
     """
@@ -126,24 +168,28 @@ def cluster_assign(highlights: DataFrame, leaders: DataFrame, least: float = 80.
 def replay_clusters(highlights: DataFrame, cutoff: float = 90.0) -> DataFrame:
     """PIP8, PIP9. Highlights (highlight_id, user_id, text, created_at) assigned in order: each joins the likest cluster of its user, or begins one.
 
-    Each assignment changes what the next one sees, so a user's highlights are walked in one place;
-    users run side by side. Equal texts are taken together first, so a user's group has a row a text.
+    Each assignment changes what the next one sees, so a user's texts are walked in order; users run side by side.
+    Spark sorts them, and a task holds the leaders of one user, not its rows: the state goes from batch to batch.
+    A text is scored against leaders only whose bound can beat the best one. Equal texts of a user are taken once.
     """
-    kind = highlights.schema["user_id"].dataType.simpleString()
+    kind = highlights.schema["user_id"].dataType
     texts = highlights.groupBy("user_id", "text").agg(F.min(F.struct("created_at", "highlight_id")).alias("first"))
+    schema = pa.schema([("user_id", to_arrow_type(kind)), ("text", pa.string()), ("cluster", pa.string())])
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        out = []
-        for text in rows.sort_values(["at", "id"])["text"]:
-            best = max(((weighted_ratio(text, x), -k) for k, x in enumerate(leaders)), default=(0.0, 0))
-            if best[0] < cutoff:
-                leaders.append(text)
-                out.append(text)
-            else:
-                out.append(leaders[-best[1]])
-        return pd.DataFrame({"user_id": rows["user_id"], "text": rows.sort_values(["at", "id"])["text"].to_numpy(), "cluster": out})
-
-    flat = texts.select("user_id", "text", F.col("first.created_at").alias("at"), F.col("first.highlight_id").alias("id"))
-    chosen = flat.groupBy("user_id").applyInPandas(walk, f"user_id {kind}, text string, cluster string")
-    return highlights.join(chosen, ["user_id", "text"]).select("highlight_id", "user_id", "text", "cluster")
+    def walk(batches):
+        user, index = None, None
+        for batch in batches:
+            out = []
+            for u, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if index is None or u != user:
+                    user, index = u, Leaders()
+                best = index.best(text, cutoff) if text else []
+                if not best:
+                    index.add(text or "")
+                out.append(index.texts[best[0][1]] if best else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], schema=schema)
+
+    laid = texts.repartition("user_id").sortWithinPartitions("user_id", "first").select("user_id", "text")
+    chosen = laid.mapInArrow(walk, f"user_id {kind.simpleString()}, text string, cluster string")
+    same = highlights["text"].eqNullSafe(chosen["text"]) & highlights["user_id"].eqNullSafe(chosen["user_id"])
+    return highlights.join(chosen, same).select("highlight_id", highlights["user_id"], highlights["text"], "cluster")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmine.functions import status as S
 from lexmine.functions import text as T
 from lexmine.operators import dictionary as D
+from lexmine.operators import clusters as K
 from lexmine.operators import enrich as E
 from lexmine.plans.base import cards, corpus, notes, query, table
 from lexmine.sources import files
@@ -229,14 +230,34 @@ def pip8_cluster_assign(spark, d):
     return E.cluster_assign(*_leaders(spark, d), least=60.0, score=likeness)
 
 
+@query(None)
+def pip8_assign_clusters(spark, d):
+    """Parts of odd size as highlights, of even size as cards with a translation and a stored context each."""
+    p = table(spark, d, "part").withColumn("user_id", F.expr("p_partkey div 100"))
+    odd, even = p.where("p_size % 2 <> 0"), p.where("p_size % 2 = 0")
+    day = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("p_partkey"))
+    highlights = odd.select(F.col("p_partkey").alias("highlight_id"), "user_id", F.col("p_name").alias("target"), F.col("p_type").alias("sentence"), day.alias("created_at"))
+    cards = even.select(F.col("p_partkey").cast("string").alias("card_id"), "user_id", F.col("p_name").alias("target"), F.col("p_type").alias("sentence"), F.array("p_brand").alias("translations"))
+    links = even.where("p_size % 4 = 0").select(F.col("p_partkey").cast("string").alias("card_id"), F.col("p_name").alias("target"), F.col("p_brand").alias("sentence"), day.alias("created_at"))
+    contexts = even.select(F.col("p_partkey").cast("string").alias("card_id"), F.lit(0).alias("place"), F.concat(F.lit("s"), "p_partkey").alias("context_id"), F.col("p_name").alias("target"), F.col("p_type").alias("sentence"))
+    out = K.assign_clusters(highlights, cards, links, contexts)
+    return out["assigned"].join(out["cards"].select("card_id", F.col("target").alias("leader")), "card_id")
+
+
 @query(None)
 def fun25_weighted_ratio(spark, d):
     return E.fuzzy_top(*_leaders(spark, d))
 
 
+@query(None)
+def joi11_weighted_top(spark, d):
+    """The best five leaders by weighted ratio, of pairs that can be among them."""
+    return E.weighted_top(*_leaders(spark, d))
+
+
 @query(None)
 def srt7_fuzzy_order(spark, d):
-    return E.fuzzy_top(*_leaders(spark, d)).orderBy("highlight_id", F.desc("score"), "cluster_id")
+    return E.weighted_top(*_leaders(spark, d)).orderBy("highlight_id", F.desc("score"), "cluster_id")
 
 
 @query(None)
