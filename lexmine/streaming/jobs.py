@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lexmine.operators.concordance import concordance
 from lexmine.operators.text import sentences
 from lexmine.sources.shared import shared_folder
 
@@ -24,13 +25,14 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})  # watermarks need instants
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", to: str | None = None) -> DataFrame:
     """Run a stream over all input there is; its rows, from the last batch for a complete result, from all batches for an appended one.
 
-    Every batch overwrites its own folder, so one that is run again after a failure changes nothing.
+    Every batch overwrites its own folder, so one that is run again after a failure changes nothing. With `to`, a
+    folder that an earlier run had, it goes on from there.
     """
     spark = stream.sparkSession
-    to = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    to = to or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{to}/checkpoint")
@@ -78,6 +80,19 @@ def not_deleted(events: DataFrame, tombstones: DataFrame, key: str) -> DataFrame
     return events.join(tombstones.select(key).distinct(), key, "left_anti")
 
 
+def not_deleted_within(rows: DataFrame, tombstones: DataFrame, key: str, wait: str = LATE) -> DataFrame:
+    """STR8. Rows (key, ts) without a tombstone (key, deleted_at) up to `wait` before or after them, whichever comes first.
+
+    A stream-stream outer join: a row is held until no tombstone can come any more, so one that is still on its
+    way removes it too. Both sides' state goes with the watermark.
+    """
+    r = rows.withWatermark("ts", LATE).alias("r")
+    t = tombstones.select(F.col(key).alias("_key"), "deleted_at").withWatermark("deleted_at", LATE).alias("t")
+    span = F.expr(f"INTERVAL {wait}")
+    near = (F.col(f"r.{key}") == F.col("_key")) & (F.col("deleted_at") >= F.col("ts") - span) & (F.col("deleted_at") <= F.col("ts") + span)
+    return r.join(t, near, "leftOuter").where("_key IS NULL").drop("_key", "deleted_at")
+
+
 def stale(events: DataFrame, as_of, seconds: int = 300) -> DataFrame:
     """STR9. Running jobs that have stood still."""
     return events.where((F.col("event_type") == "view") & (F.unix_timestamp(as_of) - F.unix_timestamp("ts") > seconds))
@@ -95,6 +110,59 @@ def assemble(chunks: DataFrame) -> DataFrame:
     return parts.select("conv_id", "role", F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"), F.size("c").alias("chunks"))
 
 
+def assemble_sessions(chunks: DataFrame, gap: str = "30 seconds") -> DataFrame:
+    """STR11. Numbered chunks (conv_id, role, turn, text, ts) of a response joined in order once no more can come: a response ends with a gap.
+
+    Append mode: a session's chunks are state until the watermark is past its end, then it is emitted and dropped.
+    """
+    parts = chunks.withWatermark("ts", LATE).groupBy("conv_id", "role", F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))
+    return parts.select("conv_id", "role", F.col("w.start").alias("start"), F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"), F.size("c").alias("chunks"))
+
+
+def write_tables(stream: DataFrame, to: str, tables: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]]) -> None:
+    """STR1. Run a stream over all input there is into several tables below `to`, each row once, restarts included.
+
+    tables names functions of a batch's rows and of what the table has from earlier batches (null if nothing).
+    Every table's share of a batch is a folder of its number, which a batch that is run again overwrites, and earlier
+    batches alone decide what is new; so it doesn't matter at which table a run was broken off.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        try:
+            for name, make in tables.items():
+                make(rows, read_table(rows.sparkSession, to, name, before=batch)).write.mode("overwrite").parquet(f"{to}/{name}/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    stream.writeStream.option("checkpointLocation", f"{to}/_checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_table(spark: SparkSession, to: str, name: str, before: int | None = None) -> DataFrame | None:
+    """A table of write_tables; with before, what batches of lower numbers wrote; null if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{to}/{name}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    numbers = [int(f.getPath().getName().partition("=")[2]) for f in files.listStatus(path)]
+    some = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(*[f"{to}/{name}/batch={n}" for n in sorted(some)]) if some else None
+
+
+def mined_tables(targets: DataFrame) -> dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]]:
+    """STR1. What new documents (doc_id, text) add: their sentences, highlights of targets with contexts, and a card for each target that had none, with its first context."""
+
+    def highlights(docs: DataFrame) -> DataFrame:
+        said = sentences(docs)
+        return concordance(said, said, targets)
+
+    def cards(docs: DataFrame, there: DataFrame | None) -> DataFrame:
+        first = highlights(docs).groupBy("target").agg(F.min_by(F.struct("doc_id", "id", "sentence_html"), F.struct("doc_id", "sent_id", "place")).alias("f")).select("target", "f.*")
+        return first if there is None else first.join(there.select("target"), "target", "left_anti")
+
+    return {"sentences": lambda docs, _: sentences(docs), "highlights": lambda docs, _: highlights(docs), "cards": cards}
+
+
 def _keep(state: GroupState, value: tuple, last: pd.Timestamp, seconds: int) -> None:
     """Set a state that is forgotten when the watermark is so many seconds past a time."""
     state.update(value)
