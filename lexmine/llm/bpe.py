@@ -134,7 +134,7 @@ class Encoder:
             out, again = [], []
             for k, (text, (stops, _)) in enumerate(zip(texts, found, strict=True)):
                 chunks = [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-                ids = [shared.get(c) or self.chunks[c] for c in chunks]
+                ids = [shared[c] if c in shared else self.chunks[c] for c in chunks]
                 pairs = around[k]
                 bad = [c for n, c in enumerate(stops[:-1]) if not self._fits(ids[n], ids[n + 1], pairs[n])]
                 again.append(bad)

@@ -169,6 +169,19 @@ def test_bpe_equals_the_library(spark, docs, rows, file):
     assert sha == {i: (len(r["ids"]), hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()) for i, r in got.items()}
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_of_repeated_white_space(spark, file):
+    """Chunks without ids are shared like others."""
+    from tokenizers import Tokenizer
+
+    texts = [" " * 70, " " * 70, "a b", "\n" * 200, "\n" * 200, "\t " * 64, None, ""]
+    t = Tokenizer.from_file(public_tokenizers.path(file))
+    got = {r["doc_id"]: r for r in bpe.encode_decode(frame(spark, list(enumerate(texts))), public_tokenizers.path(file)).collect()}
+    for k, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert (list(got[k]["ids"]), got[k]["decoded"]) == (ids, t.decode(ids, skip_special_tokens=False))
+
+
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_bpe_repairs_joins_that_disagree(monkeypatch, file):
     rng = random.Random(3)
