@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 #: Words whose full stop doesn't end a sentence.
 ABBREVIATIONS = ["al.", "approx.", "dr.", "e.", "e.g.", "eq.", "eqs.", "etc.", "fig.", "figs.", "g.", "i.e.", "mr.", "mrs.", "ms.", "no.", "prof.", "s.", "sec.", "secs.", "st.", "v.", "v.s.", "vs."]
 #: Words that don't count when the words of two sentences are compared.
-STOPWORDS = (
-    "about after also among and are because been before being between both but can could does during each for from had has have into its may "
-    "more most not only other our over same such than that the their these they this through under using was were when where which while with would"
-).split()
+STOPWORDS = [
+    "about", "after", "also", "among", "and", "are", "because", "been", "before", "being", "between", "both", "but", "can", "could", "does",
+    "during", "each", "for", "from", "had", "has", "have", "into", "its", "may", "more", "most", "not", "only", "other", "our", "over", "same",
+    "such", "than", "that", "the", "their", "these", "they", "this", "through", "under", "using", "was", "were", "when", "where", "which", "while",
+    "with", "would",
+]
 #: Characters of a context at most; the mark of a hidden target in a recall template.
 CONTEXT_CHARS, RECALL_MARK = 420, "[[[TARGET_RU]]]"
 
@@ -42,7 +44,7 @@ def target_key(c: Column) -> Column:
 def normalize_selection(c: Column) -> Column:
     """A selected text as a target: line-break hyphens joined, apostrophes and dashes unified, other marks dropped, folded.
 
-    Compatibility characters (NFKC) are not mapped here; see udfs.nfkc_fold for texts that hold some.
+    Compatibility characters are not mapped here: operators.text.normalize_selections does that for the texts that hold some.
     """
     v = F.regexp_replace(c, "[-\\x{2010}-\\x{2015}\\x{2212}\\x{AD}]\\s*\\r?\\n\\s*", "")
     v = F.regexp_replace(v, "\\x{AD}", "")
@@ -53,6 +55,21 @@ def normalize_selection(c: Column) -> Column:
     return F.regexp_replace(v, "^[ \\-']+|[ \\-']+$", "")
 
 
+#: Characters that NFKC leaves as they are and that fold() folds as a full case folding does: ASCII, most of Latin, Cyrillic, and common marks.
+_PLAIN = "\\x{00}-\\x{7F}\\x{A1}-\\x{A7}\\x{A9}\\x{AB}-\\x{AE}\\x{B0}\\x{B1}\\x{B6}\\x{B7}\\x{BB}\\x{BF}-\\x{12F}\\x{131}\\x{134}-\\x{13E}\\x{141}-\\x{148}\\x{14A}-\\x{17E}\\x{400}-\\x{45F}\\x{2010}\\x{2012}-\\x{2016}\\x{2018}-\\x{2022}\\x{2212}"
+
+
+def has_compatibility(c: Column) -> Column:
+    """May a text hold characters that NFKC or full case folding changes otherwise than normalize_selection does?"""
+    return F.coalesce(c.rlike(f"[^{_PLAIN}]"), F.lit(False))
+
+
+def has_entity(c: Column) -> Column:
+    """Does a text hold an entity beyond those of unescape_html? A semicolon may be missing."""
+    known = F.regexp_replace(c, "&(amp|lt|gt|quot|#x27|#39);", "")
+    return F.coalesce(known.rlike("&(#|[A-Za-z])"), F.lit(False))
+
+
 def repair_spacing(c: Column) -> Column:
     """Squeezed text without spaces before closing marks, after opening ones, or before 's."""
     v = F.regexp_replace(c, "\\s+([,;:.!?%)\\]}])", "$1")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmine.functions import text as T
+from lexmine.functions import udfs
 
 #: Characters of text that are split at once.
 SLICE = 4_000_000
@@ -215,3 +216,24 @@ def phrases(sents: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, f.type) for c, f in zip((starts, ends, grams), list(schema)[2:], strict=True))], schema=schema)
 
     return sents.select("doc_id", F.col("sent_id").cast("int").alias("sent_id"), "sentence").mapInArrow(run, f"doc_id {kind.simpleString()}, sent_id int, start long, end long, gram string")
+
+
+def through_python(df: DataFrame, column: str, needs: Column, udf) -> DataFrame:
+    """df with column mapped by a Python function where needs holds; only different values go to Python, rows that don't need it aren't shuffled."""
+    rest = df.where(needs)
+    values = rest.select(column).distinct().withColumn("_mapped", udf(column))
+    mapped = rest.join(values, column).withColumn(column, F.col("_mapped")).select(df.columns)
+    return df.where(~needs).unionByName(mapped)
+
+
+def normalize_selections(df: DataFrame, column: str) -> DataFrame:
+    """FUN1. df with a column of selected texts as targets; texts with compatibility characters (ligatures, full width, ...) pass NFKC and full case folding first (UDF3)."""
+    ready = through_python(df, column, T.has_compatibility(F.col(column)), udfs.nfkc_fold)
+    return ready.withColumn(column, T.normalize_selection(F.col(column)))
+
+
+def unescape_texts(df: DataFrame, column: str) -> DataFrame:
+    """FUN9. df with a column's entities as characters, from the full table (UDF4) where others than the usual ones occur."""
+    rare = T.has_entity(F.col(column))
+    marked = df.withColumn("_rare", rare).withColumn(column, F.when(rare, F.col(column)).otherwise(T.unescape_html(F.col(column))))
+    return through_python(marked, column, F.col("_rare"), udfs.html_unescape).drop("_rare")

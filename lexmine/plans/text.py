@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
 from lexmine.operators import text as X
-from lexmine.plans.base import ROLES, corpus, query, table
+from lexmine.plans.base import ROLES, SQL, corpus, query, table
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM corpus)"
 
@@ -57,6 +57,23 @@ def fun1_normalize_selection(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize_selection(F.col("text")).alias("target"))
 
 
+@query(SQL["fun1_normalize_selection"])
+def fun1_compatibility(spark, d):
+    """Every third text with full-width letters, ligatures and wide spaces, every third one decomposed to letter and accent: normalising gives what the plain text gives."""
+    wide = F.translate(F.regexp_replace(F.regexp_replace("text", "fi", "ﬁ"), "st", "ﬆ"), "aeT ", "ａｅＴ　")
+    parted = F.regexp_replace(F.regexp_replace("text", "é", "é"), "ü", "ü")
+    odd = F.when(F.col("doc_id") % 3 == 0, wide).when(F.col("doc_id") % 3 == 1, parted).otherwise(F.col("text"))
+    return X.normalize_selections(table(spark, d, "documents").select("doc_id", odd.alias("target")), "target")
+
+
+@query("SELECT p_partkey, p_name || ' é — ' || p_brand || ' <&> ' || p_type AS text FROM part")
+def fun9_entities(spark, d):
+    """Entities by name, by number and in hexadecimal, in every second row only the usual ones."""
+    rare = F.concat("p_name", F.lit(" &eacute; &#8212; "), "p_brand", F.lit(" &lt;&amp;&#x3e; "), "p_type")
+    usual = F.concat("p_name", F.lit(" é — "), "p_brand", F.lit(" &lt;&amp;&gt; "), "p_type")
+    return X.unescape_texts(table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, rare).otherwise(usual).alias("text")), "text")
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS key FROM documents")
 def fun2_target_key(spark, d):
     return table(spark, d, "documents").select("doc_id", T.target_key(F.col("text")).alias("key"))

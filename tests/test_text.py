@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +120,41 @@ def test_dangling_abbreviation_goes(spark):
     docs = X.joined_pages(spark.createDataFrame([(1, 1, "One. g., two is here.", False)], "doc_id long, page_no int, t string, h boolean"))
     cut = X.page_sentences(docs).orderBy("sent_id").collect()
     assert [(r["start"], r["sentence"]) for r in cut] == [(0, "One."), (9, "two is here.")]
+
+
+def plain_selection(value: str) -> str:
+    """FUN1 letter by letter."""
+    value = unicodedata.normalize("NFKC", value)
+    value = re.sub("[-‐-―−­]\\s*\r?\n\\s*", "", value).replace("­", "")
+    out = ""
+    for c in value:
+        kind = unicodedata.category(c)
+        out += "'" if c in "'’‘ʼ＇" else "-" if kind == "Pd" or c == "−" else c.casefold() if kind[0] in "LMN" else " "
+    out = re.sub("'{2,}", "'", re.sub("-{2,}", "-", " ".join(out.split())))
+    return out.strip(" -'")
+
+
+def test_selections_with_compatibility_characters(spark):
+    """Every character that the JVM keeps to itself, and texts with others; only different texts that need it go to Python."""
+    letters = [chr(c) for c in [*range(1, 0x860), *range(0x1E00, 0x2300)] if c != 0xAD]  # blocks that no later Unicode has added to
+    texts = [f"x{c}y" for c in letters] + ["ﬁne ﬆone", "ＦＵＬＬ　width", "Café au", "ς Σ ΟΔΟΣ", "½ ℡ ①", "ǆungla", None, ""] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: r["t"] for r in X.normalize_selections(df, "t").collect()}
+    wrong = {texts[k]: v for k, v in got.items() if v != (None if texts[k] is None else plain_selection(texts[k]))}
+    assert not wrong
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(values: pd.Series) -> pd.Series:
+        asked.add(len(values))
+        return values
+
+    rows = df.where("id % 50 = 0 OR t LIKE '%ne%' OR t LIKE '%width%'")
+    assert X.through_python(rows, "t", T.has_compatibility(F.col("t")), counted).count() == rows.count()
+    assert asked.value == rows.where(T.has_compatibility(F.col("t"))).select("t").distinct().count() < rows.count()
+
+
+def test_entities_from_the_full_table(spark):
+    texts = ["&eacute;&#x3c;", "&amp;lt;", "&lt;b&gt;", "AT&T &notin; x", "&copy 2024", None, "", "&amp;amp;"]
+    got = {r["id"]: r["t"] for r in X.unescape_texts(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t").collect()}
+    assert got == {k: None if t is None else html.unescape(t) for k, t in enumerate(texts)}
