@@ -3,9 +3,10 @@
 1. For the words of a bounded sample of labelled documents, and their first letters, Spark counts the
    toxic and the clean documents that hold them; a word's evidence is the best lower bound of the log
    odds of its features.
-2. Words with strong evidence in toxic documents are the labelled tokens. A chain of two states (other,
+2. Words with strong evidence in toxic documents are the first labelled tokens. A chain of two states (other,
    toxic) is trained on them by gradient ascent of the conditional likelihood, from forward-backward
-   marginals; its inputs are the evidence of the word and of its neighbours.
+   marginals; its inputs are the evidence of the word and of its neighbours. Then the chain tags the sample
+   itself, held to the documents' labels, and is trained on these tags, a few times over.
 3. Every text is tagged whole. A logistic curve over the sum and the largest of the marginals gives the
    document's score; runs of words with a marginal of one half or more are the offending spans.
 """
@@ -25,6 +26,8 @@ from lexmine.llm.common import as_bytes
 
 #: Labelled rows that are learned from at most (those with the smallest hash), and words that a worker remembers.
 SAMPLE, MEMO = 4000, 1_000_000
+#: Times that labelled tokens are taken anew from marginals.
+RETAGS = 3
 #: Letters in the prefixes that count as features; the least toxic documents of a feature; evidence of a labelled token.
 PREFIXES, LEAST_DOCS, STRONG = (4, 5, 6, 7), 4, 1.5
 
@@ -106,12 +109,12 @@ def summary(probabilities: list[np.ndarray]) -> np.ndarray:
     return np.array([[1.0, np.log1p(p.sum()), p.max() if len(p) else 0.0, np.log1p(len(p))] for p in probabilities]).reshape(-1, 4)
 
 
-def fit_chain(evidence: list[np.ndarray], tags: list[np.ndarray], rounds: int = 60, piece: int = 64) -> np.ndarray:
-    """Gradient ascent (Adam) on the likelihood of the tags; texts are cut into pieces for it."""
+def fit_chain(evidence: list[np.ndarray], tags: list[np.ndarray], rounds: int = 60, piece: int = 64, start: np.ndarray | None = None) -> np.ndarray:
+    """Gradient ascent (Adam) on the likelihood of the tags; texts are cut into pieces for it. start: weights to go on from."""
     x = [i[k : k + piece] for i in inputs(evidence) for k in range(0, len(i), piece)]
     y = [t[k : k + piece] for t in tags for k in range(0, len(t), piece)]
     sizes = [len(t) for t in y]
-    chain = np.array([-3.0, 1.0, 0.0, 0.0, -4.0, 0.0])
+    chain = np.array([-3.0, 1.0, 0.0, 0.0, -4.0, 0.0]) if start is None else start
     total = max(1, sum(sizes))
     if not y:
         return chain
@@ -132,6 +135,14 @@ def fit_chain(evidence: list[np.ndarray], tags: list[np.ndarray], rounds: int =
     return chain
 
 
+def retagged(p: np.ndarray, toxic: float) -> np.ndarray:
+    """Tags that marginals and a document's label agree on: none in a clean document; in a toxic one words more likely toxic than not, at least the likeliest."""
+    tags = (p >= 0.5) & (toxic > 0)
+    if toxic > 0 and len(p) and not tags.any():
+        tags[p.argmax()] = True
+    return tags.astype(np.float32)
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
@@ -142,8 +153,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most sample labelled rows, taken by the hash of their id. Rows with a null label or id teach nothing; without rows every score is about 0."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, retags: int = RETAGS) -> Model:
+    """A model from at most sample labelled rows, taken by the hash of their id. The chain learns from strong words, then, retags times, from its own marginals against the documents' labels. Rows with a null label or id teach nothing; without rows every score is about 0."""
     some = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").orderBy(F.xxhash64("i"), "i", "y").limit(sample)
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(some), "i").select("i", "t", "y")
 
@@ -175,7 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([float(r["y"] > 0) for r in found])
     del found
     model.chain = fit_chain(evidence, [((e >= STRONG) * t).astype(np.float32) for e, t in zip(evidence, y, strict=True)])
-    model.curve = fit_curve(summary(marginals([i @ model.chain[:4] for i in inputs(evidence)], model.chain)), y)
+    tell = lambda: marginals([i @ model.chain[:4] for i in inputs(evidence)], model.chain)
+    for _ in range(retags):
+        model.chain = fit_chain(evidence, [retagged(p, t) for p, t in zip(tell(), y, strict=True)], rounds=20, start=model.chain)
+    model.curve = fit_curve(summary(tell()), y)
     model.memo = {}
     return model
 
