@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
+from lexmine.operators.graph import components
+from lexmine.sources.files import write_cards_csv
 from lexmine.sources.shared import checkpoint
 
 #: The kinds of a card, in the order in which they are looked for; prefixes of tags that the engine sets itself.
 DIRECTIONS = ("meaning", "recall")
 MANAGED = ("card::", "direction::", "family::", "site::")
+#: Rows of a component that are walked in one place at most.
+WALKED = 200_000
 
 
 def tag_list(tags: Column) -> Column:
@@ -86,15 +91,16 @@ def identities(front: Column, back: Column, tags: Column) -> Column:
     return F.when(known, found).otherwise(F.array(F.concat_ws("|", F.lit("front"), plain(front))))
 
 
-def merge_notes(notes: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_notes(notes: DataFrame, incoming: DataFrame, most: int = WALKED) -> DataFrame:
     """PIP11. What each incoming row (row_id, front, back, tags) does to notes (note_id, front, back, tags): row_id, action, note_id.
 
     update: a note with the same site card and direction changes; same: it is as it is already; skip: an
     earlier row has its site card and direction, or an identity is there already, in a note or in an
     earlier row that is inserted; insert: a new note, numbered after the last. Rows go by row_id.
 
-    Rows are decided in rounds: a row that comes first for all its identities is inserted, rows that share one
-    with an inserted row are skipped, and the rest goes on. A chain of rows takes a round for every second link.
+    What a row does depends on earlier rows that share an identity, so rows are parted into components by shared
+    identities; a component of `most` rows or fewer is walked in order in one place, larger ones in rounds, in which
+    a row that comes first for all its identities is inserted and rows that share one with it are skipped.
     """
     key = lambda df: df.withColumns({"card": tag_value(F.col("tags"), "site::"), "dir": direction_of(F.col("tags"))})
     known = first_by(key(notes).where("card IS NOT NULL AND dir IS NOT NULL"), ["card", "dir"], ["note_id"]).select("card", "dir", F.col("note_id").alias("old_id"), F.col("front").alias("old_front"), F.col("back").alias("old_back"), F.col("tags").alias("old_tags"))
@@ -107,19 +113,41 @@ def merge_notes(notes: DataFrame, incoming: DataFrame) -> DataFrame:
     there = notes.select(F.explode(identities(F.col("front"), F.col("back"), F.col("tags"))).alias("identity")).distinct()
     each = rest.where("place = 1").select("row_id", F.explode("all").alias("identity"))
     open_ = checkpoint(each.join(each.join(there, "identity", "left_semi").select("row_id").distinct(), "row_id", "left_anti"))
-    new = None
-    while not open_.isEmpty():
-        first = open_.groupBy("identity").agg(F.min("row_id").alias("first"))
-        won = checkpoint(open_.join(first, "identity").groupBy("row_id").agg(F.bool_and(F.col("first") == F.col("row_id")).alias("won")).where("won").select("row_id"))
-        taken = open_.join(won, "row_id", "left_semi").select("identity").distinct()
-        out = open_.join(taken, "identity", "left_semi").select("row_id").distinct()
-        new = won if new is None else new.unionByName(won)
-        open_ = checkpoint(open_.join(out, "row_id", "left_anti"))
-    new = rest.select("row_id").limit(0) if new is None else new
+    new = _inserted(open_, most)
     skipped = rest.select("row_id").join(new, "row_id", "left_anti").select("row_id", F.lit("skip").alias("action"), F.lit(None).cast("bigint").alias("note_id"))
     return matched.unionByName(skipped).unionByName(number_after(new, notes, "row_id", "note_id").select("row_id", F.lit("insert").alias("action"), "note_id"))
 
 
+def _inserted(open_: DataFrame, most: int) -> DataFrame:
+    """The rows (row_id, identity) of which none shares an identity with an inserted row of a lower row_id: row_id."""
+    lowest = open_.groupBy("identity").agg(F.min("row_id").alias("b"))
+    roots = components(open_.join(lowest, "identity").select(F.col("row_id").alias("a"), "b"))
+    alone = open_.select("row_id").distinct().join(roots.select(F.col("node").alias("row_id")), "row_id", "left_anti")
+    grouped = checkpoint(open_.join(roots.withColumnRenamed("node", "row_id"), "row_id"))
+    sizes = grouped.groupBy("root").agg(F.count_distinct("row_id").alias("n"))
+    small = grouped.join(sizes.where(F.col("n") <= most).select("root"), "root", "left_semi")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        won = []
+        for row, own in rows.sort_values("row_id").groupby("row_id", sort=True)["identity"]:
+            if not taken.intersection(own):
+                won.append(row)
+                taken.update(own)
+        return pd.DataFrame({"row_id": won})
+
+    new = alone.unionByName(small.groupBy("root").applyInPandas(walk, f"row_id {open_.schema['row_id'].dataType.simpleString()}"))
+    left = checkpoint(grouped.join(sizes.where(F.col("n") > most).select("root"), "root", "left_semi").select("row_id", "identity"))
+    while not left.isEmpty():
+        first = left.groupBy("identity").agg(F.min("row_id").alias("first"))
+        won = checkpoint(left.join(first, "identity").groupBy("row_id").agg(F.bool_and(F.col("first") == F.col("row_id")).alias("won")).where("won").select("row_id"))
+        taken = left.join(won, "row_id", "left_semi").select("identity").distinct()
+        out = left.join(taken, "identity", "left_semi").select("row_id").distinct()
+        new = new.unionByName(won)
+        left = checkpoint(left.join(out, "row_id", "left_anti"))
+    return checkpoint(new)
+
+
 def number_after(rows: DataFrame, notes: DataFrame, order: str, name: str) -> DataFrame:
     """WIN14. rows with name: numbers in order that follow the largest of notes.
 
@@ -216,3 +244,52 @@ def delete_cascade(deleted: DataFrame, highlights: DataFrame, links: DataFrame)
     left = links.join(gone, "highlight_id", "left_anti").join(touched, "card_id", "left_semi").join(highlights.select("highlight_id", "created_at", "document_id"), "highlight_id")
     first = left.groupBy("card_id").agg(F.min_by("highlight_id", F.struct("created_at", "highlight_id")).alias("highlight_id"))
     return {"tombstones": highlights.join(gone, "highlight_id", "left_semi").select("highlight_id", "document_id"), "removed_cards": touched.join(first, "card_id", "left_anti"), "moved_cards": first}
+
+
+def enabled(directions: Column, direction: str) -> Column:
+    """FIL9. Does a context (its directions; none: both) take part in a direction?"""
+    return F.coalesce(F.size(directions) == 0, F.lit(True)) | F.coalesce(F.array_contains(directions, direction), F.lit(False))
+
+
+def semantic_cards(cards: DataFrame, contexts: DataFrame) -> DataFrame:
+    """PIP10. Two rows (card_id, direction, front, back, tags) for each card that has contexts of both directions.
+
+    cards: card_id, family, sense, translations; contexts: card_id, place, target, sentence, replacement, source,
+    directions, valid and related (arrays of other words). Every context is rendered: its front has the target bold,
+    its recall the replacement (compact, else the card's first translation: FIL12) and the hint (FUN33). A side
+    shows the first of its direction's contexts (FIL9) and carries all of them as JSON in its data-contexts.
+    """
+    c = contexts.join(cards.select("card_id", F.get("translations", F.lit(0)).alias("fallback")), "card_id")
+    shown = compact_replacement(F.col("replacement"), F.col("fallback"), F.col("target"))
+    bare = T.emphasize(F.col("sentence"), F.col("target"), shown)
+    rendered = F.struct(
+        T.emphasize(F.col("sentence"), F.col("target")).alias("front"), F.concat(bare, distractor_hint(F.coalesce("valid", F.array()), F.coalesce("related", F.array()))).alias("recall"), T.escape_html(F.col("target")).alias("answer"), T.escape_html(F.col("source")).alias("source")
+    )
+    each = c.select("card_id", "place", "directions", rendered.alias("r"))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(enabled(F.col("directions"), d), F.struct("place", "r")))), lambda x: x["r"]).alias(d) for d in DIRECTIONS]
+    sides = each.groupBy("card_id").agg(*lists).where(F.forall(F.array(*[F.size(d) for d in DIRECTIONS]), lambda n: n > 0))
+    full = cards.join(sides, "card_id")
+    translations = F.array_join(F.transform("translations", lambda v: F.concat(F.lit("• "), T.escape_html(v))), "<br>")
+    tail = F.concat(F.lit("<br>"), translations, F.lit("<br><small>"), T.escape_html(F.coalesce("sense", F.lit(""))), F.lit("</small>"))
+    family = T.safe_tag(F.coalesce("family", F.lit("")))
+    tags = F.concat(F.lit("site::"), F.col("card_id").cast("string"), F.lit(" semantic::v1 family::"), F.when(family == "article", "word").otherwise(family))
+
+    def side(direction: str, face: str, more: Column) -> Column:
+        first = F.get(direction, F.lit(0))
+        data = F.concat(F.lit('<div data-card="'), T.escape_html(F.col("card_id").cast("string")), F.lit('" data-contexts="'), T.escape_html(F.to_json(direction)), F.lit('">'))
+        wrapped = lambda inner: F.concat(data, inner, F.lit("</div>"))
+        back = F.concat(F.lit("<b>"), first["answer"], F.lit("</b>"), more)
+        return F.struct(F.lit(direction).alias("direction"), wrapped(first[face]).alias("front"), wrapped(back).alias("back"), F.concat(tags, F.lit(f" card::{direction}")).alias("tags"))
+
+    return full.select("card_id", F.explode(F.array(side("meaning", "front", tail), side("recall", "recall", F.lit("")))).alias("s")).select("card_id", "s.*")
+
+
+def export_pending(cards: DataFrame, contexts: DataFrame, column: str, as_of: Column, path: str) -> DataFrame:
+    """PIP18. Write the rendered sides (PIP10) of the cards without a time in column (FIL1) as CSV (Front, Back, Tags; SRC3) below path; cards with that time set for those written.
+
+    A card that can't be rendered isn't written and stays pending.
+    """
+    sides = checkpoint(semantic_cards(cards.where(F.col(column).isNull()), contexts))
+    write_cards_csv(sides.select(F.col("front").alias("Front"), F.col("back").alias("Back"), F.col("tags").alias("Tags")), path)
+    done = sides.select("card_id").distinct().withColumn("_done", F.lit(True))
+    return cards.join(done, "card_id", "left").withColumn(column, F.when(F.col("_done"), as_of).otherwise(F.col(column))).drop("_done")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lexmine.functions import status as S
 from lexmine.functions import text as T
-from lexmine.operators import dictionary as D
 from lexmine.operators import clusters as K
+from lexmine.operators import dashboard as B
+from lexmine.operators import dictionary as D
 from lexmine.operators import enrich as E
 from lexmine.plans.base import cards, corpus, notes, query, table
 from lexmine.sources import files
@@ -331,3 +332,32 @@ def src10_schema_evolution(spark, d):
 def set7_union_files(spark, d):
     docs = table(spark, d, "documents")
     return docs.where("lang = 'de'").select("doc_id", "source").unionByName(docs.where("lang = 'fr'").select("source", "doc_id"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id AS document_id, doc_id % 50 AS user_id FROM documents), c AS (SELECT o_orderkey AS card_id, o_custkey % 50 AS user_id, o_orderkey % 1000 AS document_id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS synced_at FROM orders),
+j AS (SELECT event_id AS job_id, user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'done' WHEN 'click' THEN 'done' WHEN 'signup' THEN 'queued' ELSE 'running' END AS state, CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'auth:denied' WHEN 1 THEN 'temporary' ELSE 'odd' END END AS code, ts FROM events WHERE event_id % 7 <> 0 OR event_type = 'error'),
+u AS (SELECT DISTINCT user_id FROM events), owned AS (SELECT c.* FROM c JOIN d USING (document_id, user_id)),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, job_id DESC) AS k FROM j) WHERE k = 1), a AS (SELECT user_id, arg_min(job_id, (ts, job_id)) AS active_job FROM j WHERE state IN ('queued', 'running') AND job_id % 2 = 0 GROUP BY user_id),
+m AS (SELECT u.user_id, coalesce((SELECT count(*) FROM d WHERE d.user_id = u.user_id), 0) AS documents, coalesce((SELECT count(*) FROM owned o WHERE o.user_id = u.user_id), 0) AS cards, coalesce((SELECT count(*) FROM owned o WHERE o.user_id = u.user_id AND synced_at IS NULL), 0) AS pending FROM u)
+SELECT m.*, l.job_id AS latest_job, l.state AS latest_state, CASE WHEN l.code LIKE 'auth%' THEN 'auth' WHEN l.code = 'odd' THEN 'other' ELSE l.code END AS latest_error, a.active_job,
+CASE WHEN a.active_job IS NOT NULL THEN 'syncing' WHEN l.state = 'failed' THEN 'error' WHEN pending > 0 THEN 'pending' ELSE 'idle' END AS status FROM m LEFT JOIN l USING (user_id) LEFT JOIN a USING (user_id)"""
+)
+def pip20_sync_status(spark, d):
+    """Users of events; their jobs are events, active ones those of even id."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 50).alias("user_id"))
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("card_id"), (F.col("o_custkey") % 50).alias("user_id"), (F.col("o_orderkey") % 1000).alias("document_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("synced_at"))
+    e, k = table(spark, d, "events"), F.col("event_type")
+    active = F.when(F.col("event_id") % 2 == 0, F.when(k == "signup", "queued").otherwise("running")).otherwise(F.when(k == "signup", "queued_").otherwise("running_"))
+    state = F.when(k == "error", "failed").when(k.isin("view", "click"), "done").otherwise(active)
+    code = F.when(k == "error", F.when(F.col("event_id") % 3 == 0, "auth:denied").when(F.col("event_id") % 3 == 1, "temporary").otherwise("odd"))
+    jobs = e.where((F.col("event_id") % 7 != 0) | (k == "error")).select(F.col("event_id").alias("job_id"), "user_id", state.alias("state"), code.alias("error_code"), F.col("ts").alias("created_at"))
+    out = B.sync_status(e.select("user_id").distinct(), c, docs, jobs)
+    return out.withColumn("latest_state", F.regexp_replace("latest_state", "_$", ""))
+
+
+@query("SELECT d.document_id, d.user_id, coalesce(h.n, 0) AS highlight_count FROM (SELECT doc_id AS document_id, doc_id % 50 AS user_id FROM documents) d LEFT JOIN (SELECT l_orderkey % 1000 AS document_id, l_suppkey % 50 AS user_id, count(*) AS n FROM lineitem GROUP BY 1, 2) h USING (document_id, user_id)")
+def pip20_documents(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 50).alias("user_id"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("opened_at"), F.col("n_chars").alias("created_at"))
+    highlights = table(spark, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("document_id"), (F.col("l_suppkey") % 50).alias("user_id"))
+    return B.documents_of(docs, highlights).select("document_id", "user_id", "highlight_count")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
+from lexmine.operators import enrich as E
+from lexmine.operators import migrate as R
 from lexmine.operators import notes as N
 from lexmine.plans.base import cards, notes, query, table
+from lexmine.sources.shared import shared_folder
 
 
 @query("SELECT card_id, user_id, created_at FROM cards WHERE exported_at IS NULL ORDER BY created_at, card_id", "cards")
@@ -208,9 +213,9 @@ _BATCH = "a AS (SELECT o_orderkey % 50 AS batch, o_orderkey AS id FROM orders),
 @query(f"WITH {_BATCH} SELECT batch, bool_and(x AND y) AS valid FROM (SELECT coalesce(a.batch, b.batch) AS batch, a.id IS NOT NULL AS x, b.id IS NOT NULL AS y FROM a FULL JOIN b ON a.batch = b.batch AND a.id = b.id) GROUP BY batch")
 def joi25_same_ids(spark, d):
     k = F.col("o_orderkey")
-    a = table(spark, d, "orders").select((k % 50).alias("batch"), k.alias("id"), F.lit(True).alias("x"))
-    b = table(spark, d, "orders").select((k % 50).alias("batch"), (k + F.when(k % 500 == 7, 1).otherwise(0)).alias("id"), F.lit(True).alias("y"))
-    return a.join(b, ["batch", "id"], "full").groupBy("batch").agg(F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("valid"))
+    asked = table(spark, d, "orders").select((k % 50).alias("batch"), k.alias("id"))
+    told = table(spark, d, "orders").select((k % 50).alias("batch"), (k + F.when(k % 500 == 7, 1).otherwise(0)).alias("id"))
+    return E.complete_batches(told, asked).withColumnRenamed("complete", "valid")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey OR o_orderkey = c_custkey + 7)")
@@ -381,9 +386,9 @@ def set2_retained(spark, d):
     return g.select("card_id", F.size("all").cast("long").alias("total"), F.size(kept).cast("long").alias("kept"), (F.col("all") == kept).alias("unchanged"))
 
 
-@query("SELECT p_partkey AS card_id, direction, CASE direction WHEN 'meaning' THEN '• ' || p_brand || '<br>• ' || p_type ELSE '<b>' || split_part(p_name, ' ', 1) || '</b>' END AS back, 'article::' || replace(p_type, ' ', '_') || ' site::' || p_partkey || ' card::' || direction AS tags FROM part CROSS JOIN (VALUES ('meaning'), ('recall')) d(direction) WHERE NOT regexp_matches(p_type, '[^A-Za-z ]')")
+@query("SELECT p_partkey AS card_id, direction, CASE direction WHEN 'meaning' THEN '• ' || p_brand || '<br>• ' || p_type ELSE '<b>' || split_part(p_name, ' ', 1) || '</b>' END AS back, 'article::' || regexp_replace(regexp_replace(p_type, '[^A-Za-z0-9_:-]+', '_', 'g'), '^_+|_+$', '', 'g') || ' site::' || p_partkey || ' card::' || direction AS tags FROM part CROSS JOIN (VALUES ('meaning'), ('recall')) d(direction)")
 def pip10_render_cards(spark, d):
-    p = table(spark, d, "part").where("NOT regexp_like(p_type, '[^A-Za-z ]')")
+    p = table(spark, d, "part")
     c = p.select(F.col("p_partkey").alias("card_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("target"), F.col("p_name").alias("sentence"), F.col("p_brand").alias("replacement"), F.array("p_brand", "p_type").alias("translations"), F.col("p_type").alias("document"))
     return N.render_cards(c).select("card_id", "direction", "back", "tags")
 
@@ -397,13 +402,11 @@ def pip17_delete_cascade(spark, d):
     return left.join(out["moved_cards"].select("card_id"), "card_id", "left_semi").groupBy("card_id").agg(F.count("*").alias("notes_left"))
 
 
-@query("SELECT card_id, arg_min(note_id, due * 1000000 + note_id % 1000000) AS highlight_id FROM notes WHERE deck_id <> 2 AND card_id IN (SELECT card_id FROM notes WHERE deck_id = 2) GROUP BY card_id HAVING count(DISTINCT due) = count(*)", "notes")
+@query("SELECT card_id, arg_min(note_id, (due, note_id)) AS highlight_id FROM notes WHERE deck_id <> 2 AND card_id IN (SELECT card_id FROM notes WHERE deck_id = 2) GROUP BY card_id", "notes")
 def win17_representative(spark, d):
     n = notes(spark, d).withColumnRenamed("note_id", "highlight_id")
     h = n.select("highlight_id", F.col("due").alias("created_at"), F.col("deck_id").alias("document_id"))
-    out = N.delete_cascade(n.where("deck_id = 2"), h, n.select("card_id", "highlight_id"))["moved_cards"]
-    plain = n.where("deck_id <> 2").groupBy("card_id").agg(F.count_distinct("due").alias("a"), F.count("*").alias("b")).where("a = b").select("card_id")
-    return out.join(plain, "card_id", "left_semi")
+    return N.delete_cascade(n.where("deck_id = 2"), h, n.select("card_id", "highlight_id"))["moved_cards"]
 
 
 @query("SELECT card_id, md5(CAST(card_id AS VARCHAR) || '42') AS k FROM cards ORDER BY k", "cards")
@@ -413,7 +416,7 @@ def srt5_seeded_shuffle(spark, d):
 
 @query("SELECT card_id, min(note_id) AS first FROM notes GROUP BY card_id ORDER BY first", "notes")
 def srt6_context_order(spark, d):
-    return notes(spark, d).groupBy("card_id").agg(F.array_min(F.collect_list("note_id")).alias("first")).orderBy("first")
+    return notes(spark, d).groupBy("card_id").agg(F.min("note_id").alias("first")).orderBy("first")
 
 
 @query("SELECT card_id, target, CAST(TIMESTAMP '1999-01-01' AS TIMESTAMP) AS exported_at FROM cards WHERE exported_at IS NULL", "cards")
@@ -430,3 +433,103 @@ def pip14_migrate(spark, d):
 def pip19_source_contexts(spark, d):
     n = notes(spark, d).withColumn("dir", N.direction_of(F.col("tags")))
     return n.groupBy("card_id", F.col("dir").alias("direction")).agg(F.count("*").alias("notes"), F.min("note_id").alias("first_note"), F.sum(F.when(F.col("ivl") > 20, 1).otherwise(0)).alias("learned"))
+
+
+#: Notes of parts in both directions, as SQL says what they tell: note_id, target, sentence, replacement, translations, source, learned.
+_TOLD = """told AS (SELECT p_partkey * 2 AS note_id, split_part(p_name, ' ', 1) AS target, 'Say ' || split_part(p_name, ' ', 1) || ' of ' || p_type || ' & co' AS sentence, '' AS replacement, [p_brand, 'size ' || p_size] AS translations, 'article::x · page::' || (p_size % 3) AS source, p_size % 3 AS learned FROM part
+UNION ALL SELECT p_partkey * 2 + 1, split_part(p_name, ' ', 1), 'Say ' || split_part(p_name, ' ', 1) || ' of ' || p_type || ' & co', p_brand, CAST([] AS VARCHAR[]), 'article::x', p_size % 2 FROM part)"""
+_CONTEXTS = f"""WITH {_TOLD}, g AS (SELECT lower(target) AS kt, lower(sentence) AS ks, arg_min(target, note_id) AS target, arg_min(sentence, note_id) AS sentence, coalesce(arg_min(replacement, note_id) FILTER (replacement <> ''), '') AS replacement, array_to_string(list_sort(list_distinct(list(source))), ' | ') AS source, list_sort(list(note_id)) AS note_ids, sum(learned) AS learned_cards FROM told GROUP BY 1, 2),
+v AS (SELECT lower(target) AS kt, lower(sentence) AS ks, note_id, unnest(translations) AS v, generate_subscripts(translations, 1) AS i FROM told),
+f AS (SELECT kt, ks, lower(v) AS k, arg_min(v, note_id * 10 + i) AS v, min(note_id * 10 + i) AS o FROM v GROUP BY kt, ks, lower(v)),
+t AS (SELECT kt, ks, string_agg(v, '|' ORDER BY o) AS translations FROM (SELECT *, row_number() OVER (PARTITION BY kt, ks ORDER BY o) AS n FROM f) WHERE n <= 8 GROUP BY kt, ks)"""
+
+
+def _deck(spark, d):
+    p = table(spark, d, "part")
+    word, tail = F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat(F.lit("</b> of "), "p_type", F.lit(" &amp; co"))
+    meaning = p.select((F.col("p_partkey") * 2).alias("note_id"), F.concat(F.lit("Say <b>"), word, tail).alias("front"), F.concat(F.lit("• "), "p_brand", F.lit("<br>- "), F.lower("p_brand"), F.lit("<BR/>· size "), "p_size").alias("back"), F.concat(F.lit("card::meaning article::x page::"), F.col("p_size") % 3).alias("tags"), (F.col("p_size") % 3).alias("learned"))
+    recall = p.select((F.col("p_partkey") * 2 + 1).alias("note_id"), F.concat(F.lit("Say <b>"), "p_brand", tail, F.lit("<br><small>hint</small>")).alias("front"), F.concat(F.lit("<b>"), word, F.lit("</b>")).alias("back"), F.lit("direction::recall article::x").alias("tags"), (F.col("p_size") % 2).alias("learned"))
+    return meaning.unionByName(recall)
+
+
+@query(f"{_CONTEXTS} SELECT target, sentence, translations, replacement, source, array_to_string(note_ids, ',') AS note_ids, CAST(learned_cards AS BIGINT) AS learned_cards FROM g JOIN t USING (kt, ks)")
+def pip19_context_table(spark, d):
+    """Every part has a meaning and a recall note."""
+    out = R.source_contexts(_deck(spark, d)).drop("id")
+    return out.withColumns({"translations": F.array_join("translations", "|"), "note_ids": F.array_join("note_ids", ",")})
+
+
+_MAPPED = f"""{_CONTEXTS}, h AS (SELECT p_partkey AS highlight_id, CASE WHEN p_partkey % 3 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE 'elsewhere' END AS target, 'say ' || split_part(p_name, ' ', 1) || ' of ' || p_type || '  & co' AS sentence FROM part WHERE p_partkey % 4 <> 0),
+links AS (SELECT p_partkey * 2 AS note_id, p_partkey AS highlight_id FROM part UNION ALL SELECT (p_partkey + 1) * 2 + 1, p_partkey FROM part),
+n AS (SELECT kt, ks, list_min(note_ids) AS lowest, unnest(note_ids) AS note_id FROM g),
+fits AS (SELECT highlight_id, kt, ks, lowest, max(e) AS exact FROM (SELECT h.highlight_id, g.kt, g.ks, list_min(g.note_ids) AS lowest, 1 AS e FROM h JOIN g ON lower(h.target) = g.kt AND replace(lower(h.sentence), '  ', ' ') = g.ks UNION ALL SELECT h.highlight_id, n.kt, n.ks, n.lowest, 0 FROM h JOIN links USING (highlight_id) JOIN n USING (note_id)) GROUP BY 1, 2, 3, 4),
+picked AS (SELECT *, row_number() OVER (PARTITION BY highlight_id ORDER BY exact DESC, lowest) = 1 AS chosen FROM fits)"""
+
+
+def _mapping(spark, d):
+    """Highlights that say what their note says, or are linked to it and to the next part's; those of every fourth part don't exist."""
+    sources = R.source_contexts(_deck(spark, d))
+    p = table(spark, d, "part")
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    highlights = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("highlight_id"), F.when(F.col("p_partkey") % 3 == 0, F.upper(word)).otherwise("elsewhere").alias("target"), F.concat(F.lit("say "), word, F.lit(" of "), "p_type", F.lit("  & co")).alias("sentence"), F.lit("reader").alias("source"), F.timestamp_seconds("p_partkey").alias("created_at"))
+    links = p.select((F.col("p_partkey") * 2).alias("note_id"), F.col("p_partkey").alias("highlight_id")).unionByName(p.select((F.col("p_partkey") * 2 + 3).alias("note_id"), F.col("p_partkey").alias("highlight_id")))
+    return sources, highlights, links
+
+
+@query(f"{_MAPPED} SELECT highlight_id, lowest, exact = 1 AS exact, chosen FROM picked")
+def joi22_source_mapping(spark, d):
+    sources, highlights, links = _mapping(spark, d)
+    lowest = sources.select(F.col("id").alias("source_id"), F.array_min("note_ids").alias("lowest"))
+    return R.map_sources(highlights, sources, links).join(lowest, "source_id").select("highlight_id", "lowest", "exact", "chosen")
+
+
+@query(
+    f"""{_MAPPED}, taken AS (SELECT DISTINCT kt, ks FROM picked WHERE chosen), k AS (SELECT DISTINCT kt FROM taken), owned AS (SELECT n.*, kt IN (SELECT kt FROM k) AS known FROM n),
+folded AS (SELECT kt, note_id % 2 AS direction, count(*) AS c FROM owned WHERE known GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM g) AS sources, (SELECT count(*) FROM h) AS highlights, (SELECT count(*) FROM taken) AS chosen, (SELECT count(*) FROM (SELECT DISTINCT kt, ks FROM fits EXCEPT SELECT kt, ks FROM taken)) AS shadowed, (SELECT count(*) FROM k) AS known_clusters, (SELECT count(DISTINCT kt) FROM g) - (SELECT count(*) FROM k) AS unknown_clusters,
+(SELECT count(*) FROM folded) AS survivors, (SELECT CAST(sum(c - 1) AS BIGINT) FROM folded) AS removed, 2 * (SELECT count(*) FROM k) - (SELECT count(*) FROM folded) AS added, (SELECT count(*) FROM owned WHERE NOT known) AS unknown_notes,
+(SELECT count(*) FROM g WHERE kt IN (SELECT kt FROM k) AND (kt, ks) NOT IN (SELECT kt, ks FROM fits EXCEPT SELECT kt, ks FROM taken)) AS contexts"""
+)
+def pip14_accounting(spark, d):
+    """A word's contexts are a cluster."""
+    sources, highlights, links = _mapping(spark, d)
+    said = F.struct(F.col("id").alias("id"), F.lit("user").alias("source"), "target", "sentence")
+    grouped = sources.groupBy(F.lower("target").alias("cluster_id")).agg(F.collect_list("id").alias("source_ids"), F.flatten(F.collect_list("note_ids")).alias("note_ids"), F.collect_list(said).alias("contexts"))
+    notes_ = _deck(spark, d).select("note_id", "tags", (F.col("note_id") % 50).alias("ivl"), (F.col("note_id") % 7).alias("reps"), (F.col("note_id") % 3).alias("lapses"))
+    return R.migrate(grouped, sources, highlights, links, notes_)["accounting"]
+
+
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+_SIDES = f"""WITH p AS (SELECT p_partkey AS card_id, split_part(p_name, ' ', 1) AS w, p_name AS s, p_type AS x, p_brand AS b, p_size FROM part),
+r AS (SELECT card_id, p_size, b, x, '<b>' || w || '</b>' || substring(s, length(w) + 1) AS f, '<b>' || CASE WHEN p_size % 5 = 0 THEN b ELSE x END || '</b>' || substring(s, length(w) + 1) || '<br><small>Подходит, но не целевой ответ: ' || b || '<br>Близко по смыслу: ' || x || '</small>' AS rc, w FROM p),
+j AS (SELECT *, '[' || CAST(to_json({{'front': f, 'recall': rc, 'answer': w, 'source': 'user &amp; co'}}) AS VARCHAR) || ']' AS data FROM r WHERE p_size % 7 <> 0),
+o AS (SELECT *, '<div data-card="' || card_id || '" data-contexts="' || {_ESC.format("data")} || '">' AS head FROM j),
+sides AS (SELECT card_id, 'meaning' AS direction, head || f || '</div>' AS front, head || '<b>' || w || '</b><br>• ' || b || '<br>• ' || x || '<br><small>A &lt; B</small></div>' AS back, 'site::' || card_id || ' semantic::v1 family::' || w || ' card::meaning' AS tags FROM o
+UNION ALL SELECT card_id, 'recall', head || rc || '</div>', head || '<b>' || w || '</b></div>', 'site::' || card_id || ' semantic::v1 family::' || w || ' card::recall' FROM o)"""
+
+
+def _semantic(spark, d):
+    """A card a part; those of every seventh size have no recall context; every fifth size's replacement is too long."""
+    p = table(spark, d, "part").withColumn("w", F.split_part("p_name", F.lit(" "), F.lit(1)))
+    c = p.select(F.col("p_partkey").alias("card_id"), F.col("w").alias("family"), F.lit("A < B").alias("sense"), F.array("p_brand", "p_type").alias("translations"), F.when(F.col("p_size") % 2 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("exported_at"))
+    long_, none = F.lit("one two three four five six"), F.array().cast("array<string>")
+    directions = F.when(F.col("p_size") % 7 == 0, F.array(F.lit("meaning"))).otherwise(none)
+    contexts = p.select(F.col("p_partkey").alias("card_id"), F.lit(0).alias("place"), F.col("w").alias("target"), F.col("p_name").alias("sentence"), F.when(F.col("p_size") % 5 == 0, long_).otherwise(F.col("p_type")).alias("replacement"), F.lit("user & co").alias("source"), directions.alias("directions"), F.array("p_brand").alias("valid"), F.array("p_type", F.upper("p_brand")).alias("related"))
+    return c, contexts
+
+
+@query(f"{_SIDES} SELECT * FROM sides")
+def pip10_semantic_cards(spark, d):
+    return N.semantic_cards(*_semantic(spark, d))
+
+
+@query(f"{_SIDES} SELECT p_partkey AS card_id, CASE WHEN p_size % 2 = 0 THEN TIMESTAMP '2024-01-01' WHEN p_size % 7 <> 0 THEN TIMESTAMP '1999-01-01' END AS exported_at, coalesce(n, 0) AS written FROM part LEFT JOIN (SELECT card_id, count(*) AS n FROM sides GROUP BY card_id) s ON s.card_id = p_partkey AND p_size % 2 <> 0")
+def pip18_export(spark, d):
+    """The pending ones are written as CSV, read again, and marked."""
+    from lexmine.sources import files
+
+    c, contexts = _semantic(spark, d)
+    to = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    marked = N.export_pending(c, contexts, "exported_at", F.lit("1999-01-01 00:00:00").cast("timestamp"), to)
+    read = files.read_cards_csv(spark, [to], ["Front", "Back", "Tags"]).groupBy(F.regexp_extract("Tags", "site::(\\d+)", 1).cast("long").alias("card_id")).agg(F.count("*").alias("written"))
+    return marked.join(read, "card_id", "left").select("card_id", F.col("exported_at").cast("timestamp_ntz").alias("exported_at"), F.coalesce("written", F.lit(0)).alias("written"))

@@ -28,6 +28,8 @@ capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, targ
 placed AS (SELECT doc_id, sent_id, start, surface, target, {_TEXT} AS sentence, {_PLACE} AS p FROM t_f),
 seen AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target, replace(lower(sentence), 'ß', 'ss') ORDER BY sent_id, start) AS k FROM placed)"""
 
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
 
 def _sents(spark, d):
     return X.sentences(corpus(spark, d))
@@ -132,13 +134,13 @@ def fun7_trim_window(spark, d):
 
 
 @query(
-    """, f AS (SELECT doc_id, sent_id, sentence, lower(regexp_extract(sentence, '[A-Za-z]{6,}')) AS target FROM sentences WHERE regexp_matches(sentence, '[A-Za-z]{6,}') AND NOT regexp_matches(sentence, '[<>"]')), g AS (SELECT *, strpos(lower(sentence), target) AS p FROM f)
-SELECT doc_id, sent_id, target, replace(replace(substring(sentence, 1, p - 1), '&', '&amp;'), chr(39), '&#x27;') || '<b>' || substring(sentence, p, length(target)) || '</b>' || replace(replace(substring(sentence, p + length(target)), '&', '&amp;'), chr(39), '&#x27;') AS html FROM g""",
+    f""", f AS (SELECT doc_id, sent_id, sentence, lower(regexp_extract(sentence, '[A-Za-z]{{6,}}')) AS target FROM sentences WHERE regexp_matches(sentence, '[A-Za-z]{{6,}}')), g AS (SELECT *, strpos(lower(sentence), target) AS p FROM f)
+SELECT doc_id, sent_id, target, {_ESC.format("substring(sentence, 1, p - 1)")} || '<b>' || substring(sentence, p, length(target)) || '</b>' || {_ESC.format("substring(sentence, p + length(target))")} AS html FROM g""",
     "corpus", "sentences",
 )
 def fun8_emphasize(spark, d):
     """The first long word of each sentence is its target."""
-    s = _sents(spark, d).where(~F.col("sentence").rlike('[<>"]')).withColumn("target", F.lower(F.regexp_extract("sentence", "[A-Za-z]{6,}", 0))).where("target <> ''")
+    s = _sents(spark, d).withColumn("target", F.lower(F.regexp_extract("sentence", "[A-Za-z]{6,}", 0))).where("target <> ''")
     return s.select("doc_id", "sent_id", "target", T.emphasize(F.col("sentence"), F.col("target")).alias("html"))
 
 

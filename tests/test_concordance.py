@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 import re
 
+from lexmine.functions.fuzzy import weighted_ratio
+from lexmine.functions.porter import stem
+from lexmine.functions.text import STOPWORDS
 from lexmine.operators import concordance as C
 from lexmine.operators import contexts as M
 from lexmine.operators import text as X
@@ -87,3 +90,61 @@ def test_one_pass_equals_a_search_for_each_target(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert len(want) > 1000
     assert C.pattern_matches(docs, wanted.limit(0)).collect() == []
+
+
+def test_variants_equal_a_plain_walk(spark):
+    """Porter stems and the weighted ratio over whole sentences, one word after the other."""
+    rng = random.Random(4)
+    words = "train trains training trainer trained traine trend robust robustly robustness roboust model models modelling modeled trail trails behind behinds be of general generally generalize generalise generic".split()
+    texts = [" ".join(rng.choice(words).capitalize() + rng.choice(["", "", ",", "-"]) for _ in range(rng.randint(1, 14))) + "." for _ in range(80)] + ["", None, "They trail behind, it trails  behinds. Trails, behind; trail-behind."]
+    targets = ["train", "robust", "model", "trail behind", "general", "ab"]
+    _, sents, wanted = tables(spark, texts, targets)
+    want = set()
+    for r in sents.collect():
+        found = [(m.start(), m.end(), m.group().lower()) for m in re.finditer("[A-Za-z]+", r["sentence"])]
+        for t in targets:
+            parts = t.split()
+            for k in range(len(found)):
+                run = found[k : k + len(parts)]
+                if len(run) < len(parts) or any(len(w) < 3 for *_, w in run) or any(len(p) < 3 for p in parts):
+                    continue
+                joined = all(r["sentence"][a[1] : b[0]].isspace() for a, b in zip(run, run[1:], strict=False))
+                same = joined and all(stem(w) == stem(p) for (*_, w), p in zip(run, parts, strict=True))
+                w = run[0][2]
+                near = len(parts) == 1 and len(w) >= 4 and w != t and w[:4] == t[:4] and abs(len(w) - len(t)) <= 4 and not same and weighted_ratio(t, w) >= 78
+                if same or near:
+                    want.add((r["doc_id"], r["sent_id"], run[0][0], run[-1][1], t, int(near)))
+    got = C.variant_matches(sents, wanted).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {k for *_, k in want} == {0, 1} and any(t == "trail behind" for *_, t, _ in want)
+
+
+def test_refresh_equals_its_parts_done_plainly(spark):
+    """One round over random documents: literal and variant contexts, scores, caps and approval, walked target by target."""
+    rng = random.Random(12)
+    common = "system model strong paper result method value other large small".split()
+    forms = ["train", "trains", "training", "robust", "robustly"]
+    texts = [" ".join(" ".join(rng.choices(common, k=9)).capitalize() + f" {rng.choice(forms)} " + " ".join(rng.choices(common, k=5)) + "." for _ in range(rng.randint(1, 9))) for _ in range(25)]
+    docs, sents, wanted = tables(spark, texts, ["train", "robust"])
+    anchors = spark.createDataFrame([("train", "A strong system with large value."), ("robust", "Other small paper result.")], "target string, anchor string")
+    none = spark.createDataFrame([], "target string, id string, sentence string")
+    approved = {d for d in range(25) if d % 3}
+    both = {}
+    for found in (C.concordance(docs, sents, wanted), C.variant_concordance(sents, wanted)):
+        for r in found.collect():
+            both.setdefault((r["target"], r["id"]), r)
+    words = lambda s, t: {w for w in re.findall("[a-z]+", s.lower()) if len(w) >= 3 and w not in STOPWORDS and w != t}
+    want = set()
+    for t, anchor in (("train", "A strong system with large value."), ("robust", "Other small paper result.")):
+        rows = sorted((r for (u, _), r in both.items() if u == t), key=lambda r: (r["doc_id"], r["sent_id"], r["place"]))
+        first = [r for k, r in enumerate(rows) if sum(x["doc_id"] == r["doc_id"] for x in rows[:k]) < 6]
+        scored = [(len(words(anchor, t) & words(r["sentence"], t)), r) for r in first if len(r["sentence"]) >= 45]
+        best = sorted((x for x in scored if x[0] >= 2), key=lambda x: (-x[0], x[1]["doc_id"], x[1]["sent_id"], x[1]["place"]))[:14]
+        per = {}
+        for _, r in best:
+            if r["doc_id"] in approved and per.get(r["doc_id"], 0) < 2 and sum(per.values()) < 4:
+                per[r["doc_id"]] = per.get(r["doc_id"], 0) + 1
+                want.add((t, r["id"]))
+    ok = spark.createDataFrame([(d,) for d in approved], "doc_id long")
+    got = {(r["target"], r["id"]) for r in M.refresh(sents, wanted, anchors, none, ok).collect()}
+    assert got == want and want

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from lexmine.operators import notes as N
+from lexmine.operators.graph import components
 
 
 def test_merge_is_idempotent_and_skips_repeats(spark):
@@ -128,3 +130,34 @@ def test_distractor_hint_drops_overlap(spark):
     df = spark.createDataFrame([(["Hut"], ["hut", "shed <x>"]), ([], [])], "v array<string>, r array<string>")
     got = [r[0] for r in df.select(N.distractor_hint(F.col("v"), F.col("r"))).collect()]
     assert got == ["<br><small>Подходит, но не целевой ответ: Hut<br>Близко по смыслу: shed &lt;x&gt;</small>", ""]
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(3000)] + [(5000, k) for k in range(5001, 5400)] + [(7, 7), (9000, 9000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: find(x) for x in list(root)} and len(got) == len(root)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_long_chain_of_rows_is_decided_in_few_rounds(spark):
+    """10,000 rows that each share an identity with the next: every second one is inserted, walked in one place or in rounds."""
+    chain = [(k, f"i{k}") for k in range(10_000)] + [(k, f"i{k + 1}") for k in range(10_000)] + [(20_000, "alone")]
+    start = time.time()
+    got = N._inserted(spark.createDataFrame(chain, "row_id long, identity string"), N.WALKED)
+    assert sorted(r[0] for r in got.collect()) == [*range(0, 10_000, 2), 20_000]
+    assert time.time() - start < 120
+    short = [(k, i) for k, i in chain if k < 12 or k == 20_000]
+    rounds = N._inserted(spark.createDataFrame(short, "row_id long, identity string"), 3)
+    assert sorted(r[0] for r in rounds.collect()) == [*range(0, 12, 2), 20_000]
