@@ -59,7 +59,7 @@ def enrich(targets: DataFrame, cache: DataFrame, infer: Callable[[Iterator[pd.Da
     fine = (lambda v, t: F.lit(True)) if good is None else good
     keyed = targets.withColumn("key", cache_key(F.col("target"), F.col("sentence")))
     asked = keyed.select("key", "target", "sentence").dropDuplicates(["key"])
-    known = asked.select("key", "target").join(latest_cache(cache), "key").where(F.coalesce(fine(F.col("value"), F.col("target")), F.lit(False))).select("key", "value")
+    known = checkpoint(asked.select("key", "target").join(latest_cache(cache), "key").where(F.coalesce(fine(F.col("value"), F.col("target")), F.lit(False))).select("key", "value"))
     made = checkpoint(asked.join(known, "key", "left_anti").mapInPandas(infer, "key string, value string"))
     new = made.join(asked.select("key", "target"), "key").where(F.coalesce(fine(F.col("value"), F.col("target")), F.lit(False))).select("key", "value")
     return keyed.join(known.unionByName(new), "key", "left"), new

@@ -198,7 +198,7 @@ def reconcile(cards: DataFrame, notes: DataFrame, links: DataFrame) -> DataFrame
             rank = lambda df, by: df.withColumn("k", F.row_number().over(W.partitionBy("front", "direction").orderBy(by)))
             pairs = rank(left, "card_id").join(rank(free.select("front", F.col("dir").alias("direction"), "note_id"), "note_id"), ["front", "direction", "k"])
         one = first_by(first_by(pairs.select("card_id", "direction", "note_id"), ["card_id", "direction"], ["note_id"]), ["note_id"], ["card_id", "direction"])
-        one = one.withColumn("stage", F.lit(stage))
+        one = checkpoint(one.withColumn("stage", F.lit(stage)))
         found = one if found is None else found.unionByName(one)
     return wanted.select("card_id", "direction").join(found, ["card_id", "direction"], "left")
 

@@ -263,7 +263,17 @@ def agg18_preview_counts(spark, d):
     return joi21_reconcile_stages(spark, d).agg(F.count_if(F.col("note_id").isNotNull()).alias("existing"), F.count_if(F.col("note_id").isNull()).alias("missing"))
 
 
-@query(None)
+@query(
+    f""", {_LINKED}, wanted AS (SELECT card_id, direction, target AS front FROM cards CROSS JOIN (VALUES ('meaning'), ('recall')) d(direction)),
+s0 AS (SELECT card_id, direction, note_id FROM wanted JOIN links USING (card_id, direction)),
+s1 AS (SELECT card_id, direction, min(note_id) AS note_id FROM notes JOIN wanted USING (card_id, direction) WHERE deck_id < 3 AND (card_id, direction) NOT IN (SELECT (card_id, direction) FROM s0) GROUP BY card_id, direction),
+used AS (SELECT *, 0 AS stage FROM s0 UNION ALL SELECT *, 1 FROM s1),
+open_cards AS (SELECT card_id, direction, front, row_number() OVER (PARTITION BY front, direction ORDER BY card_id) AS k FROM wanted WHERE (card_id, direction) NOT IN (SELECT (card_id, direction) FROM used)),
+open_notes AS (SELECT note_id, direction, front, row_number() OVER (PARTITION BY front, direction ORDER BY note_id) AS k FROM (SELECT note_id, direction, ['urgent', 'high', 'medium', 'notspecified', 'low'][due % 5 + 1] AS front FROM notes WHERE note_id NOT IN (SELECT note_id FROM used))),
+every AS (SELECT * FROM used UNION ALL SELECT card_id, direction, note_id, 2 FROM open_cards JOIN open_notes USING (front, direction, k))
+SELECT card_id, direction, note_id, stage FROM wanted LEFT JOIN every USING (card_id, direction)""",
+    "cards", "notes",
+)
 def pip13_reconcile(spark, d):
     """All three stages: fronts by target, which several cards share."""
     links = notes(spark, d).where("deck_id = 1").groupBy("card_id", "direction").agg(F.min("note_id").alias("note_id"))
