@@ -245,6 +245,15 @@ def emphasize(sentence: Column, target: Column, replacement: Column | None = Non
     return F.when(at > 0, F.concat(escape_html(F.substr(sentence, F.lit(1), at - 1)), F.lit("<b>"), escape_html(inner), F.lit("</b>"), escape_html(F.substr(sentence, at + F.length(target))))).otherwise(escape_html(sentence))
 
 
+def nearest_occurrence(text: Column, target: Column, hint: Column) -> Column:
+    """WIN19. Where target begins in text nearest to hint (from 1; the earlier of two as near); null if it doesn't occur. One search forward and one backward from the hint."""
+    size, width, at = F.length(text), F.length(target), F.greatest(hint.cast("int"), F.lit(1))
+    after = F.position(target, text, at)
+    back = F.position(F.reverse(target), F.reverse(text), F.greatest(F.lit(1), size - width + 3 - at))
+    before = F.when(back > 0, size - back - width + 2)
+    return F.when(after == 0, before).when(before.isNull() | (after - at < at - before), after).otherwise(before)
+
+
 def safe_tag(c: Column) -> Column:
     """A tag without white space and odd characters; "article" if nothing is left."""
     v = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_:-]+", "_"), "^_+|_+$", "")

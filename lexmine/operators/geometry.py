@@ -45,20 +45,25 @@ def _bands(top: Column, bottom: Column) -> Column:
     return F.explode(F.sequence(F.floor(top / BAND).cast("int"), F.floor(bottom / BAND).cast("int")))
 
 
-def overlapping(first: DataFrame, second: DataFrame, keys: list[str], least: float = 0.6) -> DataFrame:
-    """JOI9. (id, other) of highlights (id, *keys, x1, y1, x2, y2, a row for each rectangle) whose shared area is least of the smaller one's or more.
+def shared_areas(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """FUN27. (id, other, shared) of each pair of rectangles (id, *keys, x1, y1, x2, y2) of different highlights that share an area.
 
-    An equi join on keys and a band of the page; a pair of rectangles is counted in the band where both
-    have begun, so no distinct is needed. Shared areas are then added by pair of highlights.
+    An equi join on keys and a band of the page; a pair is counted in the band where both have begun, so no
+    distinct is needed.
     """
-    size = lambda df, n: df.withColumn("_a", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).groupBy("id").agg(F.sum("_a").alias(n))
     deal = lambda df: df.withColumn("band", _bands(F.col("y1"), F.col("y2")))
     a, b = deal(first).alias("a"), deal(second).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "band"]]
     begun = F.col("a.band") == F.greatest(F.floor(F.col("a.y1") / BAND), F.floor(F.col("b.y1") / BAND))
     box = lambda s: {k: F.col(f"{s}.{k}") for k in ("x1", "y1", "x2", "y2")}
     shared = intersection(box("a"), box("b"))
-    pairs = a.join(b, on).where(begun & (F.col("a.id") != F.col("b.id")) & (shared > 0)).groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other")).agg(F.sum(shared).alias("shared"))
+    return a.join(b, on).where(begun & (F.col("a.id") != F.col("b.id")) & (shared > 0)).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), shared.alias("shared"))
+
+
+def overlapping(first: DataFrame, second: DataFrame, keys: list[str], least: float = 0.6) -> DataFrame:
+    """JOI9. (id, other) of highlights (id, *keys, x1, y1, x2, y2, a row for each rectangle) whose shared area, added over their rectangles, is least of the smaller one's or more."""
+    size = lambda df, n: df.withColumn("_a", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).groupBy("id").agg(F.sum("_a").alias(n))
+    pairs = shared_areas(first, second, keys).groupBy("id", "other").agg(F.sum("shared").alias("shared"))
     sized = pairs.join(size(first, "s1"), "id").join(size(second, "s2").withColumnRenamed("id", "other"), "other")
     return sized.where(F.col("shared") / F.least("s1", "s2") >= least).select("id", "other")
 

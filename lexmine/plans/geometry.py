@@ -74,10 +74,7 @@ def fun28_quad_box(spark, d):
 
 @query(f"SELECT a.highlight_id AS id, b.highlight_id AS other, {_PAIR} AS shared FROM rects a JOIN rects b ON a.document_id = b.document_id AND a.page = b.page AND a.target = b.target AND a.source = 'reader' AND b.source <> 'reader' WHERE {_PAIR} > 0", "rects")
 def fun27_intersections(spark, d):
-    a, b = rects(spark, d).where("source = 'reader'").alias("a"), rects(spark, d).where("source <> 'reader'").alias("b")
-    both = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("document_id", "page", "target")])
-    shared = G.intersection(*[{k: F.col(f"{s}.{k}") for k in ("x1", "y1", "x2", "y2")} for s in "ab"])
-    return both.select(F.col("a.highlight_id").alias("id"), F.col("b.highlight_id").alias("other"), shared.alias("shared")).where("shared > 0")
+    return G.shared_areas(_highlights(spark, d, "reader"), rects(spark, d).where("source <> 'reader'").withColumnRenamed("highlight_id", "id"), ["document_id", "page", "target"])
 
 
 def _highlights(spark, d, source):
@@ -181,8 +178,5 @@ def win6_sentence_ids(spark, d):
     "corpus",
 )
 def win19_nearest_occurrence(spark, d):
-    h = corpus(spark, d).where(F.col("text").contains("th")).select("doc_id", F.floor(F.length("text") / 3).alias("hint"), F.split("text", "th").alias("s"))
-    p = h.select("doc_id", "hint", F.posexplode("s").alias("i", "part"))
-    w = W.partitionBy("doc_id").orderBy("i")
-    found = p.withColumn("p", F.sum(F.length("part") + 2).over(w) - 1).withColumn("last", F.lead("i").over(w).isNull()).where("NOT last")
-    return found.groupBy("doc_id").agg(F.min_by("p", F.abs(F.col("p") - F.col("hint")) * 1000000 + F.col("p")).alias("nearest"))
+    near = T.nearest_occurrence(F.col("text"), F.lit("th"), F.floor(F.length("text") / 3))
+    return corpus(spark, d).select("doc_id", near.cast("long").alias("nearest")).where("nearest IS NOT NULL")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 import unicodedata
 
@@ -158,3 +159,69 @@ def test_entities_from_the_full_table(spark):
     texts = ["&eacute;&#x3c;", "&amp;lt;", "&lt;b&gt;", "AT&T &notin; x", "&copy 2024", None, "", "&amp;amp;"]
     got = {r["id"]: r["t"] for r in X.unescape_texts(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t").collect()}
     assert got == {k: None if t is None else html.unescape(t) for k, t in enumerate(texts)}
+
+
+def test_nearest_occurrence(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choices("abc", k=rng.randint(0, 12))), rng.choice(["a", "ab", "abc"]), rng.randint(0, 14)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "t string, w string, h int")
+    for r in df.select("*", T.nearest_occurrence(F.col("t"), F.col("w"), F.col("h")).alias("n")).collect():
+        at = max(1, r["h"])
+        places = [k + 1 for k in range(len(r["t"])) if r["t"].startswith(r["w"], k)]
+        assert r["n"] == min(places, key=lambda p: (abs(p - at), p), default=None), r
+
+
+#: Words of the published description of the algorithm with their stems.
+PUBLISHED = """caresses caress ponies poni caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop
+tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit
+conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope
+callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good
+revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt
+homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
+
+
+@pytest.mark.parametrize(("word", "want"), list(zip(PUBLISHED[::2], PUBLISHED[1::2], strict=True)))
+def test_published_stems(word, want):
+    assert stem(word) == want
+
+
+def plain_ratio(a: str, b: str) -> float:
+    """Twice the longest common subsequence, by a table, over both lengths."""
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    return 200 * rows[-1][-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def plain_weighted(a: str, b: str) -> float:
+    """The weighted ratio put together from its definition."""
+    if not a or not b:
+        return 0.0
+    ordered = lambda words: " ".join(sorted(words))
+
+    def partial(x, y):
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if not x:
+            return 0.0 if y else 100.0
+        return max(plain_ratio(x, y[max(0, k) : k + len(x)]) for k in range(1 - len(x), len(y)))
+
+    x, y = set(a.split()), set(b.split())
+    both, left, right = ordered(x & y), ordered(x - y), ordered(y - x)
+    token = plain_ratio(ordered(a.split()), ordered(b.split()))
+    if both:
+        token = 100.0 if not left or not right else max(token, plain_ratio(both, f"{both} {left}"), plain_ratio(both, f"{both} {right}"), plain_ratio(f"{both} {left}", f"{both} {right}"))
+    times = max(len(a), len(b)) / min(len(a), len(b))
+    if times < 1.5:
+        return max(plain_ratio(a, b), 0.95 * token)
+    scale = 0.9 if times <= 8 else 0.6
+    part = 100.0 if both else max(partial(ordered(a.split()), ordered(b.split())), partial(left, right))
+    return max(plain_ratio(a, b), scale * partial(a, b), scale * 0.95 * part)
+
+
+def test_weighted_ratio_equals_its_definition():
+    rng = random.Random(1)
+    words = ["train", "training", "a", "robust", "model", "ñandú", "models", "of", "xyz"]
+    for _ in range(600):
+        a, b = (" ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in range(2))
+        assert weighted_ratio(a, b) == pytest.approx(plain_weighted(a, b)), (a, b)
