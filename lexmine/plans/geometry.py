@@ -47,13 +47,15 @@ def fil7_selected_words(spark, d):
     return _boxes(spark, d).select("doc_id", "word_id", G.selected(F.col("word"), F.col("y2") - F.col("y1"), k * 7 % 100 / 100.0, k * 3 % 40 / 100.0, k * 11 % 90 / 100.0).alias("selected"))
 
 
-@query("SELECT highlight_id, x2 > x1 AND y2 > y1 AND abs(x1) <= 100000 AND abs(x2) <= 100000 AS ok FROM (SELECT highlight_id, CASE WHEN highlight_id % 11 = 0 THEN x1 * 1000 ELSE x1 END AS x1, y1, CASE WHEN highlight_id % 7 = 0 THEN x1 WHEN highlight_id % 11 = 0 THEN x1 * 1000 + 1 ELSE x2 END AS x2, y2 FROM rects)", "rects")
+@query("SELECT highlight_id, x2 > x1 AND y2 > y1 AND abs(x1) <= 100000 AND abs(x2) <= 100000 AND highlight_id % 13 <> 0 AND highlight_id % 17 <> 0 AS ok FROM (SELECT highlight_id, CASE WHEN highlight_id % 11 = 0 THEN x1 * 1000 ELSE x1 END AS x1, y1, CASE WHEN highlight_id % 7 = 0 THEN x1 WHEN highlight_id % 11 = 0 THEN x1 * 1000 + 1 ELSE x2 END AS x2, y2 FROM rects)", "rects")
 def fil8_valid_rects(spark, d):
-    """Every seventh rectangle is made empty, every eleventh moved far to the right."""
+    """Every seventh rectangle is made empty, every eleventh moved far to the right; every 13th highlight has 17 of them, every 17th one without a number, every 19th 16."""
     far = F.col("highlight_id") % 11 == 0
     x2 = F.when(F.col("highlight_id") % 7 == 0, F.col("x1")).when(far, F.col("x1") * 1000 + 1).otherwise(F.col("x2"))
     x1 = F.when(far, F.col("x1") * 1000).otherwise(F.col("x1"))
-    return rects(spark, d).select("highlight_id", G.valid_rects(F.array(F.struct(x1.alias("x1"), "y1", x2.alias("x2"), "y2"))).alias("ok"))
+    x1 = F.when(F.col("highlight_id") % 17 == 0, float("nan")).otherwise(x1)
+    times = F.when(F.col("highlight_id") % 13 == 0, 17).when(F.col("highlight_id") % 19 == 0, 16).otherwise(1)
+    return rects(spark, d).select("highlight_id", G.valid_rects(F.array_repeat(F.struct(x1.alias("x1"), "y1", x2.alias("x2"), "y2"), times)).alias("ok"))
 
 
 @query("SELECT highlight_id, document_id, page, target, source, x1 || ',' || y1 || ',' || x2 || ',' || y2 AS rect FROM rects", "rects")

@@ -186,3 +186,9 @@ def str1_tables(spark, d):
     J.write_tables(docs, to, J.mined_tables(targets))
     tables = [J.read_table(spark, to, name).select(F.lit(name).alias("name"), "doc_id") for name in ("sentences", "highlights", "cards")]
     return functools.reduce(lambda a, b: a.unionByName(b), tables).groupBy("name", "doc_id").agg(F.count("*").alias("n"))
+
+
+@query("WITH mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS w FROM events WHERE event_type = 'error') SELECT user_id, date_trunc('day', ts) AS start, count(*) AS failures, count(*) >= 4 AS limited FROM events, mark WHERE event_type = 'error' AND date_trunc('day', ts) + INTERVAL 1 DAY <= w GROUP BY 1, 2")
+def str3_rate_append(spark, d):
+    """Days that are over."""
+    return _plain(J.run_available(J.rate(_stream(spark, d, "events"), "1 day", most=4)))

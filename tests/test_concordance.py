@@ -148,3 +148,19 @@ def test_refresh_equals_its_parts_done_plainly(spark):
     ok = spark.createDataFrame([(d,) for d in approved], "doc_id long")
     got = {(r["target"], r["id"]) for r in M.refresh(sents, wanted, anchors, none, ok).collect()}
     assert got == want and want
+
+
+def test_longest_first_equals_the_greedy_walk(spark):
+    rng = random.Random(7)
+    rows = {(rng.randrange(6), rng.randrange(3), s := rng.randrange(40), s + rng.randint(1, 9), rng.choice(["a", "b", "c d"])) for _ in range(900)}
+    want = set()
+    for d in range(6):
+        counts, taken = {}, []
+        for r in sorted((r for r in rows if r[0] == d), key=lambda r: (r[1], r[2], -r[3], r[4])):
+            if counts.get(r[4], 0) < 5 and not any(t[1] == r[1] and t[2] < r[3] and r[2] < t[3] for t in taken):
+                counts[r[4]] = counts.get(r[4], 0) + 1
+                taken.append(r)
+        want |= set(taken)
+    df = spark.createDataFrame(list(rows), "doc_id long, sent_id int, start long, end long, target string")
+    got = C.longest_first(df.repartition(5), 5).select("doc_id", "sent_id", "start", "end", "target").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len(want) < len(rows) / 4
