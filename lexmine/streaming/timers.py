@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexmine.functions.status import BACKOFF, GONE_S, MOST_ATTEMPTS, STALE_S
-from lexmine.streaming.jobs import LATE
+from lexmine.streaming.jobs import FORGET, LATE
 
 #: What a machine does: with its own state and an event (time in ms, id, kind), or with its state and the time its timer fires. It returns the rows it emits.
 Machine = Callable[[dict, int, int | None, str | None], list[tuple]]
@@ -23,37 +23,39 @@ def in_order(events: DataFrame, key: str, machine: Machine, row: str, late: str
     Events wait in the state until the watermark is past them and are then taken by time and id, so the order in
     which they come doesn't matter; those behind the watermark are too late and left out. Machines keep their
     timer, in ms, under "timer"; it fires before any later event, and after one of the same instant. The state
-    of a key holds its events of the last `late` (and of a batch), and goes when nothing is waiting.
+    of a key holds its events of the last `late` (and of a batch), and goes when nothing is waiting, or 90 days later
+    if the machine remembers something.
     """
     names = [c.split()[0] for c in row.split(", ")]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
-        held = json.loads(state.get[0]) if state.exists else {"past": 0, "waiting": [], "own": {}}
+        held = json.loads(state.get[0]) if state.exists else {"waiting": [], "own": {}}
         own, out = held["own"], []
         if not state.hasTimedOut:
             for part in batches:
                 ms = part["ts"].astype("datetime64[us]").astype("int64") // 1000
-                held["waiting"] += [list(e) for e in zip(ms.tolist(), part["event_id"].tolist(), part["event_type"].tolist(), strict=True) if e[0] >= held["past"]]
+                held["waiting"] += [list(e) for e in zip(ms.tolist(), part["event_id"].tolist(), part["event_type"].tolist(), strict=True) if e[0] >= now]
         waiting = sorted(held["waiting"])
-        done = 0
+        done, fired = 0, False
         while True:
             event = waiting[done] if done < len(waiting) and waiting[done][0] < now else None
             timer = own.get("timer")
             if timer is not None and timer < now and (event is None or timer < event[0]):
-                own["timer"] = None
+                own["timer"], fired = None, True
                 out += machine(own, timer, None, None)
             elif event is not None:
                 done += 1
                 out += machine(own, *event)
             else:
                 break
-        held |= {"past": max(held["past"], now), "waiting": waiting[done:]}
+        held["waiting"] = waiting[done:]
         nexts = [waiting[done][0]] if done < len(waiting) else []
         nexts += [own["timer"]] if own.get("timer") is not None else []
-        if nexts or any(v for v in own.values()):
+        idle = state.hasTimedOut and not (done or fired)  # nothing for so long
+        if nexts or (any(own.values()) and not idle):
             state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(min(nexts), now + 1) if nexts else now + 90 * 86_400_000)
+            state.setTimeoutTimestamp(max(min(nexts), now + 1) if nexts else now + FORGET * 1000)
         elif state.exists:
             state.remove()
         yield pd.DataFrame([(k[0], *r) for r in out], columns=names)

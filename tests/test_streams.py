@@ -149,3 +149,13 @@ def test_sessions_are_appended_when_they_are_over(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         out = J.run_available(J.assemble_sessions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), to=f"{tmp_path}/out")
     assert sorted((r["conv_id"], r["role"], r["text"], r["chunks"]) for r in out.collect()) == [(1, "a", "abc", 3), (1, "a", "next", 1), (1, "b", "x", 1)]
+
+
+def test_a_key_without_events_is_forgotten_and_late_rows_stay_out(spark, tmp_path):
+    at = lambda d, m=0: START + timedelta(days=d, minutes=m)
+    parts = [[(1, at(0), 1, "view")], [(2, at(50), 2, "view")], [(2, at(200), 3, "view")], [(1, at(199), 4, "view")], [(1, at(201), 5, "view")], [(2, at(300), 6, "view")]]
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = J.run_available(T.silence(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "user_id"), to=f"{tmp_path}/out")
+    got = sorted((r["at"], r["state"]) for r in out.where("user_id = 1").collect())
+    assert got == [(at(0, 1.5), "gone"), (at(201, 1.5), "gone")]  # forgotten after 90 days, so no "back"; the row of day 199 came behind the watermark
