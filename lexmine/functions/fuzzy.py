@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -69,6 +70,10 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
+#: Ratios that a worker remembers: users share many texts.
+_remembered = functools.lru_cache(maxsize=1 << 16)(weighted_ratio)
+
+
 def _counts(text: str) -> np.ndarray:
     """How often each of 32 classes of letters occurs; classes of several letters only raise what two texts may share."""
     return np.minimum(np.bincount(np.frombuffer(text.encode("utf-32-le"), "<u4") % 32, minlength=32), 255).astype(np.uint8)
@@ -136,7 +141,7 @@ class Leaders:
             if len(found) == limit and bound[k] < found[0][0]:
                 break
             self.scored += 1
-            score = weighted_ratio(text, self.texts[k])
+            score = _remembered(text, self.texts[k])
             if score >= cutoff:
                 (heapq.heappushpop if len(found) == limit else heapq.heappush)(found, (score, -k))
         return [(score, -k) for score, k in sorted(found, key=lambda f: (-f[0], -f[1]))]

@@ -124,7 +124,11 @@ def weighted_top(highlights: DataFrame, leaders: DataFrame, cutoff: float = 45.0
 
     (h, h_blocks), (c, c_blocks) = dealt(highlights, "text", texts, "h"), dealt(leaders, "leader", most, "c")
     h = h.join(c_blocks, "user_id").select("user_id", "text", "h", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("c"))
-    c = c.join(h_blocks, "user_id").select("user_id", "text", "id", "c", F.explode(F.sequence(F.lit(0), F.col("h_blocks") - 1)).alias("h"))
+    c = c.join(h_blocks, "user_id").select(F.col("user_id").alias("owner"), "text", "id", F.col("c").alias("of"), F.explode(F.sequence(F.lit(0), F.col("h_blocks") - 1)).alias("to"))
+
+    # scoring costs far more than its bytes tell, so blocks are dealt over all partitions, which adaptive plans would merge
+    n = int(highlights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h, c = h.repartition(n, "user_id", "h", "c"), c.repartition(n, "owner", "to", "of")  # names of their own, as both may come from one table
 
     def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         index = Leaders()
@@ -135,7 +139,7 @@ def weighted_top(highlights: DataFrame, leaders: DataFrame, cutoff: float = 45.0
         out = [(user, text, ids[k], index.texts[k], score) for user, text in zip(asked["user_id"], asked["text"], strict=True) for score, k in index.best(text, cutoff, limit)]
         return pd.DataFrame(out, columns=["user_id", "text", "cluster_id", "leader", "score"])
 
-    pairs = h.groupBy("user_id", "h", "c").cogroup(c.groupBy("user_id", "h", "c")).applyInPandas(meet, f"user_id {user_kind}, text string, cluster_id {id_kind}, leader string, score double")
+    pairs = h.groupBy("user_id", "h", "c").cogroup(c.groupBy("owner", "to", "of")).applyInPandas(meet, f"user_id {user_kind}, text string, cluster_id {id_kind}, leader string, score double")
     # a leader's smallest cluster stands for all that have it: back to each of them, and again the best ones of a text
     every = pairs.drop("cluster_id").join(leaders.select("user_id", "leader", "cluster_id"), ["user_id", "leader"])
     w = W.partitionBy("user_id", "text").orderBy(F.desc("score"), "cluster_id")
