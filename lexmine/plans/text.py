@@ -157,8 +157,7 @@ whole AS (SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY page_no) FILTER (t
 
 
 @query(
-    _DOCS + ROLES["sentences"].replace("FROM corpus", "FROM whole") + r""", raw AS (SELECT doc_id, unnest(string_split(s, chr(57345))) AS part, generate_subscripts(string_split(s, chr(57345)), 1) AS k FROM marked),
-placed AS (SELECT doc_id, k, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) - length(part) AS off_ FROM raw),
+    _DOCS + ROLES["sentences"].replace("FROM corpus", "FROM whole") + r""", placed AS (SELECT doc_id, n AS k, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY n) - length(part) AS off_ FROM parts),
 spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS sent_id, off_ + length(part) - length(ltrim(part)) AS s, off_ + length(rtrim(part)) AS e FROM placed WHERE trim(part) <> ''),
 said AS (SELECT spans.doc_id, sent_id, page, CAST(CASE WHEN hard THEN greatest(s, b - length(t)) ELSE s END AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM spans JOIN run ON spans.doc_id = run.doc_id AND t <> '' AND b - length(t) < e AND b > s),
 cut AS (SELECT said.*, text, length(regexp_extract(substring(text, s + 1, e - s), '^[a-z]\.,\s+')) AS dangling FROM said JOIN whole USING (doc_id))
