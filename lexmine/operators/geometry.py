@@ -159,32 +159,40 @@ def extract_highlights(words: DataFrame, regions: DataFrame, top: float, bottom:
     marks. occurrence counts a target's earlier ones on its page (WIN1). The sentence goes from the last sentence
     end or paragraph break before the phrase to the next one after it (WIN4, WIN6). rects has a box a line (AGG9).
 
-    Words and a page's regions meet by document and page, and all windows up to the boxes keep that partitioning, so
-    words are shuffled once; sentences are then counted along the document.
+    Regions are dealt with the words, by document, and all windows and groupings up to the boxes keep that partitioning,
+    so nothing is shuffled as a word but once, and once more (without boxes) for the sentences, which then travel as a row each.
     """
     inside = words.where((F.col("y1") >= top) & (F.col("y2") <= bottom) & (F.trim("word") != ""))
-    by_page = regions.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_regions"))
-    met = inside.join(by_page, ["doc_id", "page"], "left")
+    height = F.col("y2") - F.col("y1")
+    brushed = F.coalesce(selected(F.col("word"), height, F.col("coverage"), F.col("spill"), F.lit(0.0)), F.lit(False))
+    inside = inside.select("doc_id", "page", "word_id", "word", "x1", "y1", "x2", "y2", brushed.alias("_brushed"), T.is_sentence_end(F.col("word")).alias("_ends"))
+    dealt = inside.unionByName(regions.select("doc_id", "page", "x1", "y1", "x2", "y2"), allowMissingColumns=True).repartition("doc_id")
     box = F.struct("x1", "y1", "x2", "y2")
+    met = dealt.withColumn("_regions", F.collect_list(F.when(F.col("word").isNull(), box)).over(W.partitionBy("doc_id", "page"))).where("word IS NOT NULL")
     overlap = F.coalesce(F.array_max(F.transform("_regions", lambda r: F.when(area(box) > 0, intersection(box, r) / area(box)).otherwise(0.0))), F.lit(0.0))
-    chosen = paragraph_breaks(met.withColumn("selected", selected(F.col("word"), F.col("y2") - F.col("y1"), F.col("coverage"), F.col("spill"), overlap)).drop("_regions"))
+    over = selected(F.col("word"), height, F.lit(0.0), F.lit(1.0), overlap)
+
+    def counted(placed: DataFrame) -> DataFrame:
+        by_doc = W.partitionBy("doc_id").orderBy("word_id")
+        return sentence_ids(paragraph_breaks(placed).withColumn("_next", F.coalesce(F.lead("break_before").over(by_doc), F.lit(False))), F.col("_ends") | F.col("_next"))
+
+    chosen = counted(met.withColumn("selected", F.col("_brushed") | over).drop("_regions", "_brushed"))
     lined = line_groups(phrase_groups(chosen))
-    lines = lined.groupBy("doc_id", "page", "group_id", "line_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("w"))
-    groups = lines.groupBy("doc_id", "page", "group_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "x1", "y1", "x2", "y2", "w"))).alias("l"))
+    lines = lined.groupBy("doc_id", "page", "group_id", "line_id").agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("w"), F.min("sentence_id").alias("s1"), F.max("sentence_id").alias("s2")
+    )
+    groups = lines.groupBy("doc_id", "page", "group_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "x1", "y1", "x2", "y2", "w"))).alias("l"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
     spelled = F.flatten(F.transform("l", lambda x: x["w"]))
     rects = F.transform("l", lambda x: F.struct(x["x1"].alias("x1"), x["y1"].alias("y1"), x["x2"].alias("x2"), x["y2"].alias("y2")))
     target = T.split_outer_punctuation(T.join_words(F.transform(spelled, lambda x: x["word"])))["core"]
-    groups = groups.select("doc_id", "page", "group_id", target.alias("target"), rects.alias("rects"), F.element_at(spelled, 1)["word_id"].alias("first"), F.element_at(spelled, -1)["word_id"].alias("last")).where("target <> ''")
+    groups = groups.select("doc_id", "page", "group_id", target.alias("target"), rects.alias("rects"), F.element_at(spelled, 1)["word_id"].alias("first"), "s1", "s2").where("target <> ''")
     groups = groups.withColumn("occurrence", F.row_number().over(W.partitionBy("doc_id", "page", T.fold(F.col("target"))).orderBy("first")) - 1)
-    by_doc = W.partitionBy("doc_id").orderBy("word_id")
-    said = sentence_ids(chosen.withColumn("_next", F.coalesce(F.lead("break_before").over(by_doc), F.lit(False))), T.is_sentence_end(F.col("word")) | F.col("_next")).select("doc_id", "word_id", "word", "sentence_id")
-    places = said.select("doc_id", F.col("word_id").alias("first"), F.col("sentence_id").alias("s1"))
-    ends = said.select("doc_id", F.col("word_id").alias("last"), F.col("sentence_id").alias("s2"))
-    wanted = groups.join(places, ["doc_id", "first"]).join(ends, ["doc_id", "last"])
-    parts = wanted.select("doc_id", "page", "group_id", F.explode(F.sequence("s1", "s2")).alias("sentence_id")).join(said, ["doc_id", "sentence_id"])
-    sentences = parts.groupBy("doc_id", "page", "group_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("w"))
-    sentences = sentences.select("doc_id", "page", "group_id", T.join_words(F.transform("w", lambda x: x["word"])).alias("sentence"))
-    return wanted.join(sentences, ["doc_id", "page", "group_id"]).select("doc_id", "page", "group_id", "target", F.col("occurrence").cast("int").alias("occurrence"), "sentence", "rects")
+    said = counted(inside.select("doc_id", "page", "word_id", "word", "y1", "y2", "_ends").repartition("doc_id"))
+    said = said.groupBy("doc_id", "sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda x: x["word"]).alias("said"))
+    parts = groups.select("doc_id", "page", "group_id", "target", "occurrence", "rects", F.explode(F.sequence("s1", "s2")).alias("sentence_id")).join(said, ["doc_id", "sentence_id"])
+    whole = parts.groupBy("doc_id", "page", "group_id").agg(*[F.first(c).alias(c) for c in ("target", "occurrence", "rects")], F.array_sort(F.collect_list(F.struct("sentence_id", "said"))).alias("s"))
+    sentence = T.join_words(F.flatten(F.transform("s", lambda x: x["said"])))
+    return whole.select("doc_id", "page", "group_id", "target", F.col("occurrence").cast("int").alias("occurrence"), sentence.alias("sentence"), "rects")
 
 
 def import_highlights(extracted: DataFrame, existing: DataFrame, tombstones: DataFrame) -> DataFrame:

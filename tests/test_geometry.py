@@ -69,6 +69,16 @@ def test_highlights_are_extracted_with_sentence_and_boxes(spark):
     assert G.extract_highlights(df.limit(0), regions, 50.0, 400.0).count() == 0
 
 
+def test_highlights_shuffle_words_by_document_only(spark):
+    """Words and regions meet in windows of one partitioning: without joins of words with words, and with five exchanges instead of over ten."""
+    words = spark.createDataFrame([(1, 1, 0, "One", 0.0, 100.0, 15.0, 111.0, 0.9, 0.0)], "doc_id long, page int, word_id int, word string, x1 double, y1 double, x2 double, y2 double, coverage double, spill double")
+    regions = spark.createDataFrame([(1, 1, 60.0, 100.0, 75.0, 111.0)], "doc_id long, page int, x1 double, y1 double, x2 double, y2 double")
+    plan = G.extract_highlights(words, regions, 50.0, 400.0)._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert initial.count("Exchange hashpartitioning") <= 5
+    assert initial.count("Join ") == 1
+
+
 def test_valid_rects(spark):
     r = lambda *v: dict(zip(("x1", "y1", "x2", "y2"), map(float, v), strict=True))
     df = spark.createDataFrame([([r(0, 0, 1, 1)],), ([],), ([r(0, 0, 0.0001, 1)],), ([r(0, 0, float("nan"), 1)],), ([r(0, 0, 200000, 1)],), ([r(0, 0, 1, 1)] * 17,)], "r array<struct<x1:double,y1:double,x2:double,y2:double>>")
