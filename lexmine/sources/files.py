@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +41,39 @@ def through_text_cache(docs: DataFrame, cache: DataFrame, version: int) -> DataF
     return good.withColumn("origin", F.lit("cached")).unionByName(docs.join(good.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text").withColumn("origin", F.lit("recomputed")))
 
 
+def _uri(path: str) -> str:
+    """A path as Spark shows it, for pyarrow."""
+    return quote(path if not path.startswith("file:/") or path.startswith("file:///") else "file://" + path[5:], safe="/:@")
+
+
+def _heads(files: DataFrame, size: int) -> DataFrame:
+    """files (path, length) with content: their first bytes alone, however long a file is."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+
+    def read(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(_uri(path))
+                with system.open_input_file(place) as file:
+                    found.append(file.read(size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(found, pa.binary())], schema=schema)
+
+    return files.mapInArrow(read, "path string, length long, content binary")
+
+
 def classify_uploads(spark: SparkSession, path: str, magic: dict[str, bytes], most_mb: int) -> DataFrame:
-    """SRC6. Files with kind (by their first bytes), size and accepted."""
+    """SRC6. Files with kind (by their first bytes), size and accepted.
+
+    Spark lists the files; a task reads the first bytes of each. Spark reads files whole only in stores that pyarrow doesn't know.
+    """
     df = spark.read.format("binaryFile").load(path)
+    longest = max(map(len, magic.values()), default=0)
+    try:
+        fs.FileSystem.from_uri(_uri(path if ":/" in path else f"file:{os.path.abspath(path)}"))
+        df = _heads(df.select("path", "length"), longest)
+    except pa.ArrowInvalid:  # no such scheme
+        pass
     kind = F.lit(None).cast("string")
     for name, head in magic.items():
         kind = F.when(F.substr("content", F.lit(1), F.lit(len(head))) == F.lit(head), name).otherwise(kind)

@@ -13,6 +13,7 @@ from lexmine.functions.fuzzy import Leaders, weighted_ratio
 from lexmine.operators import clusters as C
 from lexmine.operators import dictionary as D
 from lexmine.operators import enrich as E
+from lexmine.sources.files import classify_uploads
 
 
 def test_second_run_calls_nothing(spark):
@@ -195,3 +196,15 @@ def test_examples_of_clusters(spark):
     contexts = spark.createDataFrame([("a", k, f"c{k}", "deep", f"context {k}") for k in (10, 2, 3, 4, 5)], "card_id string, place int, context_id string, target string, sentence string")
     got = {r["card_id"]: [tuple(e) for e in r["examples"]] for r in C.cluster_examples(cards, links, contexts).collect()}
     assert [c.lower() for _, c in got["a"]] == ["first", "context 2", "context 3", "context 4", "context 5"] and got["b"] == [("x", "only me")]
+
+
+def test_uploads_are_known_by_their_first_bytes_alone(spark, tmp_path):
+    """A file over 2 GB (here with a hole) can't be read whole into a row."""
+    for name, head, size in (("a b%20.parquet", b"PAR1", 10), ("huge.parquet", b"PAR1", 2_200_000_000), ("tiny", b"P", 1)):
+        with open(tmp_path / name, "wb") as file:
+            file.write(head)
+            file.truncate(size)
+    rows = classify_uploads(spark, str(tmp_path), {"parquet": b"PAR1"}, 50).collect()
+    assert sorted((r["name"], r["length"], r["kind"], r["accepted"]) for r in rows) == [
+        ("a b%20.parquet", 10, "parquet", True), ("huge.parquet", 2_200_000_000, "parquet", False), ("tiny", 1, None, False),
+    ]
