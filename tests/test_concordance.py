@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from lexmine.functions import text as T
 from lexmine.functions.fuzzy import weighted_ratio
 from lexmine.functions.porter import stem
 from lexmine.functions.text import STOPWORDS
@@ -164,3 +167,15 @@ def test_longest_first_equals_the_greedy_walk(spark):
     df = spark.createDataFrame(list(rows), "doc_id long, sent_id int, start long, end long, target string")
     got = C.longest_first(df.repartition(5), 5).select("doc_id", "sent_id", "start", "end", "target").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and len(want) < len(rows) / 4
+
+
+def test_candidates_are_found_in_one_reading(spark):
+    """Exact and inflected forms as the two operators find them, with one pass over the text instead of several."""
+    said = spark.createDataFrame([(1, 0, "Walks, WALK walking; a talk."), (2, 0, "walked walk")], "doc_id long, sent_id int, sentence string")
+    targets = spark.createDataFrame([("walk",), ("talking",)], "target string")
+    stem = lambda w: T.suffix_stem(F.col(w))
+    found = C.single_word_candidates(said, targets, stem)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "sent_id", "start", "end", "target").collect()))
+    assert rows(found.where("kind = 'exact'")) == rows(C.exact_matches(said, targets, longest=1))
+    assert rows(found) == rows(C.variant_matches(said, targets, stem=stem, ratio=lambda a, b: F.lit(0.0)).where("kind = 0"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
