@@ -7,6 +7,7 @@ import unicodedata
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,11 @@ def test_sentence_rule_is_the_same_in_sql():
     squeezed = [re.sub("\\s+", " ", t, flags=re.ASCII).strip(" ") for t in texts]
     assert want == [(k, n, t[a:b]) for k, t in enumerate(squeezed) for n, (a, b) in enumerate(X.spans(t))]
     assert [t for k, _, t in want if k == 1] == ["One.", "ST.!! NEXT!!", "e.g. x"]
+
+
+def test_texts_are_split_by_small_slices():
+    """What a Python worker holds at once follows from the slice, not from the batch."""
+    batch = pa.record_batch({"text": ["x" * 5000] * 1000})
+    parts = list(X._slices(batch, 0))
+    assert sum(p.num_rows for p in parts) == 1000
+    assert max(p.num_rows for p in parts) * 5000 <= 600_000
