@@ -69,11 +69,19 @@ def overlapping(first: DataFrame, second: DataFrame, keys: list[str], least: flo
 
 
 def region_overlap(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """JOI10. words with overlap, the largest share of a word's box that one region of its page covers (0 without any)."""
-    w = words.select("doc_id", "word_id", "page", F.struct("x1", "y1", "x2", "y2").alias("w"), _bands(F.col("y1"), F.col("y2")).alias("band"))
-    r = regions.select("doc_id", "page", F.struct("x1", "y1", "x2", "y2").alias("r"), _bands(F.col("y1"), F.col("y2")).alias("band"))
-    shares = w.join(r, ["doc_id", "page", "band"]).withColumn("share", intersection(F.col("w"), F.col("r")) / area(F.col("w"))).groupBy("doc_id", "word_id").agg(F.max("share").alias("overlap"))
-    return words.join(shares, ["doc_id", "word_id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    """JOI10. words with overlap, the largest share of a word's box that one region of its page covers (0 without any).
+
+    Words and regions are dealt by page together and meet in bands of it, in windows of that partitioning: a word is shuffled once.
+    """
+    box = F.struct("x1", "y1", "x2", "y2")
+    sides = words.withColumn("_region", F.lit(False)).unionByName(regions.select("doc_id", "page", "x1", "y1", "x2", "y2", F.lit(True).alias("_region")), allowMissingColumns=True)
+    dealt = sides.repartition("doc_id", "page").withColumn("_row", F.monotonically_increasing_id())
+    banded = dealt.withColumn("_band", F.explode_outer(F.sequence(F.floor(F.col("y1") / BAND).cast("int"), F.floor(F.col("y2") / BAND).cast("int"))))
+    met = banded.withColumn("_near", F.collect_list(F.when(F.col("_region"), box)).over(W.partitionBy("doc_id", "page", "_band"))).where("NOT _region")
+    share = F.array_max(F.transform("_near", lambda r: intersection(box, r) / area(box)))
+    rest = [c for c in words.columns if c not in ("doc_id", "page")]
+    found = met.withColumn("_share", share).groupBy("doc_id", "page", "_row").agg(*[F.first(c).alias(c) for c in rest], F.coalesce(F.max("_share"), F.lit(0.0)).alias("overlap"))
+    return found.select(*words.columns, "overlap")
 
 
 def selected(word: Column, height: Column, coverage: Column, spill: Column, overlap: Column) -> Column:

@@ -83,3 +83,11 @@ def test_valid_rects(spark):
     r = lambda *v: dict(zip(("x1", "y1", "x2", "y2"), map(float, v), strict=True))
     df = spark.createDataFrame([([r(0, 0, 1, 1)],), ([],), ([r(0, 0, 0.0001, 1)],), ([r(0, 0, float("nan"), 1)],), ([r(0, 0, 200000, 1)],), ([r(0, 0, 1, 1)] * 17,)], "r array<struct<x1:double,y1:double,x2:double,y2:double>>")
     assert [x[0] for x in df.select(G.valid_rects(F.col("r"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_region_overlap_shuffles_once(spark):
+    words = spark.createDataFrame([(1, 1, 0, 0.0, 30.0, 10.0, 40.0), (1, 1, 1, 50.0, 30.0, 60.0, 40.0), (2, 1, 0, 0.0, 0.0, 1.0, 1.0)], "doc_id long, page int, word_id int, x1 double, y1 double, x2 double, y2 double")
+    regions = spark.createDataFrame([(1, 1, 5.0, 0.0, 100.0, 35.0), (1, 1, 0.0, 0.0, 2.0, 100.0)], "doc_id long, page int, x1 double, y1 double, x2 double, y2 double")
+    found = G.region_overlap(words, regions)
+    assert sorted((r["doc_id"], r["word_id"], r["overlap"]) for r in found.collect()) == [(1, 0, 0.25), (1, 1, 0.5), (2, 0, 0.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
