@@ -46,8 +46,8 @@ WINDOW, CONTEXT = 32, 8
 ROW_BITS = (17, 19, 12, 16)
 #: Cells of counts that one record holds; records that one task adds up; text bytes counted at once.
 PART, FAN, COUNT_BYTES = 1 << 16, 64, 4_000_000
-#: Text bytes of a bucket; bits of the table of pieces; bytes of a word that is cut by itself.
-BUCKET_BYTES, TABLE_BITS, LONG = 8_000_000, 20, 40
+#: Text bytes of a bucket, of its texts that are scored at once, of distinct words that are cut at once; bits of the table of pieces; bytes of a word that is cut by itself.
+BUCKET_BYTES, SCORE_BYTES, CUT_BYTES, TABLE_BITS, LONG = 8_000_000, 4_000_000, 250_000, 20, 40
 #: A word that no text has: the end of a text.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Counts are kept as one of 256 levels: exact up to 20, then steps of a tenth.
@@ -107,8 +107,18 @@ class Pieces:
             number[at[good]], size[at[good]] = found[good], k
         return number, size
 
-    def cut_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of many words, one after another, and how many each has; a step takes the next piece of all words that aren't long."""
+    def cut_all(self, words: list[bytes], most: int = CUT_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of many words, one after another, and how many each has; words of most bytes at once (a longer one by itself), to bound what is held."""
+        ends, parts, a = np.cumsum([len(w) + 1 for w in words], dtype=np.int64), [], 0
+        while a < len(words):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            parts.append(self._cut(words[a:b]))
+            a = b
+        flat, count = zip(*parts, strict=True) if parts else ([np.zeros(0, np.uint16)], [np.zeros(0, np.int64)])
+        return np.concatenate(flat), np.concatenate(count)
+
+    def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A step takes the next piece of all words that aren't long."""
         raw = np.frombuffer(b" ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8)
         number, size = self.longest(raw)
         end = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
@@ -321,6 +331,11 @@ def histogram(model: Model, windows_: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.ravel_multi_index(digits, STEPS)
 
 
+def _tallied(cells_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and how often each occurs."""
+    return np.unique(cells_.astype(np.int32), return_counts=True)
+
+
 def pack(at: np.ndarray, n: np.ndarray) -> bytes:
     """Places below 65536 in order, as gaps, and counts: first all lowest bytes, then all next ones, which compress well."""
     cells_ = np.empty(len(at), [("gap", "<u2"), ("n", "<u4")])
@@ -344,7 +359,8 @@ def train(rows: DataFrame, vocabulary: str, total: int) -> Model:
             begins[np.cumsum(sizes) - sizes] = True
             target = np.flatnonzero(~begins)
             two, one, target = stream[target - np.where(begins[target - 1], 1, 2)], stream[target - 1], stream[target].astype(np.int64)
-            at, n = np.unique(np.concatenate([((row << 6) + col).astype(np.int32) for row, col in rows_of(two, one, target)]), return_counts=True)
+            # One memory after another, to bound what is sorted at once; their rows follow each other, so all cells are in order.
+            at, n = map(np.concatenate, zip(*(_tallied((row << 6) + col) for row, col in rows_of(two, one, target)), strict=True))
             parts, begin = np.unique(at // PART, return_index=True)
             ends = [*begin.tolist(), len(at)]
             blobs = [pack(at[a:b] % PART, n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
@@ -440,14 +456,19 @@ def lm_scores(docs: DataFrame, training: Column, vocabulary: str, id_col: str =
         known = np.bincount(text, of > 0, n_texts).astype(np.int64) + (end > 0)
         tokens = made.n_words + 1
         base = logs - tokens * np.log10(n + v + 1.0)
-        return result(table.column("id"), tokens, known, np.full(n_texts, n), base, attention(made))
+        del answers, made, words, number, counts, of, text  # before the windows are made
+        return result(table.column("id"), tokens, known, np.full(n_texts, n), base, attention(table))
+
+    def attention(table: pa.Table) -> np.ndarray:
+        """log10 chances of the texts, of which SCORE_BYTES are scored at once."""
+        column = table.column("text").combine_chunks()
+        return np.concatenate([chances(Texts([t.lower() for t in as_bytes(part.column(0))])) for part in slices(pa.record_batch([column], names=["text"]), 0, SCORE_BYTES)]) / np.log(10)
 
-    def attention(made: Texts) -> np.ndarray:
-        """log10 chances of the texts."""
+    def chances(made: Texts) -> np.ndarray:
         out = np.zeros(len(made.n_words))
         for w, first, text in Windows(*pieces(vocabulary).stream(made)).blocks():
             out += np.bincount(text[_scored(w, first) // WINDOW], shared.value.log_chances(w, first), len(out))
-        return out / np.log(10)
+        return out
 
     sent = dealt.groupBy("bucket").applyInArrow(send, "bucket int, word long, n long").repartition("word")
     # Both uses of sent need all its columns, so that Spark makes and shuffles it once.

@@ -441,6 +441,20 @@ def test_pieces_are_the_longest_ones(rows):
     assert [y.tolist() for y in np.split(stream, np.cumsum(sizes)[:-1])] == want
 
 
+def test_pieces_are_cut_in_bounded_blocks(monkeypatch):
+    """What cutting holds grows with the block of words, not with the bucket's distinct words."""
+    cut, words, sizes = lm.Pieces(BPE), [b"word%d" % k for k in range(5000)] + [b"x" * 3000, b"the"], []
+    longest = cut.longest
+    monkeypatch.setattr(cut, "longest", lambda raw: sizes.append(len(raw)) or longest(raw))
+    want = cut.cut_all(words, 10**9)
+    assert sizes.pop() == sum(len(w) + 1 for w in words)
+    got = cut.cut_all(words, 1000)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want, strict=True))
+    assert 3001 in sizes and all(n <= 1000 for n in sizes if n != 3001)
+    flat, count = cut.cut_all([])
+    assert len(flat) == len(count) == 0
+
+
 def test_decontamination_finds_copies_and_edits(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
