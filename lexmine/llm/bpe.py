@@ -6,7 +6,8 @@ alike in every document, wherever they stand and even inside a word. A chunk is
 1. A first pass counts the documents that hold each chunk (by its hash). The chunks whose reuse saves most
    are encoded by one job, and their ids are shared with every worker; their number is bounded.
 2. A second pass puts every text together from its chunks. A worker encodes a chunk that isn't shared at
-   its first sight and remembers it within a bound.
+   its first sight and remembers it within a bound. Where the tokenizer is known to take words apart (`by_word`), the
+   library gets a chunk's words that the worker doesn't remember, each once, and not the whole chunk.
 3. Joins are repaired. The words around a join are encoded again as one, from one whole word before the cut
    word to one whole word after it. If the chunks' own ids agree with the outer words', only the ids
    in between are replaced; if not, more words are taken, at last both whole chunks.
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ from lexmine.llm.common import as_bytes, slices
 EVERY, ENDS, TRIES = 2048, 6, (2, 8)
 #: Chunks shared over the cluster at most and bytes of each at most; bytes of chunks and number of joins that a worker remembers at most.
 SHARED, SHARED_BYTES, CHUNK_BYTES, MEMO = 4096, 8192, 48_000_000, 200_000
+#: Bytes of words that a worker remembers at most, each with so many for the objects that hold it; bytes of a word that is remembered.
+WORD_BYTES, WORD_COST, WORD_LONG = 80_000_000, 180, 64
+#: Patterns of pre-tokenizers (kept matches) that match no white space, so that a match never reaches over a word's end.
+SPLITS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 
 def word_ends(raw: np.ndarray) -> np.ndarray:
@@ -40,6 +47,29 @@ def word_ends(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(space[1:] & (raw[:-1] > 32) & (raw[:-1] < 127)) + 1
 
 
+def words(text: bytes) -> list[bytes]:
+    """The text cut at its word ends: each part but the first begins with all of its white space."""
+    ends = word_ends(np.frombuffer(text, np.uint8)).tolist() if text else []
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+
+
+def by_word(tokenizer: dict) -> bool:
+    """Are the ids of a text those of its words(), one after another, whatever the text? Judged by the tokenizer's parts, from its JSON.
+
+    Composition, lower case and squeezing look at no character across white space that follows printable ASCII; the
+    pattern matches none; byte levels and merges see one match. Tokenizers with other parts aren't judged: no.
+    """
+    normal, split = tokenizer.get("normalizer"), tokenizer.get("pre_tokenizer") or {}
+    parts = normal.get("normalizers", [normal]) if normal else []
+    plain = all(p["type"] in ("NFC", "Lowercase") or (p["type"] == "Replace" and p["pattern"] == {"Regex": r"\s+"} and p["content"] == " ") for p in parts)
+    steps = split.get("pretokenizers", [])
+    known = len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["pattern"].get("Regex") in SPLITS and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+    known = known and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in tokenizer.get("added_tokens", []))
+    model = tokenizer["model"]
+    return plain and known and added and tokenizer.get("post_processor") is None and model["type"] == "BPE" and not model.get("dropout") and not model.get("fuse_unk")
+
+
 def candidates(raw: np.ndarray, every: int = EVERY, block: int = 1 << 22) -> np.ndarray:
     """Starts of characters whose 16 bytes before hash to 0 in every."""
     found = []
@@ -87,12 +117,33 @@ class Encoder:
         self.chunks: dict[bytes, bytes] = {}
         self.joins: dict[tuple[bytes, bytes], tuple[bytes, bytes, bytes]] = {}
         self.held = 0
+        with open(path, encoding="utf-8") as f:
+            self.by_word = self.cuttable and by_word(json.load(f))
+        self.words: dict[bytes, bytes] = {}
+        self.word_bytes = 0
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def library(self, texts: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 4 bytes each) of each text; one call of the library, none for an empty list."""
         if not texts:
             return []
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False))]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """As library(), but of words that this worker remembers where the tokenizer takes words apart."""
+        if not self.by_word:
+            return self.library(texts)
+        own = [words(t) for t in texts]
+        if self.word_bytes > WORD_BYTES:
+            self.words, self.word_bytes = {}, 0
+        new = list(set().union(*own).difference(self.words))
+        self.words.update(zip(new, self.library(new), strict=True))
+        out = [b"".join(map(self.words.__getitem__, x)) for x in own]
+        for word in new:
+            if len(word) > WORD_LONG:
+                del self.words[word]
+            else:
+                self.word_bytes += WORD_COST + len(word) + len(self.words[word])
+        return out
 
     def plain(self, ids: bytes) -> str:
         """The library's decode() of ids; without a decoder it joins the tokens with spaces."""

@@ -455,6 +455,30 @@ def test_pieces_are_cut_in_bounded_blocks(monkeypatch):
     assert len(flat) == len(count) == 0
 
 
+def test_a_worker_gives_the_library_each_word_once(monkeypatch):
+    """Words that a worker remembers aren't encoded again, and ids stay those of the whole text."""
+    e, rng = bpe.Encoder(BPE), random.Random(8)
+    assert e.by_word
+    some = ["don't", "IT'S", "e\u0301te\u0301", "\u0301x", "\u03a3\u03a3", "<|endoftext|>", "\u4e2d\u6587", "a\u2003b", "12,5", "x" * 100, "..."]
+    texts = ["".join(rng.choice(some) + rng.choice([" ", "  ", "\n", "\t \u2003", "", " \u0301", "\x1f "]) for _ in range(300)) for _ in range(40)] + ["", " ", "word"]
+    sent, library = [], e.library
+    monkeypatch.setattr(e, "library", lambda x: sent.extend(x) or library(x))
+    raw = [t.encode() for t in texts]
+    assert e.ids(raw) == library(raw)
+    assert e.encode([b" ".join(raw)]) == library([b" ".join(raw)])
+    assert all(b"".join(bpe.words(t)) == t for t in raw)
+    once = [w for w in sent if len(w) <= bpe.WORD_LONG]
+    assert len(once) == len(set(once))
+
+
+def test_only_known_tokenizers_take_words_apart():
+    with open(BPE, encoding="utf-8") as f:
+        whole = json.load(f)
+    assert bpe.by_word(whole)
+    for change in ({"normalizer": {"type": "Prepend", "prepend": "_"}}, {"pre_tokenizer": {"type": "Metaspace"}}, {"pre_tokenizer": None}, {"post_processor": {"type": "ByteLevel"}}, {"added_tokens": [{"lstrip": True, "rstrip": False, "single_word": False, "content": "<s>"}]}):
+        assert not bpe.by_word(whole | change)
+
+
 def test_decontamination_finds_copies_and_edits(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
