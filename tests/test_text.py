@@ -250,3 +250,10 @@ def test_texts_are_split_by_small_slices():
     parts = list(X._slices(batch, 0))
     assert sum(p.num_rows for p in parts) == 1000
     assert max(p.num_rows for p in parts) * 5000 <= 600_000
+
+
+def test_a_tag_is_computed_once(spark):
+    """The long replacement stands once in the plan; a null stays one."""
+    df = spark.createDataFrame([("  ",), (None,), ("a b__",), ("_x",)], "t string").select(T.safe_tag(F.col("t")).alias("tag"))
+    assert [r["tag"] for r in df.collect()] == ["article", None, "a_b", "x"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9_:-]+") == 1
