@@ -257,3 +257,11 @@ def test_a_tag_is_computed_once(spark):
     df = spark.createDataFrame([("  ",), (None,), ("a b__",), ("_x",)], "t string").select(T.safe_tag(F.col("t")).alias("tag"))
     assert [r["tag"] for r in df.collect()] == ["article", None, "a_b", "x"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9_:-]+") == 1
+
+
+def test_texts_pass_python_without_a_shuffle(spark):
+    """Normalising sends no row to another task, and leaves nulls and the others as they are."""
+    df = spark.createDataFrame([(1, "ﬁn"), (2, "fin"), (3, None), (4, "ﬁn")], "i int, t string")
+    out = X.normalize_selections(df, "t")
+    assert sorted((r["i"], r["t"]) for r in out.collect()) == [(1, "fin"), (2, "fin"), (3, None), (4, "fin")]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
