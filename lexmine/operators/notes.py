@@ -17,6 +17,8 @@ DIRECTIONS = ("meaning", "recall")
 MANAGED = ("card::", "direction::", "family::", "site::")
 #: Rows of a component that are walked in one place at most.
 WALKED = 200_000
+#: Tasks over which the notes of one deck are dealt.
+SHARES = 64
 
 
 def tag_list(tags: Column) -> Column:
@@ -170,7 +172,10 @@ def deck_subtree(decks: DataFrame, root: int) -> DataFrame:
 
 def carry_schedules(cards: DataFrame, notes: DataFrame, decks: DataFrame | None = None) -> DataFrame:
     """PIP12. cards (card_id), each in both directions, with the schedule of their first note (by note_id) of the decks; a new card's without one."""
-    kept = notes if decks is None else notes.join(decks.select("deck_id").distinct(), "deck_id", "left_semi")
+    kept = notes
+    if decks is not None:  # a deck's notes are dealt over SHARES tasks, as a few decks hold most notes
+        wanted = decks.select("deck_id").distinct().withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        kept = notes.withColumn("_share", F.pmod(F.xxhash64("note_id"), F.lit(SHARES)).cast("int")).join(wanted, ["deck_id", "_share"], "left_semi")
     old = first_by(kept, ["card_id", "direction"], ["note_id"]).select("card_id", "direction", "due", "ivl", "reps", "lapses")
     both = cards.select("card_id", F.explode(F.array(*map(F.lit, DIRECTIONS))).alias("direction"))
     out = both.join(old, ["card_id", "direction"], "left")

@@ -161,3 +161,18 @@ def test_a_long_chain_of_rows_is_decided_in_few_rounds(spark):
     short = [(k, i) for k, i in chain if k < 12 or k == 20_000]
     rounds = N._inserted(spark.createDataFrame(short, "row_id long, identity string"), 3)
     assert sorted(r[0] for r in rounds.collect()) == [*range(0, 12, 2), 20_000]
+
+
+def test_a_deck_is_dealt_over_many_tasks(spark):
+    """Notes meet their decks by deck and share, so one deck isn't one task; the result is the first note's schedule."""
+    notes = spark.range(1000).selectExpr("id AS note_id", "id div 4 AS card_id", "'recall' AS direction", "id % 2 AS deck_id", "id AS due", "id AS ivl", "id AS reps", "id AS lapses")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.carry_schedules(spark.range(251).selectExpr("id AS card_id"), notes, spark.createDataFrame([(1,), (1,)], "deck_id long"))
+        keys = re.findall(r"hashpartitioning\((deck_id[^)]*)\)", out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString())
+        assert any("_share" in k for k in keys)
+        got = {(r["card_id"], r["direction"]): (r["due"], r["is_new"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {(c, d): (4 * c + 1, False) if d == "recall" and c < 250 else (0, True) for c in range(251) for d in N.DIRECTIONS}
