@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import BASE, BYTES, INVERSE, Texts, as_bytes, mix, partitions, powers, slices
+from lexmine.llm.common import Texts, as_bytes, partitions, slices
 from lexmine.llm.token_counts import byte_of_symbol
 
 #: Pieces are the first so many of the vocabulary's (and a mark for a word's end); classes and places in a class.
@@ -46,8 +47,8 @@ WINDOW, CONTEXT = 32, 8
 ROW_BITS = (17, 19, 12, 16)
 #: Cells of counts that one record holds; records that one task adds up; text bytes counted at once.
 PART, FAN, COUNT_BYTES = 1 << 16, 64, 4_000_000
-#: Text bytes of a bucket, of its texts that are scored at once, of distinct words that are cut at once; bits of the table of pieces; bytes of a word that is cut by itself.
-BUCKET_BYTES, SCORE_BYTES, CUT_BYTES, TABLE_BITS, LONG = 8_000_000, 4_000_000, 250_000, 20, 40
+#: Text bytes of a bucket, of its texts that are scored at once, of distinct words that are cut at once; bytes of a word that is cut by itself.
+BUCKET_BYTES, SCORE_BYTES, CUT_BYTES, LONG = 8_000_000, 4_000_000, 250_000, 40
 #: A word that no text has: the end of a text.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Counts are kept as one of 256 levels: exact up to 20, then steps of a tenth.
@@ -73,39 +74,39 @@ class Pieces:
                 found.setdefault(bytes(symbol[c] for c in body) + (b" " if end else b""), len(found))
         self.start, self.stop, self.size = len(found), len(found) + 1, len(found) + 2
         self.numbers = found
-        #: Numbers of the single bytes, and the longest piece that begins with two bytes.
-        self.single, self.reach = np.array([found[bytes([b])] for b in range(256)], np.int64), np.ones(1 << 16, np.uint8)
-        for p in found:
-            if len(p) > 1:
-                self.reach[p[0] << 8 | p[1]] = max(self.reach[p[0] << 8 | p[1]], len(p))
-        #: Pieces by hash: a table of places by its first bits, another by its last bits for those that share a place, and the whole hash.
-        self.hash = np.array([_span_hash(np.frombuffer(p, np.uint8)) for p in found], np.uint64)
-        self.tables = [np.zeros(1 << TABLE_BITS, np.uint16) for _ in range(2)]
-        self.tables[0][self.hash >> np.uint64(64 - TABLE_BITS)] = np.arange(len(found))
-        lost = np.flatnonzero(self.tables[0][self.hash >> np.uint64(64 - TABLE_BITS)] != np.arange(len(found)))
-        self.tables[1][self.hash[lost] % np.uint64(1 << TABLE_BITS)] = lost
-        if len(lost) != len(np.unique(self.hash[lost] % np.uint64(1 << TABLE_BITS))):
-            raise ValueError("pieces share a place in both tables")
-
-    def _find(self, hash_: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces with these hashes, or -1."""
-        number = self.tables[0].take((hash_ >> np.uint64(64 - TABLE_BITS)).astype(np.int64)).astype(np.int64)
-        other = np.flatnonzero(self.hash.take(number) != hash_)
-        second = self.tables[1].take((hash_[other] % np.uint64(1 << TABLE_BITS)).astype(np.int64)).astype(np.int64)
-        number[other] = np.where(self.hash.take(second) == hash_[other], second, -1)
-        return number
-
-    def longest(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number and size of the longest piece at every place of words that each end in a space."""
-        number, size = self.single[raw], np.ones(len(raw), np.int64)
-        total, inverse = _sums(raw), powers(INVERSE, len(raw) + 1)
-        reach = np.append(self.reach[raw[:-1].astype(np.int64) << 8 | raw[1:]], 1) if len(raw) else np.ones(1, np.uint8)
-        for k in range(2, int(self.reach.max()) + 1):
-            at = np.flatnonzero(reach[: max(0, len(raw) - k + 1)] >= k)
-            found = self._find(mix((total[at + k] - total[at]) * inverse[at] + np.uint64(k)))
-            good = found >= 0
-            number[at[good]], size[at[good]] = found[good], k
-        return number, size
+        #: Numbers of the single bytes; a tree of the longer pieces: the node of two bytes, of a node and the column of a byte (0: none), and the nodes' pieces (-1: none).
+        self.single = np.array([found[bytes([b])] for b in range(256)], np.int64)
+        nodes = {p: k for k, p in enumerate(dict.fromkeys(p[:k] for p in found for k in range(2, len(p) + 1)), 1)}
+        later = sorted({p[-1] for p in nodes if len(p) > 2})
+        self.column, self.width = np.zeros(256, np.int64), len(later) + 1
+        self.column[later] = np.arange(1, self.width)
+        self.pair, self.next, self.piece = np.zeros(1 << 16, np.int16), np.zeros((len(nodes) + 1) * self.width, np.int16), np.full(len(nodes) + 1, -1, np.int16)
+        for p, k in nodes.items():
+            self.piece[k] = found.get(p, -1)
+            if len(p) == 2:
+                self.pair[p[0] << 8 | p[1]] = k
+            else:
+                self.next[nodes[p[:-1]] * self.width + self.column[p[-1]]] = k
+
+    def longest(self, raw: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For words that each end in a space: what gives number and size of the longest piece at some places of them, down the tree."""
+        raw = np.append(raw, np.uint8(0))
+
+        def find(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            byte, size = raw.take(at), np.ones(len(at), np.int64)
+            number, node = self.single.take(byte), self.pair.take(byte.astype(np.int64) << 8 | raw.take(at + 1))
+            live = np.flatnonzero(node)
+            node, place = node[live].astype(np.int64), at[live] + 2
+            while len(live):
+                found = self.piece.take(node)
+                good = np.flatnonzero(found >= 0)
+                number[live[good]], size[live[good]] = found[good], (place - at[live])[good]
+                node = self.next.take(node * self.width + self.column.take(raw.take(place)))
+                on = np.flatnonzero(node)
+                live, node, place = live[on], node[on].astype(np.int64), place[on] + 1
+            return number, size
+
+        return find
 
     def cut_all(self, words: list[bytes], most: int = CUT_BYTES) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of many words, one after another, and how many each has; words of most bytes at once (a longer one by itself), to bound what is held."""
@@ -119,22 +120,23 @@ class Pieces:
 
     def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """A step takes the next piece of all words that aren't long."""
-        raw = np.frombuffer(b" ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8)
-        number, size = self.longest(raw)
+        find = self.longest(np.frombuffer(b" ".join(words) + b" ", np.uint8))
         end = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
         begin = np.concatenate([[0], end[:-1]]).astype(np.int64)
         count, live, place, steps = np.zeros(len(words), np.int64), np.flatnonzero(end - begin <= LONG), begin.copy(), []
         while len(live):
-            steps.append((live, number[place[live]]))
+            number, size = find(place[live])
+            steps.append((live, number))
             count[live] += 1
-            place[live] += size[place[live]]
+            place[live] += size
             live = live[place[live] < end[live]]
         long_ = []
         for w in np.flatnonzero(end - begin > LONG).tolist():
-            at, step = [0], size[begin[w] : end[w]].tolist()
+            number, size = find(np.arange(begin[w], end[w]))
+            at, step = [0], size.tolist()
             while at[-1] < len(step):
                 at.append(at[-1] + step[at[-1]])
-            long_.append((w, number[begin[w] + np.array(at[:-1])]))
+            long_.append((w, number[at[:-1]]))
             count[w] = len(at) - 1
         flat, first = np.empty(int(count.sum()), np.uint16), np.cumsum(count) - count
         for k, (live, own) in enumerate(steps):
@@ -145,7 +147,9 @@ class Pieces:
 
     def stream(self, made: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of lowered texts from START to STOP, one text after another, and how many each text has."""
-        _, first, number = np.unique(made.hash, return_index=True, return_inverse=True)
+        distinct, number = np.unique(made.hash, return_inverse=True)
+        first = np.empty(len(distinct), np.int64)
+        first[number] = np.arange(len(number))  # any place of the word
         flat, count = self.cut_all([made.raw[a:b] for a, b in zip(made.start[first].tolist(), made.end[first].tolist(), strict=True)])
         own = count[number]
         at = np.repeat((np.cumsum(count) - count)[number] - (np.cumsum(own) - own), own) + np.arange(own.sum())
@@ -158,17 +162,6 @@ class Pieces:
         return out, sizes
 
 
-def _sums(raw: np.ndarray) -> np.ndarray:
-    """Sums of powers over the bytes before each place: what lies between two places has a hash that doesn't depend on where it is."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTES[raw] * powers(BASE, len(raw)), out=out[1:])
-    return out
-
-
-def _span_hash(piece: np.ndarray) -> np.uint64:
-    return mix(_sums(piece)[-1:] + np.uint64(len(piece)))[0]
-
-
 @functools.lru_cache(maxsize=2)
 def pieces(path: str, most: int = PIECES) -> Pieces:
     return Pieces(path, most)
@@ -322,11 +315,17 @@ def fit_logits(cell: np.ndarray, n: np.ndarray, rounds: int = 400, rate: float =
     return logits
 
 
+def _chance_step(x: np.ndarray, steps: int) -> np.ndarray:
+    """1 - log2(x) / 2, rounded down, from 1 to steps - 1; 0 where x is 0. The exponent of the float says it: up to 1 is step 1, up to 1/4 is step 2."""
+    above = (x.view(np.int32) + 0x7FFFFF >> 23) - 127  # log2, rounded up
+    return np.where(x > 0, np.clip(1 - (above + 1 >> 1), 1, steps - 1), 0)
+
+
 def histogram(model: Model, windows_: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The histogram's cell of every scored target, itself left out of the counts."""
     at = _scored(windows_, first)
     values = model.values(*_last(windows_, at), less=1)
-    digits = [np.where(x > 0, np.clip(1 - np.log2(np.maximum(x, np.float32(1e-30)).astype(np.float32)) / 2, 1, s - 1).astype(np.int64), 0) for x, s in zip(values[:3], STEPS, strict=False)]
+    digits = [_chance_step(x.astype(np.float32, copy=False), s) for x, s in zip(values[:3], STEPS, strict=False)]
     digits += [_seen_step(values[3]), *(np.minimum(m.ravel().take(at), s - 1) for m, s in zip(attend(windows_), STEPS[4:], strict=True))]
     return np.ravel_multi_index(digits, STEPS)
 

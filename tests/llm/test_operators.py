@@ -455,6 +455,26 @@ def test_pieces_are_cut_in_bounded_blocks(monkeypatch):
     assert len(flat) == len(count) == 0
 
 
+def test_pieces_are_looked_up_where_words_are_cut(monkeypatch):
+    """Only places where a piece begins are looked up, each once; not every byte of the words."""
+    cut, words, asked = lm.Pieces(BPE), [b"the", b"wording", b"word", b"", b"gr\xc3\xb6\xc3\x9fer", b"a" * 39, b"\0\0"], []
+    longest = cut.longest
+
+    def spied(raw):
+        find = longest(raw)
+        return lambda at: asked.extend(at.tolist()) or find(at)
+
+    monkeypatch.setattr(cut, "longest", spied)
+    _, count = cut.cut_all(words)
+    assert len(asked) == len(set(asked)) == count.sum() < sum(len(w) + 1 for w in words)
+
+
+def test_histogram_steps_are_those_of_the_logarithm():
+    x = np.concatenate([2.0 ** np.arange(-30, 1), np.random.default_rng(1).random(5000) ** 8, [0.0]]).astype(np.float32)
+    want = [0 if y == 0 else min(9, max(1, int(np.floor(1 - np.log2(y) / 2)))) for y in x.astype(float)]
+    assert lm._chance_step(x, 10).tolist() == want
+
+
 def test_a_worker_gives_the_library_each_word_once(monkeypatch):
     """Words that a worker remembers aren't encoded again, and ids stay those of the whole text."""
     e, rng = bpe.Encoder(BPE), random.Random(8)
