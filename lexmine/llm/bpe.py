@@ -34,9 +34,11 @@ from lexmine.llm.common import as_bytes, slices
 #: One character in so many ends a chunk (a power of 2); words that end in a chunk at least; words taken on either side of a join at the first and second try.
 EVERY, ENDS, TRIES = 2048, 6, (2, 8)
 #: Chunks shared over the cluster at most and bytes of each at most; bytes of chunks and number of joins that a worker remembers at most.
-SHARED, SHARED_BYTES, CHUNK_BYTES, MEMO = 4096, 8192, 48_000_000, 200_000
+SHARED, SHARED_BYTES, CHUNK_BYTES, MEMO = 4096, 8192, 16_000_000, 50_000
+#: Texts that the library gets at once.
+CALL = 2048
 #: Bytes of words that a worker remembers at most, each with so many for the objects that hold it; bytes of a word that is remembered.
-WORD_BYTES, WORD_COST, WORD_LONG = 80_000_000, 180, 64
+WORD_BYTES, WORD_COST, WORD_LONG = 60_000_000, 180, 64
 #: Patterns of pre-tokenizers (kept matches) that match no white space, so that a match never reaches over a word's end.
 SPLITS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
@@ -123,10 +125,9 @@ class Encoder:
         self.word_bytes = 0
 
     def library(self, texts: list[bytes]) -> list[bytes]:
-        """Ids (little-endian, 4 bytes each) of each text; one call of the library, none for an empty list."""
-        if not texts:
-            return []
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False))]
+        """Ids (little-endian, 4 bytes each) of each text; a call of the library takes CALL texts, as what it returns holds far more than ids."""
+        calls = (self.tokenizer.encode_batch_fast([t.decode() for t in texts[k : k + CALL]], add_special_tokens=False) for k in range(0, len(texts), CALL))
+        return [struct.pack(f"<{len(ids)}I", *ids) for call in calls for ids in (e.ids for e in call)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """As library(), but of words that this worker remembers where the tokenizer takes words apart."""

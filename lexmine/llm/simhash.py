@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import as_bytes, checkpoint, partitions, text_key
+from lexmine.llm.common import as_bytes, checkpoint, partitions, slices, text_key
 from lexmine.llm.graph import components
 
 #: Bits that linked fingerprints may differ in, words in a shingle, seed of the hash.
@@ -51,15 +51,16 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key long, fp long) per row of docs; key is the text's hash."""
+def _fingerprinted(batches):
+    """Batches of id and text's hash with the text's fingerprint in its place; some texts at a time, as each is held several times over."""
+    for batch in (part for big in batches for part in slices(big, 2, 1_000_000)):
+        fps = [fingerprint(t) for t in as_bytes(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["id", "key", "fp"])
 
-    def run(batches):
-        for batch in batches:
-            fps = [fingerprint(t) for t in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["id", "key", "fp"])
 
-    return docs.select(id_col, text_key(F.col(text_col)), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, key long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key long, fp long) per row of docs; key is the text's hash."""
+    return docs.select(id_col, text_key(F.col(text_col)), text_col).mapInArrow(_fingerprinted, f"id {docs.schema[id_col].dataType.simpleString()}, key long, fp long")
 
 
 def bit_groups(together: np.ndarray, n: int, parts: int) -> list[list[int]]:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -475,6 +476,30 @@ def test_histogram_steps_are_those_of_the_logarithm():
     assert lm._chance_step(x, 10).tolist() == want
 
 
+def test_the_library_gets_a_bounded_number_of_texts(monkeypatch):
+    """What the library returns holds far more than ids, so it gets CALL texts at once."""
+    e, sizes = bpe.Encoder(BPE), []
+    texts = [b"word%d" % k for k in range(50)]
+    want = e.library(texts)
+
+    class Spied:
+        def encode_batch_fast(self, some, **options):
+            sizes.append(len(some))
+            return real.encode_batch_fast(some, **options)
+
+    real, e.tokenizer = e.tokenizer, Spied()
+    monkeypatch.setattr(bpe, "CALL", 16)
+    assert e.library(texts) == want and e.library([]) == []
+    assert sizes == [16, 16, 16, 2]
+
+
+def test_fingerprints_hold_some_texts_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(range(9)), pa.array(["ab cd " * 60_000] * 8 + [None])], names=["id", "key", "text"])
+    got = list(simhash._fingerprinted([batch]))
+    assert max(b.num_rows for b in got) <= 3
+    assert [f for b in got for f in b.column(2).to_pylist()] == [simhash.fingerprint(b"ab cd " * 60_000)] * 8 + [0]
+
+
 def test_a_worker_gives_the_library_each_word_once(monkeypatch):
     """Words that a worker remembers aren't encoded again, and ids stay those of the whole text."""
     e, rng = bpe.Encoder(BPE), random.Random(8)
