@@ -27,8 +27,11 @@ def tag_list(tags: Column) -> Column:
 
 def tag_value(tags: Column, prefix: str) -> Column:
     """What follows a prefix in the lowest tag that has it; null without one."""
-    found = F.filter(tag_list(tags), lambda t: t.startswith(prefix))
-    return F.substr(F.array_min(found), F.lit(len(prefix) + 1))
+    return _tag_value(tag_list(tags), prefix)
+
+
+def _tag_value(listed: Column, prefix: str) -> Column:
+    return F.substr(F.array_min(F.filter(listed, lambda t: t.startswith(prefix))), F.lit(len(prefix) + 1))
 
 
 def direction_of(tags: Column) -> Column:
@@ -76,21 +79,28 @@ def identities(front: Column, back: Column, tags: Column) -> Column:
     neither, are known by their front.
     """
     plain = lambda c: T.squeeze(T.fold(T.strip_tags(c)))
-    has = lambda tag: F.array_contains(tag_list(tags), tag)
-    kind = F.when(has("card::recall"), "recall").when(has("card::meaning"), "meaning")
-    card = tag_value(tags, "site::")
-    site = F.when(card.isNotNull(), F.concat_ws("|", F.lit("site"), kind, card))
-    bold = plain(F.regexp_extract(front, "(?is)<b\\b[^>]*>(.*?)</b>", 1))
-    meaning = F.when(bold != "", F.concat_ws("|", F.lit("context"), kind, bold, plain(front)))
-    context = F.regexp_replace(front, "(?is)<br\\s*/?><small>.*?</small>\\s*$", "")
-    whole = F.regexp_extract(context, "(?is)<b\\b[^>]*>.*?</b>", 0)
-    at = F.instr(context, whole)
-    before, after = F.substr(context, F.lit(1), at - 1), F.substr(context, at + F.length(whole))
-    around = T.squeeze(T.fold(F.concat(T.squeeze(T.strip_tags(before)), F.lit(" \u2063 "), T.squeeze(T.strip_tags(after)))))
-    recall = F.when((plain(back) != "") & (whole != ""), F.concat_ws("|", F.lit("context"), kind, plain(back), around))
-    found = F.filter(F.array(site, F.when(kind == "recall", recall).otherwise(meaning)), lambda x: x.isNotNull())
-    known = kind.isNotNull() & F.exists(tag_list(tags), lambda t: t.startswith("article::")) & (F.size(found) > 0)
-    return F.when(known, found).otherwise(F.array(F.concat_ws("|", F.lit("front"), plain(front))))
+    named = lambda *parts: F.concat_ws("|", *parts)
+
+    def meaning(kind):
+        bold = plain(F.regexp_extract(front, "(?is)<b\\b[^>]*>(.*?)</b>", 1))
+        return T.let(bold, lambda b: F.when(b != "", named(F.lit("context"), kind, b, plain(front))))
+
+    def around(context, whole):
+        sides = lambda at: F.concat(T.squeeze(T.strip_tags(F.substr(context, F.lit(1), at - 1))), F.lit(" \u2063 "), T.squeeze(T.strip_tags(F.substr(context, at + F.length(whole)))))
+        return T.squeeze(T.fold(T.let(F.instr(context, whole), sides)))
+
+    def recall(kind):
+        context = F.regexp_replace(front, "(?is)<br\\s*/?><small>.*?</small>\\s*$", "")
+        placed = lambda b: T.let(context, lambda c: T.let(F.regexp_extract(c, "(?is)<b\\b[^>]*>.*?</b>", 0), lambda w: F.when(w != "", named(F.lit("context"), kind, b, around(c, w)))))
+        return T.let(plain(back), lambda b: F.when(b != "", placed(b)))
+
+    def own(listed):
+        kind = F.when(F.array_contains(listed, "card::recall"), "recall").when(F.array_contains(listed, "card::meaning"), "meaning")
+        site = lambda k: T.let(_tag_value(listed, "site::"), lambda card: F.when(card.isNotNull(), named(F.lit("site"), k, card)))
+        found = lambda k: F.filter(F.array(site(k), F.when(k == "recall", recall(k)).otherwise(meaning(k))), lambda x: x.isNotNull())
+        return F.when(F.exists(listed, lambda t: t.startswith("article::")), T.let(kind, lambda k: F.when(k.isNotNull(), found(k))))
+
+    return T.let(T.let(tag_list(tags), own), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(named(F.lit("front"), plain(front)))))
 
 
 def merge_notes(notes: DataFrame, incoming: DataFrame, most: int = WALKED) -> DataFrame:
@@ -106,12 +116,13 @@ def merge_notes(notes: DataFrame, incoming: DataFrame, most: int = WALKED) -> Da
     """
     key = lambda df: df.withColumns({"card": tag_value(F.col("tags"), "site::"), "dir": direction_of(F.col("tags"))})
     known = first_by(key(notes).where("card IS NOT NULL AND dir IS NOT NULL"), ["card", "dir"], ["note_id"]).select("card", "dir", F.col("note_id").alias("old_id"), F.col("front").alias("old_front"), F.col("back").alias("old_back"), F.col("tags").alias("old_tags"))
-    rows = key(incoming).join(known, ["card", "dir"], "left")
     same = (F.col("front") == F.col("old_front")) & (F.col("back") == F.col("old_back")) & (merge_tags(F.col("old_tags"), F.col("tags")) == F.array_join(tag_list(F.col("old_tags")), " "))
-    matched = rows.where("old_id IS NOT NULL").select("row_id", F.when(same, "same").otherwise("update").alias("action"), F.col("old_id").alias("note_id"))
+    texts = [F.when(F.col("old_id").isNull(), F.col(c)).alias(c) for c in ("front", "back", "tags")]
+    rows = checkpoint(key(incoming).join(known, ["card", "dir"], "left").select("row_id", "card", "dir", "old_id", same.alias("same"), *texts))
+    matched = rows.where("old_id IS NOT NULL").select("row_id", F.when(F.col("same"), "same").otherwise("update").alias("action"), F.col("old_id").alias("note_id"))
     keyed = F.col("card").isNotNull() & F.col("dir").isNotNull()
     place = F.row_number().over(W.partitionBy("card", "dir", F.when(~keyed, F.col("row_id"))).orderBy("row_id"))
-    rest = checkpoint(rows.where("old_id IS NULL").withColumn("place", F.when(keyed, place).otherwise(1)).select("row_id", "place", identities(F.col("front"), F.col("back"), F.col("tags")).alias("all")))
+    rest = checkpoint(rows.where("old_id IS NULL").withColumn("place", F.when(keyed, place).otherwise(1)).select("row_id", "place", F.when(F.col("place") == 1, identities(F.col("front"), F.col("back"), F.col("tags"))).alias("all")))
     there = notes.select(F.explode(identities(F.col("front"), F.col("back"), F.col("tags"))).alias("identity")).distinct()
     each = rest.where("place = 1").select("row_id", F.explode("all").alias("identity"))
     open_ = checkpoint(each.join(each.join(there, "identity", "left_semi").select("row_id").distinct(), "row_id", "left_anti"))

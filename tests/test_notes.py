@@ -176,3 +176,12 @@ def test_a_deck_is_dealt_over_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == {(c, d): (4 * c + 1, False) if d == "recall" and c < 250 else (0, True) for c in range(251) for d in N.DIRECTIONS}
+
+
+def test_parts_of_an_identity_are_computed_once(spark):
+    """The regular expressions of an identity appear once each in the plan, however often what they find is used."""
+    rows = spark.createDataFrame([("Say <b>Word</b> of X<br><small>h</small>", "<b>Ans</b>", "article::a site::7 card::recall"), ("No bold", "b", "article::a card::meaning"), (None, None, None)], "f string, b string, t string")
+    made = rows.select(N.identities(F.col("f"), F.col("b"), F.col("t")).alias("all"))
+    assert [r["all"] for r in made.collect()] == [["site|recall|7", "context|recall|ans|say \u2063 of x"], ["front|no bold"], ["front"]]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</b>, 0)") == 1 and plan.count("<small>") == 1 and plan.count("split(t") == 1
