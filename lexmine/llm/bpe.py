@@ -7,7 +7,7 @@ alike in every document, wherever they stand and even inside a word. A chunk is
    are encoded by one job, and their ids are shared with every worker; their number is bounded.
 2. A second pass puts every text together from its chunks. A worker encodes a chunk that isn't shared at
    its first sight and remembers it within a bound. Where the tokenizer is known to take words apart (`by_word`), the
-   library gets a chunk's words that the worker doesn't remember, each once, and not the whole chunk.
+   library gets the words, or parts of words, that the worker doesn't remember, each once, and not the whole chunk.
 3. Joins are repaired. The words around a join are encoded again as one, from one whole word before the cut
    word to one whole word after it. If the chunks' own ids agree with the outer words', only the ids
    in between are replaced; if not, more words are taken, at last both whole chunks.
@@ -21,6 +21,7 @@ import functools
 import hashlib
 import json
 import os
+import re
 import struct
 
 import numpy as np
@@ -39,8 +40,8 @@ SHARED, SHARED_BYTES, CHUNK_BYTES, MEMO = 4096, 8192, 16_000_000, 50_000
 CALL = 2048
 #: Bytes of words that a worker remembers at most, each with so many for the objects that hold it; bytes of a word that is remembered.
 WORD_BYTES, WORD_COST, WORD_LONG = 60_000_000, 180, 64
-#: Patterns of pre-tokenizers (kept matches) that match no white space, so that a match never reaches over a word's end.
-SPLITS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+#: Patterns of pre-tokenizers (kept matches) that match no white space, so that a match never reaches over a word's end, with what they are on ASCII.
+SPLITS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+")}
 
 
 def word_ends(raw: np.ndarray) -> np.ndarray:
@@ -56,10 +57,10 @@ def words(text: bytes) -> list[bytes]:
 
 
 def by_word(tokenizer: dict) -> bool:
-    """Are the ids of a text those of its words(), one after another, whatever the text? Judged by the tokenizer's parts, from its JSON.
+    """Are the ids of a text those of its words (parted by ASCII white space, and without it), one after another, whatever the text? Judged by the tokenizer's parts, from its JSON.
 
-    Composition, lower case and squeezing look at no character across white space that follows printable ASCII; the
-    pattern matches none; byte levels and merges see one match. Tokenizers with other parts aren't judged: no.
+    Composition and lower case look at no character across ASCII white space; the pattern matches none, however it
+    is squeezed; byte levels and merges see one match. Tokenizers with other parts aren't judged: no.
     """
     normal, split = tokenizer.get("normalizer"), tokenizer.get("pre_tokenizer") or {}
     parts = normal.get("normalizers", [normal]) if normal else []
@@ -120,8 +121,17 @@ class Encoder:
         self.joins: dict[tuple[bytes, bytes], tuple[bytes, bytes, bytes]] = {}
         self.held = 0
         with open(path, encoding="utf-8") as f:
-            self.by_word = self.cuttable and by_word(json.load(f))
+            parts = json.load(f)
+        self.by_word = self.cuttable and by_word(parts)
+        if self.by_word:
+            normal = parts.get("normalizer") or {}
+            self.lowers = any(p["type"] == "Lowercase" for p in normal.get("normalizers", [normal]) if p)
+            self.matches = SPLITS[parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]]
+            added = [re.escape(t["content"].encode()) for t in parts.get("added_tokens", [])]
+            self.added = re.compile(b"|".join(added) or rb"(?!)", re.IGNORECASE)
+        #: Words met lately, and those met before them; a word met again moves to the first.
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.word_bytes = 0
 
     def library(self, texts: list[bytes]) -> list[bytes]:
@@ -129,23 +139,50 @@ class Encoder:
         calls = (self.tokenizer.encode_batch_fast([t.decode() for t in texts[k : k + CALL]], add_special_tokens=False) for k in range(0, len(texts), CALL))
         return [struct.pack(f"<{len(ids)}I", *ids) for call in calls for ids in (e.ids for e in call)]
 
+    def cut(self, text: bytes) -> list[bytes]:
+        """The words of a text, A-Z in lower case if the tokenizer lowers them itself.
+
+        Not so beside marks that compose with letters (in U+0300 to U+036F, first byte CC or CD), as some compose with
+        small letters alone, nor where an added token might come of it.
+        """
+        if self.lowers and b"\xcc" not in text and b"\xcd" not in text and not self.added.search(text):
+            return text.lower().split()
+        return words(text)
+
+    def pieces(self, word: bytes) -> list[bytes]:
+        """Parts of a word whose ids are the word's ids: the pattern's matches in ASCII, of which an added token is none."""
+        if word.isalpha() or not word.isascii() or (self.lowers and word != word.lower()) or self.added.search(word):
+            return [word]
+        return self.matches.findall(word)
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """As library(), but of words that this worker remembers where the tokenizer takes words apart."""
+        """As library(), but of words and parts that this worker remembers where the tokenizer takes words apart."""
         if not self.by_word:
             return self.library(texts)
-        own = [words(t) for t in texts]
-        if self.word_bytes > WORD_BYTES:
-            self.words, self.word_bytes = {}, 0
-        new = list(set().union(*own).difference(self.words))
+        own = [self.cut(t) for t in texts]
+        if self.word_bytes > WORD_BYTES // 2:
+            self.before, self.words, self.word_bytes = self.words, {}, 0
+        unknown = self._forgotten(set().union(*own))
+        apart = {w: p for w in unknown if len(p := self.pieces(w)) > 1}
+        new = list(unknown.difference(apart) | self._forgotten({x for p in apart.values() for x in p}).difference(apart))
         self.words.update(zip(new, self.library(new), strict=True))
+        self.words.update({w: b"".join(map(self.words.__getitem__, p)) for w, p in apart.items()})
         out = [b"".join(map(self.words.__getitem__, x)) for x in own]
-        for word in new:
+        for word in [*new, *apart]:
             if len(word) > WORD_LONG:
                 del self.words[word]
             else:
                 self.word_bytes += WORD_COST + len(word) + len(self.words[word])
         return out
 
+    def _forgotten(self, wanted: set[bytes]) -> set[bytes]:
+        """The wanted ones that this worker doesn't remember; those from before move to the latest."""
+        wanted = wanted.difference(self.words)
+        again = {w: self.before[w] for w in wanted if w in self.before}
+        self.words.update(again)
+        self.word_bytes += sum(WORD_COST + len(w) + len(x) for w, x in again.items())
+        return wanted.difference(again)
+
     def plain(self, ids: bytes) -> str:
         """The library's decode() of ids; without a decoder it joins the tokens with spaces."""
         numbers = np.frombuffer(ids, "<u4").tolist()

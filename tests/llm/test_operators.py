@@ -516,6 +516,25 @@ def test_a_worker_gives_the_library_each_word_once(monkeypatch):
     assert len(once) == len(set(once))
 
 
+def test_a_worker_gives_the_library_forms_and_parts_of_words_once(monkeypatch):
+    """Words that differ in A-Z, white space before them or marks around them cost no more encoding; those met lately outlive a full memory."""
+    e, sent = bpe.Encoder(BPE), []
+    library = e.library
+    monkeypatch.setattr(e, "library", lambda x: sent.extend(x) or library(x))
+    raw = [b"Word word, (WORD) word; don't DON'T", b"\tdon't-word"]
+    assert e.ids(raw) == library(raw)
+    assert sorted(sent) == sorted({b"word", b",", b"(", b")", b";", b"don", b"'t", b"-"})
+    odd = ["H\u0331 h\u0331 J\u030c T\u0308\u0301x W\u030a", "<|ENDOFTEXT|> <|endoftext|> A<|endoftext|>'S <|EndOfText", "\u212a\u0130 \u00c9'S X'\u00c9 A\u00a0 B", "a\x0bb\x1cc \x85d", "'' 's ''s -'s 'S 1a'LL"]
+    raw = [x.encode() for x in odd] + [b" ".join(x.encode() for x in odd)]
+    assert e.ids(raw) == library(raw)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 4000)
+    for k in range(200):
+        sent.clear()
+        assert e.ids([b"common rare%s" % (b"x" * k)]) == library([b"common rare%s" % (b"x" * k)])
+        assert k == 0 or b"common" not in sent
+    assert len(e.words) + len(e.before) < 60
+
+
 def test_only_known_tokenizers_take_words_apart():
     with open(BPE, encoding="utf-8") as f:
         whole = json.load(f)
