@@ -11,7 +11,7 @@ from lexmine.functions import text as T
 from lexmine.operators import enrich as E
 from lexmine.operators import migrate as R
 from lexmine.operators import notes as N
-from lexmine.plans.base import cards, notes, query, table
+from lexmine.plans.base import cards, dealt, notes, query, table
 from lexmine.sources.shared import shared_folder
 
 
@@ -341,8 +341,9 @@ def agg16_cluster_examples(spark, d):
 
 @query("SELECT n.note_id, c.card_id, row_number() OVER (PARTITION BY n.due ORDER BY (n.card_id = c.card_id) DESC, c.card_id, n.note_id) = 1 AS chosen FROM notes n JOIN cards c ON n.due = c.card_id", "cards", "notes")
 def joi22_map_sources(spark, d):
+    """A task holds the cards of its notes: all of them look small enough to broadcast by the bytes of their file, but aren't."""
     w = W.partitionBy("due").orderBy(F.desc("exact"), "c_id", "note_id")
-    both = notes(spark, d).join(cards(spark, d).select(F.col("card_id").alias("c_id")), F.col("due") == F.col("c_id")).withColumn("exact", F.col("card_id") == F.col("c_id"))
+    both = dealt(notes(spark, d).select("note_id", "card_id", "due"), "due").join(cards(spark, d).select(F.col("card_id").alias("c_id")).hint("shuffle_hash"), F.col("due") == F.col("c_id")).withColumn("exact", F.col("card_id") == F.col("c_id"))
     return both.select("note_id", F.col("c_id").alias("card_id"), (F.row_number().over(w) == 1).alias("chosen"))
 
 
