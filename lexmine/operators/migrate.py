@@ -23,6 +23,11 @@ def context_key(c: Column) -> Column:
     return F.regexp_replace(v, "([(\\[])\\s+", "$1")
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key over all partitions: patterns cost far more than the bytes of a row tell, by which files are split and adaptive plans merge tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def note_contexts(notes: DataFrame) -> DataFrame:
     """FIL14, FUN15, FUN16, FUN9. What notes (note_id, front, back, tags) say: note_id, direction, target, sentence, replacement, translations, source.
 
@@ -35,7 +40,7 @@ def note_contexts(notes: DataFrame) -> DataFrame:
     meaning, whole = F.col("direction") == "meaning", F.regexp_extract(clean, _WHOLE, 0)
     at = F.instr(clean, whole)
     shown = F.concat(F.substr(clean, F.lit(1), at - 1), plain(back), F.substr(clean, at + F.length(whole)))
-    rows = notes.withColumn("direction", N.direction_of(F.col("tags"))).where(F.col("direction").isNotNull() & F.when(F.col("direction") == "meaning", front).otherwise(clean).rlike(_BOLD))
+    rows = _spread(notes.select("note_id", "front", "back", "tags"), "note_id").withColumn("direction", N.direction_of(F.col("tags"))).where(F.col("direction").isNotNull() & F.when(F.col("direction") == "meaning", front).otherwise(clean).rlike(_BOLD))
     said = F.concat_ws(
         _FIELD,
         F.when(meaning, plain(F.regexp_extract(front, _BOLD, 1))).otherwise(plain(back)),
@@ -45,7 +50,8 @@ def note_contexts(notes: DataFrame) -> DataFrame:
     )
     labels = F.array_sort(F.filter(N.tag_list(F.coalesce("tags", F.lit(""))), lambda t: t.startswith("article::") | t.startswith("page::")))
     source = F.when(F.size(labels) > 0, F.array_join(labels, " · ")).otherwise("original_deck")
-    told = unescape_texts(rows.select("note_id", "direction", said.alias("said"), source.alias("source")), "said").withColumn("s", F.split("said", _FIELD))
+    made = checkpoint(rows.select("note_id", "direction", said.alias("said"), source.alias("source")))  # read more than once below, made by many patterns
+    told = unescape_texts(made, "said").withColumn("s", F.split("said", _FIELD))
     lines = F.transform(F.split(F.get("s", F.lit(3)), _PART), lambda v: F.trim(F.regexp_replace(T.squeeze(v), "^[•·\\- ]+", "")))
     out = told.select("note_id", "direction", *[T.squeeze(F.get("s", F.lit(k))).alias(n) for k, n in enumerate(("target", "sentence", "replacement"))], F.filter(lines, lambda v: v != "").alias("translations"), "source")
     return out.where("target <> '' AND sentence <> ''")
@@ -81,7 +87,7 @@ def map_sources(highlights: DataFrame, sources: DataFrame, links: DataFrame) ->
     """
     keyed = lambda df: df.withColumns({"kt": context_key(F.col("target")), "ks": context_key(F.col("sentence"))})
     s = keyed(sources.withColumnRenamed("id", "source_id"))
-    exact = keyed(highlights).join(s, ["kt", "ks"]).select("highlight_id", "source_id")
+    exact = keyed(_spread(highlights.select("highlight_id", "target", "sentence"), "highlight_id")).join(s, ["kt", "ks"]).select("highlight_id", "source_id")
     linked = sources.select(F.col("id").alias("source_id"), F.explode("note_ids").alias("note_id")).join(links.select("note_id", "highlight_id"), "note_id").join(highlights.select("highlight_id"), "highlight_id", "left_semi").select("highlight_id", "source_id")
     both = exact.withColumn("exact", F.lit(True)).unionByName(linked.withColumn("exact", F.lit(False))).groupBy("highlight_id", "source_id").agg(F.max("exact").alias("exact"))
     both = both.join(sources.select(F.col("id").alias("source_id"), F.array_min("note_ids").alias("lowest")), "source_id")
