@@ -150,8 +150,11 @@ def weighted_top(highlights: DataFrame, leaders: DataFrame, cutoff: float = 45.0
 def fuzzy_top(highlights: DataFrame, leaders: DataFrame, cutoff: float = 45.0, limit: int = 5, score=udfs.weighted_ratio) -> DataFrame:
     """JOI11 by any score: as weighted_top, but all pairs of a user are scored.
 
-    Distinct pairs of texts of a user are scored once; the join is by user.
+    Distinct pairs of texts of a user are scored once; the join is by user, dealt over all partitions, as pairs are far
+    more than the bytes of both sides tell, by which files are split and adaptive plans merge tasks or broadcast a side.
     """
+    n = int(highlights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    highlights, leaders = highlights.repartition(n, "user_id"), leaders.repartition(n, "user_id").hint("merge")
     pairs = highlights.select("user_id", "text").distinct().join(leaders.select("user_id", "leader").distinct(), "user_id")
     scored = pairs.select("text", "leader").distinct().withColumn("score", score("text", "leader")).where(F.col("score") >= cutoff)
     found = highlights.join(leaders, "user_id").join(scored, ["text", "leader"])
