@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
@@ -92,7 +93,7 @@ def selected(word: Column, height: Column, coverage: Column, spill: Column, over
 
 def word_boxes(docs: DataFrame) -> DataFrame:
     """Boxes of the words of documents (doc_id, text) laid out twelve to a line and 300 to a page: word_id, word, page, line, x1, y1, x2, y2."""
-    w = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\\s+"), lambda x: x != "")).alias("word_id", "word"))
+    w = docs.select("doc_id", F.posexplode(F.array_remove(F.split("text", "\\s+"), "")).alias("word_id", "word"))
     w = w.withColumns({"page": F.floor(F.col("word_id") / 300), "line": F.floor(F.col("word_id") / 12)})
     w = w.withColumns({"x1": (F.col("word_id") % 12 * 45).cast("double"), "y1": (50 + F.col("line") % 25 * 14).cast("double")})
     return w.withColumns({"x2": F.col("x1") + 5 * F.length("word"), "y2": F.col("y1") + 11})
@@ -113,10 +114,27 @@ def phrase_groups(words: DataFrame, gap: float = GAP, between: int = 2) -> DataF
     in a hyphen and the second stands below. A group of three words or more loses a leading and, but, or.
     Gaps and islands over the words of a page.
     """
-    by_page = W.partitionBy("doc_id", "page").orderBy("word_id")
-    plain = F.when(F.col("word").rlike("[A-Za-z0-9]"), 1).otherwise(0)
-    marked = words.withColumns({"_plain": plain, "_all": F.sum(plain).over(by_page.rowsBetween(W.unboundedPreceding, 0)), "_place": F.row_number().over(by_page)})
-    prev = lambda c: F.lag(c).over(by_page)
+    placed = words.withColumn("_plain", _plain(F.col("word")))
+    return _grouped(placed.withColumns({"_all": F.sum("_plain").over(_so_far()), "_place": F.row_number().over(_by_page())}), gap, between).select(*words.columns, "group_id")
+
+
+def _by_page() -> WindowSpec:
+    return W.partitionBy("doc_id", "page").orderBy("word_id")
+
+
+def _so_far() -> WindowSpec:
+    return _by_page().rowsBetween(W.unboundedPreceding, 0)
+
+
+def _plain(word: Column) -> Column:
+    """1 for a word with a letter or digit."""
+    return F.when(word.rlike("[A-Za-z0-9]"), 1).otherwise(0)
+
+
+def _grouped(words: DataFrame, gap: float = GAP, between: int = 2) -> DataFrame:
+    """Selected ones of words (with _plain, _all: plain ones so far, _place on the page) with group_id, and line, which tells the lines of a group apart. All windows have one order."""
+    marked = words.where("selected").withColumns({f"_b_{c}": F.lag(c).over(_by_page()) for c in ("_place", "_all", "word", "x1", "x2", "y1", "y2")})  # each is taken once
+    prev = lambda c: F.col(f"_b_{c}")
     height = F.greatest(F.col("y2") - F.col("y1"), prev("y2") - prev("y1"))
     skipped = F.col("_place") - prev("_place") - 1
     marks = skipped.between(1, between) & (F.col("_all") - F.col("_plain") == prev("_all"))
@@ -125,19 +143,22 @@ def phrase_groups(words: DataFrame, gap: float = GAP, between: int = 2) -> DataF
     wraps = (down > 2.0) & (down <= WRAP * height) & (F.col("x1") < prev("x1")) & ~T.is_sentence_end(prev("word"))
     hyphen = prev("word").endswith("-") & (down > 2.0)
     goes_on = ((skipped == 0) | marks) & ((one_line & ((room <= gap) | (marks & (room <= WIDE_GAP)))) | wraps | hyphen)
-    grouped = marked.where("selected").withColumn("_starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    grouped = grouped.withColumn("group_id", F.sum("_starts").over(by_page.rowsBetween(W.unboundedPreceding, 0)))
-    whole = W.partitionBy("doc_id", "page", "group_id")
-    core = F.lower(T.split_outer_punctuation(F.col("word"))["core"])
-    led = grouped.withColumn("_leads", (F.row_number().over(whole.orderBy("word_id")) == 1) & (F.count("*").over(whole) >= 3) & core.isin(LEADING))
-    return led.where(~F.col("_leads")).select(*words.columns, "group_id")
+    marked = marked.withColumns({"_starts": F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1), "_moves": F.when(_moved(prev("y1")), 1).otherwise(0)})
+    ahead = lambda n: F.lead("_starts", n, 1).over(_by_page()) == 0
+    marked = marked.withColumns({"group_id": F.sum("_starts").over(_so_far()), "line": F.sum("_moves").over(_so_far()), "_of_three": (F.col("_starts") == 1) & ahead(1) & ahead(2)})
+    leads = F.col("_of_three") & F.lower(T.split_outer_punctuation(F.col("word"))["core"]).isin(LEADING)
+    return marked.where(~leads)
+
+
+def _moved(before: Column) -> Column:
+    """Does a word stand on another line than the one before it, whose top is given?"""
+    return F.abs(F.col("y1") - before) > F.greatest(F.lit(2.0), 0.25 * (F.col("y2") - F.col("y1")))
 
 
 def line_groups(words: DataFrame) -> DataFrame:
     """WIN3. words of groups with line_id: a new line where the top moves by more than a quarter of the height (2 at least)."""
     w = W.partitionBy("doc_id", "page", "group_id").orderBy("word_id")
-    moved = F.abs(F.col("y1") - F.lag("y1").over(w)) > F.greatest(F.lit(2.0), 0.25 * (F.col("y2") - F.col("y1")))
-    return words.withColumn("line_id", F.sum(F.when(moved, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return words.withColumn("line_id", F.sum(F.when(_moved(F.lag("y1").over(w)), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def group_boxes(words: DataFrame) -> DataFrame:
@@ -145,11 +166,14 @@ def group_boxes(words: DataFrame) -> DataFrame:
     return line_groups(words).groupBy("doc_id", "page", "group_id", "line_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n_words"))
 
 
+def _broken(top: Column, bottom: Column, before: Column) -> Column:
+    step = top - before
+    return F.coalesce((step > 1.8 * F.greatest(bottom - top, F.lit(1.0))) | (step < -1), F.lit(False))
+
+
 def paragraph_breaks(words: DataFrame) -> DataFrame:
     """WIN4. words with break_before: a jump of over 1.8 heights down, or a move up on the page."""
-    w = W.partitionBy("doc_id", "page").orderBy("word_id")
-    step = F.col("y1") - F.lag("y1").over(w)
-    return words.withColumn("break_before", F.coalesce((step > 1.8 * F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0))) | (step < -1), F.lit(False)))
+    return words.withColumn("break_before", _broken(F.col("y1"), F.col("y2"), F.lag("y1").over(_by_page())))
 
 
 def sentence_ids(words: DataFrame, ends: Column) -> DataFrame:
@@ -158,49 +182,54 @@ def sentence_ids(words: DataFrame, ends: Column) -> DataFrame:
     return words.withColumn("sentence_id", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(w), F.lit(0)))
 
 
-def extract_highlights(words: DataFrame, regions: DataFrame, top: float, bottom: float) -> DataFrame:
+def extract_highlights(words: DataFrame, regions: DataFrame, top: float, bottom: float, dealt: bool = False) -> DataFrame:
     """PIP6. Highlights of documents: doc_id, page, group_id, target, occurrence, sentence, rects.
 
     words (doc_id, page, word_id, word, x1, y1, x2, y2, coverage, spill: how much of the box, and of the room above
-    or below it, is brushed) lose what stands outside the margins (FIL5); regions (doc_id, page, box) are
-    annotations (JOI10); selected words (FIL7) form phrases (WIN2), whose target is their words without outer
-    marks. occurrence counts a target's earlier ones on its page (WIN1). The sentence goes from the last sentence
-    end or paragraph break before the phrase to the next one after it (WIN4, WIN6). rects has a box a line (AGG9).
-
-    Regions are dealt with the words, by document, and all windows and groupings up to the boxes keep that partitioning,
-    so nothing is shuffled as a word but once, and once more (without boxes) for the sentences, which then travel as a row each.
+    or below it, is brushed; word_id counts on from page to page) lose what stands outside the margins (FIL5); regions
+    (doc_id, page, box) are annotations (JOI10); selected words (FIL7) form phrases (WIN2), whose target is their words
+    without outer marks. occurrence counts a target's earlier ones on its page (WIN1). The sentence goes from the last
+    sentence end or paragraph break before the phrase to the next one after it (WIN4, WIN6). rects has a box a line (AGG9).
+
+    All windows, groupings and the join with the sentences keep to a partitioning by document, and those over words to one
+    order, so words are shuffled once and sorted once for the phrases, and so (without boxes) for the sentences. dealt: words
+    and regions lie by document already, as those made of a document's text after it was dealt do; then nothing is shuffled.
     """
+    by_document = (lambda df: df) if dealt else (lambda df: df.repartition("doc_id"))
     inside = words.where((F.col("y1") >= top) & (F.col("y2") <= bottom) & (F.trim("word") != ""))
     height = F.col("y2") - F.col("y1")
     brushed = F.coalesce(selected(F.col("word"), height, F.col("coverage"), F.col("spill"), F.lit(0.0)), F.lit(False))
-    inside = inside.select("doc_id", "page", "word_id", "word", "x1", "y1", "x2", "y2", brushed.alias("_brushed"), T.is_sentence_end(F.col("word")).alias("_ends"))
-    dealt = inside.unionByName(regions.select("doc_id", "page", "x1", "y1", "x2", "y2"), allowMissingColumns=True).repartition("doc_id")
+    after = {f"_a_{c}": F.lead(c).over(_by_page()) for c in ("y1", "y2")}
+    ends = F.when(T.is_sentence_end(F.col("word")) | _broken(F.col("_a_y1"), F.col("_a_y2"), F.col("y1")), 1).otherwise(0)
+    boxed = inside.select("doc_id", "page", "word_id", "word", "x1", "y1", "x2", "y2", brushed.alias("_brushed"))
+    both = by_document(boxed.unionByName(regions.select("doc_id", "page", "x1", "y1", "x2", "y2"), allowMissingColumns=True)).withColumn("_plain", _plain(F.col("word")))
     box = F.struct("x1", "y1", "x2", "y2")
-    met = dealt.withColumn("_regions", F.collect_list(F.when(F.col("word").isNull(), box)).over(W.partitionBy("doc_id", "page"))).where("word IS NOT NULL")
-    overlap = F.coalesce(F.array_max(F.transform("_regions", lambda r: F.when(area(box) > 0, intersection(box, r) / area(box)).otherwise(0.0))), F.lit(0.0))
-    over = selected(F.col("word"), height, F.lit(0.0), F.lit(1.0), overlap)
-
-    def counted(placed: DataFrame) -> DataFrame:
-        by_doc = W.partitionBy("doc_id").orderBy("word_id")
-        return sentence_ids(paragraph_breaks(placed).withColumn("_next", F.coalesce(F.lead("break_before").over(by_doc), F.lit(False))), F.col("_ends") | F.col("_next"))
-
-    chosen = counted(met.withColumn("selected", F.col("_brushed") | over).drop("_regions", "_brushed"))
-    lined = line_groups(phrase_groups(chosen))
-    lines = lined.groupBy("doc_id", "page", "group_id", "line_id").agg(
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("w"), F.min("sentence_id").alias("s1"), F.max("sentence_id").alias("s2")
+    on_page = F.collect_list(F.when(F.col("word").isNull(), box)).over(_by_page().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    met = both.withColumns({"_regions": on_page, "_all": F.sum("_plain").over(_so_far()), "_place": F.row_number().over(_by_page()), **after}).where("word IS NOT NULL")  # regions come first on a page
+    near = F.filter("_regions", lambda r: (r["y1"] < F.col("y2")) & (r["y2"] > F.col("y1")))
+    overlap = F.coalesce(F.array_max(F.transform(near, lambda r: F.when(area(box) > 0, intersection(box, r) / area(box)).otherwise(0.0))), F.lit(0.0))
+    chosen = met.withColumns({"selected": F.col("_brushed") | selected(F.col("word"), height, F.lit(0.0), F.lit(1.0), overlap), "_ends": ends}).drop("_regions", "_brushed", *after)
+    before = F.sum("_ends").over(W.partitionBy("doc_id").orderBy("page", "word_id").rowsBetween(W.unboundedPreceding, -1))
+    chosen = chosen.withColumn("sentence_id", F.coalesce(before, F.lit(0)).cast("int"))
+    corners = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")]
+    groups = _grouped(chosen).groupBy("doc_id", "page", "group_id").agg(
+        *corners, F.min("line").alias("l1"), F.max("line").alias("l2"), F.min("sentence_id").alias("s1"), F.max("sentence_id").alias("s2"), F.array_sort(F.collect_list(F.struct("word_id", "word", "line", "x1", "y1", "x2", "y2"))).alias("w")
     )
-    groups = lines.groupBy("doc_id", "page", "group_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "x1", "y1", "x2", "y2", "w"))).alias("l"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
-    spelled = F.flatten(F.transform("l", lambda x: x["w"]))
-    rects = F.transform("l", lambda x: F.struct(x["x1"].alias("x1"), x["y1"].alias("y1"), x["x2"].alias("x2"), x["y2"].alias("y2")))
-    target = T.split_outer_punctuation(T.join_words(F.transform(spelled, lambda x: x["word"])))["core"]
-    groups = groups.select("doc_id", "page", "group_id", target.alias("target"), rects.alias("rects"), F.element_at(spelled, 1)["word_id"].alias("first"), "s1", "s2").where("target <> ''")
-    groups = groups.withColumn("occurrence", F.row_number().over(W.partitionBy("doc_id", "page", T.fold(F.col("target"))).orderBy("first")) - 1)
-    said = counted(inside.select("doc_id", "page", "word_id", "word", "y1", "y2", "_ends").repartition("doc_id"))
-    said = said.groupBy("doc_id", "sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda x: x["word"]).alias("said"))
-    parts = groups.select("doc_id", "page", "group_id", "target", "occurrence", "rects", F.explode(F.sequence("s1", "s2")).alias("sentence_id")).join(said, ["doc_id", "sentence_id"])
-    whole = parts.groupBy("doc_id", "page", "group_id").agg(*[F.first(c).alias(c) for c in ("target", "occurrence", "rects")], F.array_sort(F.collect_list(F.struct("sentence_id", "said"))).alias("s"))
-    sentence = T.join_words(F.flatten(F.transform("s", lambda x: x["said"])))
-    return whole.select("doc_id", "page", "group_id", "target", F.col("occurrence").cast("int").alias("occurrence"), sentence.alias("sentence"), "rects")
+
+    def line_box(n):
+        of = F.filter("w", lambda x: x["line"] == n)
+        return F.struct(F.array_min(of["x1"]).alias("x1"), F.array_min(of["y1"]).alias("y1"), F.array_max(of["x2"]).alias("x2"), F.array_max(of["y2"]).alias("y2"))
+
+    rects = F.when(F.col("l1") == F.col("l2"), F.array(box)).otherwise(F.transform(F.array_distinct(F.col("w")["line"]), line_box))
+    target = T.split_outer_punctuation(T.join_words(F.col("w")["word"]))["core"]
+    groups = groups.select("doc_id", "page", "group_id", target.alias("target"), rects.alias("rects"), F.element_at("w", 1)["word_id"].alias("first"), "s1", "s2")
+    groups = groups.withColumn("occurrence", F.row_number().over(W.partitionBy("doc_id", "page", T.fold(F.col("target"))).orderBy("first")) - 1).where("target <> ''")
+    marked = by_document(inside.select("doc_id", "page", "word_id", "word", "y1", "y2")).withColumns(after).withColumn("_ends", ends)
+    spelled = F.array_sort(F.collect_list(F.struct("page", "word_id", F.concat("word", F.when(F.col("_ends") == 1, "\n").otherwise(" ")).alias("word"))))["word"]
+    said = marked.groupBy("doc_id").agg(F.split(F.rtrim(F.array_join(spelled, "")), "\n").alias("said"))  # words hold no white space
+    sentence = T.join_words(F.slice("said", F.col("s1") + 1, F.col("s2") - F.col("s1") + 1))
+    sentence = F.explode(F.array(sentence))  # made where the join runs, so that a document's sentences aren't copied for each of its groups
+    return groups.join(said.hint("merge"), "doc_id").select("doc_id", "page", "group_id", "target", F.col("occurrence").cast("int").alias("occurrence"), sentence.alias("sentence"), "rects")
 
 
 def import_highlights(extracted: DataFrame, existing: DataFrame, tombstones: DataFrame) -> DataFrame:

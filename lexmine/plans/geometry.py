@@ -22,6 +22,9 @@ groups AS (SELECT * FROM islands QUALIFY NOT (row_number() OVER (PARTITION BY do
 _GROUPS = _CHOSEN + _GROUPED
 _PAIR = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 
+#: Characters of text whose words a task lays out and sorts at once.
+CHARS = 4_000_000
+
 
 def _boxes(spark, d):
     return G.word_boxes(corpus(spark, d))
@@ -154,9 +157,13 @@ SELECT doc_id, page, group_id, target, CAST(occurrence AS INTEGER) AS occurrence
     "corpus",
 )
 def pip6_extract_highlights(spark, d):
+    """Documents are dealt before their words are boxed, as a word's row takes many times its text."""
     k = F.col("word_id")
-    words = _boxes(spark, d).withColumns({"coverage": k * 7 % 100 / 100.0, "spill": k * 3 % 40 / 100.0})
-    found = G.extract_highlights(words, _regions(words), 60.0, 380.0)
+    docs = corpus(spark, d)
+    held = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // CHARS))
+    words = G.word_boxes(docs.repartition(n, "doc_id")).withColumns({"coverage": k * 7 % 100 / 100.0, "spill": k * 3 % 40 / 100.0})
+    found = G.extract_highlights(words, _regions(words), 60.0, 380.0, dealt=True)
     return found.withColumn("rects", F.array_join(F.transform("rects", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("x1", "y1", "x2", "y2")])), ";"))
 
 

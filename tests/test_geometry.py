@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexmine.operators import geometry as G
+from lexmine.plans import QUERIES
+
+DATA = "/root/testdata/sf0.001"
 
 
 def table(spark, rows, schema):
@@ -79,6 +85,38 @@ def test_highlights_shuffle_words_by_document_only(spark):
     assert initial.count("Join ") == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_highlights_of_documents_shuffle_texts_and_no_words(spark):
+    found = QUERIES["pip6_extract_highlights"](spark, DATA)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert final.count("ReusedExchange") == 2
+    assert set(re.findall(r"Exchange hashpartitioning\(.*?\), (\w+)", final)) == {"REPARTITION_BY_NUM"}  # of documents, used three times
+
+
+def test_highlights_are_the_same_however_words_are_dealt(spark):
+    """Over pages and paragraph breaks, with a group of two lines that loses its first word, and marks alone, which are no target."""
+    text = [(1, 1, "He said: and more over"), (1, 2, "there, again. More"), (1, 3, "-- was over -"), (1, 9, "there And no end"), (2, 1, "of it over. Done")]
+    words, k = [], 0
+    for page, line, said in text:
+        for place, w in enumerate(said.split()):
+            words.append((7, page, k, w, 20.0 * place, 100.0 + 12 * line, 20.0 * place + 15, 111.0 + 12 * line, float(w.strip(".,") in {"and", "more", "over", "there", "--"}), 0.0))
+            k += 1
+    df = spark.createDataFrame(words, "doc_id long, page int, word_id int, word string, x1 double, y1 double, x2 double, y2 double, coverage double, spill double")
+    regions = spark.createDataFrame([(7, 1, 40.0, 124.0, 55.0, 135.0)], "doc_id long, page int, x1 double, y1 double, x2 double, y2 double")
+    rows = lambda found: sorted((r["page"], r["target"], r["occurrence"], r["sentence"], [tuple(x) for x in r["rects"]]) for r in found.collect())
+    got = rows(G.extract_highlights(df, regions, 50.0, 400.0))
+    assert got == rows(G.extract_highlights(df.repartition(3, "doc_id"), regions.repartition(3, "doc_id"), 50.0, 400.0, dealt=True))
+    assert got == [
+        (1, "More", 0, "More -was over -", [(40.0, 124.0, 55.0, 135.0)]),
+        (1, "more over there", 0, "He said: and more over there, again.", [(60.0, 112.0, 95.0, 123.0), (0.0, 124.0, 15.0, 135.0)]),
+        (1, "over", 0, "More -was over -", [(40.0, 136.0, 55.0, 147.0)]),
+        (1, "there", 0, "there And no end of it over.", [(0.0, 208.0, 15.0, 219.0)]),
+        (2, "over", 0, "there And no end of it over.", [(40.0, 112.0, 55.0, 123.0)]),
+    ]
+
+
 def test_valid_rects(spark):
     r = lambda *v: dict(zip(("x1", "y1", "x2", "y2"), map(float, v), strict=True))
     df = spark.createDataFrame([([r(0, 0, 1, 1)],), ([],), ([r(0, 0, 0.0001, 1)],), ([r(0, 0, float("nan"), 1)],), ([r(0, 0, 200000, 1)],), ([r(0, 0, 1, 1)] * 17,)], "r array<struct<x1:double,y1:double,x2:double,y2:double>>")
